@@ -103,8 +103,18 @@ def number(df: DataFrame, name: str) -> Column:
 
 
 def moment(df: DataFrame, name: str) -> Column:
-    """The column as a timestamp, bad or missing cells as null."""
-    return to_moment(named(name)) if is_text(df, name) else named(name).cast("timestamp")
+    """The column as wall-clock time, bad or missing cells as null."""
+    c = to_moment(named(name)) if is_text(df, name) else named(name)
+    return c.cast("timestamp_ntz")
+
+
+def wall_micros(c: Column) -> Column:
+    """Microseconds of a wall-clock time since 1970, whatever the session time zone."""
+    whole = lambda part, size: part.cast("bigint") * F.lit(size).cast("bigint")
+    return (
+        whole(F.unix_date(c.cast("date")), 86_400_000_000) + whole(F.hour(c), 3_600_000_000)
+        + whole(F.minute(c), 60_000_000) + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    )
 
 
 def finite_or_zero(c: Column, places: int = 4) -> Column:
@@ -113,6 +123,11 @@ def finite_or_zero(c: Column, places: int = 4) -> Column:
     return F.when(ok, F.round(c, places)).otherwise(F.lit(0.0))
 
 
+def spread_rows(names: list[str], rows: list[list[Column]]) -> Column:
+    """One output row per inner list: ``select(..., spread_rows(...))``."""
+    return F.inline(F.array(*[F.struct(*[c.alias(n) for n, c in zip(names, row)]) for row in rows]))
+
+
 def any_word(name: str, words: list[str]) -> bool:
     low = name.lower()
     return any(w in low for w in words)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import named, number, numeric_columns, other_columns, present
+from ..functions.columns import named, number, numeric_columns, other_columns, present, spread_rows
 from .basics import duplicate_count, spread
 from .ordering import ONE_TASK_ROWS, long_form, running_totals
 
@@ -44,18 +44,17 @@ def group_facts(df: DataFrame, categories: Sequence[str], metrics: Sequence[str]
         *[present(df, m).isNotNull().alias(f"p{i}") for i, m in enumerate(metrics)],
     )
     keep = [f"{k}{i}" for k in "mp" for i in range(len(metrics))]
-    tall = base.select(*keep, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("category"), F.col(f"c{i}").alias("group")) for i, c in enumerate(categories)
-    ]))).where(F.col("group").isNotNull())
+    tall = base.select(*keep, spread_rows(["category", "group"], [
+        [F.lit(c), F.col(f"c{i}")] for i, c in enumerate(categories)
+    ])).where(F.col("group").isNotNull())
     sums = tall.groupBy("category", "group").agg(*[
         e for i in range(len(metrics)) for e in (
             F.count(f"m{i}").alias(f"n{i}"), F.sum(f"m{i}").alias(f"s{i}"), F.count_if(F.col(f"p{i}")).alias(f"r{i}"),
         )
     ])
-    return sums.select("category", "group", F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("total"), F.col(f"r{i}").alias("seen"))
-        for i, m in enumerate(metrics)
-    ])))
+    return sums.select("category", "group", spread_rows(["metric", "n", "total", "seen"], [
+        [F.lit(m), F.col(f"n{i}"), F.col(f"s{i}"), F.col(f"r{i}")] for i, m in enumerate(metrics)
+    ]))
 
 
 def running_share(facts: DataFrame, keys: Sequence[str], one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:

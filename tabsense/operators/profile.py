@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.columns import is_numeric, is_text, moment, named, number, numeric_columns, other_columns, present
+from ..functions.columns import is_numeric, is_text, moment, named, number, numeric_columns, other_columns, present, spread_rows, wall_micros
 from .basics import spread
 from .ordering import long_form, quantiles, value_counts
 
@@ -20,8 +21,13 @@ NUMERIC_PROFILE = (
 )
 
 
+def half_up(x: float, places: int) -> float:
+    """Rounding of the shortest decimal form, halves away from zero, as Spark's ``round`` does it."""
+    return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+
+
 def safe(x: float | None, places: int = 4) -> float:
-    return 0.0 if x is None or math.isnan(x) or math.isinf(x) else round(x, places)
+    return 0.0 if x is None or math.isnan(x) or math.isinf(x) else half_up(x, places)
 
 
 def adjusted_skewness(n: int, population: float | None) -> float:
@@ -73,7 +79,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         f, (q1, q3, _, _) = facts[c], fences[c]
         rows.append((
             c, f["n"], safe(f["mean"]), safe(quarts[c][1] if quarts[c] else None), safe(f["std"]), safe(f["min"]),
-            safe(f["max"]), q1, q3, round(q3 - q1, 4), outside[f"o{i}"], safe(adjusted_skewness(f["n"], f["skew"])),
+            safe(f["max"]), q1, q3, half_up(q3 - q1, 4), outside[f"o{i}"], safe(adjusted_skewness(f["n"], f["skew"])),
         ))
     return spark.createDataFrame(rows, NUMERIC_PROFILE)
 
@@ -106,7 +112,7 @@ def daily_gaps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     of zero; across days only the last of one and the first of the next matter.
     The window therefore runs over days, of which a calendar has a fixed number.
     """
-    cells = {c: F.unix_micros(moment(df, c)) for c in columns}
+    cells = {c: wall_micros(moment(df, c)) for c in columns}
     days = (
         long_form(df, cells).where(F.col("value").isNotNull())
         .groupBy("column", F.floor(F.col("value") / DAY_MICROS).alias("day"))
@@ -115,11 +121,9 @@ def daily_gaps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     w = Window.partitionBy("column").orderBy("day")
     gap = F.floor((F.col("first") - F.lag("last").over(w)) / DAY_MICROS)
     steps = days.withColumn("gap", gap)
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     return steps.select(
-        "column", F.inline(F.array(
-            F.struct(F.col("gap").alias("gap"), F.lit(1).cast("bigint").alias("n")),
-            F.struct(F.lit(0).cast("bigint").alias("gap"), (F.col("n") - 1).alias("n")),
-        ))
+        "column", spread_rows(["gap", "n"], [[F.col("gap"), one], [zero, F.col("n") - 1]])
     ).where(F.col("gap").isNotNull() & (F.col("n") > 0))
 
 
@@ -144,7 +148,7 @@ def datetime_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     facts = long_form(df, cells).groupBy("column").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_if(F.col("value").isNull()).alias("null_count")
     )
-    days = F.floor((F.unix_micros("hi") - F.unix_micros("lo")) / DAY_MICROS)
+    days = F.floor((wall_micros(F.col("hi")) - wall_micros(F.col("lo"))) / DAY_MICROS)
     return facts.join(F.broadcast(cadence(df, columns)), "column").select(
         "column",
         F.coalesce(F.date_format("lo", "yyyy-MM-dd"), F.lit("N/A")).alias("min_date"),
@@ -223,13 +227,13 @@ def eda_report(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
         ))
     if cols := of("datetime"):
         p = datetime_profile(df, cols)
-        parts.append(p.select("column", F.inline(F.array(
-            F.struct(F.lit("min_date").alias("item"), F.lit(None).cast("double").alias("number"), F.col("min_date").alias("text")),
-            F.struct(F.lit("max_date"), F.lit(None).cast("double"), F.col("max_date")),
-            F.struct(F.lit("date_range_days"), F.col("date_range_days").cast("double"), F.lit(None).cast("string")),
-            F.struct(F.lit("null_count"), F.col("null_count").cast("double"), F.lit(None).cast("string")),
-            F.struct(F.lit("detected_frequency"), F.lit(None).cast("double"), F.col("detected_frequency")),
-        ))).select(F.lit("datetime").alias("kind"), "column", "item", "number", "text"))
+        no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+        words = [[F.lit(i), no_number, F.col(i)] for i in ("min_date", "max_date", "detected_frequency")]
+        counts = [[F.lit(i), F.col(i).cast("double"), no_text] for i in ("date_range_days", "null_count")]
+        parts.append(
+            p.select("column", spread_rows(["item", "number", "text"], words + counts))
+            .select(F.lit("datetime").alias("kind"), "column", "item", "number", "text")
+        )
     if not parts:
         return df.sparkSession.createDataFrame([], "kind string, column string, item string, number double, text string")
     out = parts[0]

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import (
     DATE_WORDS, ID_WORDS, any_word, is_boolean_token, is_moment, is_null_token, is_numeric, is_padded, is_text, named,
-    present, strip, to_moment, to_number,
+    present, spread_rows, strip, to_moment, to_number,
 )
 from .basics import distinct_counts, duplicate_count
 from .ordering import long_form
@@ -37,15 +37,15 @@ def column_facts(df: DataFrame) -> DataFrame:
             size, held, F.count_if(is_null_token(v)).alias("tokens"), F.count_if(is_padded(v)).alias("padded"),
             F.count_if(is_boolean_token(v)).alias("boolean_like"), F.count(to_number(filled)).alias("numeric_like"),
             F.count(to_moment(v)).alias("date_like"), F.min(v).alias("smallest"),
-            F.min(F.struct(F.length(v).alias("k"), v.alias("v"))).alias("s"), F.max(v).alias("largest"),
-        ).withColumn("shortest", F.coalesce("s.v", "smallest")).drop("s"))
+            F.min(F.when(v.isNotNull(), F.struct(F.length(v).alias("k"), v.alias("v")))).alias("s"), F.max(v).alias("largest"),
+        ).withColumn("shortest", F.col("s.v")).drop("s"))
     if nums:
         flag = F.count_if(v.isin(0.0, 1.0))
         parts.append(long_form(df, {c: present(df, c).cast("double") for c in nums}).groupBy("column").agg(
             size, held, none.alias("tokens"), none.alias("padded"), flag.alias("boolean_like"),
             F.count("value").alias("numeric_like"), none.alias("date_like"),
             F.min(v).cast("string").alias("smallest"),
-            F.min(F.struct(F.abs(v).alias("k"), v.alias("v")))["v"].cast("string").alias("shortest"),
+            F.min(F.when(v.isNotNull(), F.struct(F.abs(v).alias("k"), v.alias("v"))))["v"].cast("string").alias("shortest"),
             F.max(v).cast("string").alias("largest"),
         ))
     if rest:
@@ -227,9 +227,8 @@ def clean_log(df: DataFrame) -> DataFrame:
         F.count(filled).alias("held"), F.count(to_number(filled)).alias("numbers"),
     )
     coerced = F.when((F.col("held") > 0) & (F.col("numbers") / F.nullif("held", F.lit(0)) >= COERCE_SHARE), F.col("numbers"))
-    steps = facts.select("column", F.inline(F.array(
-        F.struct(F.lit("trim_whitespace").alias("step"), F.col("trimmed").alias("affected")),
-        F.struct(F.lit("null_tokens"), F.col("tokens")),
-        F.struct(F.lit("coerce_numeric"), F.coalesce(coerced, F.lit(0))),
-    ))).where("affected > 0").select("step", "column", "affected")
+    steps = facts.select("column", spread_rows(["step", "affected"], [
+        [F.lit("trim_whitespace"), F.col("trimmed")], [F.lit("null_tokens"), F.col("tokens")],
+        [F.lit("coerce_numeric"), F.coalesce(coerced, F.lit(0))],
+    ])).where("affected > 0").select("step", "column", "affected")
     return dup.unionByName(steps)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, present
+from ..functions.columns import numeric_columns, present, spread_rows
 from .basics import distinct_counts, duplicate_count, null_counts
 from .quality import table_health
 
@@ -48,12 +48,12 @@ def report_findings(df: DataFrame) -> DataFrame:
     """``(seq, finding, value)``: missing cells, duplicates, number of numeric columns."""
     k = kpi_scorecard(df)
     numbers = len(numeric_columns(df))
-    return k.select(F.inline(F.array(
-        F.struct(F.lit(1).alias("seq"), F.when(F.col("missing_cells") > 0, "missing_cells").otherwise("complete").alias("finding"),
-                 F.col("missing_cells").alias("value")),
-        F.struct(F.lit(2), F.when(F.col("duplicate_rows") > 0, "duplicate_rows").otherwise("no_duplicates"), F.col("duplicate_rows")),
-        F.struct(F.lit(3), F.lit("numeric_columns"), F.lit(numbers).cast("bigint")),
-    ))).where((F.col("finding") != "numeric_columns") | (F.col("value") > 0))
+    missing, dups = F.col("missing_cells"), F.col("duplicate_rows")
+    return k.select(spread_rows(["seq", "finding", "value"], [
+        [F.lit(1), F.when(missing > 0, "missing_cells").otherwise("complete"), missing],
+        [F.lit(2), F.when(dups > 0, "duplicate_rows").otherwise("no_duplicates"), dups],
+        [F.lit(3), F.lit("numeric_columns"), F.lit(numbers).cast("bigint")],
+    ])).where((F.col("finding") != "numeric_columns") | (F.col("value") > 0))
 
 
 def quality_score(df: DataFrame) -> DataFrame:
