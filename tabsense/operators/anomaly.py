@@ -13,12 +13,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import named, number, numeric_columns
-from ..storage import materialize
+from ..storage import store
 from .basics import prune_all_null
 from .ordering import ONE_TASK_ROWS, numeric_quantiles, quantiles
 
@@ -119,40 +119,33 @@ def grow_forest(
     return drawn.groupBy("_tree").applyInPandas(grow, NODES)
 
 
-def score_rows(df: DataFrame, features: Sequence[str], key: Sequence[str], nodes: DataFrame, psi: int) -> DataFrame:
-    """``(key, score)``; lower means more anomalous."""
+def forest_score(spark: SparkSession, nodes: DataFrame, psi: int, features: Sequence[Column]) -> Column:
+    """The score of a row as a column; lower means more anomalous. Only the features travel to Python."""
     table = nodes.toPandas().sort_values(["tree", "node"])  # bounded by trees * 2 * rows per tree
     forest = [
         tuple(t[c].to_numpy() for c in ("feature", "threshold", "lo", "hi", "path")) for _, t in table.groupby("tree")
     ]
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    shared = spark.sparkContext.broadcast(forest)
     norm = float(average_path(psi))
-    names, keys = list(features), list(key)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         trees = shared.value
         for pdf in batches:
-            x = pdf[names].to_numpy("float64")
-            rows = np.arange(len(x))
+            x = pdf.to_numpy("float64")
             total = np.zeros(len(x))
             for feature, threshold, lo, hi, path in trees:
                 at = np.zeros(len(x), dtype="int64")
-                while True:
-                    f = feature[at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    v = x[rows, np.where(inner, f, 0)]
-                    step = np.where(v <= threshold[at], lo[at], hi[at])
-                    at = np.where(inner, step, at)
+                moving = np.arange(len(x))
+                while len(moving):
+                    node = at[moving]
+                    inner = feature[node] >= 0
+                    moving, node = moving[inner], node[inner]
+                    left = x[moving, feature[node]] <= threshold[node]
+                    at[moving] = np.where(left, lo[node], hi[node])
                 total += path[at]
-            out = pdf[keys].copy()
-            out["score"] = -np.power(2.0, -total / len(trees) / norm) if norm > 0 else -1.0
-            yield out
+            yield pd.Series(-np.power(2.0, -total / len(trees) / norm) if norm > 0 else np.full(len(x), -1.0))
 
-    fields = [df.schema[k] for k in keys]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
-    return df.select(*[named(k) for k in keys], *[named(f) for f in names if f not in keys]).mapInPandas(score, schema)
+    return F.pandas_udf(score, "double")(F.struct(*[f.alias(f"f{i}") for i, f in enumerate(features)]))
 
 
 def isolation_forest(
@@ -173,26 +166,23 @@ def isolation_forest(
     holes = [c for c in used if counts[f"c{chosen.index(c)}"] < counts["_n"]]
     med = numeric_quantiles(df, holes, [0.5], one_task_rows=one_task_rows)
     # splits do not change under per-column scaling, so the features are used as they are
-    ready = df.select(*[named(k).alias(f"_key{i}") for i, k in enumerate(key)], *[
-        (F.coalesce(number(df, c), F.lit(med[c][0])) if c in holes else number(df, c)).alias(f"_f{i}")
-        for i, c in enumerate(used)
-    ])
+    cells = [F.coalesce(number(df, c), F.lit(med[c][0])) if c in holes else number(df, c) for c in used]
     ks, fs = [f"_key{i}" for i in range(len(key))], [f"_f{i}" for i in range(len(used))]
+    ready = df.select(*[named(k).alias(n) for k, n in zip(key, ks)], *[c.alias(n) for c, n in zip(cells, fs)])
     psi = min(ROWS_PER_TREE, counts["_n"])
     nodes = grow_forest(ready, fs, ks, counts["_n"], trees, ROWS_PER_TREE, seed)
-    scored = materialize(score_rows(ready, fs, ks, nodes, psi))
-    s = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
-    cut = quantiles(scored, {"score": F.col("score")}, [contamination], one_task_rows=one_task_rows)["score"][0]
+    # scored once and written: the passes below read the score column alone
+    scored = store(df.withColumn("score", forest_score(df.sparkSession, nodes, psi, cells)), "scored")
+    s = scored.agg(
+        F.min("score").alias("lo"), F.max("score").alias("hi"), F.approx_count_distinct("score").alias("d")
+    ).first()
+    sizes = {"score": (counts["_n"], s["d"])}
+    cut = quantiles(scored, {"score": F.col("score")}, [contamination], sizes, one_task_rows)["score"][0]
     flat = s["hi"] <= s["lo"]
     severity = F.lit(0.0) if flat else F.round(1 - (F.col("score") - F.lit(s["lo"])) / F.lit(s["hi"] - s["lo"]), 4)
-    marks = scored.select(
-        *ks, "score", severity.alias("severity"), (F.col("score") < F.lit(cut)).alias("is_anomaly"),
-    ).withColumn("status", F.when(F.col("is_anomaly"), "Anomaly").otherwise("Inlier"))
-    match = None
-    for k, sk in zip(key, ks):
-        one = named(k).eqNullSafe(F.col(sk))
-        match = one if match is None else match & one
-    return df.join(marks, match).drop(*ks)
+    return scored.withColumns({"severity": severity, "is_anomaly": F.col("score") < F.lit(cut)}).withColumn(
+        "status", F.when(F.col("is_anomaly"), "Anomaly").otherwise("Inlier")
+    )
 
 
 def anomaly_summary(marked: DataFrame, contamination: float = 0.05) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_null_token, is_padded, named, number, present, strip
+from ..functions.rounding import half_up
 from .ordering import numeric_quantiles
 
 
@@ -68,7 +69,7 @@ def iqr_fences(df: DataFrame, column: str) -> tuple[float, float]:
     q = numeric_quantiles(df, [column], [0.25, 0.75])[column]
     if q is None:
         return 0.0, 0.0
-    q1, q3 = round(q[0], 4), round(q[1], 4)
+    q1, q3 = half_up(q[0], 4), half_up(q[1], 4)
     return q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
 
 

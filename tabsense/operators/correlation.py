@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import named, number, numeric_columns
+from ..functions.rounding import half_up
 from ..functions.special import student_two_sided
+from ..storage import materialize
 from .basics import prune_all_null
-from .ordering import ONE_TASK_ROWS, average_ranks
+from .ordering import ONE_TASK_ROWS, ranks_by_key, value_counts
 
 PAIRS = (
     "var1 string, var2 string, n bigint, coefficient double, p_value double, is_significant boolean, "
@@ -47,7 +49,7 @@ def _symbol(p: float) -> str:
 def _pair_row(a: str, b: str, n: int, r: float | None, alpha: float) -> tuple:
     r = math.nan if r is None else max(-1.0, min(1.0, r)) if not math.isnan(r) else r
     r, p = (0.0, 1.0) if n < 4 else (r, _p_value(r, n))
-    shown = lambda x, k: None if math.isnan(x) else round(x, k)
+    shown = lambda x, k: None if math.isnan(x) else half_up(x, k)
     return a, b, n, shown(r, 4), shown(p, 6), bool(p < alpha), _strength(r), _symbol(p)
 
 
@@ -101,13 +103,14 @@ def spearman(
     results: dict[tuple[str, str], tuple] = {}
 
     def ranked(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+        # all columns are ranked in one go
+        ranks = ranks_by_key(value_counts(rows, {c: number(rows, c) for c in names}), ["column"], one_task_rows)
+        ranks = materialize(ranks.select("column", "value", "avg_rank"))
         out = rows.select(*[number(rows, c).alias(c) for c in names])
         for i, c in enumerate(names):
-            ranks = average_ranks(rows, number(rows, c), one_task_rows).select(
-                F.col("value").alias(f"_v{i}"), F.col("avg_rank").alias(f"_r{i}")
-            )
+            mine = ranks.where(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.col("avg_rank").alias(f"_r{i}"))
             # one row per distinct value: a hot value meets one partner, and AQE splits it
-            out = out.join(ranks, named(c) == F.col(f"_v{i}")).drop(f"_v{i}")
+            out = out.join(mine, named(c) == F.col(f"_v{i}")).drop(f"_v{i}", c)
         return out.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(names)])
 
     if shared:
@@ -125,6 +128,6 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     pairs = list(itertools.combinations(cols, 2))
     rows = [(c, c, 1.0) for c in cols]
     for (a, b), (_, r) in zip(pairs, _pearson(table, pairs)):
-        v = None if r is None or math.isnan(r) else round(r, 4)
+        v = None if r is None or math.isnan(r) else half_up(r, 4)
         rows += [(a, b, v), (b, a, v)]
     return df.sparkSession.createDataFrame(rows, "var1 string, var2 string, coefficient double")

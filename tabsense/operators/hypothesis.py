@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import named, number
+from ..functions.rounding import half_up
 from ..functions.special import chi2_sf, f_sf, normal_sf, student_two_sided
-from .ordering import ONE_TASK_ROWS, average_ranks, grouped_median, grouped_quantiles, long_form
+from ..storage import materialize
+from .ordering import ONE_TASK_ROWS, grouped_median, long_form, ranks_by_key
 
 TEST_ROW = (
     "test_name string, statistic double, p_value double, is_significant boolean, groups bigint, observations bigint"
@@ -36,11 +38,11 @@ def observations(df: DataFrame, group: str, metric: str, groups: Sequence[str] |
 
 
 def _p(x: float) -> float | None:
-    return None if x is None or math.isnan(x) else round(x, 6)
+    return None if x is None or math.isnan(x) else half_up(x, 6)
 
 
 def _stat(x: float) -> float | None:
-    return None if x is None or math.isnan(x) else round(x, 4)
+    return None if x is None or math.isnan(x) else half_up(x, 4)
 
 
 def cohort_summary(df: DataFrame, group: str, metric: str, **kw) -> DataFrame:
@@ -51,12 +53,23 @@ def cohort_summary(df: DataFrame, group: str, metric: str, **kw) -> DataFrame:
     return sizes.join(med, "g").select(F.col("g").alias("group"), "size", "mean", F.round("median", 4).alias("median"))
 
 
-def _pair_facts(obs: DataFrame, a: str, b: str, **kw) -> dict[str, dict]:
+def _counted(obs: DataFrame) -> DataFrame:
+    """``(g, value, c)``, written once: sizes, medians and ranks are all read off it."""
+    return materialize(obs.groupBy("g", F.col("x").alias("value")).agg(F.count(F.lit(1)).alias("c")))
+
+
+def _pair_facts(obs: DataFrame, a: str, b: str, counted: DataFrame | None = None, **kw) -> dict[str, dict]:
+    """Size, mean, variance and median of the two groups."""
     facts = obs.groupBy("g").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_samp("x").alias("v"))
-    rows = facts.join(F.broadcast(grouped_median(obs, ["g"], F.col("x"), "med", **kw)), "g").collect()
-    got = {r["g"]: r.asDict() for r in rows}
+    if counted is None:
+        med = grouped_median(obs, ["g"], F.col("x"), "med", **kw)
+    else:
+        med = grouped_median(counted, ["g"], F.col("value"), "med", weight="c", **kw)
+    got = {r["g"]: r.asDict() for r in facts.collect()}
     if any(got.get(k, {"n": 0})["n"] < 3 for k in (a, b)):
         raise ValueError("Both groups must contain at least 3 valid numeric values.")
+    for r in med.collect():
+        got[r["g"]]["med"] = r["med"]
     return got
 
 
@@ -88,7 +101,8 @@ def two_sample_test(
     obs = observations(df, group, metric, [a, b])
     if test is None:
         test = recommend_test(df, group, metric, [a, b], key).first()["test"]
-    got = _pair_facts(obs, a, b, one_task_rows=one_task_rows)
+    counted = _counted(obs) if test == "mann_whitney" else None
+    got = _pair_facts(obs, a, b, counted, one_task_rows=one_task_rows)
     n1, n2 = got[a]["n"], got[b]["n"]
     m1, m2, v1, v2 = got[a]["m"], got[b]["m"], got[a]["v"], got[b]["v"]
     if test in ("student", "welch"):
@@ -101,7 +115,7 @@ def two_sample_test(
         stat = (m1 - m2) / math.sqrt(se2) if se2 else math.nan
         p = student_two_sided(stat, dof) if se2 else math.nan
     elif test == "mann_whitney":
-        sums, ties = _rank_sums(obs, one_task_rows)
+        sums, ties = _rank_sums(counted, one_task_rows)
         stat = sums[a] - n1 * (n1 + 1) / 2
         u = max(stat, n1 * n2 - stat)
         n = n1 + n2
@@ -112,8 +126,8 @@ def two_sample_test(
     else:
         raise ValueError(f"Unsupported two-sample test type: {test}")
     row = (
-        test, _stat(stat), _p(p), bool(p < alpha), 2, n1 + n2, a, b, n1, n2, round(m1, 4), round(m2, 4),
-        round(got[a]["med"], 4), round(got[b]["med"], 4),
+        test, _stat(stat), _p(p), bool(p < alpha), 2, n1 + n2, a, b, n1, n2, half_up(m1, 4), half_up(m2, 4),
+        half_up(got[a]["med"], 4), half_up(got[b]["med"], 4),
     )
     return df.sparkSession.createDataFrame([row], TWO_ROW)
 
@@ -123,21 +137,21 @@ def _u_normal(u: float, n1: int, n2: int, n: int, ties: float) -> float:
     return min(1.0, 2 * normal_sf((u - n1 * n2 / 2 - 0.5) / math.sqrt(s2))) if s2 > 0 else math.nan
 
 
-def _ranked_groups(obs: DataFrame, one_task_rows: int) -> DataFrame:
-    """``(g, value, c, n, avg_rank)``: counts per group and value with the pooled rank."""
-    ranks = average_ranks(obs, F.col("x"), one_task_rows)
-    per = obs.groupBy("g", F.col("x").alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    return per.join(ranks, "value")
+def _rank_facts(counted: DataFrame, one_task_rows: int) -> DataFrame:
+    """``(g, n, r, t)`` per group: size, rank sum, and its part of the tie term sum(t^3 - t)."""
+    pooled = counted.groupBy("value").agg(F.sum("c").alias("n"))
+    ranks = ranks_by_key(pooled, (), one_task_rows)
+    size = F.col("n").cast("double")
+    return counted.join(ranks, "value").groupBy("g").agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("avg_rank")).alias("r"),
+        # a value tied n times adds n (n^2 - 1); its c rows of this group carry c/n of that
+        F.sum(F.col("c") * (size * size - 1)).alias("t"),
+    )
 
 
-def _rank_sums(obs: DataFrame, one_task_rows: int) -> tuple[dict[str, float], float]:
-    """Rank sum per group and the tie term sum(t^3 - t). The groups are the chosen few."""
-    ranked = _ranked_groups(obs, one_task_rows)
-    rows = ranked.groupBy("g").agg(
-        F.sum(F.col("c") * F.col("avg_rank")).alias("r"),
-        # every value carries its tie size n; c/n of it per group adds up to one
-        F.sum(F.col("c") * (F.col("n").cast("double") * F.col("n") - 1)).alias("t"),
-    ).collect()
+def _rank_sums(counted: DataFrame, one_task_rows: int) -> tuple[dict[str, float], float]:
+    """Rank sum per group and the tie term, for the chosen few groups."""
+    rows = _rank_facts(counted, one_task_rows).collect()
     return {r["g"]: r["r"] for r in rows}, float(sum(r["t"] for r in rows))
 
 
@@ -147,7 +161,7 @@ def multi_group_test(
 ) -> DataFrame:
     """``test``: anova, kruskal, or None (ANOVA when every group looks normal). All groups by default."""
     obs = observations(df, group, metric, groups)
-    facts = _group_moments(obs)
+    facts = materialize(_group_moments(obs))
     small = facts.where("n < 3").orderBy("g").limit(1).collect()
     if small:
         raise ValueError(f"Group '{small[0]['g']}' has fewer than 3 valid values.")
@@ -157,11 +171,7 @@ def multi_group_test(
     if test == "anova":
         stat, p, k, n = _anova(facts)
     elif test == "kruskal":
-        per = _ranked_groups(obs, one_task_rows).groupBy("g").agg(
-            F.sum("c").alias("n"), F.sum(F.col("c") * F.col("avg_rank")).alias("r"),
-            F.sum(F.col("c") * (F.col("n").cast("double") * F.col("n") - 1)).alias("t"),
-        )
-        s = per.agg(
+        s = _rank_facts(_counted(obs), one_task_rows).agg(
             F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"),
             F.sum("t").alias("t"),
         ).first()
@@ -181,13 +191,12 @@ def _group_moments(obs: DataFrame) -> DataFrame:
 
 
 def _anova(facts: DataFrame) -> tuple[float, float, int, int]:
-    """F from per-group moments; the second aggregate keeps many groups off the driver."""
-    # the pooled mean is one row; the exchange under both sides is shared
-    centre = facts.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("centre"))
-    s = facts.crossJoin(F.broadcast(centre)).agg(
+    """F from materialized per-group moments; aggregating them keeps many groups off the driver."""
+    centre = facts.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("centre")).first()["centre"]
+    s = facts.agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
         F.sum((F.col("n") - 1) * F.coalesce(F.col("v"), F.lit(0.0))).alias("within"),
-        F.sum(F.col("n") * F.pow(F.col("m") - F.col("centre"), 2)).alias("between"),
+        F.sum(F.col("n") * F.pow(F.col("m") - F.lit(centre), 2)).alias("between"),
     ).first()
     k, n, between = s["k"], s["n"], s["between"]
     if k < 2:
@@ -206,7 +215,7 @@ def levene(
     obs = observations(df, group, metric, groups)
     med = grouped_median(obs, ["g"], F.col("x"), "med", one_task_rows=one_task_rows)
     away = obs.join(med, "g").select("g", F.abs(F.col("x") - F.col("med")).alias("x"))
-    stat, p, k, n = _anova(_group_moments(away))
+    stat, p, k, n = _anova(materialize(_group_moments(away)))
     return df.sparkSession.createDataFrame([("levene", _stat(stat), _p(p), bool(p < alpha), k, n)], TEST_ROW)
 
 
@@ -293,7 +302,7 @@ def shapiro_by_group(
         normal = True if len(pdf) < 8 else p > 0.05
         return pd.DataFrame({
             "column": [pdf["column"].iloc[0]], "group": [pdf["_g"].iloc[0]], "tested": [len(pdf)],
-            "statistic": [round(w_stat, 4)], "p_value": [round(p, 6)], "is_normal": [bool(normal)],
+            "statistic": [half_up(w_stat, 4)], "p_value": [half_up(p, 6)], "is_normal": [bool(normal)],
         })
 
     return drawn.groupBy("column", "_g").applyInPandas(
@@ -380,7 +389,7 @@ def normality(df: DataFrame, columns: Sequence[str], switch: int = NORMALITY_SWI
             stat, p = (math.nan, math.nan) if constant else dagostino_k2(f["n"], f["s"], f["k"])
         rows.append((
             c, f["n"], _stat(stat), _p(p), bool(p > 0.05),
-            None if constant else round(f["s"], 2), None if constant else round(f["k"], 2),
+            None if constant else half_up(f["s"], 2), None if constant else half_up(f["k"], 2),
         ))
     return df.sparkSession.createDataFrame(
         rows, "column string, n bigint, statistic double, p_value double, is_normal boolean, skewness double, kurtosis double"

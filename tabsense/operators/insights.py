@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import named, number, numeric_columns, other_columns, present, spread_rows
-from .basics import duplicate_count, spread
+from ..storage import materialize
+from .basics import duplicate_count
 from .ordering import ONE_TASK_ROWS, long_form, running_totals
 
 # fixed values
@@ -59,12 +60,14 @@ def group_facts(df: DataFrame, categories: Sequence[str], metrics: Sequence[str]
 
 def running_share(facts: DataFrame, keys: Sequence[str], one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Groups by falling total with ``position`` and cumulative ``share`` within each key."""
-    counted = facts.withColumn("_one", F.lit(1).cast("bigint"))
+    # the sums are small next to the rows and are read three times below
+    counted = materialize(facts.withColumn("_one", F.lit(1).cast("bigint")))
     ranked = running_totals(
-        counted, [F.desc("total"), F.asc("group")], {"total": "_above", "_one": "_rank"}, keys, one_task_rows
+        counted, [F.desc("total"), F.asc("group")], {"total": "_above", "_one": "_rank"}, keys, one_task_rows, materialized=True
     )
-    whole = facts.groupBy(*keys).agg(F.sum("total").alias("grand_total"), F.count(F.lit(1)).alias("groups"))
-    joined = ranked.join(whole, list(keys)) if keys else ranked.crossJoin(F.broadcast(whole))
+    # one row per key, and the keys are pairs of columns
+    whole = counted.groupBy(*keys).agg(F.sum("total").alias("grand_total"), F.count(F.lit(1)).alias("groups"))
+    joined = ranked.join(F.broadcast(whole), list(keys)) if keys else ranked.crossJoin(F.broadcast(whole))
     return joined.drop("_one").withColumns({
         "position": F.col("_rank") + 1,
         "share": F.try_divide(F.col("_above") + F.col("total"), F.col("grand_total")),
@@ -88,7 +91,7 @@ def pareto_drivers(
         (F.count_if(F.col("share") <= threshold) + 1).alias("top_count"),
     )
     # at most three names per pair
-    heads = shares.join(pairs.select("category", "metric", "top_count"), ["category", "metric"])
+    heads = shares.join(F.broadcast(pairs.select("category", "metric", "top_count")), ["category", "metric"])
     head_facts = heads.groupBy("category", "metric").agg(
         F.max(F.when(F.col("position") == F.col("top_count"), F.col("share"))).alias("covered"),
         *[F.max(F.when((F.col("position") == k) & (F.col("top_count") >= k), F.col("group"))).alias(f"g{k}") for k in (1, 2, 3)],
@@ -115,23 +118,22 @@ def subgroup_ratio(df: DataFrame, category: str, metric: str) -> DataFrame:
 def subgroup_disparity(df: DataFrame, categories: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """One row per pair: the group with the highest mean and its ratio to the baseline."""
     facts = group_facts(df, categories, metrics)
-    whole = facts.groupBy("category", "metric").agg(
-        F.sum("seen").alias("rows"), F.sum("total").alias("t"), F.sum("n").alias("c")
-    ).withColumn("baseline", F.try_divide("t", "c"))
-    mean = F.col("total") / F.col("n")
+    mean = F.try_divide(F.col("total"), F.col("n"))
+    large = F.col("n") >= 5
     # highest mean first, then the smaller name: one struct per pair, no window
-    best = facts.where("n >= 5").groupBy("category", "metric").agg(
-        F.count(F.lit(1)).alias("eligible"),
-        F.min(F.struct((-mean).alias("k"), F.col("group").alias("g"))).alias("b"),
-        F.min(F.struct(mean.alias("k"), F.col("group").alias("g"))).alias("l"),
+    pairs = facts.groupBy("category", "metric").agg(
+        F.sum("seen").alias("rows"), F.try_divide(F.sum("total"), F.sum("n")).alias("baseline"),
+        F.count_if(large).alias("eligible"),
+        F.min(F.when(large, F.struct((-mean).alias("k"), F.col("group").alias("g")))).alias("b"),
+        F.min(F.when(large, F.struct(mean.alias("k"), F.col("group").alias("g")))).alias("l"),
     )
     # against a negative baseline the lowest mean has the highest ratio
     pick = F.when(F.col("baseline") < 0, F.col("l.g")).otherwise(F.col("b.g"))
     top = F.when(F.col("baseline") < 0, F.col("l.k")).otherwise(-F.col("b.k"))
     ratio = F.try_divide(top, F.col("baseline"))
     hit = (F.col("rows") >= 20) & (F.col("eligible") >= 2) & (ratio >= DISPARITY_RATIO)
-    return whole.join(best, ["category", "metric"], "left").select(
-        "category", "metric", "rows", F.coalesce("eligible", F.lit(0)).alias("eligible_groups"), pick.alias("group"),
+    return pairs.select(
+        "category", "metric", "rows", F.col("eligible").alias("eligible_groups"), pick.alias("group"),
         F.round(top, 2).alias("group_mean"), F.round("baseline", 2).alias("baseline"), F.round(ratio, 2).alias("ratio"),
         F.coalesce(hit, F.lit(False)).alias("is_disparity"),
         F.when(hit, F.when(ratio > 2.5, "High").otherwise("Medium")).alias("severity"),

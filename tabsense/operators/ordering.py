@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import named, number
@@ -20,8 +22,11 @@ from ..storage import materialize
 
 # Up to this many rows one task may order a frame; measured, never assumed.
 ONE_TASK_ROWS = 200_000
-# Rows drawn to bracket a quantile before the exact search inside the bracket.
+# Rows drawn to bracket the quantiles before the exact search inside the brackets.
 BRACKET_SAMPLE = 1_000_000
+GRID = 1000
+# Keys handled by brackets at once; their facts travel by broadcast.
+HOT_KEYS = 1000
 
 
 def long_form(df: DataFrame, cells: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
@@ -42,7 +47,7 @@ def value_counts(df: DataFrame, cells: dict[str, Column], keys: Sequence[str] =
 
 def running_totals(
     frame: DataFrame, order: Sequence[Column], weights: dict[str, str], keys: Sequence[str] = (),
-    one_task_rows: int = ONE_TASK_ROWS,
+    one_task_rows: int = ONE_TASK_ROWS, materialized: bool = False,
 ) -> DataFrame:
     """Add ``weights[w]`` = sum of ``w`` over all earlier rows of the same key (exclusive).
 
@@ -50,7 +55,7 @@ def running_totals(
     range partitioned on (keys, order) and written, which fixes the partition
     numbers; a key that spans partitions receives the totals of those before.
     """
-    frame = materialize(frame)
+    frame = frame if materialized else materialize(frame)
     here = [named(k) for k in keys]
     if frame.count() <= one_task_rows:
         w = Window.partitionBy(*(here or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -84,57 +89,107 @@ def running_totals(
 # --- quantiles ---------------------------------------------------------------
 
 
-def _positions(n: int, p: float) -> tuple[int, int, float]:
-    h = (n - 1) * p
-    low = math.floor(h)
-    return low, min(low + 1, n - 1), h - low
+def _array(probs: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(p)) for p in probs])
 
 
-def _select_large(df: DataFrame, c: Column, n: int, probs: Sequence[float], one_task_rows: int) -> list[float]:
-    """Exact quantiles of a column with too many distinct values for one task.
+def _small_keys(cells: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """For keys with few distinct values: one task holds the value counts of a key."""
+    counted = cells.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    return counted.groupBy(*keys).agg(F.percentile("value", _array(probs), F.col("n")).alias("q"))
 
-    A sample proposes a bracket around each quantile; one scan counts what lies
-    below and inside, and only the cells inside a bracket are put in order.
-    A bracket that misses its target is widened, so the answer stays exact.
+
+def _ordered_keys(cells: DataFrame, keys: Sequence[str], probs: Sequence[float], one_task_rows: int) -> DataFrame:
+    """For many large keys: all distinct values are put in order by range."""
+    counted = materialize(cells.groupBy(*keys, "value").agg(F.sum("n").alias("n")))
+    ranked = running_totals(counted, [F.col("value")], {"n": "before"}, keys, one_task_rows, materialized=True)
+    sizes = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
+    h = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
+    return _pick(ranked.join(sizes, list(keys)), keys, [F.floor(x) for x in h], [F.ceil(x) for x in h], [x - F.floor(x) for x in h])
+
+
+def _pick(ranked: DataFrame, keys: Sequence[str], low: Sequence[Column], high: Sequence[Column], part: Sequence[Column]) -> DataFrame:
+    """Interpolate between the values that cover the 0-based positions ``low`` and ``high``."""
+    covers = lambda k: F.max(F.when((F.col("before") <= k) & (F.col("before") + F.col("n") > k), F.col("value")))
+    aggs = [
+        e for i in range(len(low))
+        for e in (covers(low[i]).alias(f"_a{i}"), covers(high[i]).alias(f"_b{i}"), F.max(part[i]).alias(f"_f{i}"))
+    ]
+    between = [F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}") for i in range(len(low))]
+    return ranked.groupBy(*keys).agg(*aggs).select(*keys, F.array(*between).alias("q"))
+
+
+def _bracketed_keys(
+    cells: DataFrame, keys: Sequence[str], sizes: dict[tuple, int], probs: Sequence[float], one_task_rows: int
+) -> DataFrame:
+    """For a few keys with too many distinct values for one task.
+
+    A sample proposes a bracket around each quantile; one scan counts the rows
+    below and inside; only the values inside are shuffled and put in order. A
+    bracket that misses its target is opened fully, so the answer stays exact.
+    ``sizes``: rows per key, at most HOT_KEYS entries.
     """
-    cells = df.select(c.alias("value")).where(F.col("value").isNotNull())
-    sample = cells.sample(fraction=min(1.0, BRACKET_SAMPLE / n), seed=7)
-    drawn = max(1, min(n, BRACKET_SAMPLE))
-    margins = {p: 5.0 * math.sqrt(max(p * (1 - p), 1e-4) / drawn) + 5.0 / drawn for p in probs}
-    found: dict[float, tuple[float, float, int]] = {}
-    pending = list(probs)
-    while pending:
-        edges = [(max(0.0, p - margins[p]), min(1.0, p + margins[p])) for p in pending]
-        row = sample.agg(F.percentile("value", F.array(*[F.lit(e) for pair in edges for e in pair])).alias("q")).first()
-        q = row["q"] or [0.0] * (2 * len(edges))
-        brackets = []
-        for i, (lo, hi) in enumerate(edges):
-            brackets.append((q[2 * i] if lo > 0 else -math.inf, q[2 * i + 1] if hi < 1 else math.inf))
-        v = F.col("value")
-        counts = cells.agg(
-            *[F.count_if(v < lo).alias(f"b{i}") for i, (lo, _) in enumerate(brackets)],
-            *[F.count_if(v.between(lo, hi)).alias(f"i{i}") for i, (lo, hi) in enumerate(brackets)],
-        ).first()
-        still = []
-        for i, p in enumerate(pending):
-            low, high, _ = _positions(n, p)
-            below, inside = counts[f"b{i}"], counts[f"i{i}"]
-            if below <= low and high < below + inside:
-                found[p] = (*brackets[i], below)
-            else:
-                margins[p] = margins[p] * 4 if margins[p] < 1 else math.inf
-                still.append(p)
-        pending = still
-    answers = []
-    for p in probs:
-        lo, hi, below = found[p]
-        inside = cells.where(F.col("value").between(lo, hi)).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-        ranked = running_totals(inside, [F.col("value")], {"n": "before"}, one_task_rows=one_task_rows)
-        low, high, part = _positions(n, p)
-        at = lambda k: F.max(F.when((F.col("before") <= k - below) & (F.col("before") + F.col("n") > k - below), F.col("value")))
-        r = ranked.agg(at(low).alias("a"), at(high).alias("b")).first()
-        answers.append(r["a"] + (r["b"] - r["a"]) * part)
-    return answers
+    spark = cells.sparkSession
+    key_schema = [cells.schema[k] for k in keys]
+    only = spark.createDataFrame(list(sizes), T.StructType(key_schema))
+    cells = cells.join(F.broadcast(only), list(keys), "left_semi")
+
+    share = min(1.0, BRACKET_SAMPLE / sum(sizes.values()))
+    drawn = cells.sample(fraction=share, seed=7).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("m"), F.percentile("value", _array([i / GRID for i in range(GRID + 1)]), F.col("n")).alias("grid")
+    )
+    grids = {tuple(r[k] for k in keys): (r["m"], r["grid"]) for r in drawn.collect()}
+
+    def bracket(key: tuple, p: float) -> tuple[float, float]:
+        m, grid = grids.get(key, (0, None))
+        if m == 0:
+            return -math.inf, math.inf
+        margin = 5 * math.sqrt(p * (1 - p) / m) + 5 / m + 1 / GRID
+        lo, hi = math.floor((p - margin) * GRID), math.ceil((p + margin) * GRID)
+        return (grid[lo] if lo > 0 else -math.inf), (grid[hi] if hi < GRID else math.inf)
+
+    edges = {key: [bracket(key, p) for p in probs] for key in sizes}
+    doubles = T.ArrayType(T.DoubleType())
+    edge_schema = T.StructType([*key_schema, T.StructField("_lo", doubles), T.StructField("_hi", doubles)])
+    which = range(len(probs))
+    while True:
+        table = spark.createDataFrame([(*k, [e[0] for e in es], [e[1] for e in es]) for k, es in edges.items()], edge_schema)
+        near = cells.join(F.broadcast(table), list(keys))
+        inside = [F.col("value").between(F.col("_lo")[i], F.col("_hi")[i]) for i in which]
+        anywhere = reduce(lambda a, b: a | b, inside)
+        below = [F.col("value") < F.col("_lo")[i] for i in which]
+        total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+        counts = near.groupBy(*keys).agg(*[
+            e for i in which
+            for e in (total(below[i]).alias(f"b{i}"), total(inside[i]).alias(f"i{i}"), total(below[i] & anywhere).alias(f"c{i}"))
+        ]).collect()
+        missed, targets = False, []
+        for r in counts:
+            key = tuple(r[k] for k in keys)
+            low, high, part = [], [], []
+            for i, p in enumerate(probs):
+                h = (sizes[key] - 1) * p
+                first = math.floor(h)
+                last = min(first + 1, sizes[key] - 1)
+                if not (r[f"b{i}"] <= first and last < r[f"b{i}"] + r[f"i{i}"]):
+                    edges[key][i] = (-math.inf, math.inf)
+                    missed = True
+                # position among the candidates
+                shift = r[f"c{i}"] - r[f"b{i}"]
+                low.append(first + shift)
+                high.append(last + shift)
+                part.append(h - first)
+            targets.append((*key, low, high, part))
+        if not missed:
+            break
+    longs = T.ArrayType(T.LongType())
+    target_schema = T.StructType([
+        *key_schema, T.StructField("_low", longs), T.StructField("_high", longs), T.StructField("_part_of", doubles)
+    ])
+    candidates = near.where(anywhere).groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    ranked = running_totals(candidates, [F.col("value")], {"n": "before"}, keys, one_task_rows)
+    aimed = ranked.join(F.broadcast(spark.createDataFrame(targets, target_schema)), list(keys))
+    return _pick(aimed, keys, [F.col("_low")[i] for i in which], [F.col("_high")[i] for i in which], [F.col("_part_of")[i] for i in which])
 
 
 def quantiles(
@@ -155,53 +210,51 @@ def quantiles(
         row = df.agg(*aggs).first()
         sizes = {name: (row[f"n{i}"], row[f"d{i}"]) for i, name in enumerate(cells)}
     out: dict[str, list[float] | None] = {name: None for name in cells}
-    small = {k: c for k, c in cells.items() if sizes[k][1] <= one_task_rows}
-    if small:
-        # each task of the last step holds the distinct values of its columns
-        rows = (
-            value_counts(df, small).groupBy("column")
-            .agg(F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("n")).alias("q")).collect()
-        )
-        out.update({r["column"]: list(r["q"]) for r in rows})
-    for name, c in cells.items():
-        if name not in small and sizes[name][0] > 0:
-            out[name] = _select_large(df, c, sizes[name][0], probs, one_task_rows)
+    held = {k: c for k, c in cells.items() if sizes[k][0] > 0}
+    hot = {k: c for k, c in held.items() if sizes[k][1] > one_task_rows}
+    cold = {k: c for k, c in held.items() if k not in hot}
+    parts = []
+    if cold:
+        parts.append(_small_keys(_unit_cells(df, cold), ["column"], probs))
+    if hot:
+        rows = {(k,): sizes[k][0] for k in hot}
+        parts.append(_bracketed_keys(_unit_cells(df, hot), ["column"], rows, probs, one_task_rows))
+    for p in parts:
+        out.update({r["column"]: list(r["q"]) for r in p.collect()})
     return out
 
 
+def _unit_cells(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
+    return long_form(df, cells).where(F.col("value").isNotNull()).withColumn("n", F.lit(1).cast("bigint"))
+
+
 def numeric_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], **kw):
     return quantiles(df, {c: number(df, c) for c in columns}, probs, **kw)
 
 
 def grouped_quantiles(
-    df: DataFrame, keys: Sequence[str], value: Column, probs: Sequence[float], one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame, keys: Sequence[str], value: Column, probs: Sequence[float], one_task_rows: int = ONE_TASK_ROWS,
+    weight: str | None = None,
 ) -> DataFrame:
     """``(keys, q)``: exact quantiles of ``value`` within each group as an array.
 
-    Groups with few distinct values finish in one aggregate. If any group holds
-    more, all groups are ordered together by range, so a hot group is split.
+    Groups with few distinct values finish in one aggregate. Hot groups are
+    bracketed. Where there are many hot groups, everything is ordered by range.
+    Rows with a null key or value are left out. ``weight`` names a column of row
+    counts when the rows are counted already.
     """
-    cells = df.select(*[named(k) for k in keys], value.alias("value")).where(F.col("value").isNotNull())
-    counted = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    widest = (
-        cells.groupBy(*keys).agg(F.approx_count_distinct("value").alias("d")).agg(F.max("d").alias("d")).first()["d"]
-    )
-    if (widest or 0) <= one_task_rows:
-        ps = F.array(*[F.lit(float(p)) for p in probs])
-        return counted.groupBy(*keys).agg(F.percentile("value", ps, F.col("n")).alias("q"))
-    ranked = running_totals(counted, [F.col("value")], {"n": "before"}, keys, one_task_rows)
-    sizes = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
-    joined = ranked.join(sizes, list(keys))
-    picks = []
-    for i, p in enumerate(probs):
-        h = (F.col("total") - 1) * F.lit(float(p))
-        low, high = F.floor(h), F.ceil(h)
-        at = lambda k: F.max(F.when((F.col("before") <= k) & (F.col("before") + F.col("n") > k), F.col("value")))
-        picks += [at(low).alias(f"a{i}"), at(high).alias(f"b{i}"), F.max(h - low).alias(f"f{i}")]
-    return joined.groupBy(*keys).agg(*picks).select(
-        *keys,
-        F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"f{i}") for i in range(len(probs))]).alias("q"),
-    )
+    n = named(weight) if weight else F.lit(1).cast("bigint")
+    cells = df.select(*[named(k) for k in keys], value.cast("double").alias("value"), n.alias("n")).dropna()
+    facts = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.approx_count_distinct("value").alias("d"))
+    large = facts.where(F.col("d") > one_task_rows).limit(HOT_KEYS + 1).collect()
+    if not large:
+        return _small_keys(cells, keys, probs)
+    if len(large) > HOT_KEYS:
+        return _ordered_keys(cells, keys, probs, one_task_rows)
+    sizes = {tuple(r[k] for k in keys): r["n"] for r in large}
+    hot_keys = df.sparkSession.createDataFrame(list(sizes), T.StructType([cells.schema[k] for k in keys]))
+    cold = cells.join(F.broadcast(hot_keys), list(keys), "left_anti")
+    return _small_keys(cold, keys, probs).unionByName(_bracketed_keys(cells, keys, sizes, probs, one_task_rows))
 
 
 def grouped_median(df: DataFrame, keys: Sequence[str], value: Column, name: str = "median", **kw) -> DataFrame:
@@ -211,11 +264,16 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value: Column, name: str
 # --- ranks -------------------------------------------------------------------
 
 
+def ranks_by_key(counted: DataFrame, keys: Sequence[str] = (), one_task_rows: int = ONE_TASK_ROWS, materialized: bool = False) -> DataFrame:
+    """``(keys, value, n, avg_rank)`` from value counts: 1-based ranks, ties averaged."""
+    ranked = running_totals(counted, [F.col("value")], {"n": "before"}, keys, one_task_rows, materialized)
+    return ranked.select(*keys, "value", "n", (F.col("before") + (F.col("n") + 1) / 2).cast("double").alias("avg_rank"))
+
+
 def average_ranks(df: DataFrame, value: Column, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """``(value, n, avg_rank)``: 1-based rank of each distinct value, ties averaged."""
+    """``(value, n, avg_rank)`` of the distinct values of one column."""
     counted = (
         df.select(value.alias("value")).where(F.col("value").isNotNull())
         .groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = running_totals(counted, [F.col("value")], {"n": "before"}, one_task_rows=one_task_rows)
-    return ranked.select("value", "n", (F.col("before") + (F.col("n") + 1) / 2).cast("double").alias("avg_rank"))
+    return ranks_by_key(counted, (), one_task_rows)

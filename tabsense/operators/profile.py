@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import is_numeric, is_text, moment, named, number, numeric_columns, other_columns, present, spread_rows, wall_micros
+from ..functions.rounding import half_up
 from .basics import spread
 from .ordering import long_form, quantiles, value_counts
 
@@ -21,11 +21,6 @@ NUMERIC_PROFILE = (
 )
 
 
-def half_up(x: float, places: int) -> float:
-    """Rounding of the shortest decimal form, halves away from zero, as Spark's ``round`` does it."""
-    return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
-
-
 def safe(x: float | None, places: int = 4) -> float:
     return 0.0 if x is None or math.isnan(x) or math.isinf(x) else half_up(x, places)
 
