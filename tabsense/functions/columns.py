@@ -12,15 +12,19 @@ BOOLEAN_TOKENS = ["true", "false", "yes", "no", "y", "n", "0", "1"]
 DATE_WORDS = ["date", "time", "timestamp", "year", "month", "day"]
 ID_WORDS = ["id", "code", "uuid", "key", "sku"]
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-EDGE_SPACE = r"^\s+|\s+$"
-# (shape of the text, format); month-first is tried before day-first
+# the characters that count as whitespace at the edges of a text
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# (shape with 9 for every digit, format); month-first is tried before day-first
 DATE_FORMATS = [
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
-    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
-    (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
+    ("9999-99-99", "yyyy-MM-dd"),
+    ("9999/99/99", "yyyy/MM/dd"),
+    ("99/99/9999", "MM/dd/yyyy"),
+    ("99/99/9999", "dd/MM/yyyy"),
+    ("9999-99-99 99:99:99", "yyyy-MM-dd HH:mm:ss"),
+    ("9999-99-99T99:99:99", "yyyy-MM-dd'T'HH:mm:ss"),
 ]
 # ----------------------------------------------------------------------------
 
@@ -31,20 +35,21 @@ def named(name: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Remove every kind of edge whitespace (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    """Remove every kind of edge whitespace (plain ``trim`` removes blanks only)."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def is_null_token(c: Column) -> Column:
-    return F.lower(strip(c)).isin(NULL_TOKENS)
+    # the length test spares long texts the lower-casing
+    return (F.length(strip(c)) <= max(map(len, NULL_TOKENS))) & F.lower(strip(c)).isin(NULL_TOKENS)
 
 
 def is_boolean_token(c: Column) -> Column:
-    return F.lower(strip(c)).isin(BOOLEAN_TOKENS)
+    return (F.length(strip(c)) <= max(map(len, BOOLEAN_TOKENS))) & F.lower(strip(c)).isin(BOOLEAN_TOKENS)
 
 
 def is_padded(c: Column) -> Column:
-    return c.rlike(EDGE_SPACE)
+    return c != strip(c)
 
 
 def to_number(c: Column) -> Column:
@@ -56,9 +61,14 @@ def to_number(c: Column) -> Column:
 def to_moment(c: Column) -> Column:
     """Text to timestamp over the known formats; null where none fits."""
     trimmed = strip(c)
-    return F.coalesce(
-        *[F.when(trimmed.rlike(shape), F.try_to_timestamp(trimmed, F.lit(fmt))) for shape, fmt in DATE_FORMATS]
+    # the shape of the digits decides the format, so no parse is tried in vain
+    shape = F.translate(trimmed, "012345678", "999999999")
+    month_first = F.substring(trimmed, 1, 2) <= "12"
+    fits = lambda form, fmt: (shape == form) & (month_first if fmt.startswith("MM") else F.lit(True))
+    parsed = F.coalesce(
+        *[F.when(fits(form, fmt), F.try_to_timestamp(trimmed, F.lit(fmt))) for form, fmt in DATE_FORMATS]
     )
+    return F.when(F.length(trimmed).isin(sorted({len(form) for form, _ in DATE_FORMATS})), parsed)
 
 
 def storage(df: DataFrame, name: str) -> T.DataType:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import named, number, numeric_columns
-from ..storage import store
+from ..storage import spread_out, store
 from .basics import prune_all_null
 from .ordering import ONE_TASK_ROWS, numeric_quantiles, quantiles
 
@@ -172,12 +172,10 @@ def isolation_forest(
     psi = min(ROWS_PER_TREE, counts["_n"])
     nodes = grow_forest(ready, fs, ks, counts["_n"], trees, ROWS_PER_TREE, seed)
     # scored once and written: the passes below read the score column alone
-    scored = store(df.withColumn("score", forest_score(df.sparkSession, nodes, psi, cells)), "scored")
-    s = scored.agg(
-        F.min("score").alias("lo"), F.max("score").alias("hi"), F.approx_count_distinct("score").alias("d")
-    ).first()
-    sizes = {"score": (counts["_n"], s["d"])}
-    cut = quantiles(scored, {"score": F.col("score")}, [contamination], sizes, one_task_rows)["score"][0]
+    rows = spread_out(df, counts["_n"])
+    scored = store(rows.withColumn("score", forest_score(df.sparkSession, nodes, psi, cells)), "scored")
+    s = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    cut = quantiles(scored, {"score": F.col("score")}, [contamination], {"score": counts["_n"]}, one_task_rows)["score"][0]
     flat = s["hi"] <= s["lo"]
     severity = F.lit(0.0) if flat else F.round(1 - (F.col("score") - F.lit(s["lo"])) / F.lit(s["hi"] - s["lo"]), 4)
     return scored.withColumns({"severity": severity, "is_anomaly": F.col("score") < F.lit(cut)}).withColumn(

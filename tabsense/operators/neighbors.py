@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import named
+from ..storage import spread_out
 
 # training vectors up to this size are broadcast; measured before
 BROADCAST_BYTES = 128 << 20
@@ -72,7 +73,8 @@ def nearest_neighbors(
                 if len(part) and len(ids):
                     yield _collect_hits(part, x, ids, k, itself)
 
-        hits = q.mapInPandas(lookup, schema)
+        # every query is compared with all training rows: use all cores
+        hits = spread_out(q, q.count()).mapInPandas(lookup, schema)
     else:
         per_row = max(1, bytes_needed // max(1, size["n"]))
         rows_per_block = max(1, broadcast_bytes // per_row)

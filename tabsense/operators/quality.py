@@ -10,57 +10,61 @@ from pyspark.sql import types as T
 
 from ..functions.columns import (
     DATE_WORDS, ID_WORDS, any_word, is_boolean_token, is_moment, is_null_token, is_numeric, is_padded, is_text, named,
-    present, spread_rows, strip, to_moment, to_number,
+    present, spread_rows, storage, strip, to_moment, to_number,
 )
 from .basics import distinct_counts, duplicate_count
 from .ordering import long_form
 
 
+FACTS = [
+    "column", "rows", "non_null", "tokens", "padded", "boolean_like", "numeric_like", "date_like", "smallest", "shortest",
+    "largest",
+]
+# columns per scan: keeps one aggregate inside generated code
+COLUMNS_PER_SCAN = 4
+
+
+def _measures(df: DataFrame, name: str) -> list[Column]:
+    """The audit measures of one column, in the order of FACTS after ``rows``."""
+    none = F.lit(0).cast("bigint")
+    if is_text(df, name):
+        v = named(name)
+        filled = F.when(~is_null_token(v), v)
+        shortest = F.min(F.when(v.isNotNull(), F.struct(F.length(v).alias("k"), v.alias("v"))))["v"]
+        return [
+            F.count(v), F.count_if(is_null_token(v)), F.count_if(is_padded(v)), F.count_if(is_boolean_token(v)),
+            F.count(to_number(filled)), F.count(to_moment(v)), F.min(v), shortest, F.max(v),
+        ]
+    if is_numeric(df, name):
+        v = present(df, name).cast("double")
+        shortest = F.min(F.when(v.isNotNull(), F.struct(F.abs(v).alias("k"), v.alias("v"))))["v"]
+        return [
+            F.count(v), none, none, F.count_if(v.isin(0.0, 1.0)), F.count(v), none,
+            F.min(v).cast("string"), shortest.cast("string"), F.max(v).cast("string"),
+        ]
+    v = named(name).cast("string")
+    held = F.count(v)
+    return [
+        held, none, none, held if isinstance(storage(df, name), T.BooleanType) else none, none,
+        held if is_moment(df, name) else none, F.min(v), F.min(v), F.max(v),
+    ]
+
+
 def column_facts(df: DataFrame) -> DataFrame:
     """Everything the audit reads off the cells, one row per column, no shuffle of cells.
 
-    Text and other columns are scanned apart, each with its own measures, so
-    numbers are not parsed as text. The three samples are the smallest, the
-    shortest and the largest value.
+    The measures are global aggregates: text minima under a grouping would make
+    Spark sort all cells. The samples are the smallest, shortest and largest value.
     """
-    texts = [c for c in df.columns if is_text(df, c)]
-    nums = [c for c in df.columns if is_numeric(df, c)]
-    rest = [c for c in df.columns if c not in texts and c not in nums]
-    v = F.col("value")
-    size = F.count(F.lit(1)).alias("rows")
-    held = F.count("value").alias("non_null")
-    none = F.lit(0).cast("bigint")
     parts = []
-    if texts:
-        filled = F.when(~is_null_token(v), v)
-        parts.append(long_form(df, {c: named(c) for c in texts}).groupBy("column").agg(
-            size, held, F.count_if(is_null_token(v)).alias("tokens"), F.count_if(is_padded(v)).alias("padded"),
-            F.count_if(is_boolean_token(v)).alias("boolean_like"), F.count(to_number(filled)).alias("numeric_like"),
-            F.count(to_moment(v)).alias("date_like"), F.min(v).alias("smallest"),
-            F.min(F.when(v.isNotNull(), F.struct(F.length(v).alias("k"), v.alias("v")))).alias("s"), F.max(v).alias("largest"),
-        ).withColumn("shortest", F.col("s.v")).drop("s"))
-    if nums:
-        flag = F.count_if(v.isin(0.0, 1.0))
-        parts.append(long_form(df, {c: present(df, c).cast("double") for c in nums}).groupBy("column").agg(
-            size, held, none.alias("tokens"), none.alias("padded"), flag.alias("boolean_like"),
-            F.count("value").alias("numeric_like"), none.alias("date_like"),
-            F.min(v).cast("string").alias("smallest"),
-            F.min(F.when(v.isNotNull(), F.struct(F.abs(v).alias("k"), v.alias("v"))))["v"].cast("string").alias("shortest"),
-            F.max(v).cast("string").alias("largest"),
-        ))
-    if rest:
-        bools = [c for c in rest if isinstance(df.schema[c].dataType, T.BooleanType)]
-        dates = [c for c in rest if is_moment(df, c)]
-        is_bool, is_date = F.col("column").isin(bools), F.col("column").isin(dates)
-        parts.append(long_form(df, {c: named(c).cast("string") for c in rest}).groupBy("column").agg(
-            size, held, none.alias("tokens"), none.alias("padded"),
-            F.count_if(v.isNotNull() & is_bool).alias("boolean_like"), none.alias("numeric_like"),
-            F.count_if(v.isNotNull() & is_date).alias("date_like"),
-            F.min(v).alias("smallest"), F.min(v).alias("shortest"), F.max(v).alias("largest"),
-        ))
-    order = ["column", "rows", "non_null", "tokens", "padded", "boolean_like", "numeric_like", "date_like",
-             "smallest", "shortest", "largest"]
-    return reduce(DataFrame.unionByName, [p.select(*order) for p in parts])
+    for start in range(0, len(df.columns), COLUMNS_PER_SCAN):
+        part = df.columns[start : start + COLUMNS_PER_SCAN]
+        aggs = [m.alias(f"m{i}_{j}") for i, c in enumerate(part) for j, m in enumerate(_measures(df, c))]
+        wide = df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
+        parts.append(wide.select(spread_rows(FACTS, [
+            [F.lit(c), F.col("rows"), *[F.col(f"m{i}_{j}") for j in range(len(FACTS) - 2)]] for i, c in enumerate(part)
+        ])))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _type_rule(df: DataFrame) -> Column:

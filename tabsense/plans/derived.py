@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import DATE_WORDS, ID_WORDS, NULL_TOKENS, BOOLEAN_TOKENS, NUMBER_PATTERN, any_word
+from ..functions.columns import BOOLEAN_TOKENS, DATE_WORDS, ID_WORDS, NULL_TOKENS, NUMBER_PATTERN, WHITESPACE, any_word
 from ..storage import load
 
 
@@ -87,7 +87,7 @@ def _list(values) -> str:
 
 
 def sql_strip(c: str) -> str:
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({c}, '{WHITESPACE}')"
 
 
 def sql_token(c: str) -> str:
@@ -113,7 +113,7 @@ def facts_sql(table: str, kinds: dict[str, str]) -> str:
             filled = f"CASE WHEN NOT {sql_token(c)} THEN {c} END"
             body = (
                 f"count(*) FILTER ({sql_token(c)}) AS tokens, "
-                f"count(*) FILTER (regexp_matches({c}, '^\\s+|\\s+$')) AS padded, "
+                f"count(*) FILTER ({c} <> {sql_strip(c)}) AS padded, "
                 f"count(*) FILTER (lower({sql_strip(c)}) IN ({_list(BOOLEAN_TOKENS)})) AS boolean_like, "
                 f"count({sql_number(f'({filled})')}) AS numeric_like, count({sql_moment(c)}) AS date_like, "
                 f"min({c}) AS smallest, arg_min({c}, {{'a': length({c}), 'b': {c}}}) AS shortest, max({c}) AS largest"

@@ -41,5 +41,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+# a table of up to this many rows may come as a single split
+SPREAD_ROWS = 5_000_000
+
+
+def spread_out(df: DataFrame, rows: int) -> DataFrame:
+    """Give a small table to all cores before Python works on it; leave a large one as it lies."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if rows <= SPREAD_ROWS else df
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
