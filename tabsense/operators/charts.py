@@ -70,9 +70,9 @@ def bar_totals(df: DataFrame, x: str, y: str, colour: str | None = None, exact:
     return df.groupBy(*keys).agg(_total(df, y, exact).alias("total"))
 
 
-def line_series(df: DataFrame, x: Column, measures: Sequence[str], exact: bool = False) -> DataFrame:
+def line_series(df: DataFrame, x: Column, measures: Sequence[str], exact: bool = False, name: str = "x") -> DataFrame:
     """One row per x with the sum of every measure, in x order."""
-    return df.groupBy(x.alias("x")).agg(*[_total(df, m, exact).alias(m) for m in measures]).orderBy("x")
+    return df.groupBy(x.alias(name)).agg(*[_total(df, m, exact).alias(m) for m in measures]).orderBy(named(name))
 
 
 def area_series(df: DataFrame, x: Column, y: str, group: str, exact: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import named, number, numeric_columns
@@ -24,6 +24,12 @@ PAIRS = (
 PAIRS_PER_SCAN = 45
 
 
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson r over the complete pairs; null when a side is constant, where ``corr`` would raise."""
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def _p_value(r: float, n: int) -> float:
     if math.isnan(r):
         return math.nan
@@ -60,7 +66,7 @@ def _pearson(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[tuple[int,
         aggs = []
         for i, (a, b) in enumerate(part):
             x, y = number(df, a), number(df, b)
-            aggs += [F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}"), F.corr(x, y).alias(f"r{i}")]
+            aggs += [F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}"), safe_corr(x, y).alias(f"r{i}")]
         row = df.agg(*aggs).first()
         out += [(row[f"n{i}"], row[f"r{i}"]) for i in range(len(part))]
     return out

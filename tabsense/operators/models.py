@@ -374,6 +374,8 @@ def run_tournament(
 
     with ThreadPoolExecutor(max_workers=len(chosen)) as pool:
         results = list(pool.map(inheritable_thread_target(df.sparkSession)(enter), chosen.items()))
+    # a candidate that failed beside the others gets one more try on its own
+    results = [enter((r["model"], chosen[r["model"]])) if "error" in r else r for r in results]
     test.unpersist()
     main = "f1" if task == CLASSIFICATION else "r2"
     ok = [r for r in results if r.get(main) is not None]

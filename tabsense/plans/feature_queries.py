@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, charts, features
+from ..operators import anomaly, charts, correlation, features
 from ..storage import load
 from .derived import MESSY_SQL, messy_orders
 from .registry import query, union_all
@@ -259,7 +259,7 @@ def revenue_quantity_corr(spark, folder):
     """What is the correlation between revenue and quantity?"""
     amount = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return load(spark, folder, "lineitem").agg(
-        F.round(F.corr(amount, "l_quantity"), 4).alias("correlation"), F.count(F.lit(1)).alias("n")
+        F.round(correlation.safe_corr(amount, F.col("l_quantity")), 4).alias("correlation"), F.count(F.lit(1)).alias("n")
     )
 
 
