@@ -116,10 +116,19 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approxi
     return spread(df.agg(*[F.count_distinct(c).alias(n) for n, c in cells.items()]), chosen, "distinct")
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each identical set. Copies collapse before the shuffle."""
+def duplicate_facts(df: DataFrame) -> DataFrame:
+    """``(duplicates, rows)``: rows beyond the first of each identical set, and all rows.
+
+    Copies collapse before the shuffle, so a row repeated many times is no hot key.
+    """
     sets = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return sets.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
+    return sets.agg(
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")
+    )
+
+
+def duplicate_count(df: DataFrame) -> DataFrame:
+    return duplicate_facts(df).select("duplicates")
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:

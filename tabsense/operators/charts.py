@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import named, number
+from ..storage import lookup_side
 from .ordering import ONE_TASK_ROWS, grouped_quantiles, running_totals
 
 
@@ -40,7 +41,7 @@ def box_stats(df: DataFrame, group: str, column: str, one_task_rows: int = ONE_T
     )
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("x").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
-    return rows.join(q, "group").groupBy("group").agg(
+    return rows.join(lookup_side(q), "group").groupBy("group").agg(
         F.count("x").alias("count"), F.round(F.max("q1"), 4).alias("q1"), F.round(F.max("median"), 4).alias("median"),
         F.round(F.max("q3"), 4).alias("q3"), F.round(F.min(F.when(inside, F.col("x"))), 4).alias("whisker_low"),
         F.round(F.max(F.when(inside, F.col("x"))), 4).alias("whisker_high"), F.count_if(~inside).alias("outliers"),
@@ -89,15 +90,15 @@ def scatter_points(df: DataFrame, x: str, y: str, size: str | None = None, colou
     return points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
-def scatter_density(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
-    """Points per cell of a ``bins`` x ``bins`` grid: a scatter of any number of rows."""
+def scatter_density(df: DataFrame, x: str, y: str, bins: int = 20, exact: bool = False) -> DataFrame:
+    """Points and coordinate sums per cell of a ``bins`` x ``bins`` grid: a scatter of any number of rows."""
     cx, cy = number(df, x), number(df, y)
     rows = df.where(cx.isNotNull() & cy.isNotNull())
     r = rows.agg(F.min(cx).alias("x0"), F.max(cx).alias("x1"), F.min(cy).alias("y0"), F.max(cy).alias("y1")).first()
     lo = {k: r[k] if r[k] is not None else 0.0 for k in ("x0", "x1", "y0", "y1")}
     return rows.groupBy(
         _bucket(cx, lo["x0"], lo["x1"], bins).alias("x_bin"), _bucket(cy, lo["y0"], lo["y1"], bins).alias("y_bin")
-    ).agg(F.count(F.lit(1)).alias("count"), F.round(F.avg(cx), 4).alias("x_mean"), F.round(F.avg(cy), 4).alias("y_mean"))
+    ).agg(F.count(F.lit(1)).alias("count"), _total(df, x, exact).alias("x_sum"), _total(df, y, exact).alias("y_sum"))
 
 
 def pivot_heatmap(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import named, number, numeric_columns
 from ..functions.rounding import half_up
 from ..functions.special import student_two_sided
-from ..storage import materialize
+from ..storage import BROADCAST_ROWS, materialize
 from .basics import prune_all_null
 from .ordering import ONE_TASK_ROWS, ranks_by_key, value_counts
 
@@ -112,10 +112,12 @@ def spearman(
         # all columns are ranked in one go
         ranks = ranks_by_key(value_counts(rows, {c: number(rows, c) for c in names}), ["column"], one_task_rows)
         ranks = materialize(ranks.select("column", "value", "avg_rank"))
+        sizes = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}
         out = rows.select(*[number(rows, c).alias(c) for c in names])
         for i, c in enumerate(names):
             mine = ranks.where(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.col("avg_rank").alias(f"_r{i}"))
-            # one row per distinct value: a hot value meets one partner, and AQE splits it
+            # one row per distinct value; too many of them for a broadcast are joined by a shuffle
+            mine = F.broadcast(mine) if sizes.get(c, 0) <= BROADCAST_ROWS else mine
             out = out.join(mine, named(c) == F.col(f"_v{i}")).drop(f"_v{i}", c)
         return out.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(names)])
 

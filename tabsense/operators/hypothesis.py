@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import named, number
 from ..functions.rounding import half_up
 from ..functions.special import chi2_sf, f_sf, normal_sf, student_two_sided
-from ..storage import materialize
+from ..storage import lookup_side, materialize
 from .ordering import ONE_TASK_ROWS, grouped_median, long_form, ranks_by_key
 
 TEST_ROW = (
@@ -214,7 +214,7 @@ def levene(
     """Equality of spread: ANOVA on the distance of each value from its group median."""
     obs = observations(df, group, metric, groups)
     med = grouped_median(obs, ["g"], F.col("x"), "med", one_task_rows=one_task_rows)
-    away = obs.join(med, "g").select("g", F.abs(F.col("x") - F.col("med")).alias("x"))
+    away = obs.join(lookup_side(med), "g").select("g", F.abs(F.col("x") - F.col("med")).alias("x"))
     stat, p, k, n = _anova(materialize(_group_moments(away)))
     return df.sparkSession.createDataFrame([("levene", _stat(stat), _p(p), bool(p < alpha), k, n)], TEST_ROW)
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import named, number, numeric_columns, other_columns, present, spread_rows
 from ..storage import materialize
-from .basics import duplicate_count
+from .basics import duplicate_facts
 from .ordering import ONE_TASK_ROWS, long_form, running_totals
 
 # fixed values
@@ -177,8 +177,7 @@ def missing_risk(df: DataFrame) -> DataFrame:
 
 
 def duplicate_risk(df: DataFrame) -> DataFrame:
-    s = duplicate_count(df).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("rows")))).where("duplicates > 0")
-    s = s.withColumn("pct", F.round(F.col("duplicates") / F.col("rows") * 100, 1))
+    s = duplicate_facts(df).where("duplicates > 0").withColumn("pct", F.round(F.col("duplicates") / F.col("rows") * 100, 1))
     return s.select(*_insight(
         F.lit(1), F.lit("risk_duplicates"),
         F.concat(F.lit("Duplicate rows: "), _text(F.col("duplicates")), F.lit(" ("), _text(F.col("pct")), F.lit("%)")),

@@ -5,14 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import is_numeric, is_text, moment, named, number, numeric_columns, other_columns, present, spread_rows, wall_micros
 from ..functions.rounding import half_up
-from .basics import spread
+
 from .ordering import long_form, quantiles, value_counts
 
 NUMERIC_PROFILE = (
@@ -99,56 +99,55 @@ def categorical_profile(df: DataFrame, columns: Sequence[str], top_n: int = 10)
 DAY_MICROS = 86_400_000_000
 
 
-def daily_gaps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, gap, n)``: whole days between consecutive timestamps.
+def date_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, values, null_count, lo, hi, median_gap_days)`` from one scan; times in microseconds.
 
     Timestamps of one calendar day lie under a day apart, so they only add gaps
     of zero; across days only the last of one and the first of the next matter.
     The window therefore runs over days, of which a calendar has a fixed number.
+    Cells without a date make up one more row per column.
     """
     cells = {c: wall_micros(moment(df, c)) for c in columns}
     days = (
-        long_form(df, cells).where(F.col("value").isNotNull())
-        .groupBy("column", F.floor(F.col("value") / DAY_MICROS).alias("day"))
+        long_form(df, cells).groupBy("column", F.floor(F.col("value") / DAY_MICROS).alias("day"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first"), F.max("value").alias("last"))
     )
-    w = Window.partitionBy("column").orderBy("day")
-    gap = F.floor((F.col("first") - F.lag("last").over(w)) / DAY_MICROS)
-    steps = days.withColumn("gap", gap)
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    return steps.select(
-        "column", spread_rows(["gap", "n"], [[F.col("gap"), one], [zero, F.col("n") - 1]])
-    ).where(F.col("gap").isNotNull() & (F.col("n") > 0))
+    w = Window.partitionBy("column").orderBy(F.asc_nulls_first("day"))
+    dated = F.col("day").isNotNull()
+    steps = days.withColumn("gap", F.floor((F.col("first") - F.lag("last").over(w)) / DAY_MICROS))
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    # one row for the gap to the day before, one for the gaps within the day
+    both = steps.select("column", "first", "last", spread_rows(["gap", "weight", "values", "nulls"], [
+        [F.col("gap"), F.lit(1).cast("bigint"), F.when(dated, F.col("n")), F.when(~dated, F.col("n"))],
+        [F.when(dated, zero), F.col("n") - 1, none, none],
+    ]))
+    return both.groupBy("column").agg(
+        F.coalesce(F.sum("values"), F.lit(0)).alias("values"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("null_count"),
+        F.min("first").alias("lo"), F.max("last").alias("hi"), F.percentile("gap", 0.5, F.col("weight")).alias("median_gap_days"),
+    )
 
 
-def cadence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, values, median_gap_days, cadence)``."""
-    gaps = daily_gaps(df, columns).groupBy("column", "gap").agg(F.sum("n").alias("n"))
-    med = gaps.groupBy("column").agg(F.percentile("gap", 0.5, F.col("n")).alias("median_gap_days"))
-    sizes = spread(df.agg(*[F.count(moment(df, c)).alias(c) for c in columns]), columns, "values")
+def _cadence_label() -> Column:
     m = F.col("median_gap_days")
-    label = (
+    return (
         F.when(F.col("values") < 3, "irregular").when(m <= 1, "daily").when(m <= 8, "weekly")
         .when(m <= 35, "monthly").when(m <= 100, "quarterly").otherwise("yearly")
     )
-    return sizes.join(F.broadcast(med), "column", "left").select(
-        "column", "values", "median_gap_days", label.alias("cadence")
-    )
+
+
+def cadence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, values, median_gap_days, cadence)``."""
+    return date_facts(df, columns).select("column", "values", "median_gap_days", _cadence_label().alias("cadence"))
 
 
 def datetime_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Range, cadence and the cells that are null or cannot be read, per date column."""
-    cells = {c: moment(df, c) for c in columns}
-    facts = long_form(df, cells).groupBy("column").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_if(F.col("value").isNull()).alias("null_count")
-    )
-    days = F.floor((wall_micros(F.col("hi")) - wall_micros(F.col("lo"))) / DAY_MICROS)
-    return facts.join(F.broadcast(cadence(df, columns)), "column").select(
-        "column",
-        F.coalesce(F.date_format("lo", "yyyy-MM-dd"), F.lit("N/A")).alias("min_date"),
-        F.coalesce(F.date_format("hi", "yyyy-MM-dd"), F.lit("N/A")).alias("max_date"),
-        F.coalesce(days, F.lit(0)).cast("bigint").alias("date_range_days"),
-        F.col("cadence").alias("detected_frequency"), "null_count",
+    day = lambda c: F.date_format(F.date_from_unix_date(F.floor(F.col(c) / DAY_MICROS).cast("int")), "yyyy-MM-dd")
+    span = F.floor((F.col("hi") - F.col("lo")) / DAY_MICROS)
+    return date_facts(df, columns).select(
+        "column", F.coalesce(day("lo"), F.lit("N/A")).alias("min_date"), F.coalesce(day("hi"), F.lit("N/A")).alias("max_date"),
+        F.coalesce(span, F.lit(0)).cast("bigint").alias("date_range_days"), _cadence_label().alias("detected_frequency"),
+        "null_count",
     )
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, present, spread_rows
-from .basics import distinct_counts, duplicate_count, null_counts
+from ..functions.columns import named, numeric_columns, present, spread_rows
+from .basics import distinct_counts, duplicate_count
 from .quality import table_health
 
 
@@ -31,16 +31,18 @@ def kpi_scorecard(df: DataFrame) -> DataFrame:
 def column_summary(df: DataFrame, first: int = 15) -> DataFrame:
     """Storage type, non-null and distinct values, null share of the first columns of the schema."""
     cols = df.columns[:first]
-    table = df.select(*cols)
+    table = df.select(*[named(c) for c in cols])
     info = df.sparkSession.createDataFrame(
         [(i, c, df.schema[c].dataType.simpleString()) for i, c in enumerate(cols)], "position int, column string, dtype string"
     )
-    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
-    small = null_counts(table).join(distinct_counts(table), "column").crossJoin(rows)  # one row per column
+    # one row per column from here on
+    held = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(present(df, c)).alias(c) for c in cols]).unpivot(
+        ["_rows"], [named(c) for c in cols], "column", "non_null"
+    )
+    small = held.join(F.broadcast(distinct_counts(table)), "column")
     return info.join(F.broadcast(small), "column").select(
-        "position", "column", "dtype", (F.col("_rows") - F.col("nulls")).alias("non_null"),
-        F.col("distinct").alias("unique"),
-        F.round(F.coalesce(F.try_divide(F.col("nulls"), F.col("_rows")), F.lit(0.0)) * 100, 1).alias("null_pct"),
+        "position", "column", "dtype", "non_null", F.col("distinct").alias("unique"),
+        F.round(F.coalesce(F.try_divide(F.col("_rows") - F.col("non_null"), F.col("_rows")), F.lit(0.0)) * 100, 1).alias("null_pct"),
     )
 
 

@@ -180,14 +180,14 @@ def scatter_points(spark, folder):
     return charts.scatter_points(load(spark, folder, "lineitem"), "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
 
 
-@query("scatter_density", sql="""
+@query("scatter_density", sql=f"""
 WITH s AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem)
 SELECT CAST(least(floor((l_quantity - x0) / ((x1 - x0) / 20)), 19) AS BIGINT) AS x_bin,
   CAST(least(floor((l_extendedprice - y0) / ((y1 - y0) / 20)), 19) AS BIGINT) AS y_bin,
-  count(*) AS "count", round(avg(l_quantity), 4) AS x_mean, round(avg(l_extendedprice), 4) AS y_mean
+  count(*) AS "count", {MONEY.format('l_quantity')} AS x_sum, {MONEY.format('l_extendedprice')} AS y_sum
 FROM lineitem, s GROUP BY 1, 2""")
 def scatter_density(spark, folder):
-    return charts.scatter_density(load(spark, folder, "lineitem"), "l_quantity", "l_extendedprice")
+    return charts.scatter_density(load(spark, folder, "lineitem"), "l_quantity", "l_extendedprice", exact=True)
 
 
 @query("pivot_heatmap", sql=f"""

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +42,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+# a lookup side of up to this many short rows is sent to every executor
+BROADCAST_ROWS = 1_000_000
+
+
+def lookup_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The small side of a join, computed once and counted: broadcast if it fits, else left to a shuffle join.
+
+    A broadcast keeps the large side where it is, so a hot key costs nothing;
+    beyond the limit AQE splits the skewed partitions.
+    """
+    table = materialize(df)
+    return F.broadcast(table) if table.count() <= limit else table
+
+
 # a table of up to this many rows may come as a single split
 SPREAD_ROWS = 5_000_000
 

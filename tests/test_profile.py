@@ -4,7 +4,6 @@ import datetime as dt
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tabsense.operators import profile
 
@@ -78,10 +77,12 @@ def test_cadence(spark, dates, label):
 
 
 def test_gaps_are_whole_days_not_midnights(spark):
-    times = [dt.datetime(2024, 1, 1, 23), dt.datetime(2024, 1, 2, 1), dt.datetime(2024, 1, 4, 2), dt.datetime(2024, 1, 4, 5)]
-    df = spark.createDataFrame([(t,) for t in times], "t timestamp")
-    gaps = {(r["gap"], r["n"]) for r in profile.daily_gaps(df, ["t"]).groupBy("gap").agg(F.sum("n").alias("n")).collect()}
-    assert gaps == {(0, 2), (2, 1)}
+    # gaps: 2 hours over midnight, 49 hours, 3 hours, 25 hours
+    times = [dt.datetime(2024, 1, 1, 23), dt.datetime(2024, 1, 2, 1), dt.datetime(2024, 1, 4, 2), dt.datetime(2024, 1, 4, 5),
+             dt.datetime(2024, 1, 5, 6)]
+    df = spark.createDataFrame([(t,) for t in times] + [(None,)], "t timestamp")
+    r = profile.date_facts(df, ["t"]).first()
+    assert (r["values"], r["null_count"], r["median_gap_days"]) == (5, 1, 0.5)
 
 
 def test_unreadable_dates(spark):
