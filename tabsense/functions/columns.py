@@ -127,12 +127,6 @@ def wall_micros(c: Column) -> Column:
     )
 
 
-def finite_or_zero(c: Column, places: int = 4) -> Column:
-    """Rounded; null, NaN and infinity become 0.0."""
-    ok = c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
-    return F.when(ok, F.round(c, places)).otherwise(F.lit(0.0))
-
-
 def spread_rows(names: list[str], rows: list[list[Column]]) -> Column:
     """One output row per inner list: ``select(..., spread_rows(...))``."""
     return F.inline(F.array(*[F.struct(*[c.alias(n) for n, c in zip(names, row)]) for row in rows]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +116,26 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approxi
     return spread(df.agg(*[F.count_distinct(c).alias(n) for n, c in cells.items()]), chosen, "distinct")
 
 
+def distinct_where_unclear(
+    df: DataFrame, columns: Sequence[str], clear: Callable[[int, int], bool]
+) -> DataFrame:
+    """``(column, distinct)`` for rules that compare it with a bound.
+
+    An estimate (one scan, no shuffle of values, about 1 % off) is kept where
+    ``clear(estimate, rows)`` says that no rule can turn on its error; the other
+    columns are counted exactly.
+    """
+    row = df.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.approx_count_distinct(present(df, c), 0.01).alias(f"d{i}") for i, c in enumerate(columns)],
+    ).first()
+    kept = [(c, row[f"d{i}"]) for i, c in enumerate(columns) if clear(row[f"d{i}"], row["_rows"])]
+    done = {c for c, _ in kept}
+    exact = [c for c in columns if c not in done]
+    estimates = df.sparkSession.createDataFrame(kept, "column string, distinct bigint")
+    return estimates.unionByName(distinct_counts(df, exact)) if exact else estimates
+
+
 def duplicate_facts(df: DataFrame) -> DataFrame:
     """``(duplicates, rows)``: rows beyond the first of each identical set, and all rows.
 

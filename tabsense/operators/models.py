@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from ..functions.columns import is_numeric, is_text, named, number, present
 from ..storage import shared_dir
-from .basics import distinct_counts
-from .neighbors import knn_classify, knn_regress, nearest_neighbors
+from .basics import distinct_where_unclear
+from .neighbors import knn_regress, nearest_neighbors
 from .ordering import numeric_quantiles, value_counts
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
@@ -46,7 +46,9 @@ def task_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     textual = F.col("column").isin(
         [c for c in chosen if is_text(df, c) or isinstance(df.schema[c].dataType, T.BooleanType)]
     )
-    both = rows.join(F.broadcast(distinct_counts(df, chosen)), "column")
+    # the rules look at ten values at most: a clear estimate above that is enough
+    counts = distinct_where_unclear(df, chosen, lambda estimate, n: estimate > 50)
+    both = rows.join(F.broadcast(counts), "column")
     return both.select("column", F.when(F.col("n") > 0, _task_rule(textual, F.col("distinct"), F.col("n"))).alias("task"))
 
 
@@ -68,7 +70,7 @@ def feature_roles(df: DataFrame, target: str, max_categories: int = MAX_CATEGORI
     known = spark.createDataFrame([(c, "numeric") for c in numbers], "column string, role string")
     if not others:
         return known
-    counts = distinct_counts(df.select(*[named(c) for c in others]))
+    counts = distinct_where_unclear(df, others, lambda estimate, n: estimate > 3 * max_categories + 20)
     role = F.when((F.col("distinct") > 1) & (F.col("distinct") <= max_categories), "categorical").otherwise("dropped")
     return known.unionByName(counts.select("column", role.alias("role")))
 

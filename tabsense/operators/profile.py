@@ -7,12 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.columns import is_numeric, is_text, moment, named, number, numeric_columns, other_columns, present, spread_rows, wall_micros
+from ..functions.columns import is_numeric, moment, number, numeric_columns, other_columns, present, spread_rows, wall_micros
 from ..functions.rounding import half_up
-
 from .ordering import long_form, quantiles, value_counts
 
 NUMERIC_PROFILE = (
@@ -169,7 +167,7 @@ DESCRIBE = (
 def describe_all(df: DataFrame) -> DataFrame:
     """One row per column: the text part for text columns, the number part for numbers."""
     nums = numeric_columns(df)
-    texts = [c for c in other_columns(df)]
+    texts = other_columns(df)
     parts = []
     if nums:
         p = numeric_profile(df, nums)

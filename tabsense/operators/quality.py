@@ -12,7 +12,7 @@ from ..functions.columns import (
     DATE_WORDS, ID_WORDS, any_word, is_boolean_token, is_moment, is_null_token, is_numeric, is_padded, is_text, named,
     present, spread_rows, storage, strip, to_moment, to_number,
 )
-from .basics import distinct_counts, duplicate_count
+from .basics import distinct_counts, distinct_where_unclear, duplicate_count
 from .ordering import long_form
 
 
@@ -93,7 +93,8 @@ def _type_rule(df: DataFrame) -> Column:
 def column_types(df: DataFrame) -> DataFrame:
     """``(column, semantic_type)``.
 
-    The exact distinct count is taken only for columns no earlier rule decides.
+    Distinct values matter only for columns no earlier rule can decide, and the
+    exact count only where an estimate is close to a bound of the rules.
     """
     facts = column_facts(df)
     undecided = [
@@ -101,9 +102,9 @@ def column_types(df: DataFrame) -> DataFrame:
         if not is_numeric(df, c) and not is_moment(df, c) and not any_word(c, ID_WORDS)
     ]
     if undecided:
-        facts = facts.join(
-            F.broadcast(distinct_counts(df, undecided).withColumnRenamed("distinct", "unique_count")), "column", "left"
-        )
+        clear = lambda d, n: d > 60 and (d < 0.13 * n or 0.17 * n < d < 0.9 * n)
+        counts = distinct_where_unclear(df, undecided, clear).withColumnRenamed("distinct", "unique_count")
+        facts = facts.join(F.broadcast(counts), "column", "left")
     else:
         facts = facts.withColumn("unique_count", F.lit(None).cast("bigint"))
     return facts.select("column", _type_rule(df).alias("semantic_type"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import anomaly, charts, correlation, features
 from ..storage import load
 from .derived import MESSY_SQL, messy_orders
-from .registry import query, union_all
+from .registry import query
 
 KEY = "o_orderkey"
 
