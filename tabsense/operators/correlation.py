@@ -13,15 +13,14 @@ from ..functions.columns import named, number, numeric_columns
 from ..functions.rounding import half_up
 from ..functions.special import student_two_sided
 from ..storage import BROADCAST_ROWS, materialize
-from .basics import prune_all_null
 from .ordering import ONE_TASK_ROWS, ranks_by_key, value_counts
 
 PAIRS = (
     "var1 string, var2 string, n bigint, coefficient double, p_value double, is_significant boolean, "
     "strength string, symbol string"
 )
-# pairs per aggregate: two fields each, so the plan keeps to generated code
-PAIRS_PER_SCAN = 45
+# pairs per aggregate: keeps the plan to generated code
+PAIRS_PER_SCAN = 12
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -59,23 +58,34 @@ def _pair_row(a: str, b: str, n: int, r: float | None, alpha: float) -> tuple:
     return a, b, n, shown(r, 4), shown(p, 6), bool(p < alpha), _strength(r), _symbol(p)
 
 
-def _pearson(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[tuple[int, float | None]]:
+def _pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], plain: set[str]) -> list[tuple[int, float | None]]:
+    """``(n, r)`` per pair. ``plain`` columns are known to be complete and not constant."""
     out = []
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
         part = pairs[start : start + PAIRS_PER_SCAN]
         aggs = []
         for i, (a, b) in enumerate(part):
             x, y = number(df, a), number(df, b)
-            aggs += [F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}"), safe_corr(x, y).alias(f"r{i}")]
+            r = F.corr(x, y) if a in plain and b in plain else safe_corr(x, y)
+            aggs += [F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}"), r.alias(f"r{i}")]
         row = df.agg(*aggs).first()
         out += [(row[f"n{i}"], row[f"r{i}"]) for i in range(len(part))]
     return out
 
 
-def _usable(df: DataFrame, columns: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
+def _usable(df: DataFrame, columns: Sequence[str] | None) -> tuple[DataFrame, list[str], set[str], set[str]]:
+    """The columns that hold values; those without gaps; those without gaps that vary. One scan."""
     chosen = list(columns or numeric_columns(df))
-    kept = prune_all_null(df.select(*[named(c) for c in chosen])) if chosen else df
-    return kept, [c for c in chosen if c in kept.columns]
+    if not chosen:
+        return df, [], set(), set()
+    table = df.select(*[named(c) for c in chosen])
+    cells = {c: number(table, c) for c in chosen}
+    row = table.agg(F.count(F.lit(1)).alias("_n"), *[
+        e for i, c in enumerate(cells.values()) for e in (F.count(c).alias(f"n{i}"), (F.min(c) < F.max(c)).alias(f"v{i}"))
+    ]).first()
+    held = [c for i, c in enumerate(chosen) if row[f"n{i}"] > 0]
+    full = {c for i, c in enumerate(chosen) if c in held and row[f"n{i}"] == row["_n"]}
+    return table.select(*[named(c) for c in held]), held, full, {c for i, c in enumerate(chosen) if c in full and row[f"v{i}"]}
 
 
 def _frame(df: DataFrame, rows: list[tuple]) -> DataFrame:
@@ -85,9 +95,9 @@ def _frame(df: DataFrame, rows: list[tuple]) -> DataFrame:
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, alpha: float = 0.05) -> DataFrame:
     """Pearson r over the complete rows of every pair, all pairs of a batch in one scan."""
-    table, cols = _usable(df, columns)
+    table, cols, _, plain = _usable(df, columns)
     pairs = list(itertools.combinations(cols, 2))
-    got = _pearson(table, pairs)
+    got = _pearson(table, pairs, plain)
     return _frame(df, [_pair_row(a, b, n, r, alpha) for (a, b), (n, r) in zip(pairs, got)])
 
 
@@ -99,11 +109,10 @@ def spearman(
     Columns without missing cells are ranked once and share one ranked table;
     a pair with missing cells is ranked on its own complete rows.
     """
-    table, cols = _usable(df, columns)
+    table, cols, complete, plain = _usable(df, columns)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], PAIRS)
-    counts = table.agg(F.count(F.lit(1)).alias("_n"), *[F.count(number(table, c)).alias(c) for c in cols]).first()
-    full = [c for c in cols if counts[c] == counts["_n"]]
+    full = [c for c in cols if c in complete]
     pairs = list(itertools.combinations(cols, 2))
     shared = [p for p in pairs if p[0] in full and p[1] in full]
     results: dict[tuple[str, str], tuple] = {}
@@ -122,20 +131,20 @@ def spearman(
         return out.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(names)])
 
     if shared:
-        results.update(zip(shared, _pearson(ranked(table, full), shared)))
+        results.update(zip(shared, _pearson(ranked(table, full), shared, plain)))
     for a, b in pairs:
         if (a, b) not in results:
             rows = table.select(number(table, a).alias(a), number(table, b).alias(b)).dropna()
-            results[a, b] = _pearson(ranked(rows, [a, b]), [(a, b)])[0]
+            results[a, b] = _pearson(ranked(rows, [a, b]), [(a, b)], set())[0]
     return _frame(df, [_pair_row(a, b, *results[a, b], alpha) for a, b in pairs])
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Long-form symmetric matrix ``(var1, var2, coefficient)`` with 1.0 on the diagonal."""
-    table, cols = _usable(df, columns)
+    table, cols, _, plain = _usable(df, columns)
     pairs = list(itertools.combinations(cols, 2))
     rows = [(c, c, 1.0) for c in cols]
-    for (a, b), (_, r) in zip(pairs, _pearson(table, pairs)):
+    for (a, b), (_, r) in zip(pairs, _pearson(table, pairs, plain)):
         v = None if r is None or math.isnan(r) else half_up(r, 4)
         rows += [(a, b, v), (b, a, v)]
     return df.sparkSession.createDataFrame(rows, "var1 string, var2 string, coefficient double")

@@ -43,7 +43,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 # a lookup side of up to this many short rows is sent to every executor
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def lookup_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
