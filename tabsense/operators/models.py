@@ -13,12 +13,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import is_numeric, is_text, named, number, present
-from ..storage import shared_dir
+from ..storage import new_folder, shared_dir
 from .basics import distinct_where_unclear
 from .neighbors import knn_regress, nearest_neighbors
 from .ordering import numeric_quantiles, value_counts
@@ -184,6 +184,15 @@ class Candidate:
     importances: list[float] = field(default_factory=list)
 
 
+def _without_summary(spark: SparkSession, model):
+    """A training summary holds the session, which cannot always travel with the scoring job: reload without it."""
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = new_folder(spark, "model")
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def _spark_model(name: str, model, classes: int) -> Candidate:
     def apply(df: DataFrame) -> DataFrame:
         out = model.transform(df)
@@ -248,7 +257,7 @@ def _fitters(task: str, classes: int, n: int, y_std: float, seed: int) -> dict[s
             "Decision Tree": DecisionTreeRegressor(maxDepth=6, seed=seed, **common),
         }
     out: dict[str, Callable[[DataFrame], Candidate]] = {
-        name: (lambda train, name=name, est=est: _spark_model(name, est.fit(train), classes)) for name, est in models.items()
+        name: (lambda train, name=name, est=est: _spark_model(name, _without_summary(train.sparkSession, est.fit(train)), classes)) for name, est in models.items()
     }
     out["K-Nearest Neighbors"] = lambda train: _knn_model("K-Nearest Neighbors", train, task, classes)
     return out

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tabsense.operators import anomaly, models, neighbors
@@ -126,6 +127,8 @@ def test_split_is_stable(churn):
 
 
 def test_classification_tournament(churn):
+    # an observed query leaves state in the session that must not travel with a model
+    churn.observe(Observation(), F.count(F.lit(1)).alias("n")).collect()
     t = models.run_tournament(churn, "churn", ["id"], models=["Logistic Regression", "Decision Tree", "K-Nearest Neighbors"])
     board = t.leaderboard().collect()
     assert [(r["rank"], r["error"]) for r in board] == [(1, None), (2, None), (3, None)]
