@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import load
-from . import content_sort, quality_ledger
+from . import bbit_minhash, content_sort, quality_ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,3 +34,8 @@ def quality_rules(spark, folder):
 @query("op9_exact_dedup", content_sort.SQL)
 def exact_dedup(spark, folder):
     return content_sort.duplicate_groups(load(spark, folder, "documents"), keep="largest")
+
+
+@query("op7_near_dedup")
+def near_dedup(spark, folder):
+    return bbit_minhash.near_duplicates(load(spark, folder, "documents"), percent=85)
