@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 # word separators: space and the five ASCII line and tab characters
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -45,3 +47,24 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4_000_000) -> It
 def words_of(text: str) -> list[bytes]:
     """Words of a text as UTF-8, A-Z in lower case. ``bytes.split`` parts at exactly the characters of SPACES."""
     return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def word_count(text_col: str = "text") -> Column:
+    """Number of words of a text, as a long; 0 for null."""
+    flat = f"coalesce(`{text_col}`, '')"
+    for separator in ("\\t", "\\n", "\\u000B", "\\u000C", "\\r"):
+        flat = f"replace({flat}, '{separator}', ' ')"
+    return F.expr(f"cast(size(array_remove(split({flat}, ' '), '')) as bigint)")
+
+
+# a table is sent to every executor only below both of these, as counted
+SIDE_ROWS = 200_000
+SIDE_BYTES = 32_000_000
+
+
+def sized_side(df: DataFrame) -> DataFrame:
+    """The small side of a join, computed once: broadcast if its counted rows and bytes are few, else joined by a shuffle that Spark may split."""
+    table = materialize(df)
+    width = sum((F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) if f.dataType.simpleString() == "string" else F.lit(8)) for f in table.schema.fields)
+    rows, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(table) if rows <= SIDE_ROWS and size <= SIDE_BYTES else table

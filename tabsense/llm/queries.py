@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import load
-from . import bbit_minhash, content_sort, quality_ledger
+from ..storage import load, store
+from . import bbit_minhash, content_sort, mixing, packing, quality_ledger
+from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,3 +40,25 @@ def exact_dedup(spark, folder):
 @query("op7_near_dedup")
 def near_dedup(spark, folder):
     return bbit_minhash.near_duplicates(load(spark, folder, "documents"), percent=85)
+
+
+# Production weights of the corpus: four domains by source, languages inside them, the hub held down.
+MIXTURE = {
+    ("hub",): 2, ("web",): 4, ("forum",): 3, ("reference",): 3,
+    ("hub", "en"): 4, ("web", "en"): 5, ("forum", "en"): 5, ("reference", "en"): 6, ("reference", "de"): 2,
+    ("web", "en", "src1"): 2, ("forum", "en", "src7"): 3, ("reference", "en", "src13"): 2,
+}
+DOMAIN = "case when source = 'src0' then 'hub' when source rlike '^src[1-6]$' then 'web' when source rlike '^src([7-9]|1[0-2])$' then 'forum' else 'reference' end"
+PATH = ["domain", "lang", "source"]
+
+
+@query("op1_mixing")
+def mixing_sources(spark, folder):
+    docs = load(spark, folder, "documents").select("doc_id", F.expr(DOMAIN).alias("domain"), "lang", "source", word_count("text").alias("tokens"))
+    slim = store(docs, "mixing")
+    return mixing.mix(slim, PATH, MIXTURE, F.col("tokens"), F.expr("total div 2"), epochs=4)
+
+
+@query("op6_packing")
+def best_fit_packing(spark, folder):
+    return packing.pack(load(spark, folder, "documents"))
