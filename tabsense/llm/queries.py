@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import load, store
-from . import bbit_minhash, content_sort, mixing, packing, quality_ledger
+from . import bbit_minhash, content_sort, interpolation, mixing, packing, quality_ledger
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def mixing_sources(spark, folder):
 @query("op6_packing")
 def best_fit_packing(spark, folder):
     return packing.pack(load(spark, folder, "documents"))
+
+
+@query("op4_lm_scoring")
+def lm_scoring(spark, folder):
+    return interpolation.score(load(spark, folder, "documents"))
