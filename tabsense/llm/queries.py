@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import load, store
-from . import bbit_minhash, content_sort, interpolation, mixing, packing, quality_ledger
+from . import bbit_minhash, content_sort, interpolation, licenses, mixing, packing, preferences, quality_ledger, skip_chain, warc
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,23 @@ def best_fit_packing(spark, folder):
 @query("op4_lm_scoring")
 def lm_scoring(spark, folder):
     return interpolation.score(load(spark, folder, "documents"))
+
+
+@query("op3_license_scan")
+def license_scan(spark, folder):
+    return licenses.scan(load(spark, folder, "documents"))
+
+
+@query("op10_personal_data")
+def personal_data(spark, folder):
+    return skip_chain.find(load(spark, folder, "documents"))
+
+
+@query("op5_warc_derivatives", warc.SQL)
+def warc_derivatives(spark, folder):
+    return warc.derive(warc.responses_of_pages(load(spark, folder, "pages")))
+
+
+@query("op8_preference_formatting", preferences.SQL)
+def preference_formatting(spark, folder):
+    return preferences.format_pairs(preferences.swapped_replies(load(spark, folder, "conversations")))
