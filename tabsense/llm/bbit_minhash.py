@@ -9,7 +9,8 @@ estimate is confirmed on the whole shingle sets.
 Links are needed only as far as they decide the groups. Texts with the same shingle set
 become one class first. In each bucket all classes are compared with the smallest one;
 buckets that still hold several groups after that have their members compared across
-groups, in tiles of bounded size.
+groups, in tiles of bounded size; such a tile confirms its own pairs, each pair in the first
+band it shares, and gives back links only.
 """
 
 from __future__ import annotations
@@ -132,49 +133,101 @@ def slack(threshold: float, sigmas: float = 5.5) -> float:
     return threshold - sigmas * float(np.sqrt(equal * (1 - equal) / PERMUTATIONS)) / (1 - 2.0**-B)
 
 
-def _tile_pairs(low: float):
-    """Over rows sorted by (key, i, j): pairs of classes of different groups whose estimate reaches ``low``."""
+TILED = "key long, i long, j long, tile long, id long, component long"
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole groups of rows sorted by (key, i, j)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        starts = _starts(table)
+        for s, e in zip(starts[:-1], starts[1:]):
+            yield table.slice(s, e - s)
+        held = table.slice(starts[-1]).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    keys = np.stack([table[c].to_numpy() for c in ("key", "i", "j")], axis=1)
+    return np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+
+
+def _likely(table: pa.Table, low: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs (row, rows) of one group: of different components, the estimate reaches ``low``, and no earlier band holds them both."""
+    groups, tiles = table["component"].to_numpy(), table["tile"].to_numpy()
+    key, first, second = (table[c][0].as_py() for c in ("key", "i", "j"))
+    flat = lambda c, kind: table[c].combine_chunks().flatten().to_numpy().view(kind)
+    planes = flat("planes", np.uint64).reshape(len(groups), B, PLANE_LONGS)
+    bands = flat("bands", np.int64).reshape(len(groups), BANDS)
+    right = np.flatnonzero(tiles == second)
+    for x in np.flatnonzero(tiles == first):
+        others = right[right > x] if first == second else right
+        others = others[groups[others] != groups[x]]
+        if len(others):
+            differ = np.bitwise_count(np.bitwise_or.reduce(planes[others] ^ planes[x], axis=1)).sum(axis=1)
+            others = others[(1 - differ / PERMUTATIONS - 2.0**-B) / (1 - 2.0**-B) >= low]
+            others = others[bands[x][(bands[others] == bands[x]).argmax(axis=1)] == key]
+            if len(others):
+                yield int(x), others
+
+
+def _involved(low: float):
+    """The rows that are in a likely pair of their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = np.stack([table[c].to_numpy() for c in ("key", "i", "j")], axis=1)
-            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.empty(0, int)
-            if len(starts) > 1:
-                yield from _pairs_in(table.slice(0, starts[-1]), starts, low)
-                held = table.slice(starts[-1]).to_batches()
-        if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = np.stack([table[c].to_numpy() for c in ("key", "i", "j")], axis=1)
-            if len(keys):
-                yield from _pairs_in(table, np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]).tolist() + [len(keys)], low)
+        for table in _groups(batches):
+            mark = np.zeros(table.num_rows, bool)
+            for x, others in _likely(table, low):
+                mark[x] = True
+                mark[others] = True
+            if mark.any():
+                yield from table.select(["key", "i", "j", "tile", "id", "component"]).filter(pa.array(mark)).combine_chunks().to_batches()
 
     return run
 
 
-def _pairs_in(table: pa.Table, starts, low: float) -> Iterator[pa.RecordBatch]:
-    ids, groups, tiles = (table[c].to_numpy() for c in ("id", "component", "tile"))
-    firsts, seconds = table["i"].to_numpy(), table["j"].to_numpy()
-    planes = table["planes"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), B, PLANE_LONGS)
-    found_a, found_b = [], []
-    for s, e in zip(starts[:-1], starts[1:]):
-        left = np.flatnonzero(tiles[s:e] == firsts[s]) + s
-        right = np.flatnonzero(tiles[s:e] == seconds[s]) + s
-        for x in left:
-            others = right[(right > x) if firsts[s] == seconds[s] else slice(None)]
-            others = others[groups[others] != groups[x]]
-            if len(others):
-                differ = np.bitwise_count(np.bitwise_or.reduce(planes[others] ^ planes[x], axis=1)).sum(axis=1)
-                equal = 1 - differ / PERMUTATIONS
-                near = others[(equal - 2.0**-B) / (1 - 2.0**-B) >= low]
-                found_a.append(np.minimum(ids[near], ids[x]))
-                found_b.append(np.maximum(ids[near], ids[x]))
-    if found_a:
-        pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)], axis=1), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def _joining(low: float, percent: int):
+    """Confirmed links between components of a group; a pair whose components are joined already is not looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(slices(batches)):
+            ids, groups, texts = table["id"].to_pylist(), table["component"].to_pylist(), table["text"]
+            sets: dict[int, set] = {}
+            parent = {g: g for g in groups}
+
+            def root(g: int) -> int:
+                while parent[g] != g:
+                    parent[g] = parent[parent[g]]
+                    g = parent[g]
+                return g
+
+            def of(i: int) -> set:
+                if i not in sets:
+                    sets[i] = shingle_set(words_of(texts[i].as_py()))
+                return sets[i]
+
+            found = []
+            for x, others in _likely(table, low):
+                for y in others.tolist():
+                    if root(groups[x]) != root(groups[y]) and similar(of(x), of(y), percent):
+                        parent[root(groups[x])] = root(groups[y])
+                        found.append((ids[x], ids[y]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    return run
+
+
+def similar(a: set, b: set, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _confirm(percent: int):
@@ -185,9 +238,7 @@ def _confirm(percent: int):
             for a, text_a, text_b in zip(batch["a"].to_pylist(), batch["text_a"].to_pylist(), batch["text_b"].to_pylist()):
                 if a != last_id:
                     last_id, last_set = a, shingle_set(words_of(text_a))
-                other = shingle_set(words_of(text_b))
-                both = len(last_set & other)
-                keep.append(100 * both >= percent * (len(last_set) + len(other) - both))
+                keep.append(similar(last_set, shingle_set(words_of(text_b)), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -242,14 +293,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = split.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high and members > 2").select("key", "members")
     tiles = F.ceil(F.col("members") / TILE).cast("long")
     dealt = (
-        split.select("key", "id", "component").join(materialize(mixed), "key").join(planes, "id")
+        split.select("key", "id", "component").join(materialize(mixed), "key")
         .withColumn("tiles", tiles).withColumn("tile", F.expr("pmod(xxhash64(id), tiles)"))
         .withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
-        .select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component", "planes")
-        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        .select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component")
     )
-    across = dealt.mapInArrow(_tile_pairs(low), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = _confirmed(across, texts, percent)
+    grouped = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    involved = grouped(dealt.join(heads, "id")).mapInArrow(_involved(low), TILED)
+    more = grouped(involved.join(heads, "id").join(texts.withColumnRenamed("doc_id", "id"), "id")).mapInArrow(_joining(low, percent), "a long, b long")
     final = materialize(connected(links.union(more)))
 
     # classes back to rows
