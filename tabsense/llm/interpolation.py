@@ -68,10 +68,15 @@ class _Block:
         self.lengths.append(len(words) + 1)
 
     def row(self, block: int, part: int) -> pa.RecordBatch:
-        as_bytes = lambda v, kind: pa.array([np.array(v, kind).tobytes()], pa.binary())
+        # frequent words get small numbers, the end keeps 0
+        tokens, hashes = np.array(self.tokens, np.int64), np.array(self.hashes, np.uint64)
+        order = np.r_[0, 1 + np.argsort(-np.bincount(tokens, minlength=len(hashes))[1:], kind="stable")]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        as_bytes = lambda v: pa.array([_packed(v)], pa.binary())
         return pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([self.docs], pa.list_(pa.int64())), pa.array([len(self.tokens)], pa.int64()),
-             as_bytes(self.lengths, "<u4"), as_bytes(self.hashes, "<u8"), as_bytes(self.tokens, "<u4")],
+            [pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([self.docs], pa.list_(pa.int64())), pa.array([len(tokens)], pa.int64()),
+             as_bytes(np.array(self.lengths)), as_bytes(hashes[order]), as_bytes(number[tokens])],
             ["block", "part", "docs", "n_tokens", "lengths", "hashes", "tokens"],
         )
 
@@ -99,9 +104,9 @@ class _Grams:
     """The n-grams of a block: unigrams by word, bigrams by token; the context of a first word is the end."""
 
     def __init__(self, hashes: bytes, tokens: bytes) -> None:
-        words = np.frombuffer(hashes, "<u8")
-        self.tokens = np.frombuffer(tokens, "<u4")
-        self.before = np.concatenate([np.zeros(1, self.tokens.dtype), self.tokens[:-1]])
+        words = _unpacked(hashes)
+        self.tokens = _unpacked(tokens).astype(np.int64)
+        self.before = np.r_[0, self.tokens[:-1]]
         codes = _mixed(words)
         pairs = _mixed(codes[self.before] * _PAIR + codes[self.tokens])
         self.pairs, self.pair_of = np.unique(pairs, return_inverse=True)
@@ -112,14 +117,25 @@ class _Grams:
         return np.bincount(self.tokens, minlength=len(self.order))[self.order], np.bincount(self.pair_of, minlength=len(self.pairs))
 
 
-def _planes(values: np.ndarray, kind: str) -> bytes:
-    """Bytes of equal rank together; sorted or small numbers then compress well."""
-    return np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T).tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers in as few bytes as the largest needs, bytes of equal rank together, which compresses well; the width comes first."""
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(len(values), width).T).tobytes()
 
 
-def _from_planes(data: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+def _unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending hashes as their differences."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data).astype(np.uint64))
 
 
 def _bucket_edges(n: int) -> np.ndarray:
@@ -140,7 +156,7 @@ def _requests(n_words: int, n_pairs: int):
                     starts = np.r_[0, ends[:-1]]
                     for i in np.flatnonzero(ends > starts):
                         s, e = starts[i], ends[i]
-                        rows.append((base + int(i), block, part, _planes(keys[s:e], "<u8"), None if part == 2 else _planes(counts[s:e], "<u4")))
+                        rows.append((base + int(i), block, part, _steps(keys[s:e]), None if part == 2 else _packed(counts[s:e])))
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "block", "part", "keys", "counts"])
 
@@ -148,7 +164,7 @@ def _requests(n_words: int, n_pairs: int):
 
 
 REQUESTS = "bucket long, block long, part int, keys binary, counts binary"
-ANSWERS = "bucket long, block long, kept binary, deleted binary, kinds long"
+ANSWERS = "bucket long, block long, kept binary, total binary, kinds long"
 
 
 def _answer(n_words: int):
@@ -157,22 +173,21 @@ def _answer(n_words: int):
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         blocks, parts = table["block"].to_pylist(), table["part"].to_pylist()
-        keys = [_from_planes(k, "<u8") for k in table["keys"].to_pylist()]
+        keys = [_from_steps(k) for k in table["keys"].to_pylist()]
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         ends = np.cumsum([len(k) for k in keys])
         totals = np.zeros((2, len(distinct)), np.int64)
         for part, counts, e, k in zip(parts, table["counts"].to_pylist(), ends, keys):
             if counts is not None:
-                totals[part, place[e - len(k) : e]] += _from_planes(counts, "<u4")  # the hashes of a block are distinct
-        out = [[], []]
-        for e, k in zip(ends, keys):
-            for i in (0, 1):
-                out[i].append(_planes(totals[i, place[e - len(k) : e]], "<u8"))
+                totals[part, place[e - len(k) : e]] += _unpacked(counts).astype(np.int64)  # the hashes of a block are distinct
+        both = totals.sum(axis=0)
+        # only the deleted part asks for the counts without itself
+        kept = [_packed(totals[0, place[e - len(k) : e]]) if part == 1 else None for part, e, k in zip(parts, ends, keys)]
+        total = [_packed(both[place[e - len(k) : e]]) for e, k in zip(ends, keys)]
         kinds = [None] * len(blocks)
         if bucket < n_words:
-            blocks, kinds = blocks + [-1], kinds + [int((totals.sum(axis=0) > 0).sum())]
-            out = [o + [b""] for o in out]
-        return pa.table({"bucket": pa.array([bucket] * len(blocks), pa.int64()), "block": pa.array(blocks, pa.int64()), "kept": pa.array(out[0], pa.binary()), "deleted": pa.array(out[1], pa.binary()), "kinds": pa.array(kinds, pa.int64())})
+            blocks, kept, total, kinds = [*blocks, -1], [*kept, None], [*total, None], [*kinds, int((both > 0).sum())]
+        return pa.table({"bucket": pa.array([bucket] * len(blocks), pa.int64()), "block": pa.array(blocks, pa.int64()), "kept": pa.array(kept, pa.binary()), "total": pa.array(total, pa.binary()), "kinds": pa.array(kinds, pa.int64())})
 
     return run
 
@@ -180,15 +195,13 @@ def _answer(n_words: int):
 class _Counts:
     """Counts for the tokens of a block, from the answers to it."""
 
-    def __init__(self, row: dict, deleted_too: bool) -> None:
+    def __init__(self, row: dict) -> None:
         grams = _Grams(row["hashes"], row["tokens"])
-        kept = np.concatenate([_from_planes(a["kept"], "<u8") for a in sorted(row["answers"], key=lambda a: a["bucket"])]).astype(np.float64)
-        if deleted_too:
-            kept = kept + np.concatenate([_from_planes(a["deleted"], "<u8") for a in sorted(row["answers"], key=lambda a: a["bucket"])])
+        counts = np.concatenate([_unpacked(a["counts"]) for a in sorted(row["answers"], key=lambda a: a["bucket"])]).astype(np.float64)
         of_word = np.empty(len(grams.order))
-        of_word[grams.order] = kept[: len(grams.order)]
+        of_word[grams.order] = counts[: len(grams.order)]
         self.word, self.context = of_word[grams.tokens], of_word[grams.before]
-        self.pair = kept[len(grams.order) :][grams.pair_of]
+        self.pair = counts[len(grams.order) :][grams.pair_of]
 
     def estimates(self, total: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Level of the context, bigram and unigram estimate."""
@@ -211,7 +224,7 @@ def _summary(total: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                level, pair, word = _Counts(row, False).estimates(total)
+                level, pair, word = _Counts(row).estimates(total)
                 cells, counts = np.unique((level * STEPS + _step(pair)) * STEPS + _step(word), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts, pa.int64())], ["cell", "n"])
 
@@ -239,12 +252,12 @@ def _score(total: float, kinds: int, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                counts = _Counts(row, True)
+                counts = _Counts(row)
                 level, pair, word = counts.estimates(total)
                 w = weights[level]
                 model = np.log10(w[:, 0] * pair + w[:, 1] * word + w[:, 2] / (kinds + 1))
                 base = np.log10((counts.word + 1) / (total + kinds + 1))
-                lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+                lengths = _unpacked(row["lengths"]).astype(np.int64)
                 starts = np.cumsum(lengths) - lengths
                 n = len(lengths)
                 yield pa.RecordBatch.from_arrays(
@@ -283,11 +296,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kinds = answers.where("block = -1").agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     kept = total - (blocks.where("part = 1").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
 
-    def answered(some: DataFrame, given: DataFrame) -> DataFrame:
-        own = given.groupBy("block").agg(F.collect_list(F.struct("bucket", "kept", "deleted")).alias("answers"))  # as many as the block asked for
-        return some.join(own, "block")
+    def answered(part: str, counts: str) -> DataFrame:
+        """Blocks with the answers to them, as many as they asked for."""
+        some, given = blocks.where(part), answers.where(f"block >= 0 and {counts} is not null")
+        return some.join(given.groupBy("block").agg(F.collect_list(F.struct("bucket", F.col(counts).alias("counts"))).alias("answers")), "block")
 
-    of_deleted = answers.where("block >= 0").join(blocks.where("part = 1").select("block"), "block", "left_semi")
-    cells = answered(blocks.where("part = 1"), of_deleted).mapInArrow(_summary(kept), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = answered("part = 1", "kept").mapInArrow(_summary(kept), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights(np.array([r["cell"] for r in cells], np.int64), np.array([r["n"] for r in cells], np.float64), 1 / (kinds + 1))
-    return answered(blocks, answers.where("block >= 0")).mapInArrow(_score(float(total), int(kinds), weights), SCORES)
+    return answered("true", "total").mapInArrow(_score(float(total), int(kinds), weights), SCORES)
