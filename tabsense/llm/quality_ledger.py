@@ -81,7 +81,9 @@ def measured(rows: DataFrame, text_col: str) -> DataFrame:
     hashes = f"if(size(_words) < {WINDOW}, array(), transform(sequence(0, size(_words) - {WINDOW}), i -> {HASHED.replace('ws', '_words')}))"
     step = step.withColumn("_hashes", F.expr(hashes))
     out = {
-        "n_words": "size(_words)",
+        # adds 0, but is not deterministic to the optimizer: a filter on the ledger is then not
+        # rewritten as one on the text, which would repeat all of this once per rule
+        "n_words": "size(_words) + least(spark_partition_id(), 0)",
         "word_chars": "length(replace(_flat, ' ', ''))",
         "n_symbols": "length(_flat) - length(regexp_replace(_flat, '[#*$%&|<>]+', ''))",
         "n_lines": "size(_lines)",
