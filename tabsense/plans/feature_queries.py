@@ -215,7 +215,7 @@ REVENUE_SQL = "CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (CAST(1 AS DECI
 SELECT c_mktsegment, round({REVENUE_SQL}, 2) AS revenue, count(*) AS lines
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def revenue_by_segment(spark, folder):
-    """What is the total revenue by category?"""
+    """Discounted line value summed per market segment."""
     # summed per order first: the joins then move orders, not lines
     lines = load(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sum(revenue()).alias("r"), F.count(F.lit(1)).alias("n"))
     orders = load(spark, folder, "orders").select("o_orderkey", "o_custkey")
@@ -227,7 +227,7 @@ def revenue_by_segment(spark, folder):
 @query("monthly_revenue", sql=f"""
 SELECT strftime(o_orderdate, '%Y-%m') AS month, {MONEY.format('o_totalprice')} AS sales, count(*) AS orders FROM orders GROUP BY 1 ORDER BY 1""")
 def monthly_revenue(spark, folder):
-    """Show monthly sales trend."""
+    """Order value and count per calendar month."""
     return (
         load(spark, folder, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
         .agg(charts.money_sum(F.col("o_totalprice")).alias("sales"), F.count(F.lit(1)).alias("orders")).orderBy("month")
@@ -238,7 +238,7 @@ def monthly_revenue(spark, folder):
 SELECT p_partkey, p_name, round({REVENUE_SQL}, 2) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey
 GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 1""")
 def top_part(spark, folder):
-    """Which product generated the highest profit?"""
+    """The part that earned the most, by name."""
     sums = load(spark, folder, "lineitem").groupBy("l_partkey").agg(F.sum(revenue()).alias("r"))
     # summed before the join: one row per part meets one row per part
     parts = load(spark, folder, "part").select("p_partkey", "p_name")
@@ -249,14 +249,14 @@ def top_part(spark, folder):
 
 @query("quantity_distribution", sql=_histogram_sql("lineitem", "l_quantity", 10))
 def quantity_distribution(spark, folder):
-    """Show distribution of order quantities."""
+    """Histogram of the ordered quantities."""
     return charts.histogram(load(spark, folder, "lineitem"), "l_quantity", 10)
 
 
 @query("revenue_quantity_corr", sql="""
 SELECT round(corr(l_extendedprice * (1 - l_discount), l_quantity), 4) AS correlation, count(*) AS n FROM lineitem""")
 def revenue_quantity_corr(spark, folder):
-    """What is the correlation between revenue and quantity?"""
+    """Pearson correlation of line value and quantity."""
     amount = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return load(spark, folder, "lineitem").agg(
         F.round(correlation.safe_corr(amount, F.col("l_quantity")), 4).alias("correlation"), F.count(F.lit(1)).alias("n")
@@ -267,7 +267,7 @@ def revenue_quantity_corr(spark, folder):
 SELECT r_name, {', '.join(f"CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (quarter(o_orderdate) = {i}) AS DOUBLE) AS q{i}" for i in (1, 2, 3, 4))}
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
 def region_quarter(spark, folder):
-    """Compare total sales by region across quarters."""
+    """Order value per region and quarter."""
     price = F.col("o_totalprice").cast("decimal(18,2)")
     per_customer = load(spark, folder, "orders").groupBy("o_custkey", F.quarter("o_orderdate").alias("q")).agg(F.sum(price).alias("s"))
     # 25 nations and 5 regions, whatever the scale

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,12 +118,10 @@ def knn_regress(spark, folder):
 
 def _labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
-    return docs.join(load(spark, folder, "labels"), "doc_id")
+    return docs.join(load(spark, folder, "labels").select("doc_id", "quality"), "doc_id")
 
 
-@functools.lru_cache(maxsize=4)
 def _quality_tournament(spark: SparkSession, folder: str) -> models.Tournament:
-    """Fitted once per folder; the leaderboard, the importances and the scores read it."""
     return models.run_tournament(_labelled_documents(spark, folder), "quality", ["doc_id"])
 
 
@@ -147,4 +144,4 @@ def feature_importance(spark, folder):
 @query("batch_score")
 def batch_score(spark, folder):
     docs = load(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
-    return _quality_tournament(spark, folder).score(docs.withColumn("toxic", F.lit(0))).drop("probabilities")
+    return _quality_tournament(spark, folder).score(docs).drop("probabilities")

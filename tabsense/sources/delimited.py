@@ -50,9 +50,9 @@ def read_text_table(spark: SparkSession, path: str, delimiter: str | None = None
         lines = spark.read.text(path).where(F.length("value") > 0)
         head = [r["value"] for r in lines.limit(SNIFF_LINES).collect()]
     except AnalysisException as e:
-        raise SourceError(f"File not found: {path}") from e
+        raise SourceError(f"nothing to read at {path}") from e
     if not head:
-        raise SourceError("The file contains no tabular records.")
+        raise SourceError("no records below the header")
     encoding = encoding or pick_encoding(lines)
     delimiter = delimiter or sniff_delimiter(head)
     common = {"sep": delimiter, "encoding": encoding, "escape": '"', "header": "true"}
@@ -100,5 +100,5 @@ def load_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     """A file or a folder of files with header lines, typed."""
     df = read_text_table(spark, path, delimiter, encoding)
     if df.isEmpty():
-        raise SourceError("The file contains no tabular records.")
+        raise SourceError("no records below the header")
     return infer_types(df)
