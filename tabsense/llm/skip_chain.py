@@ -276,11 +276,15 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights from the ``most`` texts with a candidate token whose ids have the smallest hashes.
+    """Weights from the ``most`` texts with a candidate token that have the smallest hashes.
 
     At most ``most`` * TRAIN_TOKENS tokens reach the driver, as bits.
     """
-    some = texts_of(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(most)
+    order = F.xxhash64("doc_id", "text")
+    fit = texts_of(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]"))
+    # texts beyond this share of the hash range cannot be among the smallest, or nearly so, and stay where they are
+    share = min(1.0, 1.5 * most / max(fit.count(), 1))
+    some = fit.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(order, F.lit(1 << 30)), "doc_id", "text").limit(most)
     features, labels, edges, kinds, n = [], [], [], [], 0
     for r in some.mapInArrow(_sample, "features binary, labels array<long>, edges array<long>, kinds array<long>").collect():
         count = len(r["labels"])
