@@ -17,15 +17,28 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# (shape with 9 for every digit, format); month-first is tried before day-first
-DATE_FORMATS = [
+# (shape, format) of days and of times: 99 for one or two digits, A for a word
+DAY_FORMATS = [
     ("9999-99-99", "yyyy-MM-dd"),
     ("9999/99/99", "yyyy/MM/dd"),
+    ("9999.99.99", "yyyy.MM.dd"),
     ("99/99/9999", "MM/dd/yyyy"),
-    ("99/99/9999", "dd/MM/yyyy"),
-    ("9999-99-99 99:99:99", "yyyy-MM-dd HH:mm:ss"),
-    ("9999-99-99T99:99:99", "yyyy-MM-dd'T'HH:mm:ss"),
+    ("99-99-9999", "MM-dd-yyyy"),
+    ("99.99.9999", "MM.dd.yyyy"),
+    ("99999999", "yyyyMMdd"),
+    ("A 99, 9999", "MMM dd, yyyy"),
+    ("A 99 9999", "MMM dd yyyy"),
+    ("99 A 9999", "dd MMM yyyy"),
+    ("99-A-9999", "dd-MMM-yyyy"),
 ]
+TIME_FORMATS = [
+    ("", ""),
+    (" 99:99", " HH:mm"),
+    (" 99:99:99", " HH:mm:ss[.SSSSSSSSS]"),
+    ("A99:99", "'T'HH:mm"),
+    ("A99:99:99", "'T'HH:mm:ss[.SSSSSSSSS]"),
+]
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 # ----------------------------------------------------------------------------
 
 
@@ -59,16 +72,27 @@ def to_number(c: Column) -> Column:
 
 
 def to_moment(c: Column) -> Column:
-    """Text to timestamp over the known formats; null where none fits."""
-    trimmed = strip(c)
-    # the shape of the digits decides the format, so no parse is tried in vain
-    shape = F.translate(trimmed, "012345678", "999999999")
-    month_first = F.substring(trimmed, 1, 2) <= "12"
-    fits = lambda form, fmt: (shape == form) & (month_first if fmt.startswith("MM") else F.lit(True))
-    parsed = F.coalesce(
-        *[F.when(fits(form, fmt), F.try_to_timestamp(trimmed, F.lit(fmt))) for form, fmt in DATE_FORMATS]
-    )
-    return F.when(F.length(trimmed).isin(sorted({len(form) for form, _ in DATE_FORMATS})), parsed)
+    """Text to timestamp over the known formats; null where none fits.
+
+    Of two numbers before the year the first is the month, unless it is above 12. A zone is
+    cut off: the result is the clock time as written.
+    """
+    text = F.regexp_replace(strip(c), r"(:[0-9]{2}(?:\.[0-9]{1,9})?) ?(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2})$", "$1")
+    # long month names are cut to three letters, single digits filled up to two
+    months = "|".join(f"{m[:3]}(?={m[3:]}\\b|\\b)" for m in MONTHS)
+    text = F.regexp_replace(text, f"(?i)\\b({months}|sep(?=t\\b))[a-z]*\\.?", "$1")
+    text = F.regexp_replace(text, r"(?<![0-9.:])([0-9])(?![0-9])|(?<=[./-])([0-9])(?=[./-])", "0$1$2")
+    # the shape decides the format, so no parse is tried in vain
+    shape = F.translate(F.regexp_replace(text, r"(:[0-9]{2})\.[0-9]+$", "$1"), "012345678", "999999999")
+    shape = F.regexp_replace(shape, "[A-Za-z]+", "A")
+    formats = {d + t: day + time for d, day in DAY_FORMATS for t, time in TIME_FORMATS}
+    known = F.create_map(*[F.lit(x) for pair in formats.items() for x in pair])
+    form = F.try_element_at(known, shape)
+    # MM/dd becomes dd/MM where the first number cannot be a month
+    day_first = shape.rlike("^99[/.-]99[/.-]9999") & (F.substring(text, 1, 2) > "12")
+    form = F.when(day_first, F.concat(F.lit("dd"), F.substring(form, 3, 1), F.lit("MM"), F.substring(form, 6, 40))).otherwise(form)
+    plausible = F.length(strip(c)).between(8, 40) & strip(c).rlike("[0-9]")
+    return F.when(plausible, F.try_to_timestamp(text, form))
 
 
 def storage(df: DataFrame, name: str) -> T.DataType:

@@ -197,12 +197,14 @@ def schema_summary(spark, folder):
 
 @query("csv_load", sql=f"""
 WITH {MESSY_SQL}
-SELECT o_orderkey, CASE WHEN amount_text <> ' N/A ' THEN amount_text END AS amount_text, grade_text, status_text, flag_text,
-  joined_date, sparse, constant FROM messy""")
+SELECT o_orderkey, amount_text, grade_text, status_text, flag_text, joined_date, sparse, constant,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'first' || chr(10) || 'second; "third" ' || o_orderkey ELSE 'one line' END AS note FROM messy""")
 def csv_load(spark, folder):
     path = new_folder(spark, "csv")
-    opts = {"header": True, "sep": ";", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    messy_orders(spark, folder).write.options(**opts).csv(path)
+    opts = {"header": True, "sep": ";", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    broken = F.concat(F.lit('first\nsecond; "third" '), F.col("o_orderkey").cast("string"))
+    note = F.when(F.col("o_orderkey") % 3 == 0, broken).otherwise("one line")
+    messy_orders(spark, folder).withColumn("note", note).write.options(**opts).csv(path)
     return delimited.load_delimited(spark, path)
 
 

@@ -39,34 +39,72 @@ def sniff_delimiter(lines: list[str]) -> str:
     return best
 
 
-def pick_encoding(lines: DataFrame) -> str:
-    """UTF-8 when every line is valid UTF-8, else Latin-1, which accepts any byte."""
-    return "ISO-8859-1" if lines.where(~F.is_valid_utf8("value")).limit(1).count() else "UTF-8"
+def _inspect(lines: DataFrame) -> tuple[str, list[str], bool]:
+    """Encoding, the files in which a quoted cell holds a line break, and whether those are all files; one scan.
+
+    UTF-8 when every line is valid UTF-8, else Latin-1, which accepts any byte. A record that
+    goes over several lines starts with a line with an odd number of quotes.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    files = lines.groupBy("file").agg(
+        F.bool_or(~F.is_valid_utf8("value")).alias("bytes"), F.bool_or(quotes % 2 == 1).alias("open")
+    )
+    # one entry per file: no more than the reader lists itself
+    row = files.agg(
+        F.bool_or("bytes").alias("bytes"), F.collect_list(F.when(F.col("open"), F.col("file"))).alias("open"),
+        F.count(F.lit(1)).alias("files"),
+    ).first()
+    return "ISO-8859-1" if row["bytes"] else "UTF-8", row["open"], len(row["open"]) == row["files"]
+
+
+def _too_long(raw: Column, delimiter: str, width: int) -> Column:
+    """Whether a record holds something behind its last column; empty trailing cells do not count."""
+    sep = re.escape(delimiter)
+    bare = F.regexp_replace(F.replace(raw, F.lit('""'), F.lit("")), f'(^|{sep})"[^"]*"', "$1q")
+    return F.exists(F.slice(F.split(bare, sep), width + 1, 1_000_000), lambda cell: cell != "")
 
 
 def read_text_table(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
-    """All columns as text. Lines with too many fields are dropped, short ones padded with null."""
+    """All columns as text. Records with too many fields are dropped, short ones padded with null.
+
+    Files are split over tasks, but for those with line breaks inside quoted cells: each of
+    these is read by one task, as only its beginning tells where its records start.
+    """
     try:
-        lines = spark.read.text(path).where(F.length("value") > 0)
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.length("value") > 0)
         head = [r["value"] for r in lines.limit(SNIFF_LINES).collect()]
     except AnalysisException as e:
         raise SourceError(f"nothing to read at {path}") from e
     if not head:
         raise SourceError("no records below the header")
-    encoding = encoding or pick_encoding(lines)
+    found, broken, all_broken = _inspect(lines)
     delimiter = delimiter or sniff_delimiter(head)
-    common = {"sep": delimiter, "encoding": encoding, "escape": '"', "header": "true"}
-    names = spark.read.options(**common).csv(path).columns
+    common = {"sep": delimiter, "encoding": encoding or found, "escape": '"', "header": "true"}
+    names = spark.read.options(**common, multiLine=bool(broken)).csv(path).columns
     # the reader numbers repeated names; blanks and a byte-order mark are cut off here
     names = [n.replace("\ufeff", "").strip() for n in names]
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_more", T.StringType())]
-    raw = spark.read.schema(T.StructType(fields)).options(**common, mode="PERMISSIVE").csv(path)
-    kept = raw.where(F.col("_more").isNull()).drop("_more")
-    return kept.toDF(*names)
+    cells = [f"c{i}" for i in range(len(names))]
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "_raw"]])
+
+    def read(lines_in_cells: bool) -> DataFrame:
+        # a reader that skips columns would not see that a record is too long
+        options = {**common, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw", "columnPruning": False}
+        return spark.read.schema(fields).options(**options, multiLine=lines_in_cells).csv(path)
+
+    if broken and not all_broken:
+        inside = F.col("_metadata.file_path").isin(broken)
+        rows = read(False).where(~inside).unionByName(read(True).where(inside))
+    else:
+        rows = read(bool(broken))
+    # the text of a record is given only when its number of fields is wrong; the reader
+    # refuses a scan of that text alone, hence the first cell in the condition
+    fits = F.col("_raw").isNull() | (F.length(F.concat_ws("", F.col("c0"))) < 0) | ~_too_long(F.col("_raw"), delimiter, len(names))
+    return rows.where(fits).select(*cells).toDF(*names)
 
 
 def _with_na(c: Column) -> Column:
-    return F.when(~strip(c).isin(NA_VALUES), c)
+    """Null for a cell that is exactly one of the NA texts; a padded one stays text."""
+    return F.when(~c.isin(NA_VALUES), c)
 
 
 def infer_types(df: DataFrame) -> DataFrame:

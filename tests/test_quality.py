@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tabsense.functions.columns import to_moment
 from tabsense.operators import quality
 from tabsense.operators.basics import (
     complete_rows, distinct_counts, drop_column, duplicate_count, first_rows, iqr_outliers, labels, null_counts, project,
@@ -136,3 +137,17 @@ def test_nan_is_missing(spark):
 def test_iqr_outliers(spark):
     df = spark.createDataFrame([(float(i),) for i in range(20)] + [(500.0,)], "x double")
     assert [r["x"] for r in iqr_outliers(df, "x").collect()] == [500.0]
+
+
+def test_date_texts(spark):
+    shapes = {
+        "1/5/2024": "2024-01-05 00:00:00", "2024-01-15T10:00:00Z": "2024-01-15 10:00:00", "2024-01-15 10:00:00.123": "2024-01-15 10:00:00.123",
+        "2024-01-15 10:00": "2024-01-15 10:00:00", "Jan 5, 2024": "2024-01-05 00:00:00", "20240115": "2024-01-15 00:00:00",
+        "15-02-2023": "2023-02-15 00:00:00", "15/02/2023": "2023-02-15 00:00:00", "12/31/2023 9:05": "2023-12-31 09:05:00",
+        "September 15, 2023": "2023-09-15 00:00:00", "Sept 15, 2023": "2023-09-15 00:00:00", "3 march 2024": "2024-03-03 00:00:00",
+        "2024-01-15T10:00:00.5+05:30": "2024-01-15 10:00:00.5", "15.2.2023": "2023-02-15 00:00:00", " 2023/3/1 ": "2023-03-01 00:00:00",
+        "Market 5, 2024": None, "2024-13-01": None, "31/31/2024": None, "12345678": None, "10:00": None, "": None, "text 1": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in shapes] + [(None,)], "t string")
+    got = {r["t"]: r["m"] for r in rows.select("t", to_moment(F.col("t")).cast("timestamp_ntz").cast("string").alias("m")).collect()}
+    assert got == {**shapes, None: None}

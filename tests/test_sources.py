@@ -52,6 +52,27 @@ def test_bad_lines_and_header(spark, tmp_path):
     assert df.columns == ["a", "b"] and sorted(map(tuple, df.collect()), key=str) == [(1, 2), (4, None)]
 
 
+def test_line_breaks_inside_cells(spark, tmp_path):
+    write(tmp_path, 'a,b,c\n1,"line one\nline ""two"", x",5\n2,plain,6\n', name="1.csv")
+    write(tmp_path, "a,b,c\n3,y,7\n", name="2 x.csv")
+    df = delimited.load_delimited(spark, str(tmp_path))
+    rows = sorted(map(tuple, df.collect()))
+    assert rows == [(1, 'line one\nline "two", x', 5), (2, "plain", 6), (3, "y", 7)]
+    assert df.count() == 3 and delimited.load_delimited(spark, str(tmp_path / "1.csv")).count() == 2
+
+
+def test_too_long_lines(spark, tmp_path):
+    text = 'a,b\n1,"x, ""y"""\n3,4,,9\n5,6,,\n"7,7",8,"",""\n9,"p,q",r\n'
+    df = delimited.read_text_table(spark, write(tmp_path, text))
+    assert sorted(map(tuple, df.collect())) == [("1", 'x, "y"'), ("5", "6"), ("7,7", "8")]
+    assert df.count() == 3 and sorted(r["b"] for r in df.select("b").collect()) == ["6", "8", 'x, "y"']
+
+
+def test_a_padded_na_text_is_kept(spark, tmp_path):
+    df = delimited.load_delimited(spark, write(tmp_path, "a,b\n N/A ,1\nN/A,2\nx,3\n"))
+    assert [r["a"] for r in df.orderBy("b").collect()] == [" N/A ", None, "x"]
+
+
 def test_encodings(spark, tmp_path):
     text = "name,n\ncafé,1\nnaïve,2\n"
     for encoding in ("utf-8", "utf-8-sig", "latin1"):
