@@ -4,9 +4,11 @@ tail probability of the one resulting statistic is worked out on the driver."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from fractions import Fraction
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,10 @@ TWO_ROW = TEST_ROW + (
     ", group_a string, group_b string, size_a bigint, size_b bigint, mean_a double, mean_b double, "
     "median_a double, median_b double"
 )
-# Shapiro-Wilk looks at no more than this many values of a group
+# Shapiro-Wilk looks at no more than this many values of a group; a choice of test judges larger groups by K-squared over all values
 SHAPIRO_ROWS = 500
+# possible U values that are counted out; with more of them the sum of uniforms agrees to six places
+EXACT_VALUES = 100_000
 NORMALITY_SWITCH = 5000
 
 
@@ -45,9 +49,9 @@ def _stat(x: float) -> float | None:
     return None if x is None or math.isnan(x) else half_up(x, 4)
 
 
-def cohort_summary(df: DataFrame, group: str, metric: str, **kw) -> DataFrame:
-    """Size, mean and exact median per group."""
-    obs = observations(df, group, metric)
+def cohort_summary(df: DataFrame, group: str, metric: str, groups: Sequence[str] | None = None, **kw) -> DataFrame:
+    """Size, mean and exact median per group, as a test of these groups sees them."""
+    obs = observations(df, group, metric, groups)
     sizes = obs.groupBy("g").agg(F.count("x").alias("size"), F.round(F.avg("x"), 4).alias("mean"))
     med = grouped_median(obs, ["g"], F.col("x"), **kw)
     return sizes.join(med, "g").select(F.col("g").alias("group"), "size", "mean", F.round("median", 4).alias("median"))
@@ -74,33 +78,39 @@ def _pair_facts(obs: DataFrame, a: str, b: str, counted: DataFrame | None = None
 
 
 def _exact_u_p(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of Mann-Whitney without ties, by counting arrangements."""
-    ways = {(0): 1}
-    # number of ways to reach each U when n1 values are placed among n2
-    table = [[1] + [0] * (n1 * n2) for _ in range(n1 + 1)]
-    for i in range(1, n1 + 1):
-        table[i] = [0] * (n1 * n2 + 1)
-    for j in range(n2 + 1):
-        for i in range(1, n1 + 1):
-            # placing the i-th value after j others adds j
-            shifted = [0] * (n1 * n2 + 1)
-            for k, w in enumerate(table[i - 1]):
-                if w and k + j <= n1 * n2:
-                    shifted[k + j] = w
-            table[i] = [x + y for x, y in zip(table[i], shifted)]
-    dist = table[n1]
-    tail = sum(dist[math.ceil(u):])
-    return min(1.0, 2.0 * tail / sum(dist))
+    """Two-sided p of Mann-Whitney without ties, the smaller side having eight values or fewer.
+
+    ``u`` is the larger statistic, so its mirror ``n1 * n2 - u`` ends the lower tail. The
+    number of arrangements per U are the coefficients of the product of
+    ``(1 - q^(n2 + i)) / (1 - q^i)`` over the values ``i`` of the smaller side.
+    """
+    few, many = sorted((n1, n2))
+    last = n1 * n2 - math.ceil(u)
+    if n1 * n2 <= EXACT_VALUES:
+        ways = np.zeros(last + 1, dtype=object)
+        ways[0] = 1
+        for i in range(1, few + 1):
+            if many + i <= last:
+                ways[many + i :] = ways[many + i :] - ways[: last + 1 - many - i]
+            for r in range(min(i, last + 1)):
+                ways[r::i] = np.add.accumulate(ways[r::i])
+        tail = float(Fraction(int(ways.sum()), math.comb(n1 + n2, few)))
+    else:
+        # U is spread like a sum of `few` uniforms with the same variance (Irwin and Hall)
+        s = Fraction(few, 2) + Fraction((last + 0.5 - n1 * n2 / 2) / math.sqrt(many * (n1 + n2 + 1)))
+        terms = [(-1) ** k * math.comb(few, k) * (s - k) ** few for k in range(few + 1) if s > k]
+        tail = float(sum(terms, Fraction(0)) / math.factorial(few))
+    return min(1.0, 2.0 * tail)
 
 
 def two_sample_test(
     df: DataFrame, group: str, metric: str, a: str, b: str, test: str | None = None, alpha: float = 0.05,
-    key: Sequence[str] | None = None, one_task_rows: int = ONE_TASK_ROWS,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """``test``: student, welch, mann_whitney, or None to choose by normality and spread."""
     obs = observations(df, group, metric, [a, b])
     if test is None:
-        test = recommend_test(df, group, metric, [a, b], key).first()["test"]
+        test = recommend_test(df, group, metric, [a, b]).first()["test"]
     counted = _counted(obs) if test == "mann_whitney" else None
     got = _pair_facts(obs, a, b, counted, one_task_rows=one_task_rows)
     n1, n2 = got[a]["n"], got[b]["n"]
@@ -119,10 +129,8 @@ def two_sample_test(
         stat = sums[a] - n1 * (n1 + 1) / 2
         u = max(stat, n1 * n2 - stat)
         n = n1 + n2
-        if min(n1, n2) <= 8 and ties == 0:
-            p = _exact_u_p(u, n1, n2) if n1 * n2 <= 100_000 else _u_normal(u, n1, n2, n, ties)
-        else:
-            p = _u_normal(u, n1, n2, n, ties)
+        exact = min(n1, n2) <= 8 and ties == 0
+        p = _exact_u_p(u, n1, n2) if exact else _u_normal(u, n1, n2, n, ties)
     else:
         raise ValueError(f"no two-sample test is called {test!r}")
     row = (
@@ -157,7 +165,7 @@ def _rank_sums(counted: DataFrame, one_task_rows: int) -> tuple[dict[str, float]
 
 def multi_group_test(
     df: DataFrame, group: str, metric: str, groups: Sequence[str] | None = None, test: str | None = None,
-    alpha: float = 0.05, key: Sequence[str] | None = None, one_task_rows: int = ONE_TASK_ROWS,
+    alpha: float = 0.05, one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """``test``: anova, kruskal, or None (ANOVA when every group looks normal). All groups by default."""
     obs = observations(df, group, metric, groups)
@@ -171,7 +179,7 @@ def multi_group_test(
             raise ValueError(f"no numbers in the named groups {absent}")
     if test is None:
         named_groups = list(groups) if groups is not None else None
-        test = recommend_test(df, group, metric, named_groups, key, multi=True).first()["test"]
+        test = recommend_test(df, group, metric, named_groups, multi=True).first()["test"]
     if test == "anova":
         stat, p, k, n = _anova(facts)
     elif test == "kruskal":
@@ -211,15 +219,18 @@ def _anova(facts: DataFrame) -> tuple[float, float, int, int]:
     return stat, f_sf(stat, k - 1, n - k), k, n
 
 
+def _levene(obs: DataFrame, one_task_rows: int) -> tuple[float, float, int, int]:
+    med = grouped_median(obs, ["g"], F.col("x"), "med", one_task_rows=one_task_rows)
+    away = obs.join(lookup_side(med), "g").select("g", F.abs(F.col("x") - F.col("med")).alias("x"))
+    return _anova(materialize(_group_moments(away)))
+
+
 def levene(
     df: DataFrame, group: str, metric: str, groups: Sequence[str] | None = None, alpha: float = 0.05,
     one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Equality of spread: ANOVA on the distance of each value from its group median."""
-    obs = observations(df, group, metric, groups)
-    med = grouped_median(obs, ["g"], F.col("x"), "med", one_task_rows=one_task_rows)
-    away = obs.join(lookup_side(med), "g").select("g", F.abs(F.col("x") - F.col("med")).alias("x"))
-    stat, p, k, n = _anova(materialize(_group_moments(away)))
+    stat, p, k, n = _levene(observations(df, group, metric, groups), one_task_rows)
     return df.sparkSession.createDataFrame([("levene", _stat(stat), _p(p), bool(p < alpha), k, n)], TEST_ROW)
 
 
@@ -314,29 +325,51 @@ def shapiro_by_group(
     )
 
 
+def normal_groups(obs: DataFrame, max_rows: int = SHAPIRO_ROWS) -> DataFrame:
+    """``(g, n, is_normal)`` from every value of ``(g, x)``.
+
+    Groups of up to ``max_rows`` values take Shapiro-Wilk, larger ones K-squared from
+    their moments. Under eight values normality is assumed, likewise without spread.
+    """
+    shape = [F.count("x").alias("n"), F.skewness("x").alias("s"), F.kurtosis("x").alias("k")]
+    facts = materialize(obs.groupBy("g").agg(*shape))
+    few = obs.join(lookup_side(facts.where(F.col("n").between(8, max_rows)).select("g")), "g", "left_semi")
+
+    def by_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "ok": [shapiro_wilk(pdf["x"].tolist())[1] > 0.05]})
+
+    def by_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            flat = pdf["s"].isna()
+            ok = [bool(f) or dagostino_k2(n, s, k)[1] > 0.05 for n, s, k, f in zip(pdf["n"], pdf["s"], pdf["k"], flat)]
+            yield pd.DataFrame({"g": pdf["g"], "ok": ok})
+
+    checked = few.groupBy("g").applyInPandas(by_order, "g string, ok boolean").unionByName(
+        facts.where((F.col("n") >= 8) & (F.col("n") > max_rows)).mapInPandas(by_moments, "g string, ok boolean")
+    )
+    return facts.join(checked, "g", "left").select("g", "n", F.coalesce("ok", F.lit(True)).alias("is_normal"))
+
+
 def recommend_test(
-    df: DataFrame, group: str, metric: str, groups: Sequence[str] | None, key: Sequence[str] | None = None,
-    multi: bool = False,
+    df: DataFrame, group: str, metric: str, groups: Sequence[str] | None, multi: bool = False, max_rows: int = SHAPIRO_ROWS,
 ) -> DataFrame:
-    """``(test, all_normal, equal_variance)``.
+    """``(test, all_normal, equal_variance)``; see ``normal_groups`` for ``max_rows``.
 
     Two samples: both normal and equal spread -> student; both normal -> welch;
     else mann_whitney. More groups: anova when all are normal, else kruskal.
     """
     obs = observations(df, group, metric, groups)
-    sizes = _group_moments(obs).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).first()
+    seen = normal_groups(obs, max_rows).agg(
+        F.min("n").alias("least"), F.count(F.lit(1)).alias("k"), F.bool_and("is_normal").alias("normal")
+    ).first()
     least = 3 if multi else 5
-    if (sizes["least"] or 0) < least or sizes["k"] < 2 or (groups is not None and sizes["k"] < len(set(groups))):
+    if (seen["least"] or 0) < least or seen["k"] < 2 or (groups is not None and seen["k"] < len(set(groups))):
         raise ValueError(f"every group needs {least} numbers or more to choose a test")
-    by = list(key) if key else [metric]
-    checked = shapiro_by_group(df, group, [metric], by, groups)
-    normal = checked.agg(F.bool_and("is_normal").alias("ok")).first()["ok"]
-    normal = True if normal is None else normal
+    normal = seen["normal"]
     if multi:
         equal, test = None, "anova" if normal else "kruskal"
     else:
-        p = levene(df, group, metric, groups).first()["p_value"]
-        equal = p is not None and p > 0.05  # no p-value: nothing speaks for equal variances
+        equal = _levene(obs, ONE_TASK_ROWS)[1] > 0.05  # false without a p-value: nothing speaks for equal variances
         test = "mann_whitney" if not normal else ("student" if equal else "welch")
     return df.sparkSession.createDataFrame(
         [(test, bool(normal), equal)], "test string, all_normal boolean, equal_variance boolean"

@@ -23,20 +23,48 @@ p AS (SELECT a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2, a.v AS v1, b.v AS v2, a
   FROM g a, g b WHERE a.g = 'A' AND b.g = 'R')"""
 PAIR_COLUMNS = """CAST(2 AS BIGINT) AS groups, n1 + n2 AS observations, 'A' AS group_a, 'R' AS group_b, n1 AS size_a, n2 AS size_b,
   round(m1, 4) AS mean_a, round(m2, 4) AS mean_b, d1 AS median_a, d2 AS median_b"""
-P_COLUMNS = ["p_value", "is_significant"]
 
 
-@query("ttest_student", sql=f"""
-WITH {SAMPLES} SELECT 'student' AS test_name,
-  round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 4) AS statistic, {PAIR_COLUMNS} FROM p""")
+# Tail probabilities as midpoint sums of the density, a million steps of 2e-5 from the statistic on.
+
+
+def tail_sql(log_density: str) -> str:
+    """The area under a density given as its logarithm at ``y``, the distance from the statistic."""
+    return f"(SELECT sum(exp({log_density})) * 2e-5 FROM (SELECT (i + 0.5) * 2e-5 AS y FROM range(1000000) AS steps(i)))"
+
+
+def t_p_sql(t: str, dof: str) -> str:
+    v = f"({dof})"
+    return "2 * " + tail_sql(f"lgamma(({v} + 1) / 2) - lgamma({v} / 2) - ln({v} * pi()) / 2 - ({v} + 1) / 2 * ln(1 + pow(abs({t}) + y, 2) / {v})")
+
+
+def normal_p_sql(z: str) -> str:
+    return "least(1.0, 2 * " + tail_sql(f"-pow({z} + y, 2) / 2 - ln(2 * pi()) / 2") + ")"
+
+
+def f_p_sql(f: str, d1: str, d2: str) -> str:
+    """By the beta density over the log odds ``w`` of d2 / (d2 + d1 f), downwards."""
+    a, b, w = f"({d2} / 2)", f"({d1} / 2)", f"(ln({d2} / ({d1} * {f})) - y)"
+    return tail_sql(f"lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) - {a} * ln(1 + exp(-{w})) - {b} * ln(1 + exp({w}))")
+
+
+def pair_test_sql(name: str, facts: str, p: str, source: str = "p") -> str:
+    """``facts``: select items over n1 .. v2 that give at least ``stat``; ``p``: its p-value from them."""
+    return f"""WITH {SAMPLES} SELECT '{name}' AS test_name, round(stat, 4) AS statistic, round(pv, 6) AS p_value, pv < 0.05 AS is_significant, {PAIR_COLUMNS}
+FROM (SELECT *, {p} AS pv FROM (SELECT *, {facts} FROM {source}))"""
+
+
+@query("ttest_student", sql=pair_test_sql(
+    "student", "(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)) AS stat", t_p_sql("stat", "n1 + n2 - 2")))
 def ttest_student(spark, folder):
-    return hypothesis.two_sample_test(_lines(spark, folder), "l_returnflag", "l_extendedprice", "A", "R", "student").drop(*P_COLUMNS)
+    return hypothesis.two_sample_test(_lines(spark, folder), "l_returnflag", "l_extendedprice", "A", "R", "student")
 
 
-@query("ttest_welch", sql=f"""
-WITH {SAMPLES} SELECT 'welch' AS test_name, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 4) AS statistic, {PAIR_COLUMNS} FROM p""")
+@query("ttest_welch", sql=pair_test_sql(
+    "welch", """(m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS stat,
+  pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS dof""", t_p_sql("stat", "dof")))
 def ttest_welch(spark, folder):
-    return hypothesis.two_sample_test(_lines(spark, folder), "l_returnflag", "l_extendedprice", "A", "R", "welch").drop(*P_COLUMNS)
+    return hypothesis.two_sample_test(_lines(spark, folder), "l_returnflag", "l_extendedprice", "A", "R", "welch")
 
 
 def ranks_sql(rows: str) -> str:
@@ -48,27 +76,47 @@ def ranks_sql(rows: str) -> str:
 PAIR_ROWS = "SELECT l_returnflag AS g, l_extendedprice AS x FROM lineitem WHERE l_returnflag IN ('A', 'R')"
 
 
-@query("mann_whitney", sql=f"""
-WITH {SAMPLES} SELECT 'mann_whitney' AS test_name,
-  round((SELECT sum(r) FROM {ranks_sql(PAIR_ROWS)} WHERE g = 'A') - n1 * (n1 + 1) / 2, 4) AS statistic, {PAIR_COLUMNS} FROM p""")
+@query("mann_whitney", sql=pair_test_sql(
+    "mann_whitney", """greatest(stat, CAST(n1 AS DOUBLE) * n2 - stat) AS u,
+  CAST(n1 AS DOUBLE) * n2 / 12 * (n1 + n2 + 1 - ties / (CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1))) AS var,
+  (u - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5) / sqrt(var) AS z""", normal_p_sql("z"),
+    f"""(SELECT *, ra - n1 * (n1 + 1) / 2 AS stat FROM p, (SELECT sum(r) FILTER (g = 'A') AS ra, sum(CAST(t AS DOUBLE) * t - 1) AS ties
+  FROM {ranks_sql(PAIR_ROWS)}))"""))
 def mann_whitney(spark, folder):
-    return hypothesis.two_sample_test(_lines(spark, folder), "l_returnflag", "l_extendedprice", "A", "R", "mann_whitney").drop(*P_COLUMNS)
+    return hypothesis.two_sample_test(_lines(spark, folder), "l_returnflag", "l_extendedprice", "A", "R", "mann_whitney")
 
 
 def anova_sql(name: str, rows: str) -> str:
-    return f"""SELECT '{name}' AS test_name, round((ssb / (k - 1)) / (ssw / (n - k)), 4) AS statistic, k AS groups, CAST(n AS BIGINT) AS observations
-FROM (SELECT count(*) AS k, sum(c) AS n, sum((c - 1) * v) AS ssw, sum(c * pow(m - gm, 2)) AS ssb
-  FROM (SELECT g, count(*) AS c, avg(x) AS m, var_samp(x) AS v FROM ({rows}) GROUP BY g), (SELECT avg(x) AS gm FROM ({rows})))"""
+    return f"""SELECT '{name}' AS test_name, round(f, 4) AS statistic, round(p, 6) AS p_value, p < 0.05 AS is_significant, k AS groups,
+  CAST(n AS BIGINT) AS observations FROM (SELECT *, {f_p_sql('f', '(k - 1)', '(n - k)')} AS p
+FROM (SELECT k, n, (ssb / (k - 1)) / (ssw / (n - k)) AS f
+FROM (SELECT count(*) AS k, CAST(sum(c) AS DOUBLE) AS n, sum((c - 1) * v) AS ssw, sum(c * pow(m - gm, 2)) AS ssb
+  FROM (SELECT g, count(*) AS c, avg(x) AS m, var_samp(x) AS v FROM ({rows}) GROUP BY g), (SELECT avg(x) AS gm FROM ({rows})))))"""
+
+
+def cohorts_sql(table: str, g: str, x: str) -> str:
+    return f"""SELECT CAST({g} AS VARCHAR) AS "group", count({x}) AS size, round(avg({x}), 4) AS mean,
+  round(quantile_cont({x}, 0.5), 4) AS median FROM {table} WHERE {g} IS NOT NULL AND {x} IS NOT NULL GROUP BY 1"""
+
+
+@query("anova_groups", sql=cohorts_sql("orders", "o_orderpriority", "o_totalprice"))
+def anova_groups(spark, folder):
+    return hypothesis.cohort_summary(load(spark, folder, "orders"), "o_orderpriority", "o_totalprice")
+
+
+@query("kruskal_groups", sql=cohorts_sql("(SELECT * FROM lineitem WHERE l_returnflag IN ('A', 'N'))", "l_returnflag", "l_extendedprice"))
+def kruskal_groups(spark, folder):
+    return hypothesis.cohort_summary(_lines(spark, folder), "l_returnflag", "l_extendedprice", ["A", "N"])
 
 
 @query("anova", sql=anova_sql("anova", "SELECT o_orderpriority AS g, o_totalprice AS x FROM orders"))
 def anova(spark, folder):
-    return hypothesis.multi_group_test(load(spark, folder, "orders"), "o_orderpriority", "o_totalprice", test="anova").drop(*P_COLUMNS)
+    return hypothesis.multi_group_test(load(spark, folder, "orders"), "o_orderpriority", "o_totalprice", test="anova")
 
 
 @query("anova_many_groups", sql=anova_sql("anova", "SELECT CAST(user_id AS VARCHAR) AS g, value AS x FROM events"))
 def anova_many_groups(spark, folder):
-    return hypothesis.multi_group_test(load(spark, folder, "events"), "user_id", "value", test="anova").drop(*P_COLUMNS)
+    return hypothesis.multi_group_test(load(spark, folder, "events"), "user_id", "value", test="anova")
 
 
 def kruskal_sql(rows: str, p_value: str) -> str:
@@ -94,7 +142,7 @@ def kruskal_priorities(spark, folder):
 SELECT l_returnflag AS g, abs(l_extendedprice - med) AS x FROM lineitem JOIN (SELECT l_returnflag AS f,
   quantile_cont(l_extendedprice, 0.5) AS med FROM lineitem GROUP BY 1) ON f = l_returnflag"""))
 def levene(spark, folder):
-    return hypothesis.levene(_lines(spark, folder), "l_returnflag", "l_extendedprice").drop(*P_COLUMNS)
+    return hypothesis.levene(_lines(spark, folder), "l_returnflag", "l_extendedprice")
 
 
 @query("avg_rank", sql=f"SELECT x AS value, any_value(t) AS n, any_value(r) AS avg_rank FROM {ranks_sql('SELECT 1 AS g, l_quantity AS x FROM lineitem')} GROUP BY x")
@@ -114,12 +162,12 @@ def shapiro_by_group(spark, folder):
 
 @query("test_recommendation")
 def test_recommendation(spark, folder):
-    return hypothesis.recommend_test(_lines(spark, folder), "l_returnflag", "l_extendedprice", ["A", "R"], LINE_KEY)
+    return hypothesis.recommend_test(_lines(spark, folder), "l_returnflag", "l_extendedprice", ["A", "R"])
 
 
 @query("test_recommendation_multi")
 def test_recommendation_multi(spark, folder):
-    return hypothesis.recommend_test(load(spark, folder, "orders"), "o_orderpriority", "o_totalprice", None, ["o_orderkey"], multi=True)
+    return hypothesis.recommend_test(load(spark, folder, "orders"), "o_orderpriority", "o_totalprice", None, multi=True)
 
 
 def k2_sql(table: str, c: str) -> str:
@@ -151,46 +199,51 @@ def normality_small(spark, folder):
 # --- correlations -----------------------------------------------------------------------
 
 STRENGTH = "CASE WHEN abs(r) >= 0.7 THEN 'Strong' WHEN abs(r) >= 0.4 THEN 'Moderate' WHEN abs(r) >= 0.2 THEN 'Weak' ELSE 'Negligible' END"
-TESTED = ["p_value", "is_significant", "symbol"]
 LINE_NUMBERS = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+def pair_row_sql(a: str, b: str, facts: str) -> str:
+    """``facts``: a relation of one row ``(n, r)``."""
+    return f"""
+SELECT '{a}' AS var1, '{b}' AS var2, n, round(r, 4) AS coefficient, round(p, 6) AS p_value, p < 0.05 AS is_significant, {STRENGTH} AS strength,
+  CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS symbol
+FROM (SELECT *, CASE WHEN abs(r) >= 1 THEN 0.0 ELSE {t_p_sql('t', 'n - 2')} END AS p
+FROM (SELECT *, r * sqrt((n - 2) / greatest(1 - r * r, 1e-300)) AS t FROM {facts}))"""
+
+
 def pairs_sql(table: str, columns) -> str:
-    return union_all(f"""
-SELECT '{a}' AS var1, '{b}' AS var2, n, round(r, 4) AS coefficient, {STRENGTH} AS strength
-FROM (SELECT count(*) AS n, corr({a}, {b}) AS r FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+    return union_all(pair_row_sql(a, b, f"(SELECT count(*) AS n, corr({a}, {b}) AS r FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)")
                      for a, b in itertools.combinations(columns, 2))
 
 
 @query("correlation_pairs", sql=pairs_sql("lineitem", LINE_NUMBERS))
 def correlation_pairs(spark, folder):
-    return correlation.correlation_pairs(_lines(spark, folder), LINE_NUMBERS).drop(*TESTED)
+    return correlation.correlation_pairs(_lines(spark, folder), LINE_NUMBERS)
 
 
 @query("correlation_pairs_with_gaps", sql="WITH j AS (SELECT n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
        + pairs_sql("j", ["n_chars", "quality", "toxic"]))
 def correlation_pairs_with_gaps(spark, folder):
     j = load(spark, folder, "documents").join(load(spark, folder, "labels"), "doc_id", "left")
-    return correlation.correlation_pairs(j, ["n_chars", "quality", "toxic"]).drop(*TESTED)
+    return correlation.correlation_pairs(j, ["n_chars", "quality", "toxic"])
 
 
 def spearman_sql(table: str, a: str, b: str) -> str:
     rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2"
-    return f"""
-SELECT '{a}' AS var1, '{b}' AS var2, n, round(r, 4) AS coefficient, {STRENGTH} AS strength FROM (SELECT count(*) AS n, corr(x, y) AS r
-FROM (SELECT {rank(a)} AS x, {rank(b)} AS y FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL))"""
+    return pair_row_sql(a, b, f"""(SELECT count(*) AS n, corr(x, y) AS r
+FROM (SELECT {rank(a)} AS x, {rank(b)} AS y FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL))""")
 
 
 @query("spearman", sql=union_all(spearman_sql("lineitem", a, b) for a, b in itertools.combinations(PRICES, 2)))
 def spearman(spark, folder):
-    return correlation.spearman(_lines(spark, folder), PRICES).drop(*TESTED)
+    return correlation.spearman(_lines(spark, folder), PRICES)
 
 
 @query("spearman_with_gaps", sql="WITH j AS (SELECT n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
        + union_all(spearman_sql("j", a, b) for a, b in itertools.combinations(["n_chars", "quality", "toxic"], 2)))
 def spearman_with_gaps(spark, folder):
     j = load(spark, folder, "documents").join(load(spark, folder, "labels"), "doc_id", "left")
-    return correlation.spearman(j, ["n_chars", "quality", "toxic"]).drop(*TESTED)
+    return correlation.spearman(j, ["n_chars", "quality", "toxic"])
 
 
 @query("corr_matrix", sql=union_all(

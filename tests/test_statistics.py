@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -86,17 +87,17 @@ def test_anova_levene_kruskal(spark):
         k = h.multi_group_test(df, "g", "x", test="kruskal", one_task_rows=task).first()
         assert k["statistic"] == pytest.approx(hh, abs=1e-3) and k["p_value"] == pytest.approx(math.exp(-hh / 2), abs=1e-6)
     assert not h.levene(df, "g", "x").first()["is_significant"]
-    assert h.two_sample_test(df, "g", "x", "A", "B", key=["id"]).first()["is_significant"]
-    assert not h.two_sample_test(df, "g", "x", "A", "C", key=["id"]).first()["is_significant"]
+    assert h.two_sample_test(df, "g", "x", "A", "B").first()["is_significant"]
+    assert not h.two_sample_test(df, "g", "x", "A", "C").first()["is_significant"]
 
 
 def test_choice_of_test(spark):
     z = [h.NormalDist().inv_cdf((i + 0.5) / 100) for i in range(100)]
     df = frame(spark, {"a": z, "b": [v + 1 for v in z], "wide": [v * 9 for v in z], "exp": [math.exp(2 * v) for v in z]})
-    pick = lambda a, b: h.recommend_test(df, "g", "x", [a, b], ["id"]).first()["test"]
+    pick = lambda a, b: h.recommend_test(df, "g", "x", [a, b]).first()["test"]
     assert pick("a", "b") == "student" and pick("a", "wide") == "welch" and pick("a", "exp") == "mann_whitney"
-    assert h.recommend_test(df, "g", "x", ["a", "b", "wide"], ["id"], multi=True).first()["test"] == "anova"
-    assert h.recommend_test(df, "g", "x", None, ["id"], multi=True).first()["test"] == "kruskal"
+    assert h.recommend_test(df, "g", "x", ["a", "b", "wide"], multi=True).first()["test"] == "anova"
+    assert h.recommend_test(df, "g", "x", None, multi=True).first()["test"] == "kruskal"
 
 
 def test_too_few_values(spark):
@@ -164,3 +165,28 @@ def test_few_rows_have_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0)], "a double, b double")
     r = correlation.correlation_pairs(df).first()
     assert (r["coefficient"], r["p_value"]) == (0.0, 1.0)
+
+
+def test_exact_u_counts_arrangements():
+    for n1, n2 in ((1, 5), (3, 4), (5, 2), (4, 4)):
+        spread = [sum(places) - n1 * (n1 - 1) // 2 for places in itertools.combinations(range(n1 + n2), n1)]
+        for u in range((n1 * n2 + 1) // 2, n1 * n2 + 1):
+            expected = min(1.0, 2 * sum(x >= u for x in spread) / len(spread))
+            assert h._exact_u_p(u, n1, n2) == pytest.approx(expected, abs=1e-12)
+
+
+def test_exact_u_does_not_jump_with_size(monkeypatch):
+    for n1, n2, share in ((8, 12_000, 0.8), (12_400, 8, 0.55), (3, 30_000, 0.99), (1, 90_000, 0.97)):
+        u = int(n1 * n2 * share)
+        counted = h._exact_u_p(u, n1, n2)
+        monkeypatch.setattr(h, "EXACT_VALUES", 0)
+        assert h._exact_u_p(u, n1, n2) == pytest.approx(counted, abs=4e-7)
+        monkeypatch.undo()
+
+
+def test_large_groups_are_judged_by_all_values(spark):
+    draw = random.Random(5)
+    df = frame(spark, {"few": [draw.gauss(0, 1) for _ in range(40)], "many": [draw.gauss(0, 1) for _ in range(900)], "flat": [2.0] * 600,
+                       "tail": [draw.expovariate(1) for _ in range(900)], "tiny": [0.0, 0.0, 9.0]})
+    got = {r["g"]: r["is_normal"] for r in h.normal_groups(h.observations(df, "g", "x")).collect()}
+    assert got == {"few": True, "many": True, "flat": True, "tail": False, "tiny": True}
