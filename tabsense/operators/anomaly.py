@@ -77,6 +77,8 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return [tuple(n) for n in nodes]
 
 
+# rows that walk all trees together: the positions stay in the cache
+ROWS_PER_WALK = 1024
 NODES = "tree int, node int, feature int, threshold double, lo int, hi int, path double"
 
 
@@ -122,28 +124,29 @@ def grow_forest(
 def forest_score(spark: SparkSession, nodes: DataFrame, psi: int, features: Sequence[Column]) -> Column:
     """The score of a row as a column; lower means more anomalous. Only the features travel to Python."""
     table = nodes.toPandas().sort_values(["tree", "node"])  # bounded by trees * 2 * rows per tree
-    forest = [
-        tuple(t[c].to_numpy() for c in ("feature", "threshold", "lo", "hi", "path")) for _, t in table.groupby("tree")
-    ]
+    # one table for all trees: a leaf leads back to itself, so every row takes the same number of steps
+    roots = np.flatnonzero(table["node"].to_numpy() == 0)
+    base = np.repeat(roots, np.diff(np.append(roots, len(table))))
+    inner = table["feature"].to_numpy() >= 0
+    at = np.arange(len(table))
+    child = np.column_stack([np.where(inner, base + table[c].to_numpy(), at) for c in ("lo", "hi")]).ravel()
+    forest = (roots, np.where(inner, table["feature"], 0), table["threshold"].to_numpy(), child, table["path"].to_numpy())
     shared = spark.sparkContext.broadcast(forest)
-    norm = float(average_path(psi))
+    norm, steps = float(average_path(psi)), math.ceil(math.log2(max(psi, 2)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        trees = shared.value
+        roots, feature, threshold, child, path = shared.value
         for pdf in batches:
             x = pdf.to_numpy("float64")
-            total = np.zeros(len(x))
-            for feature, threshold, lo, hi, path in trees:
-                at = np.zeros(len(x), dtype="int64")
-                moving = np.arange(len(x))
-                while len(moving):
-                    node = at[moving]
-                    inner = feature[node] >= 0
-                    moving, node = moving[inner], node[inner]
-                    left = x[moving, feature[node]] <= threshold[node]
-                    at[moving] = np.where(left, lo[node], hi[node])
-                total += path[at]
-            yield pd.Series(-np.power(2.0, -total / len(trees) / norm) if norm > 0 else np.full(len(x), -1.0))
+            mean = np.empty(len(x))
+            for start in range(0, len(x), ROWS_PER_WALK):
+                rows = x[start : start + ROWS_PER_WALK]
+                at = np.tile(roots, (len(rows), 1))
+                for _ in range(steps):
+                    right = ~(np.take_along_axis(rows, feature[at], 1) <= threshold[at])
+                    at = child[2 * at + right]
+                mean[start : start + ROWS_PER_WALK] = path[at].sum(axis=1) / len(roots)
+            yield pd.Series(-np.power(2.0, -mean / norm) if norm > 0 else np.full(len(x), -1.0))
 
     return F.pandas_udf(score, "double")(F.struct(*[f.alias(f"f{i}") for i, f in enumerate(features)]))
 
@@ -171,14 +174,15 @@ def isolation_forest(
     ready = df.select(*[named(k).alias(n) for k, n in zip(key, ks)], *[c.alias(n) for c, n in zip(cells, fs)])
     psi = min(ROWS_PER_TREE, counts["_n"])
     nodes = grow_forest(ready, fs, ks, counts["_n"], trees, ROWS_PER_TREE, seed)
-    # scored once and written: the passes below read the score column alone
+    # the scores alone are written, for the bounds below; the result scores its rows as they are read
+    score = forest_score(df.sparkSession, nodes, psi, cells)
     rows = spread_out(df, counts["_n"])
-    scored = store(rows.withColumn("score", forest_score(df.sparkSession, nodes, psi, cells)), "scored")
+    scored = store(rows.select(score.alias("score")), "scores")
     s = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
     cut = quantiles(scored, {"score": F.col("score")}, [contamination], {"score": counts["_n"]}, one_task_rows)["score"][0]
     flat = s["hi"] <= s["lo"]
     severity = F.lit(0.0) if flat else F.round(1 - (F.col("score") - F.lit(s["lo"])) / F.lit(s["hi"] - s["lo"]), 4)
-    return scored.withColumns({"severity": severity, "is_anomaly": F.col("score") < F.lit(cut)}).withColumn(
+    return rows.withColumn("score", score).withColumns({"severity": severity, "is_anomaly": F.col("score") < F.lit(cut)}).withColumn(
         "status", F.when(F.col("is_anomaly"), "Anomaly").otherwise("Inlier")
     )
 

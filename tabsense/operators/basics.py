@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_null_token, is_padded, named, number, present, strip
+from ..functions.columns import is_null_token, is_padded, is_text, named, number, present, strip
 from ..functions.rounding import half_up
 from .ordering import numeric_quantiles
 
@@ -97,6 +97,14 @@ def null_counts(df: DataFrame) -> DataFrame:
 LONG_TEXT = 64
 
 
+def short_key(c: Column) -> Column:
+    """A text as a grouping key: itself, or its digest where it is long, so that no shuffle moves whole documents.
+
+    The digest is written longer than any text that is kept, so the two never meet.
+    """
+    return F.when(F.length(c) > LONG_TEXT, F.rpad(F.sha2(c, 256), LONG_TEXT + 1, "#")).otherwise(c)
+
+
 def estimate_distinct(c: Column) -> Column:
     """Distinct non-null values, about 1 % off, from a 16 KB sketch of the value hashes."""
     return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), 14))
@@ -105,19 +113,13 @@ def estimate_distinct(c: Column) -> Column:
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """Distinct non-null values per column, in one aggregate.
 
-    Text that is long on average is counted by its 128-bit digest, so the shuffle
-    moves 32 characters per value and not whole documents.
+    Long texts are counted by their digest.
     """
     chosen = list(columns or df.columns)
     cells = {c: present(df, c) for c in chosen}
     if approximate:
         return spread(df.agg(*[estimate_distinct(c).alias(n) for n, c in cells.items()]), chosen, "distinct")
-    texts = [c for c in chosen if df.schema[c].dataType.simpleString() == "string"]
-    if texts:
-        widths = df.agg(*[F.avg(F.length(named(c))).alias(c) for c in texts]).first()
-        for c in texts:
-            if (widths[c] or 0) > LONG_TEXT:
-                cells[c] = F.md5(named(c))
+    cells |= {c: short_key(named(c)) for c in chosen if is_text(df, c)}
     return spread(df.agg(*[F.count_distinct(c).alias(n) for n, c in cells.items()]), chosen, "distinct")
 
 
@@ -145,8 +147,10 @@ def duplicate_facts(df: DataFrame) -> DataFrame:
     """``(duplicates, rows)``: rows beyond the first of each identical set, and all rows.
 
     Copies collapse before the shuffle, so a row repeated many times is no hot key.
+    Long texts are compared by their digest.
     """
-    sets = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    keys = [(short_key(named(c)) if is_text(df, c) else named(c)).alias(f"_k{i}") for i, c in enumerate(df.columns)]
+    sets = df.select(*keys).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("_n"))
     return sets.agg(
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")
     )

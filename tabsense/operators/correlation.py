@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,9 @@ PAIRS = (
     "var1 string, var2 string, n bigint, coefficient double, p_value double, is_significant boolean, "
     "strength string, symbol string"
 )
-# pairs per aggregate: keeps the plan to generated code
-PAIRS_PER_SCAN = 12
+# up to this many pairs are one aggregate in generated code; more of them share one pass of matrix products
+PAIRS_PER_AGGREGATE = 12
+SUMS = ["n", "x", "y", "xx", "yy", "xy"]
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -59,17 +62,69 @@ def _pair_row(a: str, b: str, n: int, r: float | None, alpha: float) -> tuple:
 
 
 def _pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], plain: set[str]) -> list[tuple[int, float | None]]:
-    """``(n, r)`` per pair. ``plain`` columns are known to be complete and not constant."""
-    out = []
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        part = pairs[start : start + PAIRS_PER_SCAN]
-        aggs = []
-        for i, (a, b) in enumerate(part):
-            x, y = number(df, a), number(df, b)
-            r = F.corr(x, y) if a in plain and b in plain else safe_corr(x, y)
-            aggs += [F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}"), r.alias(f"r{i}")]
-        row = df.agg(*aggs).first()
-        out += [(row[f"n{i}"], row[f"r{i}"]) for i in range(len(part))]
+    """``(n, r)`` per pair, in one scan. ``plain`` columns are known to be complete and not constant."""
+    if len(pairs) > PAIRS_PER_AGGREGATE:
+        return _pearson_by_products(df, pairs)
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = number(df, a), number(df, b)
+        r = F.corr(x, y) if a in plain and b in plain else safe_corr(x, y)
+        aggs += [F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}"), r.alias(f"r{i}")]
+    if not aggs:
+        return []
+    row = df.agg(*aggs).first()
+    return [(row[f"n{i}"], row[f"r{i}"]) for i in range(len(pairs))]
+
+
+def _pearson_by_products(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[tuple[int, float | None]]:
+    """``(n, r)`` per pair from the sums over its complete rows.
+
+    Each partition adds up matrix products of its batches, centred on the column means, and
+    gives one row per pair; the pairs are then summed. A side whose smallest and largest value
+    over the complete rows agree is constant, which the sums alone could not tell.
+    """
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    cells = [number(df, c) for c in names]
+    centre = np.array([v or 0.0 for v in df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cells)]).first()])
+    left, right = (np.array([names.index(p[side]) for p in pairs]) for side in (0, 1))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = len(names)
+        sums = {k: np.zeros((size, size)) for k in ("n", "x", "xx", "xy")}
+        low, high = np.full((size, size), np.inf), np.full((size, size), -np.inf)
+        for pdf in batches:
+            raw = pdf.to_numpy("float64") - centre
+            held = ~np.isnan(raw)
+            x, m = np.where(held, raw, 0.0), held.astype("float64")
+            sums["n"] += m.T @ m
+            sums["x"] += x.T @ m
+            sums["xx"] += (x * x).T @ m
+            sums["xy"] += x.T @ x
+            # the smallest and largest of column i over the rows that hold column j
+            full = held.all()
+            for j in range(1 if full else size):
+                rows, to = (raw, slice(None)) if full else (raw[held[:, j]], slice(j, j + 1))
+                if len(rows):
+                    low[:, to] = np.fmin(low[:, to], np.fmin.reduce(rows, axis=0)[:, None])
+                    high[:, to] = np.fmax(high[:, to], np.fmax.reduce(rows, axis=0)[:, None])
+        at, back = (left, right), (right, left)
+        yield pd.DataFrame({
+            "pair": np.arange(len(left)), "n": sums["n"][at], "x": sums["x"][at], "y": sums["x"][back], "xx": sums["xx"][at],
+            "yy": sums["xx"][back], "xy": sums["xy"][at], "lx": low[at], "hx": high[at], "ly": low[back], "hy": high[back],
+        })
+
+    fields = ", ".join(f"{k} double" for k in [*SUMS, "lx", "hx", "ly", "hy"])
+    parts = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).mapInPandas(add, f"pair bigint, {fields}")
+    got = parts.groupBy("pair").agg(
+        *[F.sum(k).alias(k) for k in SUMS], *[f(k).alias(k) for k, f in (("lx", F.min), ("ly", F.min), ("hx", F.max), ("hy", F.max))]
+    ).collect()  # one row per pair of columns
+    out: list[tuple[int, float | None]] = [(0, None)] * len(pairs)
+    for r in got:
+        n, r_ = r["n"], None
+        if n and r["lx"] < r["hx"] and r["ly"] < r["hy"]:
+            spread = (n * r["xx"] - r["x"] ** 2) * (n * r["yy"] - r["y"] ** 2)
+            r_ = (n * r["xy"] - r["x"] * r["y"]) / math.sqrt(spread) if spread > 0 else None
+        out[r["pair"]] = (int(n), r_)
     return out
 
 

@@ -172,7 +172,7 @@ def missing_risk(df: DataFrame) -> DataFrame:
         F.lit(0), F.lit("risk_high_missingness"),
         F.concat(F.lit("Missing values: '"), "column", F.lit("' lacks "), _text(F.col("pct")), F.lit("%")),
         "Quality Risk", F.when(high, "Critical").otherwise("High"), F.when(high, 9.0).otherwise(7.5),
-        {"columns": F.col("columns"), "worst_column": F.col("column"), "worst_null_pct": F.col("pct")},
+        {"missing_columns": F.col("columns"), "worst_column": F.col("column"), "worst_null_pct": F.col("pct")},
     ))
 
 
@@ -229,17 +229,23 @@ def skew_findings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ))
 
 
-def insight_scan(df: DataFrame, max_insights: int = 6) -> DataFrame:
-    """The findings of a table, strongest first. Only the number of findings is limited, not the rows read."""
-    cats, nums = other_columns(df), numeric_columns(df)
+def insight_scan(
+    df: DataFrame, max_insights: int = 6, categories: Sequence[str] | None = None, metrics: Sequence[str] | None = None
+) -> DataFrame:
+    """The findings of a table, strongest first. Only the number of findings is limited, not the rows read.
+
+    ``categories`` and ``metrics`` name the columns that are looked at, all by default;
+    every pair of them shares one scan.
+    """
+    cats, nums = list(categories or other_columns(df)), list(metrics or numeric_columns(df))
     # categories are compared as text; nested columns cannot be grouped that way
     cats = [c for c in cats if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
     parts = [missing_risk(df), duplicate_risk(df)]
     if cats and nums:
-        parts.append(pareto_findings(df, cats[:4], nums[:4]))
-        parts.append(disparity_findings(df, cats[:3], nums[:3]))
+        parts.append(pareto_findings(df, cats, nums))
+        parts.append(disparity_findings(df, cats, nums))
     if nums:
-        parts.append(skew_findings(df, nums[:5]))
+        parts.append(skew_findings(df, nums))
     every = reduce(DataFrame.unionByName, parts)
     return every.orderBy(F.desc("impact"), F.asc("seq")).limit(max_insights).select(*INSIGHT)
 

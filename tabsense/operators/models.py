@@ -26,7 +26,7 @@ from .ordering import numeric_quantiles, value_counts
 CLASSIFICATION, REGRESSION = "classification", "regression"
 MAX_CATEGORIES = 25
 MIN_ROWS = 15
-# class labels are held on the driver; a target with more is not a class label
+# class labels are held on the driver; by default a target with more is not taken for a class label
 MAX_CLASSES = 1000
 ROWS_PER_PARTITION = 20_000
 
@@ -329,10 +329,11 @@ def _row_id(key: Sequence[str]) -> Column:
 
 def run_tournament(
     df: DataFrame, target: str, key: Sequence[str], task: str | None = None, test_share: float = 0.2, seed: int = 42,
-    models: Sequence[str] | None = None,
+    models: Sequence[str] | None = None, max_classes: int = MAX_CLASSES,
 ) -> Tournament:
     """Fit the candidates on the training rows, rank them on the holdout.
 
+    ``max_classes`` bounds the labels of a classification; more of them raise an error.
     The candidates are independent Spark jobs and are submitted together; they
     share one persisted training set, which Spark recomputes if executors go.
     """
@@ -349,9 +350,9 @@ def run_tournament(
     classes = None
     if task == CLASSIFICATION:
         texts = clean.select(named(target).cast("string").alias("c"), named(target).alias("v")).distinct()
-        found = texts.orderBy("v").limit(MAX_CLASSES + 1).collect()
-        if len(found) > MAX_CLASSES:
-            raise ValueError(f"{target!r} has over {MAX_CLASSES} classes")
+        found = texts.orderBy("v").limit(max_classes + 1).collect()
+        if len(found) > max_classes:
+            raise ValueError(f"{target!r} has over {max_classes} classes")
         classes = [r["c"] for r in found]
         label = (F.array_position(F.array(*[F.lit(c) for c in classes]), named(target).cast("string")) - 1).cast("double")
     else:

@@ -221,6 +221,16 @@ def correlation_pairs(spark, folder):
     return correlation.correlation_pairs(_lines(spark, folder), LINE_NUMBERS)
 
 
+WIDE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *LINE_NUMBERS[1:], "rare"]
+WIDE_SQL = "WITH w AS (SELECT *, CASE WHEN l_partkey % 3 = 0 THEN l_quantity + l_tax END AS rare FROM lineitem)"
+
+
+@query("correlation_pairs_wide", sql=WIDE_SQL + pairs_sql("w", WIDE_NUMBERS))
+def correlation_pairs_wide(spark, folder):
+    rare = F.when(F.col("l_partkey") % 3 == 0, F.col("l_quantity") + F.col("l_tax"))
+    return correlation.correlation_pairs(_lines(spark, folder).withColumn("rare", rare), WIDE_NUMBERS)
+
+
 @query("correlation_pairs_with_gaps", sql="WITH j AS (SELECT n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
        + pairs_sql("j", ["n_chars", "quality", "toxic"]))
 def correlation_pairs_with_gaps(spark, folder):

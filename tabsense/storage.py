@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,18 +44,21 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-# a lookup side of up to this many short rows is sent to every executor
+# a lookup side of up to this many rows with texts of up to this many bytes is sent to every executor
 BROADCAST_ROWS = 200_000
+BROADCAST_TEXT = 32 << 20
 
 
 def lookup_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The small side of a join, computed once and counted: broadcast if it fits, else left to a shuffle join.
+    """The small side of a join, computed once and measured: broadcast if it fits, else left to a shuffle join.
 
     A broadcast keeps the large side where it is, so a hot key costs nothing;
     beyond the limit AQE splits the skewed partitions.
     """
     table = materialize(df)
-    return F.broadcast(table) if table.count() <= limit else table
+    texts = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    size = table.agg(F.count(F.lit(1)).alias("rows"), reduce(add, texts, F.lit(0)).alias("bytes")).first()
+    return F.broadcast(table) if size["rows"] <= limit and size["bytes"] <= BROADCAST_TEXT else table
 
 
 # a table of up to this many rows may come as a single split

@@ -190,3 +190,18 @@ def test_large_groups_are_judged_by_all_values(spark):
                        "tail": [draw.expovariate(1) for _ in range(900)], "tiny": [0.0, 0.0, 9.0]})
     got = {r["g"]: r["is_normal"] for r in h.normal_groups(h.observations(df, "g", "x")).collect()}
     assert got == {"few": True, "many": True, "flat": True, "tail": False, "tiny": True}
+
+
+def test_many_pairs_agree_with_single_ones(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    data = pd.DataFrame(draw.normal(size=(300, 5)) + [0, 1e6, -5, 2, 9], columns=list("abcde"))
+    data["e"], data["f"] = 0.1, data["a"] * 2 + data["b"] * 0.1
+    data.loc[::3, "c"] = None
+    data.loc[data["c"].notna(), "d"] = 0.7
+    data["empty_with_a"] = data["a"].where(data["a"] > 9)
+    data.loc[0, "empty_with_a"] = 1.0
+    df = spark.createDataFrame(data.astype(object).where(data.notna(), None), ", ".join(f"{c} double" for c in data.columns)).repartition(3)
+    rows = {(r["var1"], r["var2"]): r.asDict() for r in correlation.correlation_pairs(df).collect()}
+    assert len(rows) == 21 and rows["c", "d"]["coefficient"] is None and rows["a", "e"]["coefficient"] is None
+    monkeypatch.setattr(correlation, "PAIRS_PER_AGGREGATE", 100)
+    assert rows == {(r["var1"], r["var2"]): r.asDict() for r in correlation.correlation_pairs(df).collect()}
