@@ -31,6 +31,26 @@ def anomaly_topk(spark, folder):
     return anomaly.anomaly_topk(_marked(spark, folder), LINE_KEY).withColumn("score", F.round("score", 6))
 
 
+# What must hold for results that SQL cannot compute; the shares are checked against their bounds.
+
+
+@query("isolation_forest_facts", sql="""
+SELECT count(*) AS "rows", count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS keys, 0.0::DOUBLE AS least_severity,
+  1.0::DOUBLE AS most_severity, true AS share_holds, true AS labels_agree, true AS flagged_are_most_severe FROM lineitem""")
+def isolation_forest_facts(spark, folder):
+    flagged = F.col("is_anomaly")
+    facts = _marked(spark, folder).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(*LINE_KEY).alias("keys"), F.min("severity").alias("least_severity"),
+        F.max("severity").alias("most_severity"), F.avg(flagged.cast("double")).alias("share"),
+        F.bool_and(flagged == (F.col("status") == "Anomaly")).alias("labels_agree"),
+        F.min(F.when(flagged, F.col("severity"))).alias("worst"), F.max(F.when(~flagged, F.col("severity"))).alias("rest"),
+    )
+    return facts.select(
+        "rows", "keys", "least_severity", "most_severity", F.col("share").between(0.045, 0.0505).alias("share_holds"),
+        "labels_agree", (F.col("worst") >= F.col("rest")).alias("flagged_are_most_severe"),
+    )
+
+
 TASK_CASE = "CASE WHEN n = 0 THEN NULL WHEN textual OR d <= 2 OR (d <= 10 AND d / n < 0.15) THEN 'classification' ELSE 'regression' END"
 
 
@@ -55,6 +75,19 @@ def holdout_split(spark, folder):
     return models.holdout_split(load(spark, folder, "orders").select("o_orderkey"), ["o_orderkey"])
 
 
+@query("holdout_split_facts", sql="""
+SELECT count(*) AS "rows", count(DISTINCT o_orderkey) AS keys, true AS share_holds, true AS same_after_repartition FROM orders""")
+def holdout_split_facts(spark, folder):
+    orders = load(spark, folder, "orders").select("o_orderkey")
+    one = models.holdout_split(orders, ["o_orderkey"])
+    two = models.holdout_split(orders.repartition(7), ["o_orderkey"]).withColumnRenamed("is_train", "again")
+    return one.join(two, "o_orderkey").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("o_orderkey").alias("keys"),
+        F.avg((~F.col("is_train")).cast("double")).between(0.17, 0.23).alias("share_holds"),
+        F.bool_and(F.col("is_train") == F.col("again")).alias("same_after_repartition"),
+    )
+
+
 GUESS = "CASE WHEN o_totalprice < 150000 THEN 'F' WHEN o_totalprice < 300000 THEN 'O' ELSE 'P' END"
 
 
@@ -136,6 +169,19 @@ def leaderboard_regression(spark, folder):
     return models.run_tournament(parts, "p_retailprice", ["p_partkey"]).leaderboard()
 
 
+@query("leaderboard_facts", sql="""
+SELECT CAST(r AS BIGINT) AS rank, 'regression' AS task, true AS fitted, true AS in_order FROM range(1, 6) AS t(r)""")
+def leaderboard_facts(spark, folder):
+    parts = load(spark, folder, "part").drop("p_name")
+    board = models.run_tournament(parts, "p_retailprice", ["p_partkey"]).leaderboard()
+    # the board holds one row per candidate
+    better = board.select((F.col("rank") + 1).alias("rank"), F.col("r2").alias("above"))
+    return board.join(better, "rank", "left").select(
+        "rank", "task", (F.col("error").isNull() & (F.col("rmse") >= F.col("mae"))).alias("fitted"),
+        F.coalesce(F.col("r2") <= F.col("above"), F.lit(True)).alias("in_order"),
+    )
+
+
 @query("feature_importance")
 def feature_importance(spark, folder):
     return _quality_tournament(spark, folder).feature_importance()
@@ -145,3 +191,16 @@ def feature_importance(spark, folder):
 def batch_score(spark, folder):
     docs = load(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
     return _quality_tournament(spark, folder).score(docs).drop("probabilities")
+
+
+@query("batch_score_facts", sql="""
+SELECT count(*) AS "rows", count(DISTINCT doc_id) AS keys, true AS known_classes, true AS confidence_holds FROM documents""")
+def batch_score_facts(spark, folder):
+    docs = load(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
+    scored = _quality_tournament(spark, folder).score(docs)
+    likeliest = F.element_at("probabilities", F.col("prediction"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("keys"),
+        F.bool_and(F.col("prediction").isin("0", "1")).alias("known_classes"),
+        F.bool_and(F.col("confidence").between(0.5, 1.0) & (likeliest == F.col("confidence"))).alias("confidence_holds"),
+    )

@@ -160,16 +160,6 @@ def shapiro_by_group(spark, folder):
     return hypothesis.shapiro_by_group(_lines(spark, folder), "l_returnflag", PRICES, LINE_KEY)
 
 
-@query("test_recommendation")
-def test_recommendation(spark, folder):
-    return hypothesis.recommend_test(_lines(spark, folder), "l_returnflag", "l_extendedprice", ["A", "R"])
-
-
-@query("test_recommendation_multi")
-def test_recommendation_multi(spark, folder):
-    return hypothesis.recommend_test(load(spark, folder, "orders"), "o_orderpriority", "o_totalprice", None, multi=True)
-
-
 def k2_sql(table: str, c: str) -> str:
     return f"""
 SELECT '{c}' AS "column", CAST(n AS BIGINT) AS n, round(zs * zs + zk * zk, 4) AS statistic, round(exp(-(zs * zs + zk * zk) / 2), 6) AS p_value,
@@ -185,6 +175,38 @@ FROM (SELECT n, m3 / pow(m2, 1.5) AS g1, m4 / (m2 * m2) - 3 AS g2 FROM (SELECT C
   avg(pow({c} - m, 3)) AS m3, avg(pow({c} - m, 4)) AS m4 FROM {table}, (SELECT avg({c}) AS m FROM {table})))))))"""
 
 
+def normal_sql(table: str, g: str, x: str, groups) -> str:
+    """Whether every group looks normal by K-squared, as groups of over 500 values are judged."""
+    each = union_all(k2_sql(f"(SELECT {x} FROM {table} WHERE {g} = '{v}')", x) for v in groups)
+    return f"(SELECT bool_and(is_normal) AS ok FROM ({each}))"
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("test_recommendation", sql=f"""
+SELECT CASE WHEN NOT ok THEN 'mann_whitney' WHEN p > 0.05 THEN 'student' ELSE 'welch' END AS test, ok AS all_normal, p > 0.05 AS equal_variance
+FROM {normal_sql('lineitem', 'l_returnflag', 'l_extendedprice', ['A', 'R'])}, (SELECT p_value AS p FROM ({anova_sql('levene', """
+SELECT l_returnflag AS g, abs(l_extendedprice - med) AS x FROM lineitem JOIN (SELECT l_returnflag AS f,
+  quantile_cont(l_extendedprice, 0.5) AS med FROM lineitem GROUP BY 1) ON f = l_returnflag WHERE l_returnflag IN ('A', 'R')""")}))""")
+def test_recommendation(spark, folder):
+    return hypothesis.recommend_test(_lines(spark, folder), "l_returnflag", "l_extendedprice", ["A", "R"])
+
+
+@query("test_recommendation_multi", sql=f"""
+SELECT CASE WHEN ok THEN 'anova' ELSE 'kruskal' END AS test, ok AS all_normal, CAST(NULL AS BOOLEAN) AS equal_variance
+FROM {normal_sql('orders', 'o_orderpriority', 'o_totalprice', PRIORITIES)}""")
+def test_recommendation_multi(spark, folder):
+    return hypothesis.recommend_test(load(spark, folder, "orders"), "o_orderpriority", "o_totalprice", None, multi=True)
+
+
+@query("shapiro_tested", sql=union_all(f"""
+SELECT '{c}' AS "column", l_returnflag AS "group", least(count({c}), 500) AS tested, true AS in_bounds FROM lineitem GROUP BY 2""" for c in PRICES))
+def shapiro_tested(spark, folder):
+    out = hypothesis.shapiro_by_group(_lines(spark, folder), "l_returnflag", PRICES, LINE_KEY)
+    return out.select("column", "group", "tested", (F.col("statistic").between(0.0, 1.0) & F.col("p_value").between(0.0, 1.0)).alias("in_bounds"))
+
+
 @query("normality", sql=union_all(k2_sql("events", c) for c in ["value", "user_id"]))
 def normality(spark, folder):
     # the switch point is put under the table size, so that all rows enter the moment test

@@ -6,7 +6,7 @@ from oracle_check import compare, connect
 from tabsense.plans.catalog import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"leaderboard", "leaderboard_regression", "feature_importance", "batch_score"}
+SLOW = {"leaderboard", "leaderboard_regression", "feature_importance", "batch_score", "batch_score_facts"}
 
 
 @pytest.fixture(scope="module")
