@@ -23,7 +23,8 @@ HEADLINE = [
     "quantile_bins", "datetime_parts", "histogram", "box_stats", "scatter_density", "ttest_welch", "mann_whitney", "kruskal",
     "levene", "normality", "correlation_pairs", "spearman", "pareto_drivers", "subgroup_disparity", "insight_scan",
     "kpi_scorecard", "isolation_forest", "knn_classify", "classification_metrics", "regression_metrics",
-    "revenue_by_segment", "region_quarter", "top_part", "csv_export_roundtrip",
+    "revenue_by_segment", "region_quarter", "top_part", "csv_export_roundtrip", "leaderboard", "leaderboard_regression",
+    "batch_score",
 ]
 
 

@@ -39,6 +39,13 @@ TIME_FORMATS = [
     ("A99:99:99", "'T'HH:mm:ss[.SSSSSSSSS]"),
 ]
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+# the usual texts, parsed by constant formats
+PLAIN_DAYS = [("9999-99-99", "yyyy-MM-dd"), ("9999/99/99", "yyyy/MM/dd"), ("99/99/9999", "MM/dd/yyyy"), ("99/99/9999", "dd/MM/yyyy")]
+PLAIN_TIMES = [("", ""), (" 99:99:99", " HH:mm:ss"), ("T99:99:99", "'T'HH:mm:ss")]
+# how any other date text begins
+DATE_START = (
+    "(?i)^([0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]|[0-9]{8}\\b|([0-9]{1,2}[ -])?(" + "|".join(m[:3] for m in MONTHS) + ")[a-z]*[-. ])"
+)
 # ----------------------------------------------------------------------------
 
 
@@ -77,22 +84,33 @@ def to_moment(c: Column) -> Column:
     Of two numbers before the year the first is the month, unless it is above 12. A zone is
     cut off: the result is the clock time as written.
     """
-    text = F.regexp_replace(strip(c), r"(:[0-9]{2}(?:\.[0-9]{1,9})?) ?(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2})$", "$1")
+    trimmed = strip(c)
+    # the shape decides the format, so no parse is tried in vain
+    shape = F.translate(trimmed, "012345678", "999999999")
+    month_first = F.substring(trimmed, 1, 2) <= "12"
+    fits = lambda form, day: (shape == form) & (month_first if day.startswith("MM") else F.lit(True))
+    plain = [
+        F.when(fits(form + t, day), F.try_to_timestamp(trimmed, F.lit(day + time)))
+        for form, day in PLAIN_DAYS for t, time in PLAIN_TIMES if not t or form.startswith("9999")
+    ]
+    return F.when(F.length(trimmed).between(8, 40), F.coalesce(*plain, F.when(trimmed.rlike(DATE_START), _other_moment(trimmed))))
+
+
+def _other_moment(trimmed: Column) -> Column:
+    """The moment of a text with single digits, month names, a fraction or a zone; its format is looked up by its shape."""
+    text = F.regexp_replace(trimmed, r"(:[0-9]{2}(?:\.[0-9]{1,9})?) ?(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2})$", "$1")
     # long month names are cut to three letters, single digits filled up to two
     months = "|".join(f"{m[:3]}(?={m[3:]}\\b|\\b)" for m in MONTHS)
     text = F.regexp_replace(text, f"(?i)\\b({months}|sep(?=t\\b))[a-z]*\\.?", "$1")
     text = F.regexp_replace(text, r"(?<![0-9.:])([0-9])(?![0-9])|(?<=[./-])([0-9])(?=[./-])", "0$1$2")
-    # the shape decides the format, so no parse is tried in vain
     shape = F.translate(F.regexp_replace(text, r"(:[0-9]{2})\.[0-9]+$", "$1"), "012345678", "999999999")
     shape = F.regexp_replace(shape, "[A-Za-z]+", "A")
     formats = {d + t: day + time for d, day in DAY_FORMATS for t, time in TIME_FORMATS}
-    known = F.create_map(*[F.lit(x) for pair in formats.items() for x in pair])
-    form = F.try_element_at(known, shape)
+    form = F.try_element_at(F.create_map(*[F.lit(x) for pair in formats.items() for x in pair]), shape)
     # MM/dd becomes dd/MM where the first number cannot be a month
     day_first = shape.rlike("^99[/.-]99[/.-]9999") & (F.substring(text, 1, 2) > "12")
-    form = F.when(day_first, F.concat(F.lit("dd"), F.substring(form, 3, 1), F.lit("MM"), F.substring(form, 6, 40))).otherwise(form)
-    plausible = F.length(strip(c)).between(8, 40) & strip(c).rlike("[0-9]")
-    return F.when(plausible, F.try_to_timestamp(text, form))
+    swapped = F.concat(F.lit("dd"), F.substring(form, 3, 1), F.lit("MM"), F.substring(form, 6, 40))
+    return F.try_to_timestamp(text, F.when(day_first, swapped).otherwise(form))
 
 
 def storage(df: DataFrame, name: str) -> T.DataType:
