@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,21 @@ from .common import slices, texts_of
 
 SEQUENCE = 1024
 END = 2
-VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json: the same ids, several times faster
+VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json, several times faster; the added tokens are only in the JSON
 
 
-def encoder(vocabulary: str = VOCABULARY):
-    """Text to ids; special strings in a text are ordinary text."""
+def library(vocabulary: str = VOCABULARY, added_tokens: bool = True):
+    """The JSON of the same name in the tokenizers library, with its defaults; without ``added_tokens`` special strings are ordinary text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(vocabulary.replace(".tiktoken", ".json")))
+    whole.encode_special_tokens = not added_tokens
+    return whole
+
+
+def encoder(vocabulary: str = VOCABULARY, added: tuple[str, ...] = ()):
+    """Text to ids. A text that holds one of the ``added`` tokens goes through the library, which gives each one id; all else is ordinary text."""
     import base64
 
     import public_tokenizers
@@ -36,7 +47,15 @@ def encoder(vocabulary: str = VOCABULARY):
 
     with open(public_tokenizers.path(vocabulary), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    plain = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    whole = cache(lambda: library(vocabulary, bool(added)))  # read for the first text that needs it
+
+    def encode(text: str) -> list[int]:
+        if any(token in text for token in added):
+            return whole().encode(text, add_special_tokens=False).ids
+        return plain(text)
+
+    return encode
 
 
 def cuts(n: int, limit: int) -> Iterator[tuple[int, int]]:
@@ -47,9 +66,9 @@ def cuts(n: int, limit: int) -> Iterator[tuple[int, int]]:
         start, length = start + length, limit
 
 
-def _pieces(limit: int, vocabulary: str):
+def _pieces(limit: int, vocabulary: str, added: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, added)
         part = TaskContext.get().partitionId()
         seen = np.zeros(limit + 1, np.int64)
         for batch in slices(batches):
@@ -66,9 +85,10 @@ def _pieces(limit: int, vocabulary: str):
     return run
 
 
-def pieces(docs: DataFrame, limit: int = SEQUENCE, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, limit: int = SEQUENCE, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and the row's place among those of its length in its partition."""
-    return texts_of(docs, id_col, text_col).mapInArrow(_pieces(limit, vocabulary), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long")
+    added = tuple(t.content for t in library(vocabulary).get_added_tokens_decoder().values()) if added_tokens else ()
+    return texts_of(docs, id_col, text_col).mapInArrow(_pieces(limit, vocabulary, added), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long")
 
 
 def patterns(limit: int, present: np.ndarray) -> np.ndarray:
@@ -214,14 +234,16 @@ def _placed(slots):
     return run
 
 
-def pack(docs: DataFrame, limit: int = SEQUENCE, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, limit: int = SEQUENCE, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
 
     A document is its ids and one end id; only documents longer than ``limit`` are cut. A null
     or empty text is the end id alone. Repeated rows and null ids are packed like any other
     row, each with its own pieces. Other columns are ignored; an empty table gives none.
+    With ``added_tokens`` the ids are those of the library's defaults: an added token of the
+    vocabulary that stands in a text is one id. Without it such a string is ordinary text.
     """
-    cut = store(pieces(docs, limit, vocabulary, id_col, text_col), "pieces")
+    cut = store(pieces(docs, limit, vocabulary, id_col, text_col, added_tokens), "pieces")
     counts = materialize(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
     histogram = np.zeros(limit + 1)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # as many rows as a sequence has tokens, at most

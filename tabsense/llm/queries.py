@@ -61,7 +61,7 @@ def mixing_sources(spark, folder):
 
 @query("op6_packing")
 def best_fit_packing(spark, folder):
-    return packing.pack(load(spark, folder, "documents"))
+    return packing.pack(load(spark, folder, "documents"), added_tokens=True)
 
 
 @query("op4_lm_scoring")

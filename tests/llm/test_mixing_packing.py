@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 from tabsense.llm import mixing, packing
 from tabsense.llm.common import word_count
-from tabsense.llm.queries import DOMAIN, MIXTURE, PATH
+from tabsense.llm.queries import DOMAIN, MIXTURE, PATH, QUERIES
 from tabsense.storage import load
 
 FOLDER = "/root/testdata/sf0.01"
@@ -138,6 +139,20 @@ def test_packing_edges(spark):
     assert packing.pack(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_queries_take_the_ids_of_the_library_defaults(spark, tmp_path):
+    texts = ["<|endoftext|>", "a  <|endoftext|> b<|endoftext|><|endoftext|>\n", "<|endoftext|" + "x y" * 2000, "x <|endoftext|> y" * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = set()
+    for doc, text in enumerate(texts):
+        ids = own.encode(text, add_special_tokens=False).ids + [2]
+        for piece, (start, length) in enumerate(packing.cuts(len(ids), 1024)):
+            want.add((doc, piece, start, length, zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())))
+    for rows in (QUERIES["op6_packing"](spark, str(tmp_path)), corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path))):
+        assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows.collect()} == want
+
+
 def test_plan_uses_up_any_histogram():
     rng = np.random.default_rng(3)
     for n in (0, 1, 5, 400, 20_000):
