@@ -10,6 +10,7 @@ counts per partition; no piece passes through the driver.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -26,6 +27,7 @@ from .common import slices, texts_of
 SEQUENCE = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json, several times faster; the added tokens are only in the JSON
+LONGEST_SPACE = 100_000  # tiktoken fails on runs of white space of about a million characters
 
 
 def library(vocabulary: str = VOCABULARY, added_tokens: bool = True):
@@ -38,8 +40,17 @@ def library(vocabulary: str = VOCABULARY, added_tokens: bool = True):
     return whole
 
 
+def long_space(text: str) -> bool:
+    """Whether a run of white space is longer than LONGEST_SPACE."""
+    return len(text) > LONGEST_SPACE and any(m.end() - m.start() > LONGEST_SPACE for m in re.finditer(r"\s{2,}", text))
+
+
 def encoder(vocabulary: str = VOCABULARY, added: tuple[str, ...] = ()):
-    """Text to ids. A text that holds one of the ``added`` tokens goes through the library, which gives each one id; all else is ordinary text."""
+    """Text to ids; the ``added`` tokens are one id each, all else is ordinary text.
+
+    A text that holds an added token, or a run of white space on which the regex of tiktoken
+    would overflow its stack, goes through the library.
+    """
     import base64
 
     import public_tokenizers
@@ -51,7 +62,7 @@ def encoder(vocabulary: str = VOCABULARY, added: tuple[str, ...] = ()):
     whole = cache(lambda: library(vocabulary, bool(added)))  # read for the first text that needs it
 
     def encode(text: str) -> list[int]:
-        if any(token in text for token in added):
+        if any(token in text for token in added) or long_space(text):
             return whole().encode(text, add_special_tokens=False).ids
         return plain(text)
 

@@ -153,6 +153,12 @@ def test_queries_take_the_ids_of_the_library_defaults(spark, tmp_path):
         assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows.collect()} == want
 
 
+def test_very_long_white_space(spark):
+    docs = [(1, " " * 2_000_000), (2, "a" + "\n" * 1_200_000 + " b"), (3, " x" * 200_000 + " " * 100_001 + "x")]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    check_packing(docs, rows)
+
+
 def test_plan_uses_up_any_histogram():
     rng = np.random.default_rng(3)
     for n in (0, 1, 5, 400, 20_000):
