@@ -96,12 +96,26 @@ class Matcher:
             phrase, label, _ = self.notices[i]
             seen, at = 0, 0  # words before ``at``
             for begin, end in runs:
-                for m in self.patterns[i].finditer(line, max(begin, 0), min(end, len(line))):
-                    if m.start() < m.end():
-                        seen, at = seen + line.count(" ", at, m.start()), m.start()
-                        out.append(Found(label, seen, seen + m.group().count(" ") + 1, sum(m.fuzzy_counts), len(phrase)))
+                for m in self.occurrences(i, line, max(begin, 0), min(end, len(line))):
+                    seen, at = seen + line.count(" ", at, m.start()), m.start()
+                    out.append(Found(label, seen, seen + m.group().count(" ") + 1, sum(m.fuzzy_counts), len(phrase)))
         return out
 
+    def occurrences(self, i: int, line: str, begin: int, end: int) -> Iterator[regex.Match]:
+        """The best match of a stretch, and those before and behind it, from left to right.
+
+        The library gives the first of the best matches and goes on behind it; what stands
+        before it has more errors, so the nesting is never deeper than the errors allowed.
+        """
+        phrase, _, k = self.notices[i]
+        for m in self.patterns[i].finditer(line, begin, end):
+            if m.start() < m.end():
+                before = m.start() - 1  # without the space, so that the stretch ends with a word
+                if before - begin >= len(phrase) - k:
+                    yield from self.occurrences(i, line, begin, before)
+                yield m
+                begin = m.end()
+
 
 def exact_places(words: list[str]) -> list[tuple[int, str]]:
     """(first word, label) of every place where the words of a base phrase stand in a row."""

@@ -126,6 +126,22 @@ def test_licenses_against_the_definition(spark):
     assert labels[-2][0] == "apache" and 0.9 < labels[-2][1] < 1 and labels[-4][0] == "mit" and labels[-3] == ("", 0.0)
 
 
+def test_adjacent_notices_are_all_found():
+    cases = {
+        "mit lisense mit license": ["mit:0:2:1", "mit:2:4:0"],
+        "mit lisense or mit license": ["mit:0:2:1", "mit:3:5:0"],
+        "mit license mit lisense mit license": ["mit:0:2:0", "mit:2:4:1", "mit:4:6:0"],
+        "genral public license general public license": ["gpl:0:3:1", "gpl:3:6:0"],
+        "genrl public license genral public license general public license": ["gpl:0:3:2", "gpl:3:6:1", "gpl:6:9:0"],
+        "all right reserved all rights reserved": ["reserved:0:3:1", "reserved:3:6:0"],
+        "mit licens mit license": ["mit:0:2:1", "mit:2:4:0"],
+        "mit license": ["mit:0:2:0"],
+    }
+    for text, want in cases.items():
+        found = licenses.Matcher().find(text.split())
+        assert [f"{f.label}:{f.start}:{f.end}:{f.errors}" for f in found] == want, text
+
+
 def test_personal_data_against_the_patterns(spark):
     docs = [(r["doc_id"], r["text"]) for r in load(spark, "/root/testdata/sf0.01", "documents").collect()] + ODD
     docs += [(-1, "a@b.c, a@b@c.de x@y 1.2.3.4.5 256.1.1.1 001.02.3.4 " + "9" * 5000 + ".1.1.1"), (-2, "+1 (988) 555-2485 and later (988) 555-2485"), (-3, "4387 5130 3523 7269; 4387-5130-3523-7260"), (-4, "@" * 3000), (-5, "1 " * 3000)]
