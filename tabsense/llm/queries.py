@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import load, store
-from . import bbit_minhash, content_sort, interpolation, licenses, mixing, packing, preferences, quality_ledger, skip_chain, warc
+from . import bbit_minhash, content_sort, filter_audit, interpolation, licenses, mixing, packing, preferences, quality_ledger, skip_chain, turn_repair, warc
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,13 @@ def warc_derivatives(spark, folder):
 @query("op8_preference_formatting", preferences.SQL)
 def preference_formatting(spark, folder):
     return preferences.format_pairs(preferences.swapped_replies(load(spark, folder, "conversations")))
+
+
+@query("op12_conversation_repair", turn_repair.SQL)
+def conversation_repair(spark, folder):
+    return turn_repair.repair(load(spark, folder, "conversations"))
+
+
+@query("op13_filter_audit", filter_audit.SQL)
+def filter_interactions(spark, folder):
+    return filter_audit.audit(load(spark, folder, "documents"), load(spark, folder, "labels"))
