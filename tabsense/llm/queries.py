@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import load, store
-from . import bbit_minhash, content_sort, filter_audit, interpolation, licenses, mixing, packing, preferences, quality_ledger, skip_chain, turn_repair, warc
+from . import bbit_minhash, content_sort, filter_audit, interpolation, latent_neighbours, licenses, mixing, packing, preferences, quality_ledger, skip_chain, turn_repair, warc
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ def preference_formatting(spark, folder):
     return preferences.format_pairs(preferences.swapped_replies(load(spark, folder, "conversations")))
 
 
+@query("op11_quality_votes")
+def quality_votes(spark, folder):
+    return latent_neighbours.score(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
 @query("op12_conversation_repair", turn_repair.SQL)
 def conversation_repair(spark, folder):
     return turn_repair.repair(load(spark, folder, "conversations"))
