@@ -1,11 +1,13 @@
 """Exact duplicates by sorting whole normalised texts.
 
-Rows are dealt to ranges of the normalised text by sampled splitters, sorted inside
-each range by Spark's external sort, and equal neighbours, compared in full, form a
-group. The splitters see the first characters, a hash of the lower-cased text and a
-salt, all of them short, so the driver's sample does not grow with the texts; the
-salt lets splitters fall inside a large group of copies. The parts of such a group
-meet again in a small aggregate over their digests.
+Rows are dealt to ranges of the normalised text by sampled splitters and sorted inside each
+range by Spark's external sort, so equal texts lie side by side, and a group is a run of
+neighbours that are equal in full. The splitters see the first characters and a hash of the
+lower-cased text, both short, so the driver's sample does not grow with the texts.
+
+Only a text whose hash stands in over PART_ROWS rows, as counted before, gets a salt, by
+which splitters can fall inside its group. Each part then keeps one row, with its text, and
+these few rows are sorted and compared with their neighbours in full in turn.
 """
 
 from __future__ import annotations
@@ -13,41 +15,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize, store
-from .common import ascii_lower
+from ..storage import store
+from .common import ascii_lower, sized_side
 
 HEAD = 32
-SALTS = 1024
+PART_ROWS = 1_000  # a larger group is sorted in parts of about so many rows
+MOST_PARTS = 1_024
 
 
-def _neighbours(rows: DataFrame, largest: bool) -> DataFrame:
-    """Adds _sha, _best, _n and _place (1: stays, as far as this part of its group goes) to (_id, _text, ...)."""
-    ranged = rows.select(
-        "*",
-        ascii_lower(F.left(F.col("_text"), F.lit(HEAD))).alias("_head"),
-        F.xxhash64(F.lower(F.col("_text"))).alias("_tie"),
-        F.pmod(F.xxhash64(F.col("_id")), F.lit(SALTS)).alias("_salt"),
-    ).repartitionByRange("_head", "_tie", "_salt")
+def _source(docs: DataFrame, id_col: str, text_col: str, body: Column) -> DataFrame:
+    return docs.select(body, F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("_tie"))
+
+
+def _neighbours(rows: DataFrame, text: Column, largest: bool) -> DataFrame:
+    """Adds to (_id, _tie, ...) _sha and what the run of equal neighbours tells: _best, _n, _place (1: stays).
+
+    _parts is null where the run is the whole group; else _salt names the part, and its row
+    that stays carries the text in _kept_text. ``text`` is read off the other columns.
+    """
+    text, count = F.coalesce(text, F.lit("")), F.count(F.lit(1))
+    hot = sized_side(rows.groupBy("_tie").agg(count.alias("_rows")).where(F.col("_rows") > PART_ROWS).select("_tie", F.least(F.ceil(F.col("_rows") / PART_ROWS), F.lit(MOST_PARTS)).alias("_parts")))
+    number = F.xxhash64(F.coalesce("_id", F.monotonically_increasing_id()))  # rows with one id share a part, rows without an id are spread
+    ranged = rows.join(hot, "_tie", "left").withColumns({
+        "_head": ascii_lower(F.left(text, F.lit(HEAD))),
+        "_salt": F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(number, F.col("_parts"))),
+    }).repartitionByRange("_head", "_tie", "_salt")
     same = Window.partitionBy("_head", "_tie", "_salt", "_norm").orderBy(_order(largest))
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        ranged.withColumn("_norm", ascii_lower(F.col("_text")))
+        ranged.withColumn("_norm", ascii_lower(text))
         .withColumn("_place", F.row_number().over(same))
         .withColumn("_best", F.first("_id").over(whole))
-        .withColumn("_n", F.count(F.lit(1)).over(whole))
+        .withColumn("_n", count.over(whole))
         .withColumn("_sha", F.sha2(F.col("_norm"), 256))
-        .drop("_norm", "_head", "_tie", "_salt")
+        .withColumn("_kept_text", F.when(F.col("_parts").isNotNull() & (F.col("_place") == 1), F.col("_norm")))
+        .drop("_norm", "_head")
     )
 
 
-def _order(largest: bool) -> Column:
-    return F.col("_id").desc_nulls_last() if largest else F.col("_id").asc_nulls_last()
+def _order(largest: bool, id_col: str = "_id") -> Column:
+    return F.col(id_col).desc_nulls_last() if largest else F.col(id_col).asc_nulls_last()
 
 
-def _merged(parts: DataFrame, largest: bool) -> DataFrame:
-    """Of groups that lie in several parts: the digest, the row that stays and the number of rows."""
-    best = F.max("_best") if largest else F.min("_best")
-    return parts.groupBy("_sha").agg(best.alias("_keep"), F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1").drop("_parts")
+def _merged(local: DataFrame, largest: bool) -> DataFrame:
+    """Of the parts of large groups, by part and text: the id that stays, the rows of the group, and whether the part has the row that stays."""
+    same = Window.partitionBy("_tie", "_kept_text").orderBy(_order(largest, "_best"), "_salt")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return sized_side(local.where("_kept_text is not null").select(
+        "_tie", "_salt", "_sha", F.first("_best").over(whole).alias("_keep"), F.sum("_n").over(whole).alias("_size"), (F.row_number().over(same) == 1).alias("_first")))
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -59,23 +74,26 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     columns are ignored; an empty table gives an empty result.
     """
     largest = _largest(keep)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    local = store(_neighbours(rows, largest).drop("_text"), "content-sort")
-    multi = materialize(_merged(local.where("_place = 1"), largest))
-    keep_id = F.when(F.col("_size").isNull(), F.col("_best")).otherwise(F.col("_keep"))
-    return local.join(multi, "_sha", "left").select(
-        F.col("_id").alias("doc_id"), keep_id.alias("keep_id"), F.coalesce("_size", "_n").alias("group_size"),
-        ((F.col("_place") == 1) & F.col("_id").eqNullSafe(keep_id)).alias("kept"), F.col("_sha").alias("text_sha256"),
+    rows = _source(docs, id_col, text_col, F.col(text_col).alias("_text"))
+    local = store(_neighbours(rows, F.col("_text"), largest).drop("_text"), "content-sort")
+    rows = local.drop("_kept_text").join(_merged(local, largest), ["_tie", "_salt", "_sha"], "left")
+    whole = F.col("_parts").isNull()
+    return rows.select(
+        F.col("_id").alias("doc_id"), F.when(whole, F.col("_best")).otherwise(F.col("_keep")).alias("keep_id"), F.when(whole, F.col("_n")).otherwise(F.col("_size")).alias("group_size"),
+        ((F.col("_place") == 1) & (whole | F.col("_first"))).alias("kept"), F.col("_sha").alias("text_sha256"),
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows that stay, with all their columns as they came. Nulls and ties as in ``duplicate_groups``."""
+    """The rows that stay, with all their columns as they came. Nulls and ties as in ``duplicate_groups``.
+
+    The rows that stay in their part are written once; only parts of large groups meet again.
+    """
     largest = _largest(keep)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    local = _neighbours(rows, largest).drop("_text").where("_place = 1")
-    stays = F.col("_size").isNull() | F.col("_id").eqNullSafe(F.col("_keep"))
-    return local.join(_merged(local.select("_sha", "_best", "_n"), largest), "_sha", "left").where(stays).select("_row.*")
+    rows = _source(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    local = store(_neighbours(rows, F.col("_row")[text_col], largest).where("_place = 1"), "content-sort")
+    rows = local.drop("_kept_text").join(_merged(local, largest), ["_tie", "_salt", "_sha"], "left")
+    return rows.where("_parts is null or _first").select("_row.*")
 
 
 def _largest(keep: str) -> bool:

@@ -47,7 +47,9 @@ def test_ledger_edges(spark):
     assert table["base", "few_words"]["n_rows"] == len(ODD) and table["base", "repeated_windows"]["n_failed"] == 2
 
 
-def test_exact_duplicates_edges(spark):
+@pytest.mark.parametrize("part_rows", [1, 1_000])
+def test_exact_duplicates_edges(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(content_sort, "PART_ROWS", part_rows)
     for keep in ("smallest", "largest"):
         rows = content_sort.duplicate_groups(odd(spark), keep=keep).collect()
         groups = defaultdict(list)
@@ -63,6 +65,23 @@ def test_exact_duplicates_edges(spark):
     assert content_sort.duplicate_groups(odd(spark, [])).count() == 0
 
 
+def test_neighbours_decide_all_copies(spark):
+    docs = load(spark, "/root/testdata/sf0.01", "documents")
+    by_sort = content_sort._neighbours(content_sort._source(docs, "doc_id", "text", F.col("text")), F.col("text"), True)
+    texts = Counter(re.sub("[A-Z]", lambda m: m.group().lower(), r["text"] or "") for r in docs.select("text").collect())
+    copies = sum(n - 1 for n in texts.values())
+    assert copies > 50 and by_sort.where("_place > 1 and _parts is null").count() == copies
+
+
+def test_large_groups_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(content_sort, "PART_ROWS", 7)
+    rows = [(i % 90, "Same " * 50 if i % 3 else "other", "w", "r", "k") for i in range(300)] + [(None, "SAME " * 50, "w", "r", "k")] * 40 + [(500 + i, f"t{i}", "w", "r", "k") for i in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    out = content_sort.duplicate_groups(docs, keep="largest").collect()
+    assert Counter((r["group_size"], r["keep_id"]) for r in out if r["group_size"] > 1) == {(240, 89): 240, (100, 87): 100}
+    assert sum(r["kept"] for r in out) == 22 and content_sort.drop_copies(docs, keep="largest").count() == 22
+
+
 def test_a_large_group_of_copies_meets_across_salts(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("copy")).otherwise(F.col("id").cast("string")).alias("text"))
     rows = content_sort.duplicate_groups(docs, keep="largest").where("keep_id = 4998").agg(F.count(F.lit(1)), F.sum(F.col("kept").cast("int")), F.min("group_size")).first()
