@@ -208,6 +208,36 @@ def csv_load(spark, folder):
     return delimited.load_delimited(spark, path)
 
 
+@query("csv_split_records", sql="""
+SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_name || chr(10) || 'says "' || c_mktsegment || '", twice' ELSE c_mktsegment END AS note FROM customer""")
+def csv_split_records(spark, folder):
+    """One file whose records cross its chunks."""
+    path = new_folder(spark, "csv")
+    said = F.concat("c_name", F.lit('\nsays "'), "c_mktsegment", F.lit('", twice'))
+    rows = load(spark, folder, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 2 == 0, said).otherwise(F.col("c_mktsegment")).alias("note"))
+    rows.coalesce(1).write.options(header=True, escape='"').csv(path)
+    return delimited.load_delimited(spark, path, chunk_bytes=16_000)
+
+
+@query("csv_mixed_folder", sql="""
+SELECT o_orderkey, o_custkey, CASE o_orderkey % 3 WHEN 0 THEN 'é ' || o_orderstatus WHEN 1 THEN 'ü ' || o_orderstatus ELSE 'ö' || chr(10) || o_orderstatus END AS name,
+  CASE WHEN o_orderkey % 3 = 1 THEN NULL ELSE o_totalprice END AS price FROM orders""")
+def csv_mixed_folder(spark, folder):
+    """Files of one folder with their own encoding, delimiter, columns and order of columns."""
+    path = new_folder(spark, "csv")
+    orders = load(spark, folder, "orders")
+    name = lambda head: F.concat(F.lit(head), "o_orderstatus").alias("name")
+    price = F.col("o_totalprice").alias("price")
+    kinds = [
+        (["o_orderkey", "o_custkey", name("é "), price], {"sep": ","}),
+        (["o_custkey", name("ü "), "o_orderkey"], {"sep": ";", "encoding": "ISO-8859-1"}),
+        ([price, name("ö\n"), "o_orderkey", "o_custkey"], {"sep": "\t"}),
+    ]
+    for i, (columns, options) in enumerate(kinds):
+        orders.where(F.col("o_orderkey") % 3 == i).select(*columns).write.options(header=True, escape='"', **options).mode("append").csv(path)
+    return delimited.load_delimited(spark, path)
+
+
 @query("csv_export_roundtrip", sql="SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag FROM lineitem")
 def csv_export_roundtrip(spark, folder):
     path = new_folder(spark, "export")

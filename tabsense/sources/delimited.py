@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import re
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import named, strip, to_number
+from .records import CHUNK_BYTES, decoded, file_facts, files_with_open_lines, lines_of, split_records
 
 # fixed values
 DELIMITERS = [",", "\t", ";", "|"]
-SNIFF_LINES = 50
 NA_VALUES = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
     "NULL", "NaN", "None", "n/a", "nan", "null",
@@ -39,24 +42,6 @@ def sniff_delimiter(lines: list[str]) -> str:
     return best
 
 
-def _inspect(lines: DataFrame) -> tuple[str, list[str], bool]:
-    """Encoding, the files in which a quoted cell holds a line break, and whether those are all files; one scan.
-
-    UTF-8 when every line is valid UTF-8, else Latin-1, which accepts any byte. A record that
-    goes over several lines starts with a line with an odd number of quotes.
-    """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    files = lines.groupBy("file").agg(
-        F.bool_or(~F.is_valid_utf8("value")).alias("bytes"), F.bool_or(quotes % 2 == 1).alias("open")
-    )
-    # one entry per file: no more than the reader lists itself
-    row = files.agg(
-        F.bool_or("bytes").alias("bytes"), F.collect_list(F.when(F.col("open"), F.col("file"))).alias("open"),
-        F.count(F.lit(1)).alias("files"),
-    ).first()
-    return "ISO-8859-1" if row["bytes"] else "UTF-8", row["open"], len(row["open"]) == row["files"]
-
-
 def _too_long(raw: Column, delimiter: str, width: int) -> Column:
     """Whether a record holds something behind its last column; empty trailing cells do not count."""
     sep = re.escape(delimiter)
@@ -64,44 +49,87 @@ def _too_long(raw: Column, delimiter: str, width: int) -> Column:
     return F.exists(F.slice(F.split(bare, sep), width + 1, 1_000_000), lambda cell: cell != "")
 
 
-def read_text_table(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
-    """All columns as text. Records with too many fields are dropped, short ones padded with null.
+@dataclass(frozen=True)
+class Layout:
+    """What the files of a group have in common."""
+
+    encoding: str
+    delimiter: str
+    header: bytes
+    open: bool  # a quoted cell holds a line break
 
-    Files are split over tasks, but for those with line breaks inside quoted cells: each of
-    these is read by one task, as only its beginning tells where its records start.
+
+def layouts(lines: DataFrame, delimiter: str | None, encoding: str | None) -> dict[Layout, list[str]]:
+    """The files of each layout, those with the first file first.
+
+    A file is UTF-8 if every line of it is, else Latin-1, which accepts any byte. One entry
+    per file reaches the driver, no more than the reader lists itself.
     """
-    try:
-        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.length("value") > 0)
-        head = [r["value"] for r in lines.limit(SNIFF_LINES).collect()]
-    except AnalysisException as e:
-        raise SourceError(f"nothing to read at {path}") from e
-    if not head:
-        raise SourceError("no records below the header")
-    found, broken, all_broken = _inspect(lines)
-    delimiter = delimiter or sniff_delimiter(head)
-    common = {"sep": delimiter, "encoding": encoding or found, "escape": '"', "header": "true"}
-    names = spark.read.options(**common, multiLine=bool(broken)).csv(path).columns
-    # the reader numbers repeated names; blanks and a byte-order mark are cut off here
-    names = [n.replace("\ufeff", "").strip() for n in names]
+    facts = file_facts(lines, sniff_delimiter, delimiter).collect()
+    quoted: dict[str, list[str]] = {}
+    for f in facts:
+        if f["quotes"]:
+            quoted.setdefault(f["delimiter"], []).append(f["file"])
+    broken = {file for d, files in quoted.items() for file in files_with_open_lines(_only(lines, files, len(facts)), d)}
+    groups: dict[Layout, list[str]] = {}
+    for f in sorted(facts, key=lambda f: f["file"]):
+        key = Layout(encoding or ("UTF-8" if f["valid"] else "ISO-8859-1"), f["delimiter"], bytes(f["header"]), f["file"] in broken)
+        groups.setdefault(key, []).append(f["file"])
+    return groups
+
+
+def _only(rows: DataFrame, files: list[str], of: int, column: Column | None = None) -> DataFrame:
+    """Rows of some files; the reader leaves the other files unread."""
+    return rows if len(files) == of else rows.where((F.col("file") if column is None else column).isin(files))
+
+
+def _names(header: str, delimiter: str) -> list[str]:
+    """Column names: cut of blanks, empty ones by place, repeated ones numbered by place."""
+    raw = next(csv.reader([header], delimiter=delimiter), [])
+    names = [n.replace("\ufeff", "").strip() for n in raw]
+    lower = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if lower.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
+def _read_layout(spark: SparkSession, path: str, lines: DataFrame, layout: Layout, files: list[str], of: int, chunk_bytes: int) -> DataFrame:
+    names = _names(layout.header.decode(layout.encoding, "replace").rstrip("\r"), layout.delimiter)
     cells = [f"c{i}" for i in range(len(names))]
     fields = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "_raw"]])
-
-    def read(lines_in_cells: bool) -> DataFrame:
-        # a reader that skips columns would not see that a record is too long
-        options = {**common, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw", "columnPruning": False}
-        return spark.read.schema(fields).options(**options, multiLine=lines_in_cells).csv(path)
-
-    if broken and not all_broken:
-        inside = F.col("_metadata.file_path").isin(broken)
-        rows = read(False).where(~inside).unionByName(read(True).where(inside))
+    # a reader that skips columns would not see that a record is too long
+    options = {"sep": layout.delimiter, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"}
+    if layout.open:
+        records = split_records(_only(lines, files, of), layout.delimiter, chunk_bytes).where(~F.col("first"))
+        rows = records.select(F.from_csv(decoded("record", layout.encoding), fields.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
     else:
-        rows = read(bool(broken))
+        reader = spark.read.schema(fields).options(**options, encoding=layout.encoding, header="true", columnPruning=False)
+        rows = _only(reader.csv(path), files, of, F.col("_metadata.file_path"))
     # the text of a record is given only when its number of fields is wrong; the reader
     # refuses a scan of that text alone, hence the first cell in the condition
-    fits = F.col("_raw").isNull() | (F.length(F.concat_ws("", F.col("c0"))) < 0) | ~_too_long(F.col("_raw"), delimiter, len(names))
+    fits = F.col("_raw").isNull() | (F.length(F.concat_ws("", F.col("c0"))) < 0) | ~_too_long(F.col("_raw"), layout.delimiter, len(names))
     return rows.where(fits).select(*cells).toDF(*names)
 
 
+def read_text_table(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """All columns as text. Records with too many fields are dropped, short ones padded with null.
+
+    Every file has its own encoding, delimiter and header. Files that agree are read together;
+    the groups are put below each other by column name, in the order of the first file, and
+    what a file does not have is null there. All files are split over tasks, also those with
+    line breaks inside quoted cells. Lines end with a line feed, with or without a carriage
+    return.
+    """
+    try:
+        lines = lines_of(spark, path)
+        groups = layouts(lines, delimiter, encoding)
+    except AnalysisException as e:
+        raise SourceError(f"nothing to read at {path}") from e
+    if not groups:
+        raise SourceError("no records below the header")
+    of = sum(map(len, groups.values()))
+    tables = [_read_layout(spark, path, lines, layout, files, of, chunk_bytes) for layout, files in groups.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def _with_na(c: Column) -> Column:
     """Null for a cell that is exactly one of the NA texts; a padded one stays text."""
     return F.when(~c.isin(NA_VALUES), c)
@@ -134,9 +162,9 @@ def infer_types(df: DataFrame) -> DataFrame:
     return text.withColumns(out) if out else text
 
 
-def load_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
+def load_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """A file or a folder of files with header lines, typed."""
-    df = read_text_table(spark, path, delimiter, encoding)
+    df = read_text_table(spark, path, delimiter, encoding, chunk_bytes)
     if df.isEmpty():
         raise SourceError("no records below the header")
     return infer_types(df)

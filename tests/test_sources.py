@@ -1,10 +1,11 @@
 """Delimited text in, CSV and JSON out."""
 
 import json
+import random
 
 import pytest
 
-from tabsense.sources import delimited, sinks
+from tabsense.sources import delimited, records, sinks
 from tabsense.operators.quality import clean_table, types_of
 
 
@@ -103,3 +104,73 @@ def test_sinks(spark, tmp_path):
     assert delimited.load_delimited(spark, str(tmp_path / "out")).count() == 10
     sinks.write_tables({"all": df}, str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report/all")).count() == 600
+
+
+def test_files_of_one_folder_in_their_own_ways(spark, tmp_path):
+    write(tmp_path, "id,name,n\n1,é,5\n", name="1.csv")
+    write(tmp_path, "name;id\né;2\nz;3\n", "latin1", "2 b.csv")
+    write(tmp_path, 'id\tname\tnote\n4\t"a\tb"\t"x\ny"\n', name="3[c].csv")
+    write(tmp_path, "﻿id,name,n\r\n5,w,7\r\n6,v,\r\n", name="4.csv")
+    write(tmp_path, "\n\n", name="5.csv")
+    df = delimited.load_delimited(spark, str(tmp_path))
+    assert df.columns == ["id", "name", "n", "note"] and df.count() == 6
+    rows = sorted(map(tuple, df.collect()))
+    assert rows == [(1, "é", 5, None), (2, "é", None, None), (3, "z", None, None), (4, "a\tb", None, "x\ny"), (5, "w", 7, None), (6, "v", None, None)]
+
+
+def plain_records(text, d=","):
+    """Lines joined while a cell is open, character by character."""
+    out, held, state = [], "", "F"
+    for ch in text:
+        if ch == "\n" and state != "Q":
+            out.append(held)
+            held, state = "", "F"
+            continue
+        held += ch
+        if state == "Q":
+            state = "C" if ch == '"' else "Q"
+        elif ch == d:
+            state = "F"
+        elif ch == '"' and state in "FC":
+            state = "Q"
+        else:
+            state = "U"
+    return [r for r in [*out, held] if r.strip("\r")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_records_across_splits(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    pieces = ['a,b', '"x\ny"', '"""', ',', '\n', '\n', 'z', '"', '""', ',"q', '5" pipe,', '"u"v"w', "\n\n", "é"]
+    text = "id,v\n" + "".join(rng.choice(pieces) for _ in range(3_000)) + "z"
+    path = write(tmp_path, text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        lines = records.lines_of(spark, path)
+        assert lines.rdd.getNumPartitions() > 4
+        got = records.split_records(lines, ",", chunk_bytes=200).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(bytes(r["record"]).decode() for r in got) == sorted(plain_records(text))
+    assert [bytes(r["record"]) for r in got if r["first"]] == [b"id,v"]
+
+
+def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
+    text = "k,note\n" + "".join(f'{i},"line {i}\nand ""{i}"", more"\n' if i % 3 else f"{i},plain\n" for i in range(4_000))
+    path = write(tmp_path, text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = delimited.read_text_table(spark, path)
+        assert records.lines_of(spark, path).rdd.getNumPartitions() >= 5
+        rows = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
+    assert rows == sorted(map(tuple, whole.collect())) and len(rows) == 4_000
+
+
+def test_an_unclosed_cell_goes_to_the_end(spark, tmp_path):
+    df = delimited.read_text_table(spark, write(tmp_path, 'a,b\n1,x\n2,"y\n3,z\n'))
+    assert sorted(map(tuple, df.collect())) == [("1", "x"), ("2", "y\n3,z")]
