@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..storage import store
 
-SHARD_BYTES = 8_000_000  # text of a shard, about; a longer text is a shard of its own
+SHARD_BYTES = 4_000_000  # text of a shard, about; a longer text is a shard of its own
 FILTERS = "ABCDE"
 BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
 MIN_WORDS, MIN_DISTINCT, MAX_UPPER = 50, 65, 5
@@ -86,18 +86,33 @@ def _shards(shard_bytes: int):
     return run
 
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """(word, word_id) of the distinct values of ``word``, numbered from 0 without gaps, written once.
-
-    Each partition numbers its own words from its offset; only one count per partition is
-    brought together.
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the distinct words of a sorted partition; each is named where it comes first."""
+    part, last, number = TaskContext.get().partitionId(), None, -1
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = batch["word"]
+        new = np.r_[last is None or words[0].as_py() != last, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)]
+        numbers = number + np.cumsum(new)
+        number, last = int(numbers[-1]), words[-1].as_py()
+        named = pc.if_else(pa.array(new), words, pa.scalar(None, words.type))
+        yield pa.RecordBatch.from_arrays([batch["shard"], batch["local"], named, pa.array(np.full(len(new), part, np.int64)), pa.array(numbers)], ["shard", "local", "word", "part", "number"])
+
+
+def dictionary(own: DataFrame) -> DataFrame:
+    """(shard, local, word, word_id) of the words of all shards; word is set in one row of each distinct word, as its entry in the dictionary.
+
+    Words are dealt by their hash and sorted, each partition numbers its own from its
+    offset, so numbers run from 0 without gaps; only one count per partition is brought
+    together. Equal words have equal numbers, whatever task is run again.
     """
-    place = F.monotonically_increasing_id()
-    own = store(words.select("word").distinct().select("word", F.shiftright(place, 33).alias("_p"), place.bitwiseAND((1 << 33) - 1).alias("_i")), "dictionary")
-    sizes = sorted(own.groupBy("_p").count().collect())
-    firsts = np.r_[0, np.cumsum([n for _, n in sizes])]
-    offsets = own.sparkSession.createDataFrame([(p, int(first)) for (p, _), first in zip(sizes, firsts)], "_p long, _first long")
-    return own.join(F.broadcast(offsets), "_p").select("word", (F.col("_first") + F.col("_i")).alias("word_id"))
+    sorted_ = own.repartition("word").sortWithinPartitions("word")
+    numbered = store(sorted_.mapInArrow(_numbered, "shard long, local int, word binary, part long, number long"), "dictionary")
+    sizes = sorted(numbered.groupBy("part").agg(F.max("number")).collect())
+    firsts = np.r_[0, np.cumsum([n + 1 for _, n in sizes])]
+    offsets = own.sparkSession.createDataFrame([(p, int(first)) for (p, _), first in zip(sizes, firsts)], "part long, _first long")
+    return numbered.join(F.broadcast(offsets), "part").select("shard", "local", "word", (F.col("_first") + F.col("number")).alias("word_id"))
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +143,8 @@ def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shards = store(rows.mapInArrow(_shards(shard_bytes), SHARD), "shards")
     own = shards.select("shard", F.posexplode("words").alias("local", "word"))
     words = dictionary(own)
-    numbered = own.join(words, "word").groupBy("shard").agg(F.collect_list(F.struct("local", "word_id")).alias("ids"))
-    return words, shards.drop("words").join(numbered, "shard", "left").mapInArrow(_rewrite, MATRIX)
+    numbered = words.groupBy("shard").agg(F.collect_list(F.struct("local", "word_id")).alias("ids"))
+    return words.where("word is not null").select("word", "word_id"), shards.drop("words").join(numbered, "shard", "left").mapInArrow(_rewrite, MATRIX)
 
 
 def _row_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
