@@ -3,33 +3,40 @@
 Patterns give the base spans. The field then looks at the tokens that hold a digit or an
 at sign; all others are fixed to "outside". Neighbouring tokens share a potential, and so
 do distant tokens of the same text that repeat or resemble each other (same letters and
-digits, same last digits, same mail domain), so a number that is sure in one place is
-found again where it is written with less around it. Loopy message passing gives each
+digits, same last digits, same name before the at sign). Loopy message passing gives each
 token's label; runs of one label that no base span touches are added as spans.
 
-The weights are learned by pseudo-likelihood on a sample of at most TRAIN_DOCS texts, with
-the labels that the patterns give.
+The weights are learned by pseudo-likelihood on a sample of at most TRAIN_DOCS texts. What
+the patterns are sure of teaches the labels. To teach the ties, each sure span is written
+once more behind its text without its cue (a phone number without its plus, a card number
+in dots, a mail address cut at its domain), labelled as the span, and twice with other
+digits, labelled outside. So the looks of such a token decide little, and whether
+it repeats a sure one decides.
 """
 
 from __future__ import annotations
 
 import re
 import string
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, texts_of
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")  # tokens and keys that are named as such; found by the field only
 LABELS = ("outside", *KINDS)
 TRAIN_DOCS = 2_000
 TRAIN_TOKENS = 200  # of one text, for training only
-SURE = 0.9
-LEAST_DIGITS = {"email": 0, "ip": 4, "card": 12, "phone": 7}
+SURE = 0.6  # least probability of an added span
+LEAST = {"email": 3, "ip": 4, "card": 12, "phone": 7, "secret": 16}  # letters and digits, for the middle three digits only
 
 # fixed values: the base patterns
 LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
@@ -76,69 +83,94 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-N_FEATURES = 34
+SECRET = re.compile(r"""(?i)\b(?:token|secret|api[_-]?key|password)["' ]{0,3}[=:]["' ]{0,3}([A-Za-z0-9_+/-]{16,})""")
+CUE = re.compile(r"""(?i)(?:token|secret|api[_-]?key|password)["' ]{0,3}[=:]["' ]{0,3}\Z""")
+
+
+def secrets(text: str) -> list[Span]:
+    """Values that are named as secrets."""
+    return [(m.start(1), m.end(1), KINDS.index("secret")) for m in SECRET.finditer(text)]
+
+
+def sure_spans(text: str) -> list[Span]:
+    """What the patterns are sure of: it teaches the labels, and is known when a text is read."""
+    return sorted([*base_spans(text), *secrets(text)])
+
+
+OWN = 30  # features of a token by itself; behind them those by its neighbours
+N_FEATURES = OWN + 6
+CHUNK = 100_000  # tokens or edges that are worked on at once
 
 
 class Field:
-    """The graph of one text: candidate tokens, their features and the edges between them."""
+    """The graph of one text: candidate tokens, their features and the edges between them.
+
+    Held in arrays, some 150 bytes a token, so that a very long text fits; the tokens
+    themselves stay in the text.
+    """
 
     def __init__(self, text: str, most: int | None = None) -> None:
-        self.spans = []
-        for m in _tokens(text):
-            self.spans.append(m)
-            if most and len(self.spans) >= most:
+        starts, ends, own, sizes, marks = array("q"), array("q"), array("B"), array("B"), array("B")
+        keys, holders = array("Q"), array("q")
+        for i, (s, e) in enumerate(_tokens(text)):
+            token = text[s:e]
+            on = _own_features(token, CUE.search(text, max(0, s - 20), s + (token[:1] in "\"'")) is not None)
+            starts.append(s)
+            ends.append(e)
+            own.extend(on)
+            sizes.append(len(on))
+            marks.append(("+" in token) + 2 * ("(" in token) + 4 * ("-" in token))
+            for key in _keys(token):
+                keys.append(xxhash.xxh3_64_intdigest(key))
+                holders.append(i)
+            if most and i + 1 >= most:
                 break
-        self.tokens = [text[s:e] for s, e in self.spans]
-        n = len(self.tokens)
+        get = lambda a, kind: np.frombuffer(a, kind) if len(a) else np.zeros(0, kind)
+        self.starts, self.ends, self.own, self.sizes = get(starts, np.int64), get(ends, np.int64), get(own, np.uint8), get(sizes, np.uint8)
+        n = len(self.starts)
         # neighbours: nothing but space characters between them
-        self.joined = np.array([b[0] - a[1] < 4 and all(map(_space, text[a[1] : b[0]])) for a, b in zip(self.spans, self.spans[1:])], bool)
-        own = [_own_features(t) for t in self.tokens]
-        self.features = np.zeros((n, N_FEATURES), np.float32)
-        for i, on in enumerate(own):
-            self.features[i, on] = 1
-            if i and self.joined[i - 1]:
-                self.features[i, 26] = "+" in self.tokens[i - 1]
-                self.features[i, 27] = "(" in self.tokens[i - 1]
-                self.features[i, 28] = 1
-            if i + 1 < n and self.joined[i]:
-                self.features[i, 29] = "(" in self.tokens[i + 1]
-                self.features[i, 30] = "-" in self.tokens[i + 1]
-                self.features[i, 31] = 1
-        chain = [(i, i + 1) for i in np.flatnonzero(self.joined)]
+        self.joined = np.array([b - a < 4 and all(map(_space, text[a:b])) for a, b in zip(ends[:-1], starts[1:])], bool)
+        mark, before, after = get(marks, np.uint8), np.r_[False, self.joined][:n], np.r_[self.joined, False][:n]
+        left, right = np.r_[np.uint8(0), mark][:n], np.r_[mark[1:], np.uint8(0)][:n]
+        self.near = np.stack([before & (left & 1 > 0), before & (left & 2 > 0), before, after & (right & 2 > 0), after & (right & 4 > 0), after], axis=1)
         # each token is tied to the last one before it with the same key, so a token repeated n times has n - 1 ties
-        last: dict[tuple[str, str], int] = {}
-        skip: set[tuple[int, int]] = set()
-        for i, token in enumerate(self.tokens):
-            for key in _keys(token):
-                before = last.get(key)
-                if before is not None and not (i - before == 1 and self.joined[before]):
-                    skip.add((before, i))
-                last[key] = i
-        self.edges = np.array([*chain, *sorted(skip)], np.int64).reshape(-1, 2)
-        self.kinds = np.array([0] * len(chain) + [1] * len(skip), np.int64)
+        key, holder = get(keys, np.uint64), get(holders, np.int64)
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        ties = np.stack([holder[order][:-1][same], holder[order][1:][same]], axis=1)
+        ties = np.unique(ties[ties[:, 0] < ties[:, 1]], axis=0)
+        ties = ties[~((ties[:, 1] - ties[:, 0] == 1) & np.r_[self.joined, False][ties[:, 0]])] if n else ties
+        chain = np.flatnonzero(self.joined)
+        self.edges = np.concatenate([np.stack([chain, chain + 1], axis=1), ties]).astype(np.int32)
+        self.kinds = np.repeat(np.array([0, 1], np.int8), [len(chain), len(ties)])
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def features(self, start: int = 0, end: int | None = None) -> np.ndarray:
+        end = len(self) if end is None else end
+        out = np.zeros((end - start, N_FEATURES), np.float32)
+        at = np.r_[0, np.cumsum(self.sizes, dtype=np.int64)]
+        out[np.repeat(np.arange(end - start), self.sizes[start:end]), self.own[at[start] : at[end]]] = 1
+        out[:, OWN:] = self.near[start:end]
+        return out
+
+    def scores(self, unary: np.ndarray) -> np.ndarray:
+        parts = [self.features(i, min(i + CHUNK, len(self))) @ unary.astype(np.float32) for i in range(0, len(self), CHUNK)]
+        return np.concatenate(parts) if parts else np.zeros((0, unary.shape[1]), np.float32)
 
     def labels(self, spans: list[Span]) -> np.ndarray:
-        """Labels that the base spans give to the tokens."""
-        out = np.zeros(len(self.tokens), np.int64)
-        at = 0
-        for i, (s, e) in enumerate(self.spans):
-            while at < len(spans) and spans[at][1] <= s:
-                at += 1
-            for span in spans[at:]:
-                if span[0] >= e:
-                    break
-                if span[1] > s:
-                    out[i] = 1 + span[2]
-                    break
+        """Labels that the spans give to the tokens they touch; of several the first."""
+        out = np.zeros(len(self), np.int64)
+        for s, e, kind in reversed(spans):
+            out[np.searchsorted(self.ends, s, "right") : np.searchsorted(self.starts, e)] = 1 + kind
         return out
 
 
 def _tokens(text: str) -> Iterator[tuple[int, int]]:
     """Whitespace tokens that hold a digit or an at sign, in one pass over the text."""
-    end = 0
-    for m in re.finditer(r"[0-9@]", text):
-        if m.start() < end:
-            continue
+    end, mark = 0, re.compile("[0-9@]")
+    while m := mark.search(text, end):
         s, e = m.start(), m.end()
         while s > end and not _space(text[s - 1]):
             s -= 1
@@ -152,7 +184,7 @@ def _space(c: str) -> bool:
     return c == " " or "\t" <= c <= "\r"
 
 
-def _own_features(token: str) -> list[int]:
+def _own_features(token: str, cue: bool) -> list[int]:
     digits = "".join(c for c in token if c in string.digits)
     core = token.strip(string.punctuation)
     parts = core.split(".")
@@ -163,38 +195,82 @@ def _own_features(token: str) -> list[int]:
         core.isdecimal(), any(c.isalpha() for c in token), len(parts) == 4 and all(p.isdecimal() and len(p) <= 3 for p in parts),
         "." in core, "-" in core, "=" in token, any(c.isupper() for c in token) and n > 0, 12 <= n <= 19 and luhn(digits), 12 <= n <= 19 and not luhn(digits),
         len(core) > 19, re.fullmatch(r"[0-9]{3}-[0-9]{4}", core) is not None, re.fullmatch(r"[0-9]{4}", core) is not None, len(parts) == 4,
+        cue, len(core) >= 16 and core.isalnum() and not core.isdecimal(), len(parts) == 4 and all(len(p) == 4 for p in parts), core.count("-") == 3,
     )
     return on + [9 + i for i, t in enumerate(tests) if t]
 
 
-def _keys(token: str) -> list[tuple[str, str]]:
+def _keys(token: str) -> list[str]:
     core = "".join(c for c in token.lower() if c.isalnum())
     digits = "".join(c for c in token if c in string.digits)
-    out = [("core", core)] if len(core) >= 3 else []
-    if len(digits) >= 7:
-        out.append(("digits", digits[-7:]))
+    out = ["core " + core] if len(core) >= 3 else []
+    if len(digits) >= 7 and digits == core:
+        out.append("digits " + digits[-7:])
     if "@" in token:
-        out.append(("mail", token.lower().strip(string.punctuation)))
+        out.append("at " + token.lower().partition("@")[0].lstrip(string.punctuation))
     return out
 
 
-def train(features: np.ndarray, labels: np.ndarray, edges: np.ndarray, kinds: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Token weights and one potential table per kind of edge, by gradient ascent on the pseudo-likelihood."""
+def without_cue(kind: int, found: str) -> str:
+    """A span as it may be written again, such that no base pattern sees it."""
+    digits = "".join(c for c in found if c in string.digits)
+    if KINDS[kind] == "email":
+        name, _, domain = found.partition("@")
+        return f"{name}@{domain.partition('.')[0]}"
+    if KINDS[kind] == "ip":
+        return found.replace(".", "-")
+    if KINDS[kind] == "card":
+        return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if KINDS[kind] == "phone":
+        area, rest = digits[-10:-7], digits[-7:]
+        return (f"{area}{rest}", f"({area}) {rest[:3]}-{rest[3:]}", f"{area}-{rest[:3]}-{rest[3:]}")[zlib.crc32(found.encode()) % 3]
+    return found
+
+
+_OTHER = str.maketrans(string.digits + "abcdef", "3456789012" + "cdefab")
+
+
+def lesson(text: str, most: int = TRAIN_TOKENS) -> tuple[Field, np.ndarray]:
+    """The field of the beginning of a text with its sure spans written again, and the labels."""
+    first = Field(text, most)
+    text = text[: first.ends[-1]] if len(first) else ""
+    spans = [x for x in sure_spans(text)][:most]
+    labels = list(spans)
+    for s, e, kind in spans:
+        again = without_cue(kind, text[s:e])
+        for said in (again, *[again.translate(_OTHER)] * 2):
+            text += " and "
+            if said is again and not any(a < len(said) and b > 0 for a, b, _ in base_spans(said)):
+                labels.append((len(text), len(text) + len(said), kind))
+            text += said
+    labels += base_spans(text)
+    field = Field(text)
+    return field, field.labels(sorted(set(labels)))
+
+
+def train(features: np.ndarray, labels: np.ndarray, edges: np.ndarray, kinds: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Token weights and one potential table per kind of edge, by gradient ascent.
+
+    The aim is the likelihood of each label given its token alone, plus that given the labels
+    tied to it as well: token weights that leaned on the ties would be lost without them.
+    """
     n, k = len(labels), len(LABELS)
     unary, pair = np.zeros((features.shape[1], k)), np.zeros((2, k, k))
     state = [np.zeros_like(unary), np.zeros_like(unary), np.zeros_like(pair), np.zeros_like(pair)]
     gold = np.eye(k)[labels]
     ends = np.concatenate([edges, edges[:, ::-1]]) if len(edges) else np.empty((0, 2), np.int64)
     both = np.concatenate([kinds, kinds])
+
+    def missing(logits: np.ndarray) -> np.ndarray:
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        return (gold - p / p.sum(axis=1, keepdims=True)) / n
+
     for r in range(1, rounds + 1):
-        logits = features @ unary
-        table = pair + pair.transpose(0, 2, 1)
-        np.add.at(logits, ends[:, 0], table[both, labels[ends[:, 1]]])
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        miss = (gold - p) / n
-        g_unary = features.T @ miss - 2e-4 * unary
+        alone = features @ unary
+        tied = alone.copy()
+        np.add.at(tied, ends[:, 0], (pair + pair.transpose(0, 2, 1))[both, labels[ends[:, 1]]])
+        miss = missing(tied)
+        g_unary = features.T @ (missing(alone) + miss) - 2e-4 * unary
         g_pair = np.zeros_like(pair)
         np.add.at(g_pair, (both, labels[ends[:, 1]]), miss[ends[:, 0]])
         g_pair = g_pair - 2e-4 * pair
@@ -208,30 +284,44 @@ def train(features: np.ndarray, labels: np.ndarray, edges: np.ndarray, kinds: np
     return unary, pair + pair.transpose(0, 2, 1)
 
 
-def marginals(field: Field, unary: np.ndarray, table: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Label probabilities by loopy sum-product message passing, all edges at once, half damped."""
-    own = field.features @ unary
+def marginals(field: Field, unary: np.ndarray, table: np.ndarray, known: np.ndarray | None = None, rounds: int = 20) -> np.ndarray:
+    """Label probabilities by loopy sum-product message passing, all edges at once, half damped.
+
+    A token with a label above 0 in ``known`` has that label.
+    """
+    own = field.scores(unary)
+    if known is not None and known.any():
+        at = np.flatnonzero(known)
+        own[at] = -30
+        own[at, known[at]] = 0
     own -= own.max(axis=1, keepdims=True)
-    if len(field.edges):
+    if e := len(field.edges):
         source = np.concatenate([field.edges[:, 0], field.edges[:, 1]])
         target = np.concatenate([field.edges[:, 1], field.edges[:, 0]])
-        e = len(field.edges)
-        back = np.r_[np.arange(e, 2 * e), np.arange(e)]
-        weight = np.exp(np.clip(table, -8, 8))[np.r_[field.kinds, field.kinds]]
-        message = np.zeros((2 * e, len(LABELS)))
+        weight = np.exp(np.clip(table, -8, 8)).astype(np.float32)
+        kinds = np.concatenate([field.kinds, field.kinds])
+        message = np.zeros((2 * e, own.shape[1]), np.float32)
+
+        def total() -> np.ndarray:
+            out = own.copy()
+            for k in range(own.shape[1]):
+                out[:, k] += np.bincount(target, message[:, k], len(own))
+            return out
+
         for _ in range(rounds):
-            belief = own.copy()
-            np.add.at(belief, target, message)
-            leaving = belief[source] - message[back]
-            leaving = np.exp(leaving - leaving.max(axis=1, keepdims=True))
-            new = np.log(np.einsum("ea,eab->eb", leaving, weight))
-            new -= new.max(axis=1, keepdims=True)
-            change = np.abs(new - message).max()
-            message = 0.5 * message + 0.5 * new
+            belief, change = total(), 0.0
+            before = message.copy()
+            for s in range(0, 2 * e, CHUNK):
+                part = slice(s, min(s + CHUNK, 2 * e))
+                leaving = belief[source[part]] - before[(np.arange(part.start, part.stop) + e) % (2 * e)]
+                leaving = np.exp(leaving - leaving.max(axis=1, keepdims=True))
+                new = np.log(np.einsum("ea,eab->eb", leaving, weight[kinds[part]]))
+                new -= new.max(axis=1, keepdims=True)
+                change = max(change, float(np.abs(new - message[part]).max()))
+                message[part] = 0.5 * message[part] + 0.5 * new
             if change < 1e-4:
                 break
-        own = own.copy()
-        np.add.at(own, target, message)
+        own = total()
         own -= own.max(axis=1, keepdims=True)
     p = np.exp(own)
     return p / p.sum(axis=1, keepdims=True)
@@ -240,28 +330,27 @@ def marginals(field: Field, unary: np.ndarray, table: np.ndarray, rounds: int =
 def added_spans(text: str, base: list[Span], weights: tuple[np.ndarray, np.ndarray]) -> list[Span]:
     """Runs of one label that no base span touches, without the punctuation around them."""
     field = Field(text)
-    if not field.tokens:
+    if not len(field):
         return []
-    p = marginals(field, *weights)
+    p = marginals(field, *weights, known=field.labels(sorted([*base, *secrets(text)])))
     label = np.where(p.max(axis=1) >= SURE, p.argmax(axis=1), 0)
-    taken = field.labels(base) > 0
-    label[taken] = 0
-    out, i, n = [], 0, len(label)
-    while i < n:
-        j = i + 1
-        if label[i]:
-            while j < n and label[j] == label[i] and field.joined[j - 1] and "\n" not in text[field.spans[j - 1][1] : field.spans[j][0]]:
-                j += 1
-            s, e = field.spans[i][0], field.spans[j - 1][1]
-            while s < e and text[s] in string.punctuation and text[s] not in "+(":
-                s += 1
-            while e > s and text[e - 1] in string.punctuation:
-                e -= 1
-            kind = LABELS[label[i]]
-            digits = sum(c in string.digits for c in text[s:e])
-            if s < e and digits >= LEAST_DIGITS[kind] and (kind != "email" or "@" in text[s:e]):
-                out.append((s, e, label[i] - 1))
-        i = j
+    label[field.labels(base) > 0] = 0
+    out, at = [], -1
+    for i in np.flatnonzero(label):
+        if i <= at:
+            continue
+        j = at = int(i)
+        while j + 1 < len(label) and label[j + 1] == label[i] and field.joined[j] and "\n" not in text[field.ends[j] : field.starts[j + 1]]:
+            j = at = j + 1
+        s, e = int(field.starts[i]), int(field.ends[j])
+        while s < e and text[s] in string.punctuation and text[s] not in "+(":
+            s += 1
+        while e > s and text[e - 1] in string.punctuation:
+            e -= 1
+        kind = KINDS[label[i] - 1]
+        held = sum(c in string.digits or (c.isalnum() and kind in ("email", "secret")) for c in text[s:e])
+        if held >= LEAST[kind] and (kind != "email" or "@" in text[s:e]):
+            out.append((s, e, int(label[i]) - 1))
     return out
 
 
@@ -269,8 +358,8 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
         for text in batch["text"].to_pylist():
-            field = Field(text, TRAIN_TOKENS)
-            rows.append((np.packbits(field.features.astype(np.uint8)).tobytes(), field.labels(base_spans(text)).tolist(), field.edges.ravel().tolist(), field.kinds.tolist()))
+            field, labels = lesson(text)
+            rows.append((np.packbits(field.features().astype(np.uint8)).tobytes(), labels.tolist(), field.edges.ravel().tolist(), field.kinds.tolist()))
         kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["features", "labels", "edges", "kinds"])
 
@@ -278,7 +367,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """Weights from the ``most`` texts with a candidate token that have the smallest hashes.
 
-    At most ``most`` * TRAIN_TOKENS tokens reach the driver, as bits.
+    At most ``most`` * TRAIN_TOKENS tokens and their copies reach the driver, as bits.
     """
     order = F.xxhash64("doc_id", "text")
     fit = texts_of(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]"))
@@ -304,26 +393,27 @@ def _find(weights: tuple[np.ndarray, np.ndarray]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         write = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2], x[1])))
-        names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"]
-        kinds = [pa.int64()] * 5 + [pa.string()] * 2
+        names = ["doc_id", *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans", "n_spans"]
+        kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
         for batch in slices(batches):
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 base = base_spans(text)
                 more = added_spans(text, base, weights)
-                counts = [sum(k == i for _, _, k in base) for i in range(len(KINDS))]
-                rows.append((doc, *counts, hashlib.sha256(write(base).encode()).hexdigest(), write(base + more)))
+                counts = [sum(k == i for _, _, k in base) for i in range(len(BASE_KINDS))]
+                rows.append((doc, *counts, hashlib.sha256(write(base).encode()).hexdigest(), write(base + more), len(base + more)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return run
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans of every row.
 
-    Counts and the digest are those of the base patterns; spans has them and what the field adds.
+    Counts and the digest are those of the base patterns; spans, as many as n_spans, has them
+    and what the field adds.
     A null or empty text has no spans. Repeated rows and null ids give a row each, other columns
     are ignored, an empty table gives none. Without ``weights`` they are learned on ``docs``.
     """
     weights = weights or learn(docs, id_col, text_col)
-    return texts_of(docs, id_col, text_col).mapInArrow(_find(weights), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return texts_of(docs, id_col, text_col).mapInArrow(_find(weights), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")

@@ -179,12 +179,34 @@ def test_personal_data_against_the_patterns(spark):
     assert skip_chain.find(odd(spark, [])).count() == 0
 
 
-def test_repeated_tokens_share_their_label(spark):
-    unary, table = skip_chain.learn(load(spark, "/root/testdata/sf0.1", "documents"))
-    field = skip_chain.Field("+1 (988) 555-2485 and later (988) 555-2485")
-    alone = table.copy()
-    alone[1] = 0  # without the ties between distant tokens
-    assert (skip_chain.marginals(field, unary, table)[3:, 4] > skip_chain.marginals(field, unary, alone)[3:, 4]).all()
+AGAIN = [
+    ("call +1 (988) 555-2485 now. Later 9885552485 again", "only 9885552485 here", "phone"),
+    ("+1 (988) 555-2485 and later (988) 555-2485", "only (988) 555-2485 here", "phone"),
+    ("id 97.51.17.173 y 97-51-17-173 z", "only 97-51-17-173 here", "ip"),
+    ("und.34@mail7.example.com then und.34@mail7 twice", "only und.34@mail7 here", "email"),
+    ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" then 04dbebab91ab85687d33eeaaf9ac699e1188f962', "only 04dbebab91ab85687d33eeaaf9ac699e1188f962 here", "secret"),
+]
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    return skip_chain.learn(load(spark, "/root/testdata/sf0.1", "documents"))
+
+
+@pytest.mark.parametrize("text,bare,kind", AGAIN)
+def test_ties_decide(spark, weights, text, bare, kind):
+    """A token that repeats a sure one gets a span; it has none by itself, nor with the ties cut."""
+    unary, table = weights
+    cut = table.copy()
+    cut[1] = 0
+    spans = lambda t, w: [(skip_chain.KINDS[k], t[s:e]) for s, e, k in skip_chain.added_spans(t, skip_chain.base_spans(t), w)]
+    with_ties, without = spans(text, weights), spans(text, (unary, cut))
+    assert with_ties[-1][0] == kind and len(with_ties) == len(without) + 1 and not spans(bare, weights)
+    head, _, tail = text.rpartition(" ")
+    far = f"{head} {'word ' * 30_000}{tail}" if kind != "phone" else text
+    assert [x[0] for x in spans(far, weights)] == [x[0] for x in with_ties]
+    got = skip_chain.find(odd(spark, [(1, text), (2, bare)]), weights=weights).collect()
+    assert [r["n_spans"] for r in sorted(got, key=lambda r: r["doc_id"])] == [len(with_ties) + len(skip_chain.base_spans(text)), 0]
 
 
 def test_message_passing_is_exact_on_a_chain():
@@ -192,12 +214,31 @@ def test_message_passing_is_exact_on_a_chain():
 
     rng = np.random.default_rng(1)
     field = skip_chain.Field("1 2 3")
-    unary, table = rng.normal(size=(skip_chain.N_FEATURES, 5)), rng.normal(size=(2, 5, 5))
+    k = len(skip_chain.LABELS)
+    unary, table = rng.normal(size=(skip_chain.N_FEATURES, k)), rng.normal(size=(2, k, k))
     table = table + table.transpose(0, 2, 1)
-    own = np.exp(field.features @ unary)
-    joint = np.einsum("a,b,c,ab,bc->abc", own[0], own[1], own[2], np.exp(table[0]), np.exp(table[0]))
-    joint /= joint.sum()
-    assert np.allclose(skip_chain.marginals(field, unary, table, 80), [joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))], atol=1e-3)
+    for known in (None, np.array([0, 0, 2])):
+        own = np.exp(field.features() @ unary)
+        if known is not None:
+            own[2] = np.eye(k)[2]
+        joint = np.einsum("a,b,c,ab,bc->abc", own[0], own[1], own[2], np.exp(table[0]), np.exp(table[0]))
+        joint /= joint.sum()
+        want = [joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))]
+        assert np.allclose(skip_chain.marginals(field, unary, table, known, 80), want, atol=1e-3)
+
+
+def test_long_texts_of_numbers(weights):
+    import time
+    import tracemalloc
+
+    text = "\n".join(str(10**9 + i * 7919) for i in range(100_000)) + " +1 (988) 555-2485 " + "x " * 200_000 + "9885552485"
+    tracemalloc.start()
+    start = time.time()
+    found = skip_chain.added_spans(text, skip_chain.base_spans(text), weights)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert [text[s:e] for s, e, _ in found] == ["9885552485"]
+    assert peak < 100e6 and time.time() - start < 120
 
 
 def test_preferences_edges(spark):
