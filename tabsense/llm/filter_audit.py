@@ -1,10 +1,12 @@
 """How text filters interact, read off a sparse document-term matrix.
 
-The texts become shards of a document-term matrix in compressed sparse rows. Every shard
-first numbers its own words; the distinct words of all shards then get one global number
-each, and the shards are rewritten to it. A frequent word therefore travels once per
-shard, not once per place, and no word's documents ever meet in one task. A row's sum is
-the number of words of a text, its nonzero count the number of distinct words.
+The texts become shards of a document-term matrix in compressed sparse rows, with the words
+of each shard beside them. A word's global number in the dictionary is its 64-bit hash; the
+dictionary lists the distinct words of all shards by that number, which shows the numbers
+that two words share, and those words get numbers of their own. So shards are numbered
+where they lie: only distinct words travel, a frequent word once per shard, and no word's
+documents ever meet in one task. A row's sum is the number of words of a text, its nonzero
+count the number of distinct words.
 
 Flags that are no matter of words are attached per document. From there on only counts
 travel: documents per part and pattern of failed filters, of which there are at most 32
@@ -22,6 +24,7 @@ from math import factorial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,114 +40,107 @@ _UPPER = string.ascii_uppercase.encode()
 
 SHARD = "shard long, doc_ids array<long>, parts array<string>, flags array<int>, digests array<binary>, indptr array<int>, indices array<int>, counts array<int>, words array<binary>"
 MATRIX = "shard long, doc_ids array<long>, parts array<string>, flags array<int>, digests array<binary>, indptr array<int>, indices array<long>, counts array<int>"
-_ARROW = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
+MATRIX_NAMES = [f.split(" ")[0] for f in MATRIX.split(", ")]
 
 
-def _batch(schema: str, values: list) -> pa.RecordBatch:
-    fields = [f.split(" ") for f in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([v], _ARROW[kind]) for v, (_, kind) in zip(values, fields)], [name for name, _ in fields])
+def _one(values: pa.Array | np.ndarray | list, kind: pa.DataType) -> pa.Array:
+    """A column of one row that holds all the values."""
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
 
 
-def _encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """indptr, indices, counts and words of some texts, the words numbered as they come."""
     lists = pc.ascii_split_whitespace(texts)
     flat = lists.flatten()
     row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
     full = pc.not_equal(flat, "")  # space at either end of a text leaves an empty word
     coded = flat.filter(full).dictionary_encode()
-    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    cells = row[full.to_numpy(zero_copy_only=False)] * max(len(words), 1) + coded.indices.to_numpy()
-    cells, counts = np.unique(cells, return_counts=True)
-    row, column = np.divmod(cells, max(len(words), 1))
-    return np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))], column, counts, words
+    n = max(len(coded.dictionary), 1)
+    cells = np.sort(row[full.to_numpy(zero_copy_only=False)] * n + coded.indices.to_numpy())
+    first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
+    row, column = np.divmod(cells[first], n)
+    counts = np.diff(np.r_[first, len(cells)])
+    return np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))], column, counts, coded.dictionary
 
 
-def _shard(number: int, rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
-    raw = [text.encode("utf-8", "surrogatepass") for _, _, text in rows]
+def _shard(number: int, ids: list, parts: list, texts: list[bytes], lengths: list[int]) -> pa.RecordBatch:
     flags = [
-        (BIT["C"] if 100 * (len(b) - len(b.translate(None, _UPPER))) > MAX_UPPER * len(text) else 0) + (BIT["D"] if len(b.translate(None, SYMBOLS)) < len(b) else 0)
-        for b, (_, _, text) in zip(raw, rows)
+        (BIT["C"] if 100 * (len(t) - len(t.translate(None, _UPPER))) > MAX_UPPER * n else 0) + (BIT["D"] if len(t.translate(None, SYMBOLS)) < len(t) else 0)
+        for t, n in zip(texts, lengths)
     ]
-    indptr, indices, counts, words = _encode(pa.array([text for _, _, text in rows], pa.large_string()))
-    digests = [hashlib.sha256(b).digest() for b in raw]
-    return _batch(SHARD, [number, [d for d, _, _ in rows], [p for _, p, _ in rows], flags, digests, indptr, indices, counts, words])
+    indptr, indices, counts, words = _encode(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    digests = [hashlib.sha256(t).digest() for t in texts]
+    columns = [pa.array([number]), _one(ids, pa.int64()), _one(parts, pa.string()), _one(flags, pa.int32()), _one(digests, pa.binary())]
+    columns += [_one(v, pa.int32()) for v in (indptr, indices, counts)] + [_one(words, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, [f.split(" ")[0] for f in SHARD.split(", ")])
 
 
 def _shards(shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size, rows = TaskContext.get().partitionId() << 32, 0, []
+        number, size, held = TaskContext.get().partitionId() << 32, 0, ([], [], [], [])
         for batch in batches:
-            for doc, part, text in zip(*(batch[c] for c in ("doc_id", "part", "text"))):
-                rows.append((doc.as_py(), part.as_py(), text.as_py()))
-                size += len(rows[-1][2])
+            lengths = pc.utf8_length(batch["text"]).to_pylist()
+            for row in zip(batch["doc_id"].to_pylist(), batch["part"].to_pylist(), batch["text"].cast(pa.binary()), lengths):
+                text = row[2].as_py()
+                for column, value in zip(held, (row[0], row[1], text, row[3])):
+                    column.append(value)
+                size += len(text)
                 if size >= shard_bytes:
-                    yield _shard(number, rows)
-                    number, size, rows = number + 1, 0, []
-        if rows:
-            yield _shard(number, rows)
+                    yield _shard(number, *held)
+                    number, size, held = number + 1, 0, ([], [], [], [])
+        if held[0]:
+            yield _shard(number, *held)
 
     return run
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers the distinct words of a sorted partition; each is named where it comes first."""
-    part, last, number = TaskContext.get().partitionId(), None, -1
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        words = batch["word"]
-        new = np.r_[last is None or words[0].as_py() != last, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)]
-        numbers = number + np.cumsum(new)
-        number, last = int(numbers[-1]), words[-1].as_py()
-        named = pc.if_else(pa.array(new), words, pa.scalar(None, words.type))
-        yield pa.RecordBatch.from_arrays([batch["shard"], batch["local"], named, pa.array(np.full(len(new), part, np.int64)), pa.array(numbers)], ["shard", "local", "word", "part", "number"])
-
-
-def dictionary(own: DataFrame) -> DataFrame:
-    """(shard, local, word, word_id) of the words of all shards; word is set in one row of each distinct word, as its entry in the dictionary.
-
-    Words are dealt by their hash and sorted, each partition numbers its own from its
-    offset, so numbers run from 0 without gaps; only one count per partition is brought
-    together. Equal words have equal numbers, whatever task is run again.
-    """
-    sorted_ = own.repartition("word").sortWithinPartitions("word")
-    numbered = store(sorted_.mapInArrow(_numbered, "shard long, local int, word binary, part long, number long"), "dictionary")
-    sizes = sorted(numbered.groupBy("part").agg(F.max("number")).collect())
-    firsts = np.r_[0, np.cumsum([n + 1 for _, n in sizes])]
-    offsets = own.sparkSession.createDataFrame([(p, int(first)) for (p, _), first in zip(sizes, firsts)], "part long, _first long")
-    return numbered.join(F.broadcast(offsets), "part").select("shard", "local", "word", (F.col("_first") + F.col("number")).alias("word_id"))
+def dictionary(shards: DataFrame) -> DataFrame:
+    """(number, word) of the distinct words of all shards, equal numbers in one partition."""
+    words = shards.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("number"), "word")
+    return words.repartition("number").distinct()
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Puts the global numbers in place of the shard's own ones, columns in rising order inside a row."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            get = lambda c: batch[c][at]
-            indptr, counts = np.asarray(get("indptr").values), np.asarray(get("counts").values)
-            ids = np.zeros(0, np.int64)
-            if get("ids").is_valid:
-                pairs = get("ids").values
-                own = np.asarray(pairs.field("local"))
-                ids = np.empty(len(own), np.int64)
-                ids[own] = np.asarray(pairs.field("word_id"))
-            indices = ids[np.asarray(get("indices").values)]
-            order = np.lexsort((indices, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-            keep = [get(c).as_py() for c in ("shard", "doc_ids", "parts", "flags", "digests")]
-            yield _batch(MATRIX, [*keep, indptr, indices[order], counts[order]])
+def shared_numbers(words: DataFrame) -> dict[bytes, int]:
+    """New numbers for words that share theirs with another word: about one pair in 2**64 pairs of words."""
+    twice = words.groupBy("number").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("number")
+    found = sorted(bytes(r["word"]) for r in words.join(F.broadcast(twice), "number").select("word").collect()) if twice.limit(1).count() else []
+    return {word: i for i, word in enumerate(found)}  # a hash below 2**20 that they could meet is one in 2**44
+
+
+def _rewrite(shared: dict[bytes, int]):
+    """Puts the global numbers in place of the shard's own ones, one shard at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                get = lambda c: batch[c][at].values
+                numbers = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in get("words").to_pylist()), np.uint64, len(get("words"))).view(np.int64)
+                if shared:
+                    numbers = np.array([shared.get(w, n) for w, n in zip(get("words").to_pylist(), numbers.tolist())], np.int64)
+                shard = batch.slice(at, 1)
+                indices = _one(numbers[np.asarray(get("indices"))], pa.int64())
+                yield pa.RecordBatch.from_arrays([indices if c == "indices" else shard[c] for c in MATRIX_NAMES], MATRIX_NAMES)
+
+    return run
+
+
+def _stored_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str, shard_bytes: int) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return store(rows.mapInArrow(_shards(shard_bytes), SHARD), "shards")
 
 
 def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The dictionary (word, word_id) and the shards of the matrix.
+    """The dictionary (number, word) and the shards of the matrix.
 
     A shard has the doc_id, part, flags (bits of C and D) and text digest of its rows, and
-    indptr, indices (word_id) and counts of its cells. A null text is a row without cells.
+    indptr, indices (numbers of words) and counts of its cells. A null text is a row without cells.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shards = store(rows.mapInArrow(_shards(shard_bytes), SHARD), "shards")
-    own = shards.select("shard", F.posexplode("words").alias("local", "word"))
-    words = dictionary(own)
-    numbered = words.groupBy("shard").agg(F.collect_list(F.struct("local", "word_id")).alias("ids"))
-    return words.where("word is not null").select("word", "word_id"), shards.drop("words").join(numbered, "shard", "left").mapInArrow(_rewrite, MATRIX)
+    shards = _stored_shards(docs, id_col, text_col, part_col, shard_bytes)
+    words = dictionary(shards)
+    shared = shared_numbers(words)
+    other = F.create_map(*[F.lit(x) for pair in shared.items() for x in pair])[F.col("word")] if shared else F.lit(None).cast("long")
+    return words.select(F.coalesce(other, "number").alias("number"), "word"), shards.mapInArrow(_rewrite(shared), MATRIX)
 
 
 def _row_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,17 +148,24 @@ def _row_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(batch.num_rows):
             get = lambda c: batch[c][at].values
-            indptr, indices, counts = (np.asarray(get(c)).astype(np.int64) for c in ("indptr", "indices", "counts"))
-            row = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-            new = np.r_[True, (np.diff(indices) != 0) | (np.diff(row) != 0)][: len(indices)] & (counts > 0)
-            sums = np.bincount(row, weights=counts, minlength=len(indptr) - 1).astype(np.int64)
-            filled = np.bincount(row, weights=new, minlength=len(indptr) - 1).astype(np.int64)
+            indptr, counts = np.asarray(get("indptr")), np.asarray(get("counts")).astype(np.int64)
+            sums, filled = (np.diff(np.r_[0, np.cumsum(v, dtype=np.int64)][indptr]) for v in (counts, counts != 0))
             yield pa.RecordBatch.from_arrays(
                 [get("doc_ids"), get("parts"), get("flags"), get("digests"), pa.array(sums), pa.array(filled)], ["doc_id", "part", "flags", "digest", "n_words", "n_distinct"])
 
 
+ROWS = "doc_id long, part string, flags int, digest binary, n_words long, n_distinct long"
+
+
 def row_counts(matrix: DataFrame) -> DataFrame:
-    return matrix.mapInArrow(_row_counts, "doc_id long, part string, flags int, digest binary, n_words long, n_distinct long")
+    return matrix.mapInArrow(_row_counts, ROWS)
+
+
+def _counted(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFrame:
+    """``row_counts`` of the matrix, numbering and counting a shard in the same task."""
+    shards = _stored_shards(docs, id_col, text_col, part_col, SHARD_BYTES)
+    number = _rewrite(shared_numbers(dictionary(shards)))
+    return shards.mapInArrow(lambda batches: _row_counts(number(batches)), ROWS)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -180,9 +183,8 @@ def patterns(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     others fail it. So E needs the smallest id per text, and the rows that hold it are
     taken off the counts of all rows: a text that fills a third of the table is a counter.
     """
-    _, matrix = term_matrix(docs, id_col, text_col, part_col)
     fails = F.col("flags") + F.when(F.col("n_words") < MIN_WORDS, BIT["A"]).otherwise(0) + F.when(100 * F.col("n_distinct") < MIN_DISTINCT * F.col("n_words"), BIT["B"]).otherwise(0)
-    rows = row_counts(matrix).select("doc_id", "part", "digest", fails.alias("pattern")).groupBy("doc_id", "part", "digest", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    rows = _counted(docs, id_col, text_col, part_col).select("doc_id", "part", "digest", fails.alias("pattern")).groupBy("doc_id", "part", "digest", "pattern").agg(F.count(F.lit(1)).alias("n"))
     rows = store(_labelled(rows, labels), "filter-rows")
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     passing = rows.where("doc_id is not null").join(first, ["digest", "doc_id"], "left_semi").unionByName(rows.where("doc_id is null"))

@@ -179,18 +179,28 @@ def test_audit_by_brute_force(spark):
     assert filter_audit.audit(spark.createDataFrame([], DOCS), spark.createDataFrame([], LABELS)).count() == 0
 
 
-def test_matrix_holds_every_word(spark):
+def test_words_that_share_a_number(spark):
+    words = spark.createDataFrame([(5, b"c"), (5, b"a"), (6, b"d"), (7, b"b"), (7, b"e")], "number long, word binary")
+    assert filter_audit.shared_numbers(words) == {b"a": 0, b"b": 1, b"c": 2, b"e": 3}
+    assert filter_audit.shared_numbers(words.where("number = 6")) == {}
+
+
+@pytest.mark.parametrize("shared", [{}, {b"the": 0, b"of": 1}])
+def test_matrix_holds_every_word(spark, monkeypatch, shared):
     docs = load(spark, FOLDER, "documents").repartition(3)
+    monkeypatch.setattr(filter_audit, "shared_numbers", lambda words: shared)
     words, matrix = filter_audit.term_matrix(docs, shard_bytes=50_000)
-    name = {r["word_id"]: bytes(r["word"]) for r in words.collect()}
-    assert sorted(name) == list(range(len(name))) and len(set(name.values())) == len(name)
+    listed = words.collect()
+    name = {r["number"]: bytes(r["word"]) for r in listed}
+    assert len(name) == len(listed) and len(set(name.values())) == len(name)
     rows = {}
     shards = matrix.collect()
     for r in shards:
+        assert list(r["indptr"]) == sorted(r["indptr"]) and r["indptr"][-1] == len(r["indices"]) == len(r["counts"])
         for i, d in enumerate(r["doc_ids"]):
             cells = range(r["indptr"][i], r["indptr"][i + 1])
             rows[d] = Counter({name[r["indices"][c]]: r["counts"][c] for c in cells})
-    assert len(shards) > 3
+    assert len(shards) > 3 and all(w not in name.values() or n in name for w, n in shared.items())
     assert rows == {r["doc_id"]: Counter((r["text"] or "").encode().split()) for r in docs.collect()}
 
 
