@@ -1,96 +1,208 @@
-"""Exact k nearest neighbours, classification and regression by neighbours."""
+"""Exact k nearest neighbours, classification and regression by neighbours.
+
+Training rows lie in metric cells: each belongs to the nearest of a bounded number of
+centres, and a cell knows its radius. By the triangle inequality a cell whose rows are all
+farther than the k-th neighbour found so far is not looked at, nor are rows of a cell whose
+distance to the centre differs too much from the query's. So tables of few dimensions or of
+clusters are searched in a small part of their rows; vectors without structure in many
+dimensions keep most of them, and the answer is the same.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import named
-from ..storage import spread_out
+from ..storage import materialize, spread_out
 
 # training vectors up to this size are broadcast; measured before
 BROADCAST_BYTES = 128 << 20
 # distances held at once inside a task
 TILE = 4_000_000
+# centres, at most; about the square root of the training rows is best
+CENTRES = 512
+# queries that are searched together
+BATCH = 512
+HITS = "_id bigint, neighbor bigint, d2 double"
+
+
+def _squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    d = np.zeros((len(q), len(x)))
+    for j in range(q.shape[1]):  # one dimension at a time: exact differences, bounded memory
+        diff = q[:, j, None] - x[None, :, j]
+        d += diff * diff
+    return d
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), dtype="float64")
+
+
+@dataclass
+class _Best:
+    """The k smallest (squared distance, id) of each query so far."""
+
+    d2: np.ndarray
+    ids: np.ndarray
+
+    @staticmethod
+    def none(n: int, k: int) -> _Best:
+        return _Best(np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max))
+
+    def reach(self) -> np.ndarray:
+        """How far a better neighbour may lie; a little more, as distances are rounded."""
+        return np.sqrt(self.d2[:, -1]) * (1 + 1e-9) + 1e-12
+
+    def look(self, rows: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray | None) -> None:
+        """Takes in the training rows ``x`` for the queries at ``rows``."""
+        k = self.d2.shape[1]
+        step = max(1, TILE // max(1, len(x)))
+        for start in range(0, len(rows), step):
+            at = rows[start : start + step]
+            d = _squared(q[at], x)
+            if own is not None:
+                d[own[at, None] == ids[None, :]] = np.inf
+            named_ids = np.broadcast_to(ids, d.shape)
+            if d.shape[1] > 4 * k:  # all that tie with the k-th stay
+                near = d <= np.partition(d, k - 1, axis=1)[:, [k - 1]]
+                width = int(near.sum(axis=1).max())
+                order = np.argsort(~near, axis=1, kind="stable")[:, :width]
+                d, named_ids = np.take_along_axis(d, order, axis=1), np.take_along_axis(named_ids, order, axis=1)
+            d, named_ids = np.concatenate([self.d2[at], d], axis=1), np.concatenate([self.ids[at], named_ids], axis=1)
+            order = np.lexsort((named_ids, d), axis=1)[:, :k]
+            self.d2[at], self.ids[at] = np.take_along_axis(d, order, axis=1), np.take_along_axis(named_ids, order, axis=1)
+
+    def hits(self, queries: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame({"_id": np.repeat(queries, self.d2.shape[1]), "neighbor": self.ids.ravel(), "d2": self.d2.ravel()})
+        return out[np.isfinite(out["d2"])]
+
+
+@dataclass
+class _Cells:
+    """Centres, and for each the number of its rows and the range of their distances to it."""
+
+    centres: np.ndarray
+    rows: np.ndarray
+    inner: np.ndarray
+    outer: np.ndarray
+
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        return np.sqrt(_squared(q, self.centres))
+
+    def least(self, d: np.ndarray) -> np.ndarray:
+        """Least distance that a row of each cell can have, given the distances to the centres."""
+        out = np.maximum(np.maximum(d - self.outer, self.inner - d), 0)
+        return np.where(self.rows > 0, out, np.inf)
+
+    def homes(self, d: np.ndarray, k: int) -> np.ndarray:
+        """The nearest cells that have k rows together, for each query."""
+        order = np.argsort(np.where(self.rows > 0, d, np.inf), axis=1, kind="stable")
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        mark = np.zeros(d.shape, bool)
+        np.put_along_axis(mark, order, (before < k) & (self.rows[order] > 0), axis=1)
+        return mark
+
+
+def _assign(train: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
+    """The centres, rows drawn by a hash, and (_tid, _x, _cell, _d) of all training rows."""
+    wanted = min(CENTRES, max(1, int(np.sqrt(n))))
+    drawn = train.orderBy(F.xxhash64("_tid", F.lit(5)), "_tid").limit(wanted).collect()
+    centres = np.unique(np.array([r["_x"] for r in drawn], dtype="float64"), axis=0) if drawn else np.zeros((0, 0))
 
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at : at + 4096]
+                d = _squared(_matrix(part["_x"]), centres)
+                cell = d.argmin(axis=1)
+                yield part.assign(_cell=cell.astype("int32"), _d=np.sqrt(d[np.arange(len(d)), cell]))
 
-def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, own: np.ndarray | None):
-    """For each query the k smallest (squared distance, id); ``x`` is sorted by id."""
-    step = max(1, TILE // max(1, len(x)))
-    for start in range(0, len(q), step):
-        part = q[start : start + step]
-        d = np.zeros((len(part), len(x)))
-        for j in range(q.shape[1]):  # one dimension at a time: exact differences, bounded memory
-            diff = part[:, j, None] - x[None, :, j]
-            d += diff * diff
-        if own is not None:
-            d[own[start : start + step, None] == ids[None, :]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        yield start, order, np.take_along_axis(d, order, axis=1)
-
-
-def _collect_hits(pdf: pd.DataFrame, x, ids, k: int, itself: bool) -> pd.DataFrame:
-    q = np.array(pdf["_q"].tolist(), dtype="float64")
-    own = pdf["_id"].to_numpy() if itself else None
-    out = []
-    for start, order, dist in _nearest(q, x, ids, k, own):
-        rows = np.repeat(pdf["_id"].to_numpy()[start : start + len(order)], order.shape[1])
-        out.append(pd.DataFrame({"_id": rows, "neighbor": ids[order].ravel(), "d2": dist.ravel()}))
-    hits = pd.concat(out) if out else pd.DataFrame({"_id": [], "neighbor": [], "d2": []})
-    return hits[np.isfinite(hits["d2"])]
+    return centres, train.mapInPandas(nearest, "_tid bigint, _x array<double>, _cell int, _d double")
+
+
+def _measured(assigned: DataFrame, centres: np.ndarray) -> _Cells:
+    m = len(centres)
+    cells = _Cells(centres, np.zeros(m, np.int64), np.zeros(m), np.zeros(m))
+    for r in assigned.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("lo"), F.max("_d").alias("hi")).collect():
+        cells.rows[r["_cell"]], cells.inner[r["_cell"]], cells.outer[r["_cell"]] = r["n"], r["lo"], r["hi"]
+    return cells
+
+
+def _near_rows(dist: np.ndarray, d: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Rows of a cell that at least one of the queries, ``d`` from the centre, may have in reach."""
+    return np.flatnonzero((dist >= (d - reach).min()) & (dist <= (d + reach).max()))
+
+
+def _held_search(cells: _Cells, groups: dict, k: int, itself: bool, pairs: Accumulator | None):
+    """Searches cells that are all at hand; ``groups`` has (vectors, ids, distances) by cell, in order of ids."""
+
+    def search(queries: np.ndarray, q: np.ndarray) -> pd.DataFrame:
+        own = queries if itself else None
+        best, compared = _Best.none(len(q), k), 0
+        d = cells.distances(q)
+        least, homes = cells.least(d), cells.homes(d, k + int(itself))
+        for first in (True, False):
+            for c in np.argsort(least.min(axis=0), kind="stable").tolist():
+                rows = np.flatnonzero(homes[:, c] if first else ~homes[:, c] & (least[:, c] <= best.reach()))
+                if not len(rows) or c not in groups:
+                    continue
+                x, ids, dist = groups[c]
+                near = slice(None) if first else _near_rows(dist, d[rows, c], best.reach()[rows])
+                compared += len(rows) * len(ids[near])
+                best.look(rows, q, x[near], ids[near], own)
+        if pairs is not None:
+            pairs.add(compared)
+        return best.hits(queries)
+
+    return search
 
 
 def nearest_neighbors(
     queries: DataFrame, train: DataFrame, key: str, vector: str, k: int = 5, itself: bool = False,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int = BROADCAST_BYTES, pairs: Accumulator | None = None,
 ) -> DataFrame:
     """``(key, neighbor, distance, rank)``: the exact k nearest training rows of every query.
 
     ``itself`` leaves out the row with the query's own key. ``key`` is a bigint.
     Ties go to the smaller key. A training set that is measured to fit is
-    broadcast. A larger one is cut into blocks: each block meets each slice of
-    the queries in a task of bounded size and passes on k rows per query only.
+    broadcast. A larger one stays dealt by cells: a query first meets the nearest cells
+    that hold k rows, then those that can hold a nearer one, in tasks of bounded size
+    that pass on k rows per query. ``pairs`` adds up the distances that were computed.
     """
     q = queries.select(named(key).cast("bigint").alias("_id"), named(vector).cast("array<double>").alias("_q"))
     t = train.select(named(key).cast("bigint").alias("_tid"), named(vector).cast("array<double>").alias("_x"))
     size = t.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("_x")), F.lit(0)).alias("cells")).first()
     bytes_needed = size["cells"] * 8 + size["n"] * 8
-    schema = "_id bigint, neighbor bigint, d2 double"
+    centres, assigned = _assign(t, size["n"])
     if bytes_needed <= broadcast_bytes:
-        pdf = t.toPandas().sort_values("_tid")
-        shared = queries.sparkSession.sparkContext.broadcast(
-            (np.array(pdf["_x"].tolist(), dtype="float64"), pdf["_tid"].to_numpy())
-        )
+        pdf = assigned.toPandas().sort_values(["_cell", "_tid"])
+        cells = _Cells(centres, np.bincount(pdf["_cell"], minlength=len(centres)), np.zeros(len(centres)), np.zeros(len(centres)))
+        groups = {}
+        for c, g in pdf.groupby("_cell"):
+            groups[int(c)] = (_matrix(g["_x"]), g["_tid"].to_numpy(), g["_d"].to_numpy())
+            cells.inner[c], cells.outer[c] = g["_d"].min(), g["_d"].max()
+        shared = queries.sparkSession.sparkContext.broadcast((cells, groups))
 
         def lookup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            x, ids = shared.value
+            search = _held_search(*shared.value, k, itself, pairs)
             for part in batches:
-                if len(part) and len(ids):
-                    yield _collect_hits(part, x, ids, k, itself)
+                for at in range(0, len(part) if groups else 0, BATCH):
+                    some = part.iloc[at : at + BATCH]
+                    yield search(some["_id"].to_numpy(), _matrix(some["_q"]))
 
-        # every query is compared with all training rows: use all cores
-        hits = spread_out(q, q.count()).mapInPandas(lookup, schema)
+        # use all cores, whatever the number of files
+        hits = spread_out(q, q.count()).mapInPandas(lookup, HITS)
     else:
         per_row = max(1, bytes_needed // max(1, size["n"]))
-        rows_per_block = max(1, broadcast_bytes // per_row)
-        blocks = -(-size["n"] // rows_per_block)
-        slices = max(1, -(-q.count() // rows_per_block))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = q.withColumn("_slice", F.pmod(F.xxhash64("_id"), F.lit(slices)).cast("int")).withColumn("_block", every(blocks))
-        right = t.withColumn("_block", F.pmod(F.xxhash64("_tid"), F.lit(blocks)).cast("int")).withColumn("_slice", every(slices))
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame({"_id": [], "neighbor": [], "d2": []}).astype({"_id": "int64", "neighbor": "int64"})
-            b = b.sort_values("_tid")
-            return _collect_hits(a, np.array(b["_x"].tolist(), dtype="float64"), b["_tid"].to_numpy(), k, itself)
-
-        hits = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice")).applyInPandas(meet, schema)
+        hits = _dealt_search(q, assigned, centres, k, itself, max(1, broadcast_bytes // per_row), pairs)
     # at most k rows per query and block
     w = Window.partitionBy("_id").orderBy("d2", "neighbor")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
@@ -98,6 +210,55 @@ def nearest_neighbors(
     )
 
 
+VISITS = "_id bigint, _q array<double>, _cell int, _dq double, _least double, _home boolean"
+
+
+def _dealt_search(q: DataFrame, assigned: DataFrame, centres: np.ndarray, k: int, itself: bool, rows_per_block: int, pairs: Accumulator | None) -> DataFrame:
+    """Queries go to the cells they need, in two rounds; blocks of a cell and slices of its queries have bounded size."""
+    assigned = materialize(assigned)
+    cells = _measured(assigned, centres)
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), BATCH):
+                part = pdf.iloc[at : at + BATCH]
+                d = cells.distances(_matrix(part["_q"]))
+                least, homes = cells.least(d), cells.homes(d, k + int(itself))
+                # the k-th neighbour is no farther than the far side of the cells that hold k rows
+                bound = np.where(homes, d + cells.outer, -np.inf).max(axis=1) * (1 + 1e-9) + 1e-12
+                row, cell = np.nonzero(homes | (least <= bound[:, None]))
+                yield pd.DataFrame({"_id": part["_id"].to_numpy()[row], "_q": part["_q"].to_numpy()[row], "_cell": cell.astype("int32"), "_dq": d[row, cell], "_least": least[row, cell], "_home": homes[row, cell]})
+
+    visits = materialize(q.mapInPandas(choose, VISITS))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        best = _Best.none(len(a), k)
+        if len(a) and len(b):
+            b = b.sort_values("_tid")
+            near = _near_rows(b["_d"].to_numpy(), a["_dq"].to_numpy(), a["_reach"].to_numpy())
+            if pairs is not None:
+                pairs.add(len(a) * len(near))
+            ids = a["_id"].to_numpy()
+            best.look(np.arange(len(a)), _matrix(a["_q"]), _matrix(b["_x"])[near], b["_tid"].to_numpy()[near], ids if itself else None)
+        return best.hits(a["_id"].to_numpy())
+
+    def round_(asked: DataFrame) -> DataFrame:
+        blocks = {c: int(-(-n // rows_per_block)) for c, n in enumerate(cells.rows.tolist()) if n}
+        slices = {r["_cell"]: -(-r["count"] // rows_per_block) for r in asked.groupBy("_cell").count().collect()}
+        met = [(c, blocks[c], slices[c]) for c in slices if c in blocks]  # one entry per cell at most
+        plan = lambda: F.broadcast(asked.sparkSession.createDataFrame(met, "_cell int, _blocks bigint, _slices bigint"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+        left = asked.join(plan(), "_cell").withColumn("_slice", F.pmod(F.xxhash64("_id"), F.col("_slices"))).withColumn("_block", every("_blocks"))
+        right = assigned.join(plan(), "_cell").withColumn("_block", F.pmod(F.xxhash64("_tid"), F.col("_blocks"))).withColumn("_slice", every("_slices"))
+        keys = ["_cell", "_block", "_slice"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, HITS)
+
+    first = materialize(round_(visits.where("_home").withColumn("_reach", F.lit(float("inf")))))
+    kth = first.withColumn("r", F.row_number().over(Window.partitionBy("_id").orderBy("d2", "neighbor"))).where(F.col("r") == k).select("_id", (F.sqrt("d2") * (1 + 1e-9) + 1e-12).alias("_reach"))
+    rest = visits.where("not _home").join(kth, "_id", "left").withColumn("_reach", F.coalesce("_reach", F.lit(float("inf")))).where("_least <= _reach")
+    return first.unionByName(round_(materialize(rest)))
+
+
 def _labelled(hits: DataFrame, train: DataFrame, key: str, label: str) -> DataFrame:
     known = train.select(named(key).cast("bigint").alias("neighbor"), named(label).alias("_label"))
     return hits.join(known, "neighbor")

@@ -77,6 +77,21 @@ def test_neighbours_match_brute_force(spark, limit):
     assert mean["prediction"] == pytest.approx(np.mean([j % 4 for _, j in first]))
 
 
+@pytest.mark.parametrize("limit", [1 << 30, 40_000])
+def test_cells_leave_most_rows_unseen(spark, limit):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.5, (100, 3)) for c in rng.uniform(-50, 50, (20, 3))])
+    x[::97] = x[0]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    pairs = spark.sparkContext.accumulator(0)
+    got = neighbors.nearest_neighbors(df, df, "id", "v", 4, itself=True, broadcast_bytes=limit, pairs=pairs).collect()
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, r + 1): j for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:4])}
+    assert {(r["id"], r["rank"]): r["neighbor"] for r in got} == want
+    assert len(x) < pairs.value < len(x) ** 2 / 10
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "label string, prediction string")
     m = models.classification_metrics(df).first()
