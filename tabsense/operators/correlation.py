@@ -15,7 +15,8 @@ from ..functions.columns import named, number, numeric_columns
 from ..functions.rounding import half_up
 from ..functions.special import student_two_sided
 from ..storage import BROADCAST_ROWS, materialize
-from .ordering import ONE_TASK_ROWS, ranks_by_key, value_counts
+from .ordering import ranks_by_key, value_counts
+from .ranks import rank_table
 
 PAIRS = (
     "var1 string, var2 string, n bigint, coefficient double, p_value double, is_significant boolean, "
@@ -157,12 +158,14 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, alpha
 
 
 def spearman(
-    df: DataFrame, columns: Sequence[str] | None = None, alpha: float = 0.05, one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame, columns: Sequence[str] | None = None, alpha: float = 0.05, lookup_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Pearson r of the average ranks.
 
     Columns without missing cells are ranked once and share one ranked table;
-    a pair with missing cells is ranked on its own complete rows.
+    a pair with missing cells is ranked on its own complete rows. Where every column has at
+    most ``lookup_rows`` distinct values, as estimated, their ranks are looked up; else the
+    cells are sorted over ranges and brought back by row, whatever their number.
     """
     table, cols, complete, plain = _usable(df, columns)
     if len(cols) < 2:
@@ -173,16 +176,15 @@ def spearman(
     results: dict[tuple[str, str], tuple] = {}
 
     def ranked(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-        # all columns are ranked in one go
-        ranks = ranks_by_key(value_counts(rows, {c: number(rows, c) for c in names}), ["column"], one_task_rows)
-        ranks = materialize(ranks.select("column", "value", "avg_rank"))
-        sizes = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}
-        out = rows.select(*[number(rows, c).alias(c) for c in names])
+        cells = {c: number(rows, c) for c in names}
+        kinds = rows.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cells.values())]).first()
+        if max(kinds) > lookup_rows:
+            return rank_table(rows, cells)
+        ranks = materialize(ranks_by_key(value_counts(rows, cells), ["column"]).select("column", "value", "avg_rank"))
+        out = rows.select(*[c.alias(n) for n, c in cells.items()])
         for i, c in enumerate(names):
             mine = ranks.where(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.col("avg_rank").alias(f"_r{i}"))
-            # one row per distinct value; too many of them for a broadcast are joined by a shuffle
-            mine = F.broadcast(mine) if sizes.get(c, 0) <= BROADCAST_ROWS else mine
-            out = out.join(mine, named(c) == F.col(f"_v{i}")).drop(f"_v{i}", c)
+            out = out.join(F.broadcast(mine), named(c) == F.col(f"_v{i}")).drop(f"_v{i}", c)
         return out.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(names)])
 
     if shared:

@@ -132,6 +132,26 @@ def nearest_neighbors(spark, folder):
     return neighbors.nearest_neighbors(e, e, "vec_id", "embedding", itself=True).withColumn("distance", F.round("distance", 4))
 
 
+@query("nearest_neighbors_large", sql=f"""
+WITH {HITS} SELECT vec_id, neighbor, round(distance, 4) AS distance, row_number() OVER (PARTITION BY vec_id ORDER BY hits.distance, neighbor) AS rank FROM hits""")
+def nearest_neighbors_large(spark, folder):
+    """The plan of training rows that may not be broadcast."""
+    e = load(spark, folder, "embeddings")
+    return neighbors.nearest_neighbors(e, e, "vec_id", "embedding", itself=True, broadcast_bytes=100_000).withColumn("distance", F.round("distance", 4))
+
+
+@query("nearest_orders", sql="""
+WITH o AS (SELECT o_orderkey AS k, o_totalprice / 1000 AS x, o_custkey / 10 AS y FROM orders),
+h AS (SELECT a.k AS o_orderkey, b.k AS neighbor, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d FROM (SELECT * FROM o WHERE k % 100 = 0) a JOIN o b ON a.k <> b.k
+  QUALIFY row_number() OVER (PARTITION BY a.k ORDER BY d, b.k) <= 3)
+SELECT o_orderkey, round(sqrt(d), 4) AS distance, row_number() OVER (PARTITION BY o_orderkey ORDER BY d, neighbor) AS rank FROM h""")
+def nearest_orders(spark, folder):
+    """Orders like every hundredth one, by price and customer: few dimensions, so most cells stay unseen."""
+    o = load(spark, folder, "orders").select("o_orderkey", F.array(F.col("o_totalprice") / 1000, F.col("o_custkey") / 10).alias("v"))
+    got = neighbors.nearest_neighbors(o.where("o_orderkey % 100 = 0"), o, "o_orderkey", "v", k=3, itself=True)
+    return got.select("o_orderkey", F.round("distance", 4).alias("distance"), "rank")
+
+
 @query("knn_classify", sql=f"""
 WITH {HITS}, v AS (SELECT vec_id, label, count(*) AS votes FROM hits GROUP BY ALL)
 SELECT vec_id, label AS prediction, votes FROM v QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label) = 1""")

@@ -6,7 +6,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from ..operators import correlation, hypothesis, insights, ordering, report
+from ..operators import correlation, hypothesis, insights, ordering, ranks, report
 from ..storage import load
 from .basic_queries import LINE_KEY, PRICES
 from .derived import MESSY_KINDS, MESSY_SQL, PLANTED_SQL, facts_sql, messy_orders, planted_events
@@ -155,6 +155,23 @@ def avg_rank_prices(spark, folder):
     return ordering.average_ranks(load(spark, folder, "orders"), F.col("o_totalprice"))
 
 
+@query("avg_rank_prices_large", sql=f"SELECT x AS value, any_value(t) AS n, any_value(r) AS avg_rank FROM {ranks_sql('SELECT 1 AS g, o_totalprice AS x FROM orders')} GROUP BY x")
+def avg_rank_prices_large(spark, folder):
+    """The plan of a table that no single task may order."""
+    return ordering.average_ranks(load(spark, folder, "orders"), F.col("o_totalprice"), one_task_rows=1_000)
+
+
+@query("avg_rank_by_row", sql=f"""
+SELECT k AS o_orderkey, col AS "column", r AS avg_rank FROM (
+  SELECT o_orderkey AS k, 'o_totalprice' AS col, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS r FROM orders
+  UNION ALL SELECT o_orderkey, 'o_custkey', rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2 FROM orders
+  UNION ALL SELECT o_orderkey, 'half', CASE WHEN o_orderkey % 3 = 0 THEN (count(*) FILTER (o_orderkey % 3 = 0) OVER () + 1) / 2 ELSE count(*) FILTER (o_orderkey % 3 = 0) OVER () + (count(*) FILTER (o_orderkey % 3 <> 0) OVER () + 1) / 2 END FROM orders)""")
+def avg_rank_by_row(spark, folder):
+    """Ranks of every row in three columns, one of which has two values only."""
+    cells = {"o_totalprice": F.col("o_totalprice"), "o_custkey": F.col("o_custkey"), "half": F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(1)}
+    return ranks.stitched_ranks(load(spark, folder, "orders"), cells, "o_orderkey").withColumnRenamed("_row", "o_orderkey")
+
+
 @query("shapiro_by_group")
 def shapiro_by_group(spark, folder):
     return hypothesis.shapiro_by_group(_lines(spark, folder), "l_returnflag", PRICES, LINE_KEY)
@@ -271,6 +288,12 @@ def spearman(spark, folder):
     return correlation.spearman(_lines(spark, folder), PRICES)
 
 
+@query("spearman_large", sql=union_all(spearman_sql("lineitem", a, b) for a, b in itertools.combinations(PRICES, 2)))
+def spearman_large(spark, folder):
+    """The plan of columns with too many distinct values to look up."""
+    return correlation.spearman(_lines(spark, folder), PRICES, lookup_rows=0)
+
+
 @query("spearman_with_gaps", sql="WITH j AS (SELECT n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
        + union_all(spearman_sql("j", a, b) for a, b in itertools.combinations(["n_chars", "quality", "toxic"], 2)))
 def spearman_with_gaps(spark, folder):

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabsense.operators import ordering
+from tabsense.operators import ordering, ranks
 from tabsense.operators.ordering import (
     average_ranks, grouped_quantiles, numeric_quantiles, quantiles, running_totals,
 )
@@ -90,3 +90,29 @@ def test_running_totals_by_key(skewed, task):
     want["before"] = want.groupby("g")["w"].cumsum() - 2
     merged = out.merge(want[["id", "before"]], on="id")
     assert (merged["before_x"] == merged["before_y"]).all() and len(merged) == len(pdf)
+
+
+def test_stitched_ranks(skewed):
+    """A value with a third of the rows lies in several partitions; runs of ties cross their edges."""
+    pdf, df = skewed
+    cells = {"x": F.when(~F.isnan("x"), F.col("x")), "y": F.col("y"), "k": (F.col("id") % 3).cast("double"), "one": F.lit(1.0)}
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        out = ranks.stitched_ranks(df, cells, "id")
+        rows = out.collect()
+        hot = out.where("column = 'one'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(hot) > 4 and max(r["count"] for r in hot) < 2500
+    table = pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "k": pdf["id"] % 3, "one": 1.0}).rank()
+    got = {(r["_row"], r["column"]): r["avg_rank"] for r in rows}
+    assert got == {(i, c): table[c][i] for c in table for i in range(len(pdf)) if not np.isnan(table[c][i])}
+
+
+def test_ranks_of_nothing_and_of_nan(spark):
+    df = spark.createDataFrame([(1, None, float("nan")), (2, None, 1.0), (3, None, float("nan"))], "id bigint, a double, b double")
+    got = {(r["_row"], r["column"]): r["avg_rank"] for r in ranks.stitched_ranks(df, {"a": F.col("a"), "b": F.col("b")}, "id").collect()}
+    assert got == {(2, "b"): 1.0, (1, "b"): 2.5, (3, "b"): 2.5}
+    assert ranks.rank_table(df.where("false"), {"a": F.col("a")}).count() == 0

@@ -148,13 +148,13 @@ def test_correlation(spark):
     assert m["x", "x"] == 1.0 and m["x", "y"] == m["y", "x"]
 
 
-@pytest.mark.parametrize("task", [10**6, 6])
-def test_spearman(spark, task):
+@pytest.mark.parametrize("lookup", [10**6, 0])
+def test_spearman(spark, lookup):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"a": rng.integers(0, 9, 80).astype(float), "b": rng.normal(size=80), "c": rng.normal(size=80)})
     pdf["b"] += pdf["a"] / 3
     pdf.loc[::9, "c"] = np.nan
-    got = {(r["var1"], r["var2"]): r for r in correlation.spearman(spark.createDataFrame(pdf), one_task_rows=task).collect()}
+    got = {(r["var1"], r["var2"]): r for r in correlation.spearman(spark.createDataFrame(pdf), lookup_rows=lookup).collect()}
     for a, b in itertools.combinations("abc", 2):
         both = pdf[[a, b]].dropna()
         assert got[a, b]["coefficient"] == pytest.approx(both.rank().corr().iloc[0, 1], abs=1e-4)
