@@ -8,6 +8,7 @@ the small window around it.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,48 +74,72 @@ class Matcher:
             self.seeds.add_word(seed, (len(seed), places))
         self.seeds.make_automaton()
 
-    def windows(self, line: str) -> dict[int, list[list[int]]]:
-        """For each notice, the stretches of the line in which an occurrence with an exact piece can lie."""
-        out: dict[int, list[list[int]]] = {}
+    def starts(self, line: str) -> dict[int, list[int]]:
+        """For each notice, where it would start if the pieces found were in their places; with errors, at most k beside it."""
+        out: dict[int, set[int]] = {}
         for last, (length, places) in self.seeds.iter(line):
             for i, offset in places:
-                phrase, _, k = self.notices[i]
-                begin = last + 1 - length - offset - k - 1
-                end = last + 1 - length - offset + len(phrase) + k + 1
-                runs = out.setdefault(i, [])
-                if runs and begin <= runs[-1][1]:
-                    runs[-1][0], runs[-1][1] = min(runs[-1][0], begin), max(runs[-1][1], end)
-                else:
-                    runs.append([begin, end])
-        return out
+                out.setdefault(i, set()).add(last + 1 - length - offset)
+        return {i: sorted(s) for i, s in out.items()}
 
     def find(self, words: list[str]) -> list[Found]:
-        """All occurrences, by word places. Of a notice's overlapping occurrences the best one counts."""
+        """All occurrences, by word places. Of a notice's overlapping occurrences the best one counts, of equals the first.
+
+        Each window is as long as one occurrence may be, with the starts that lie 2 k apart at
+        most, so the work grows with the number of windows.
+        """
         line = " ".join(words)
         out = []
-        for i, runs in sorted(self.windows(line).items()):
-            phrase, label, _ = self.notices[i]
-            seen, at = 0, 0  # words before ``at``
-            for begin, end in runs:
-                for m in self.occurrences(i, line, max(begin, 0), min(end, len(line))):
-                    seen, at = seen + line.count(" ", at, m.start()), m.start()
-                    out.append(Found(label, seen, seen + m.group().count(" ") + 1, sum(m.fuzzy_counts), len(phrase)))
+        for i, starts in sorted(self.starts(line).items()):
+            phrase, label, k = self.notices[i]
+            found: set[tuple[int, int, int]] = set()
+            at = 0
+            while at < len(starts):
+                first = at
+                while at < len(starts) and starts[at] - starts[first] <= 2 * k:
+                    at += 1
+                found |= self.best(i, line, max(starts[first] - k - 1, 0), min(starts[at - 1] + len(phrase) + k + 1, len(line)))
+            seen, done = 0, 0  # words before ``done``
+            for s, e, errors in _apart(found):
+                seen, done = seen + line.count(" ", done, s), s
+                out.append(Found(label, seen, seen + line.count(" ", s, e) + 1, errors, len(phrase)))
         return out
 
-    def occurrences(self, i: int, line: str, begin: int, end: int) -> Iterator[regex.Match]:
-        """The best match of a stretch, and those before and behind it, from left to right.
-
-        The library gives the first of the best matches and goes on behind it; what stands
-        before it has more errors, so the nesting is never deeper than the errors allowed.
-        """
+    def best(self, i: int, line: str, begin: int, end: int) -> set[tuple[int, int, int]]:
+        """(start, end, errors) of the best match in a window, and of those before and behind it."""
         phrase, _, k = self.notices[i]
-        for m in self.patterns[i].finditer(line, begin, end):
-            if m.start() < m.end():
-                before = m.start() - 1  # without the space, so that the stretch ends with a word
-                if before - begin >= len(phrase) - k:
-                    yield from self.occurrences(i, line, begin, before)
-                yield m
-                begin = m.end()
+        out: set[tuple[int, int, int]] = set()
+        todo = [(begin, end)]
+        while todo:
+            begin, end = todo.pop()
+            if end - begin < len(phrase) - k:
+                continue
+            exact = line.find(phrase, begin, end)
+            if exact >= 0 and line[exact - 1 : exact] in ("", " ") and line[exact + len(phrase) : exact + len(phrase) + 1] in ("", " "):
+                s, e, errors = exact, exact + len(phrase), 0
+            else:
+                m = self.patterns[i].search(line, begin, end)
+                if not m or m.start() == m.end():
+                    continue
+                s, e, errors = m.start(), m.end(), sum(m.fuzzy_counts)
+                if line[e : e + 1] not in ("", " "):  # the window ends inside a word, which is not the end of one
+                    todo.append((begin, e - 1))
+                    continue
+            out.add((s, e, errors))
+            todo += [(begin, s - 1), (e, end)]
+        return out
+
+
+def _apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Matches that do not overlap, the better one first served, from left to right."""
+    starts: list[int] = []
+    taken: dict[int, tuple[int, int, int]] = {}
+    for s, e, errors in sorted(found, key=lambda x: (x[2], x[0], x[1])):
+        at = bisect(starts, s)
+        if (at == 0 or taken[starts[at - 1]][1] <= s) and (at == len(starts) or e <= starts[at]):
+            starts.insert(at, s)
+            taken[s] = (s, e, errors)
+    return [taken[s] for s in starts]
 
 
 def exact_places(words: list[str]) -> list[tuple[int, str]]:
@@ -122,9 +147,10 @@ def exact_places(words: list[str]) -> list[tuple[int, str]]:
     out = []
     line = f" {' '.join(words)} "
     for phrase, label in BASE.items():
-        at = line.find(f" {phrase} ")
+        at, seen, done = line.find(f" {phrase} "), 0, 0  # words before ``done``
         while at >= 0:
-            out.append((line.count(" ", 0, at), label))
+            seen, done = seen + line.count(" ", done, at), at
+            out.append((seen, label))
             at = line.find(f" {phrase} ", at + 1)
     return sorted(out)
 

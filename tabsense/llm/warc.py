@@ -7,36 +7,83 @@ gives the same records; the response's target, date, HTTP headers and payload di
 
 from __future__ import annotations
 
+import html as markup
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"  # of responses made from pages, which carry none
 
-# what is cut out, what ends a line, and the entities that are put back; & comes last
-CUT = ("(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?is)<head\b[^>]*>.*?</head\s*>")
-LINE = r"(?i)</?(p|div|li|ul|ol|dl|dt|dd|h[1-6]|br|hr|tr|table|section|article|aside|main|header|footer|nav|body|html|blockquote|pre|form)\b[^>]*>"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
-TITLE, LANGUAGE, LINK = r"(?is)<title\b[^>]*>(.*?)</title\s*>", r'(?is)<html\b[^>]*\blang="([^"]*)"', r'(?i)<a\b[^>]*\bhref="([^"]*)"'
+# what is cut out, from an opening to the next closing; tags that end a line; where values stand
+CUT = (("(?s)<!--.*?-->", "-->"), *((rf"(?is)<{t}\b[^<>]*>.*?</{t}\s*>", rf"(?i)</{t}\s*>") for t in ("script", "style", "head")))
+LINE = r"(?i)</?(?:p|div|li|ul|ol|dl|dt|dd|h[1-6]|br|hr|tr|table|section|article|aside|main|header|footer|nav|body|html|blockquote|pre|form)\b[^>]*>"
+VALUE = r"""("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+TITLE, TITLE_END = r"(?is)<title\b[^<>]*>(.*?)</title\s*>", r"(?i)</title\s*>"
+LANGUAGE, LINK = rf"(?i)<html\b[^<>]*?\slang\s*=\s*{VALUE}", rf"(?i)<a\b[^<>]*?\shref\s*=\s*{VALUE}"
+
+_CUT = [(re.compile(p), re.compile(end)) for p, end in CUT]
+_LINE, _TAG, _CLOSE = re.compile(LINE), re.compile("<[^>]*>"), re.compile(">")
+_TITLE, _TITLE_END, _LANGUAGE, _LINK = (re.compile(p) for p in (TITLE, TITLE_END, LANGUAGE, LINK))
+_ENTITY = re.compile("&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+_BLANKS, _BREAKS, _BREAK = re.compile(r"[ \t\f\r\x0B]+"), re.compile(r" ?\n[ \n]*"), re.compile(r"[\r\n]+")
 
 
-def _entities(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+def _entities(text: str) -> str:
+    """Named and numeric entities put back, once: what they give is not read again."""
+    return _ENTITY.sub(lambda m: markup.unescape(m.group()), text) if "&" in text else text
 
 
-def _tidy(text: Column) -> Column:
+def _tidy(text: str) -> str:
     """One space between words, one line break between lines, none at the ends."""
-    text = F.regexp_replace(text, r"[ \t\f\r\x0B]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    return _BREAKS.sub("\n", _BLANKS.sub(" ", text)).strip(" \n")
+
 
+def _parted(text: str, end: re.Pattern) -> tuple[str, str]:
+    """The text up to the last place where ``end`` matches, and the rest.
+
+    An opening in the rest is never closed. Looking for its end would read the rest once for
+    each of them, so patterns that reach for an end are used on the first part only.
+    """
+    at = 0
+    for m in end.finditer(text):
+        at = m.end()
+    return text[:at], text[at:]
 
-def plain_text(html: Column) -> Column:
+
+def plain_text(html: str) -> str:
     """Text of a page: without comments, scripts, styles and the head; block tags end lines, other tags vanish."""
-    for pattern in CUT:
-        html = F.regexp_replace(html, pattern, " ")
-    return _tidy(_entities(F.regexp_replace(F.regexp_replace(html, LINE, "\n"), "<[^>]*>", "")))
+    for pattern, end in _CUT:
+        head, rest = _parted(html, end)
+        html = pattern.sub(" ", head) + rest
+    head, rest = _parted(html, _CLOSE)
+    return _tidy(_entities(_TAG.sub("", _LINE.sub("\n", head)) + rest))
+
+
+def _bare(value: str) -> str:
+    return value[1:-1] if value[:1] in "\"'" else value
+
+
+def page_facts(html: str) -> tuple[str, str, list[str]]:
+    """Title, language and outgoing links, the links as they stand but for entities and line breaks."""
+    title = _TITLE.search(_parted(html, _TITLE_END)[0])
+    language = _LANGUAGE.search(html)
+    links = [_entities(_BREAK.sub(" ", _bare(m.group(1)))) for m in _LINK.finditer(html)]
+    return _tidy(_entities(title.group(1)).replace("\n", " ")) if title else "", _bare(language.group(1)) if language else "", links
+
+
+def _fields(html: str) -> str:
+    title, language, links = page_facts(html)
+    return "".join(f"{name}: {value}{CRLF}" for name, value in (("title", title), ("language", language), *(("outlink", x) for x in links)))
+
+
+def _each(fn):
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(fn)
+
+    return F.pandas_udf(run, "string")
 
 
 def _uuid(*parts: Column) -> Column:
@@ -81,14 +128,12 @@ def derive(responses: DataFrame) -> DataFrame:
 
     Empty payloads give records with an empty text, no title, no language and no links. Repeated
     responses give the same records again; an empty table gives none. Other columns are ignored.
-    Only the entities in ENTITIES are put back.
+    Named and numeric entities are put back where they end with a semicolon. The source headers
+    of raw pages are made up by ``responses_of_pages``, as pages carry none.
     """
     rows = responses.select("page_id", "record_id", "target_uri", "date", "http_headers", F.coalesce("payload", F.lit("")).alias("payload"), "payload_digest")
-    title = _tidy(F.regexp_replace(_entities(F.regexp_extract("payload", TITLE, 1)), "\n", " "))
-    links = F.regexp_extract_all("payload", F.lit(LINK), F.lit(1))
-    lines = F.concat(F.lit("title: "), title, F.lit(f"{CRLF}language: "), F.regexp_extract("payload", LANGUAGE, 1), F.lit(CRLF),
-                     F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), F.replace(F.regexp_replace(x, r"[\r\n]+", " "), F.lit("&amp;"), F.lit("&")), F.lit(CRLF))), ""))
-    return _record(rows, "metadata", lines, "application/warc-fields").unionByName(_record(rows, "conversion", plain_text(F.col("payload")), "text/plain; charset=utf-8"))
+    metadata, text = _each(_fields)("payload"), _each(plain_text)("payload")
+    return _record(rows, "metadata", metadata, "application/warc-fields").unionByName(_record(rows, "conversion", text, "text/plain; charset=utf-8"))
 
 
 def as_records(derived: DataFrame) -> DataFrame:
@@ -106,26 +151,34 @@ def parse_records(records: DataFrame) -> DataFrame:
     return split.select("fields", F.decode(F.expr("substring(record, _at + 5, cast(fields['Content-Length'] as int))"), "UTF-8").alias("block"))
 
 
+# the entities that occur in the pages, for the SQL; & comes last
+SQL_ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
+
+
 def _sql() -> str:
+    quoted = lambda p: p.replace("'", "''")
+
     def replaced(text: str) -> str:
-        for name, char in ENTITIES:
-            text = f"replace({text}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+        for name, char in SQL_ENTITIES:
+            text = f"replace({text}, '{name}', '{char}')"
         return text
 
     def tidy(text: str) -> str:
         text = f"regexp_replace({text}, '[ \\t\\f\\r\\x0B]+', ' ', 'g')"
         return f"regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
 
+    bare = lambda x: f"""regexp_replace({x}, '^["'']|["'']$', '', 'g')"""
     uuid = lambda text: f"(SELECT 'urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] FROM (SELECT md5({text}) AS h))"
     plain = "payload"
-    for pattern in CUT:
-        plain = f"regexp_replace({plain}, '{pattern}', ' ', 'g')"
+    for pattern, _ in CUT:
+        plain = f"regexp_replace({plain}, '{quoted(pattern)}', ' ', 'g')"
     plain = tidy(replaced(f"regexp_replace(regexp_replace({plain}, '{LINE}', chr(10), 'g'), '<[^>]*>', '', 'g')"))
     crlf = "chr(13) || chr(10)"
     title = replaced(f"regexp_extract(payload, '{TITLE}', 1)")
     title = tidy(f"replace({title}, chr(10), ' ')")
-    link = f"'outlink: ' || replace(regexp_replace(x, '[\\r\\n]+', ' ', 'g'), '&amp;', '&') || {crlf}"
-    meta = f"'title: ' || {title} || {crlf} || 'language: ' || regexp_extract(payload, '{LANGUAGE}', 1) || {crlf} || coalesce(array_to_string(list_transform(regexp_extract_all(payload, '{LINK}', 1), lambda x: {link}), ''), '')"
+    link = f"'outlink: ' || {replaced(f"regexp_replace({bare('x')}, '[\\r\\n]+', ' ', 'g')")} || {crlf}"
+    language = bare(f"regexp_extract(payload, '{quoted(LANGUAGE)}', 1)")
+    meta = f"'title: ' || {title} || {crlf} || 'language: ' || {language} || {crlf} || coalesce(array_to_string(list_transform(regexp_extract_all(payload, '{quoted(LINK)}', 1), lambda x: {link}), ''), '')"
     fields = [("WARC-Type", "record_type"), ("WARC-Record-ID", "'<' || record_id || '>'"), ("WARC-Refers-To", "'<' || refers_to || '>'"), ("WARC-Target-URI", "regexp_replace(target_uri, '[\\r\\n]+', ' ', 'g')"),
               ("WARC-Date", "date"), ("WARC-Source-Payload-Digest", "source_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "CAST(content_length AS VARCHAR)")]
     head = f"'WARC/1.1' || {crlf} || " + " || ".join(f"'{n}: ' || {v} || {crlf}" for n, v in fields)

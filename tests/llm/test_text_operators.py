@@ -262,3 +262,93 @@ def test_web_records_round_trip(spark):
     text = {(r["page_id"], r["record_type"]): r["block"] for r in made.collect()}
     assert text[1, "conversion"] == "Ünï &lt; b\nl" and "outlink: /x?a=1&b=2" in text[1, "metadata"] and text[2, "conversion"] == ""
     assert {r["refers_to"] for r in made.collect()} == {r["record_id"] for r in warc.responses_of_pages(pages).collect()}
+
+
+PAGES = [
+    ("<html lang=de><title>A &amp; B\n c</title><body>x&copy;&#8212;&#xe9;&eacute;&nbsp;y &bogus; &amp;lt;<a class='k' href='/q?a=1&amp;b=2'>l</a><a href=/bare>m</a>",
+     ("A & B c", "de", ["/q?a=1&b=2", "/bare"]), "A & B\nc\nx\u00a9\u2014\u00e9\u00e9\u00a0y &bogus; &lt;lm"),
+    ("<HTML data-lang='no' LANG = 'fr'><head><title>T</title></head><p>one<p>two<br>three</p><a data-href='/no'>z</a>", ("T", "fr", []), "one\ntwo\nthree\nz"),
+    ("a<script>b</script>c<script>d<p>e", ("", "", []), "a cd\ne"),
+    ("x <!-- y --> z <!-- w > v", ("", "", []), "x z v"),
+    ("<title>open <a href=\"u\nv\">t</a> 1 < 2", ("", "", ["u v"]), "open t 1 < 2"),
+    ("", ("", "", []), ""),
+]
+
+
+@pytest.mark.parametrize("page,facts,text", PAGES)
+def test_pages_by_hand(page, facts, text):
+    assert warc.page_facts(page) == facts
+    assert warc.plain_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<script>", "<!--", "<style ", "<head><", "<", "<a ", "<title>", "<a href=\"", "</script ", "&amp", "<p ", "-->", "<script <"])
+def test_unclosed_markup_is_read_once(part):
+    import time
+
+    start = time.time()
+    for page in (part * (1_000_000 // len(part)), part * (500_000 // len(part)) + "></script></title>-->"):
+        warc.plain_text(page)
+        warc.page_facts(page)
+    assert time.time() - start < 10
+
+
+def test_web_records_edges(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, block string, record_id string")
+    assert warc.derive(warc.responses_of_pages(empty)).count() == 0
+    odd = spark.createDataFrame([(1, "u", "<p>" + "w " * 400_000, "b", "r"), (1, "u", "<p>" + "w " * 400_000, "b", "r")], empty.schema)
+    made = warc.derive(warc.responses_of_pages(odd)).where("record_type = 'conversion'").collect()
+    assert len(made) == 2 and {r["content_length"] for r in made} == {799_999} and len({r["record_id"] for r in made}) == 1
+
+
+def plain_distance(phrase, words):
+    """Edits between a phrase and words joined by spaces."""
+    text = " ".join(words)
+    row = list(range(len(text) + 1))
+    for i, a in enumerate(phrase, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(text, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_fuzzy_spans_by_edit_distance():
+    """Each reported span has the errors that the plain table says, and no run of words that is near enough is without a span."""
+    import random
+
+    rng = random.Random(8)
+    notices = {"mit license": "mit", "general public license": "gpl", "all rights reserved": "reserved"}
+    matcher = licenses.Matcher(notices)
+    for _ in range(60):
+        words = []
+        for _ in range(12):
+            phrase = list(rng.choice(list(notices)))
+            for _ in range(rng.choice((0, 0, 1, 1, 2, 3))):
+                at = rng.randrange(len(phrase))
+                phrase[at : at + rng.choice((0, 1))] = rng.choice(("", "x", "e", " "))
+            words += "".join(phrase).split() + [rng.choice(("and", "or", "mit", "the", "all"))] * rng.choice((0, 1))
+        found = matcher.find(words)
+        for f in found:
+            phrase = next(p for p, label in notices.items() if label == f.label)
+            assert plain_distance(phrase, words[f.start : f.end]) <= f.errors <= len(phrase) // 10
+        for phrase, label in notices.items():
+            own = [f for f in found if f.label == label]
+            assert all(a.end <= b.start for a, b in zip(own, own[1:]))
+            n = phrase.count(" ") + 1
+            for s in range(len(words)):
+                for e in range(s + 1, min(len(words), s + n + 1) + 1):
+                    d = plain_distance(phrase, words[s:e])
+                    if d <= len(phrase) // 10:
+                        assert any(f.start < e and s < f.end and f.errors <= d for f in own), (words, phrase, s, e, d, own)
+
+
+@pytest.mark.parametrize("notice", ["mit license", "mit lisense", "genral public license", "permission is hereby granted free of charge to any persn obtaining a copy", "mit licens e x"])
+def test_a_megabyte_of_notices(notice):
+    import time
+
+    words = (notice + " ") * (1_000_000 // (len(notice) + 1))
+    start = time.time()
+    places, found = licenses.exact_places(words.split()), licenses.Matcher().find(words.split())
+    assert time.time() - start < 60
+    n = words.count(notice)
+    assert len(places) == (n if notice == "mit license" else 0)
+    assert len(found) >= n
