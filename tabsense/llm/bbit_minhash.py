@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize, store
-from .common import slices, texts_of, words_of
+from .common import join_by_size, sized_side, slices, texts_of, words_of
 from .components import connected
 
 SHINGLE = 5
@@ -107,14 +107,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(None)
                 planes.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "digest", "bands", "planes"],
+            [batch["doc_id"], batch["text_key"], pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))],
+            ["doc_id", "text_key", "n_shingles", "digest", "bands", "planes"],
         )
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and a hash of the text, so that an id that comes with several texts names each of them."""
+    return texts_of(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set, band keys and bit planes of every row; nulls where there is no word."""
-    return texts_of(docs, id_col, text_col).mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>, planes array<long>")
+    """doc_id, hash of the text, n_shingles, digest of the shingle set, band keys and bit planes of every row; nulls where there is no word."""
+    return _keyed(docs, id_col, text_col).mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, planes array<long>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -250,42 +255,44 @@ def shingle_set(words: list[bytes]) -> set:
     return set(zip(*[words[i:] for i in range(SHINGLE)]))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs of class representatives (a, b) whose whole shingle sets are similar enough."""
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
+PAIRS_PER_TASK = 1_000  # of one text, which is sent to so many parts of its pairs
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes (a, b) whose whole shingle sets are similar enough; the pairs of a frequent ``a`` are dealt over tasks."""
+    parts = F.ceil(F.col("n") / PAIRS_PER_TASK).cast("long")
+    sizes = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", parts))
+    dealt = join_by_size(pairs, sizes, "a", "n").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    left = texts.join(sizes, texts["id"] == sizes["a"]).select("a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    return dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long").distinct()
 
-    Rows are linked when 100 * shared shingles >= ``percent`` * all shingles; component_id is
-    the smallest id reached, kept is doc_id = component_id. Rows without words (null or empty
-    texts too) have no shingles, link with nothing and stay. A row with a null id stays by
-    itself with a null component. Ids are taken to name one text; repeated rows share a
-    component, and each of them has kept as its id says. Other columns are ignored.
-    A pair right at the threshold of 0.8 goes unseen in every band with probability 5e-5, at
-    0.85 with 3e-7; confirmation is exact.
-    """
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles and component_id of every row."""
     low = slack(percent / 100)
-    texts = texts_of(docs, id_col, text_col)
     rows = store(sketches(docs, id_col, text_col), "minhash")
     filled = rows.where("digest is not null and doc_id is not null")
 
-    # one class for each distinct shingle set, named by its smallest id
-    classes = materialize(filled.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    member = materialize(filled.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class")).where("doc_id != class"))
-    heads = filled.join(member.select("doc_id").distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "bands", "planes")
+    # one class for each distinct shingle set, with the text of any of its rows; classes have numbers of their own
+    of_set = materialize(filled.groupBy("digest").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n")))
+    classes = store(filled.dropDuplicates(["digest"]).select(F.monotonically_increasing_id().alias("id"), "digest", "doc_id", "text_key", "bands", "planes"), "classes")
+    heads = classes.select("id", "bands", "planes")
+    texts = _keyed(docs, id_col, text_col)
+
+    def texts_of_classes(ids: DataFrame) -> DataFrame:
+        wanted = sized_side(classes.select("id", "doc_id", "text_key").join(ids.select("id").distinct(), "id"))
+        return store(texts.join(wanted, ["doc_id", "text_key"]).select("id", "text"), "class-texts")
 
     # buckets of at least two classes, and their smallest member
     spread = heads.select("id", F.explode("bands").alias("key"))
-    pivots = spread.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = store(spread.join(pivots, "key"), "buckets")
+    pivots = materialize(spread.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    buckets = store(join_by_size(spread, pivots, "key", "size"), "buckets")
     planes = heads.select("id", "planes")
     side = lambda c: planes.select(F.col("id").alias(c), F.col("planes").alias(f"planes_{c}"))
     stars = buckets.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    likely = stars.join(side("a"), "a").join(side("b"), "b").where(estimate("planes_a", "planes_b") >= low).select("a", "b")
-    links = materialize(_confirmed(likely, texts, percent))
+    likely = materialize(stars.join(side("a"), "a").join(side("b"), "b").where(estimate("planes_a", "planes_b") >= low).select("a", "b"))
+    links = materialize(_confirmed(likely, texts_of_classes(likely.select(F.col("a").alias("id")).union(likely.select("b"))), percent))
 
     # buckets that still hold several groups
     groups = materialize(connected(links))
@@ -293,24 +300,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = split.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high and members > 2").select("key", "members")
     tiles = F.ceil(F.col("members") / TILE).cast("long")
     dealt = (
-        split.select("key", "id", "component").join(materialize(mixed), "key")
+        join_by_size(split.select("key", "id", "component"), materialize(mixed), "key", "members")
         .withColumn("tiles", tiles).withColumn("tile", F.expr("pmod(xxhash64(id), tiles)"))
         .withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
         .select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component")
     )
     grouped = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    involved = grouped(dealt.join(heads, "id")).mapInArrow(_involved(low), TILED)
-    more = grouped(involved.join(heads, "id").join(texts.withColumnRenamed("doc_id", "id"), "id")).mapInArrow(_joining(low, percent), "a long, b long")
+    involved = materialize(grouped(dealt.join(heads, "id")).mapInArrow(_involved(low), TILED))
+    more = grouped(involved.join(heads, "id").join(texts_of_classes(involved), "id")).mapInArrow(_joining(low, percent), "a long, b long")
     final = materialize(connected(links.union(more)))
 
-    # classes back to rows
-    of_class = final.select(F.col("id").alias("class"), "component")
-    named = rows.select("doc_id", "n_shingles").join(member.distinct(), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-    component = F.coalesce("component", "class")
-    return named.join(of_class, "class", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # components are named by the smallest id of their rows, and brought back to the rows
+    small = classes.select("id", "digest").join(of_set, "digest").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of_component = small.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    named = materialize(small.join(of_component, "component").select("digest", "component_id", "n"))
+    slim = rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    whole = join_by_size(slim, named, "digest", "n", "left")
+    return whole.select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row.
+
+    Rows are linked when 100 * shared shingles >= ``percent`` * all shingles; component_id is
+    the smallest id reached, kept is doc_id = component_id. Rows without words (null or empty
+    texts too) have no shingles, link with nothing and stay. A row with a null id stays by
+    itself with a null component. An id that comes with several texts links as each of them,
+    and does not link them by itself; repeated rows share a component, and each of them has
+    kept as its id says. Other columns are ignored. Rows with the same shingle set, told by 128
+    bits over the 64-bit hashes of all its shingles, are one class; links between classes are
+    confirmed on whole sets. A pair right at the threshold of 0.8 goes unseen in every band
+    with probability 5e-5, at 0.85 with 3e-7.
+    """
+    linked = _linked(docs, id_col, text_col, percent)
+    return linked.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The rows that stay, one for each group, with their columns as they came; repeated rows stay repeated."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = _linked(docs, id_col, text_col, percent).where("doc_id != component_id").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
+    same = (F.col(id_col).cast("long") == F.col("_gone")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_key"))
+    return docs.join(gone, same, "left_anti")

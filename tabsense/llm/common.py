@@ -68,3 +68,18 @@ def sized_side(df: DataFrame) -> DataFrame:
     width = sum((F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) if f.dataType.simpleString() == "string" else F.lit(8)) for f in table.schema.fields)
     rows, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return F.broadcast(table) if rows <= SIDE_ROWS and size <= SIDE_BYTES else table
+
+
+HOT_ROWS = 10_000
+
+
+def join_by_size(left: DataFrame, right: DataFrame, key: str, size: str, how: str = "inner", bound: int = HOT_ROWS) -> DataFrame:
+    """``left`` joined with the one row per key of ``right``, whose column ``size`` says how often the key stands in ``left``.
+
+    Keys that stand there more than ``bound`` times are few, at most rows / bound, and are sent
+    to where the rows lie; all others are joined by a shuffle. ``how`` is inner or left.
+    """
+    hot = sized_side(right.where(F.col(size) > bound))
+    cold = right.where(F.col(size) <= bound)
+    rest = left.join(hot.select(key), key, "left_anti")
+    return left.join(hot, key).unionByName(rest.join(cold, key, how))

@@ -264,6 +264,30 @@ def test_web_records_round_trip(spark):
     assert {r["refers_to"] for r in made.collect()} == {r["record_id"] for r in warc.responses_of_pages(pages).collect()}
 
 
+def test_an_id_with_several_texts_links_as_each(spark):
+    a, b = ("a%d" % i for i in range(60)), ("b%d" % i for i in range(60))
+    a, b = " ".join(a), " ".join(b)
+    docs = odd(spark, [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, a), (4, a), (9, "only this one text here now")])
+    rows = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in bbit_minhash.near_duplicates(docs).collect())
+    assert rows == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (4, 1, False), (9, 9, True)]
+    more = odd(spark, [(5, a), (5, b), (2, a + " z"), (7, b + " z")])
+    got = bbit_minhash.near_duplicates(more).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == {(5, 2): 1, (5, 5): 1, (2, 2): 1, (7, 5): 1}
+    assert sorted((r["doc_id"], r["text"][:2]) for r in bbit_minhash.drop_near_copies(more).collect()) == [(2, "a0"), (5, "b0")]
+
+
+def test_a_frequent_class_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(bbit_minhash, "PAIRS_PER_TASK", 3)
+    from tabsense.llm import common
+
+    monkeypatch.setattr(common.join_by_size, "__defaults__", ("inner", 5))
+    base = [f"w{i}" for i in range(200)]
+    near = [(100 + i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
+    docs = odd(spark, [(7, " ".join(base)), *near, *[(500 + i, " ".join(base)) for i in range(30)], (999, "far from all the others here")])
+    rows = {r["doc_id"]: r["component_id"] for r in bbit_minhash.near_duplicates(docs).collect()}
+    assert rows == {**{d: 7 for d in rows}, 999: 999} and len(rows) == 72
+
+
 PAGES = [
     ("<html lang=de><title>A &amp; B\n c</title><body>x&copy;&#8212;&#xe9;&eacute;&nbsp;y &bogus; &amp;lt;<a class='k' href='/q?a=1&amp;b=2'>l</a><a href=/bare>m</a>",
      ("A & B c", "de", ["/q?a=1&b=2", "/bare"]), "A & B\nc\nx\u00a9\u2014\u00e9\u00e9\u00a0y &bogus; &lt;lm"),
