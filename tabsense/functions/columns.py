@@ -30,6 +30,9 @@ DAY_FORMATS = [
     ("A 99 9999", "MMM dd yyyy"),
     ("99 A 9999", "dd MMM yyyy"),
     ("99-A-9999", "dd-MMM-yyyy"),
+    ("9999-99", "yyyy-MM"),
+    ("9999/99", "yyyy/MM"),
+    ("A 9999", "MMM yyyy"),
 ]
 TIME_FORMATS = [
     ("", ""),
@@ -37,14 +40,18 @@ TIME_FORMATS = [
     (" 99:99:99", " HH:mm:ss[.SSSSSSSSS]"),
     ("A99:99", "'T'HH:mm"),
     ("A99:99:99", "'T'HH:mm:ss[.SSSSSSSSS]"),
+    (" 99:99 A", " hh:mm a"),
+    (" 99:99:99 A", " hh:mm:ss[.SSSSSSSSS] a"),
 ]
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 # the usual texts, parsed by constant formats
 PLAIN_DAYS = [("9999-99-99", "yyyy-MM-dd"), ("9999/99/99", "yyyy/MM/dd"), ("99/99/9999", "MM/dd/yyyy"), ("99/99/9999", "dd/MM/yyyy")]
 PLAIN_TIMES = [("", ""), (" 99:99:99", " HH:mm:ss"), ("T99:99:99", "'T'HH:mm:ss")]
 # how any other date text begins
+WEEKDAY = "(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\\.?,? +"
 DATE_START = (
-    "(?i)^([0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]|[0-9]{8}\\b|([0-9]{1,2}[ -])?(" + "|".join(m[:3] for m in MONTHS) + ")[a-z]*[-. ])"
+    "(?i)^([0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]|[0-9]{4}[-/][0-9]{1,2}$|[0-9]{8}\\b|([0-9]{1,2}[ -])?(" + "|".join(m[:3] for m in MONTHS) + ")[a-z]*[-. ]"
+    "|(mon|tue|wed|thu|fri|sat|sun)[a-z]*\\.?,? )"
 )
 # ----------------------------------------------------------------------------
 
@@ -78,37 +85,42 @@ def to_number(c: Column) -> Column:
     return F.when(trimmed.rlike(NUMBER_PATTERN), trimmed.try_cast("double"))
 
 
-def to_moment(c: Column) -> Column:
+def to_moment(c: Column, day_first: bool = False) -> Column:
     """Text to timestamp over the known formats; null where none fits.
 
-    Of two numbers before the year the first is the month, unless it is above 12. A zone is
-    cut off: the result is the clock time as written.
+    Of two numbers before the year the first is the month, unless it is above 12; with
+    ``day_first`` it is the day, unless the second is above 12. Years of two digits are those
+    from 1969 to 2068. A zone is cut off: the result is the clock time as written.
     """
     trimmed = strip(c)
     # the shape decides the format, so no parse is tried in vain
     shape = F.translate(trimmed, "012345678", "999999999")
-    month_first = F.substring(trimmed, 1, 2) <= "12"
+    month_first = F.substring(trimmed, 4, 2) > "12" if day_first else F.substring(trimmed, 1, 2) <= "12"
     fits = lambda form, day: (shape == form) & (month_first if day.startswith("MM") else F.lit(True))
     plain = [
         F.when(fits(form + t, day), F.try_to_timestamp(trimmed, F.lit(day + time)))
         for form, day in PLAIN_DAYS for t, time in PLAIN_TIMES if not t or form.startswith("9999")
     ]
-    return F.when(F.length(trimmed).between(8, 40), F.coalesce(*plain, F.when(trimmed.rlike(DATE_START), _other_moment(trimmed))))
+    return F.when(F.length(trimmed).between(6, 40), F.coalesce(*plain, F.when(trimmed.rlike(DATE_START), _other_moment(trimmed, day_first))))
 
 
-def _other_moment(trimmed: Column) -> Column:
-    """The moment of a text with single digits, month names, a fraction or a zone; its format is looked up by its shape."""
-    text = F.regexp_replace(trimmed, r"(:[0-9]{2}(?:\.[0-9]{1,9})?) ?(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2})$", "$1")
+def _other_moment(trimmed: Column, day_first: bool = False) -> Column:
+    """The moment of a text with single digits, names, a short year, a fraction or a zone; its format is looked up by its shape."""
+    text = F.regexp_replace(F.regexp_replace(trimmed, WEEKDAY, ""), r"(?i)([0-9]) ?([ap])\.?m\.?$", "$1 $2M")
+    text = F.regexp_replace(text, r"(:[0-9]{2}(?:\.[0-9]{1,9})?) ?(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2})$", "$1")
     # long month names are cut to three letters, single digits filled up to two
     months = "|".join(f"{m[:3]}(?={m[3:]}\\b|\\b)" for m in MONTHS)
     text = F.regexp_replace(text, f"(?i)\\b({months}|sep(?=t\\b))[a-z]*\\.?", "$1")
     text = F.regexp_replace(text, r"(?<![0-9.:])([0-9])(?![0-9])|(?<=[./-])([0-9])(?=[./-])", "0$1$2")
-    shape = F.translate(F.regexp_replace(text, r"(:[0-9]{2})\.[0-9]+$", "$1"), "012345678", "999999999")
+    for years, century in (("69|[7-9][0-9]", "19"), ("[0-9]{2}", "20")):
+        text = F.regexp_replace(text, rf"^([0-9]{{2}}([/.-])[0-9]{{2}}\2)({years})(?![0-9.:])", f"$1{century}$3")
+    shape = F.translate(F.regexp_replace(text, r"(:[0-9]{2})\.[0-9]+( [A-Za-z]+)?$", "$1$2"), "012345678", "999999999")
     shape = F.regexp_replace(shape, "[A-Za-z]+", "A")
     formats = {d + t: day + time for d, day in DAY_FORMATS for t, time in TIME_FORMATS}
     form = F.try_element_at(F.create_map(*[F.lit(x) for pair in formats.items() for x in pair]), shape)
     # MM/dd becomes dd/MM where the first number cannot be a month
-    day_first = shape.rlike("^99[/.-]99[/.-]9999") & (F.substring(text, 1, 2) > "12")
+    later = F.substring(text, 4, 2) <= "12" if day_first else F.substring(text, 1, 2) > "12"
+    day_first = shape.rlike("^99[/.-]99[/.-]9999") & later
     swapped = F.concat(F.lit("dd"), F.substring(form, 3, 1), F.lit("MM"), F.substring(form, 6, 40))
     return F.try_to_timestamp(text, F.when(day_first, swapped).otherwise(form))
 

@@ -1,9 +1,13 @@
-"""Versioned tables: parquet snapshots, an append-only log, a cursor, and diffs."""
+"""Versioned tables: parquet snapshots, an append-only log of manifests, a cursor, and diffs."""
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +16,20 @@ from ..functions.columns import present
 from .features import Action
 
 LOG = (
-    "event bigint, kind string, version bigint, slot bigint, name string, at timestamp, rows bigint, columns bigint, "
+    "event bigint, kind string, version bigint, snapshot string, name string, at timestamp_ntz, rows bigint, columns bigint, "
     "action string, parameters map<string,string>"
 )
+TRIES = 50
 
 
 class VersionedTable:
     """A linear history under one folder.
 
-    A commit writes ``snapshot=N`` and one log event; undo, redo and jump write
-    an event only. Nothing is overwritten, so a lost driver can pick up again:
-    the state is the replay of the log, which has one row per user action.
+    A commit writes a snapshot under a name of its own and then one manifest,
+    ``log/<event>.json``; undo, redo and jump write a manifest only. A manifest is put in
+    place by a rename that fails where its number is taken, so of two writers one is told to
+    look again and takes the next number. The state is the replay of the manifests, one per
+    user action: what a lost driver left behind without a manifest is never read.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -31,59 +38,89 @@ class VersionedTable:
     # -- log
     def events(self) -> DataFrame:
         try:
-            return self.spark.read.schema(LOG).parquet(f"{self.root}/log")
+            return self.spark.read.schema(LOG).json(f"{self.root}/log/*.json")
         except AnalysisException:
             return self.spark.createDataFrame([], LOG)
 
-    def _state(self) -> tuple[list, int, int, int]:
-        """(active commits in order, cursor, next event, next snapshot)."""
-        history, cursor, event, snapshot = [], -1, 0, 0
+    def _state(self) -> tuple[list, int, int]:
+        """(active commits in order, cursor, next event)."""
+        history, cursor, event = [], -1, 0
         for e in self.events().orderBy("event").collect():
             event = e["event"] + 1
             if e["kind"] == "commit":
                 history = history[: cursor + 1] + [e]
                 cursor = len(history) - 1
-                snapshot = max(snapshot, e["slot"] + 1)
             else:
                 cursor = e["version"]
-        return history, cursor, event, snapshot
-
-    def _append(self, row: tuple) -> None:
-        self.spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+        return history, cursor, event
+
+    def _put(self, event: int, manifest: dict) -> bool:
+        """Whether the manifest now stands under its number; false where another one does."""
+        jvm = self.spark.sparkContext._jvm
+        fs = jvm.org.apache.hadoop.fs
+        draft, final = (fs.Path(f"{self.root}/log/{name}") for name in (f"_draft-{uuid.uuid4().hex}", f"{event:012d}.json"))
+        files = fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        system = draft.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        out = system.create(draft, False)
+        out.write(bytearray(json.dumps({"event": event, **manifest}).encode()))
+        out.close()
+        try:
+            # without an option the rename never overwrites
+            files.rename(draft, final, self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
+            system.delete(draft, False)
+            return False
+        return True
+
+    def _append(self, entry: Callable[[list, int], dict | None]) -> dict | None:
+        """Adds what ``entry`` makes of (history, cursor); another writer's manifest is taken in first and ``entry`` asked again."""
+        for _ in range(TRIES):
+            history, cursor, event = self._state()
+            made = entry(history, cursor)
+            if made is None:
+                return None
+            if self._put(event, {**made, "at": dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat()}):
+                return made
+        raise RuntimeError(f"other writers took the next place {TRIES} times")
 
     # -- writing
     def commit(self, df: DataFrame, action: Action | None = None, name: str | None = None) -> int:
         """Write a new version after the cursor; versions that were undone fall out of the history."""
-        _, cursor, event, slot = self._state()
-        path = f"{self.root}/snapshot={slot}"
-        df.write.parquet(path)
-        rows = self.spark.read.parquet(path).count()  # read off the file footers
-        version = cursor + 1
+        snapshot = f"snapshot-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{snapshot}")
+        rows = self.spark.read.parquet(f"{self.root}/{snapshot}").count()  # read off the file footers
         text = action.description if action else "Baseline"
-        self._append((
-            event, "commit", version, slot, name or (action.description if action else f"Version {version}"),
-            dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), rows, len(df.columns), text,
-            dict(action.parameters) if action else {},
-        ))
-        return version
+
+        def entry(history: list, cursor: int) -> dict:
+            return {
+                "kind": "commit", "version": cursor + 1, "snapshot": snapshot, "name": name or (action.description if action else f"Version {cursor + 1}"),
+                "rows": rows, "columns": len(df.columns), "action": text, "parameters": dict(action.parameters) if action else {},
+            }
+
+        return self._append(entry)["version"]
 
     # -- reading
-    def _move(self, target: int) -> int | None:
-        history, cursor, event, _ = self._state()
-        if not 0 <= target < len(history) or target == cursor:
-            return target if target == cursor and history else None
-        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        self._append((event, "move", target, None, None, now, None, None, None, {}))
-        return target
+    def _move(self, target: Callable[[int], int]) -> int | None:
+        history, cursor, _ = self._state()
+        if history and target(cursor) == cursor:
+            return cursor
+
+        def entry(history: list, cursor: int) -> dict | None:
+            return {"kind": "move", "version": target(cursor)} if 0 <= target(cursor) < len(history) else None
+
+        made = self._append(entry)
+        return made and made["version"]
 
     def undo(self) -> int | None:
-        return self._move(self.version - 1)
+        return self._move(lambda cursor: cursor - 1)
 
     def redo(self) -> int | None:
-        return self._move(self.version + 1)
+        return self._move(lambda cursor: cursor + 1)
 
     def jump_to(self, version: int) -> int | None:
-        return self._move(version)
+        return self._move(lambda cursor: version)
 
     @property
     def version(self) -> int:
@@ -95,25 +132,25 @@ class VersionedTable:
 
     @property
     def can_redo(self) -> bool:
-        history, cursor, _, _ = self._state()
+        history, cursor, _ = self._state()
         return cursor < len(history) - 1
 
     def read(self, version: int | None = None) -> DataFrame:
-        history, cursor, _, _ = self._state()
+        history, cursor, _ = self._state()
         at = cursor if version is None else version
         if not 0 <= at < len(history):
             raise ValueError(f"No version {at}")
-        return self.spark.read.parquet(f"{self.root}/snapshot={history[at]['slot']}")
+        return self.spark.read.parquet(f"{self.root}/{history[at]['snapshot']}")
 
     def audit_log(self) -> DataFrame:
         """One row per version of the current history."""
-        history, cursor, _, _ = self._state()
+        history, cursor, _ = self._state()
         rows = [
             (i, e["name"], e["at"], e["rows"], e["columns"], i == cursor, e["action"], e["parameters"])
             for i, e in enumerate(history)
         ]
         return self.spark.createDataFrame(
-            rows, "version bigint, name string, at timestamp, rows bigint, columns bigint, is_current boolean, "
+            rows, "version bigint, name string, at timestamp_ntz, rows bigint, columns bigint, is_current boolean, "
             "action string, parameters map<string,string>",
         )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_moment
-from ..operators import basics, features, profile, quality, versions
+from ..operators import basics, dates, features, profile, quality, versions
 from ..sources import delimited, sinks
 from ..storage import load, new_folder
 from .basic_queries import categorical_sql, datetime_sql, numeric_profile_sql
@@ -195,6 +195,27 @@ def schema_summary(spark, folder):
 # --- sources and sinks ----------------------------------------------------------------
 
 
+@query("dates_by_column", sql="""
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS short, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month,
+  strftime(o_orderdate + to_hours(o_orderkey % 24), '%Y-%m-%d %H:%M') AS spoken FROM orders""")
+def dates_by_column(spark, folder):
+    """Day first throughout, though many of the days could be months; months only; week days and hours of the half day."""
+    day = F.col("o_orderdate").cast("timestamp")
+    spoken = F.date_format(F.timestamp_add("HOUR", F.col("o_orderkey") % 24, day), "EEE, dd MMM yyyy hh:mm a")
+    rows = load(spark, folder, "orders").select("o_orderkey", F.date_format(day, "dd/MM/yy").alias("short"), F.date_format(day, "yyyy-MM").alias("month"), spoken.alias("spoken"))
+    got = dates.parse_dates(rows, ["short", "month", "spoken"])
+    return got.select("o_orderkey", F.date_format("short", "yyyy-MM-dd").alias("short"), F.date_format("month", "yyyy-MM-dd").alias("month"), F.date_format("spoken", "yyyy-MM-dd HH:mm").alias("spoken"))
+
+
+@query("date_shapes", sql=f"""
+WITH {MESSY_SQL}, c AS (SELECT trim(joined_date) AS v FROM messy WHERE joined_date IS NOT NULL)
+SELECT 'joined_date' AS "column", regexp_replace(v, '[0-9]', '9', 'g') AS shape, count(*) AS n, count(*) AS readable,
+  count(*) FILTER (regexp_matches(v, '^[0-9]{{2}}/') AND TRY_CAST(v[1:2] AS INT) > 12) AS day_first,
+  count(*) FILTER (regexp_matches(v, '^[0-9]{{2}}/') AND TRY_CAST(v[4:5] AS INT) > 12) AS month_first FROM c GROUP BY 2""")
+def date_shapes(spark, folder):
+    return dates.date_shapes(messy_orders(spark, folder), ["joined_date"])
+
+
 @query("csv_load", sql=f"""
 WITH {MESSY_SQL}
 SELECT o_orderkey, amount_text, grade_text, status_text, flag_text, joined_date, sparse, constant,
@@ -277,11 +298,16 @@ def version_commit(spark, folder):
 
 
 @query("version_log", sql="""
-SELECT CAST(v AS BIGINT) AS version, n AS name, (SELECT count(*) FROM orders) AS "rows", CAST(c AS BIGINT) AS "columns", v = 2 AS is_current, a AS action
-FROM (VALUES (0, 'Baseline', 6, 'Baseline'), (1, 'log1p of o_totalprice', 7, 'log1p of o_totalprice'),
-  (2, 'dropped o_orderpriority', 6, 'dropped o_orderpriority')) t(v, n, c, a)""")
+SELECT CAST(v AS BIGINT) AS version, n AS name, (SELECT count(*) FROM orders) AS "rows", CAST(c AS BIGINT) AS "columns", v = 2 AS is_current, a AS action, p AS parameters
+FROM (VALUES (0, 'Baseline', 6, 'Baseline', ''), (1, 'log1p of o_totalprice', 7, 'log1p of o_totalprice', ''),
+  (2, '3 bins', 10, 'o_totalprice in 3 bins (uniform)', 'n_bins=3, strategy=uniform')) t(v, n, c, a, p)""")
 def version_log(spark, folder):
-    return _history(spark, folder).audit_log().drop("at", "parameters")
+    table = _history(spark, folder)
+    table.undo()
+    bins, action = features.bin_column(table.read(), "o_totalprice", 3, "uniform")
+    table.commit(bins, action, "3 bins")
+    said = F.transform(F.array_sort(F.map_entries("parameters")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return table.audit_log().drop("at").withColumn("parameters", F.array_join(said, ", "))
 
 
 @query("dataset_diff", sql=f"""

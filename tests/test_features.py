@@ -100,6 +100,38 @@ def test_versions(spark, sample):
         t.read(5)
 
 
+def test_a_commit_that_died_is_not_seen(spark, sample, monkeypatch):
+    t = VersionedTable(spark, new_folder(spark, "v"))
+    t.commit(sample, name="Raw")
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "_put", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            t.commit(sample.limit(1))
+    assert t.version == 0 and t.read().count() == 5
+    assert t.commit(sample.limit(2), name="Next") == 1 and t.read().count() == 2
+    assert [r["name"] for r in VersionedTable(spark, t.root).audit_log().orderBy("version").collect()] == ["Raw", "Next"]
+
+
+def test_two_writers_give_two_versions(spark, sample):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = new_folder(spark, "v")
+    VersionedTable(spark, root).commit(sample, name="Raw")
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda n: VersionedTable(spark, root).commit(sample.limit(n), name=f"w{n}"), range(1, 5)))
+    t = VersionedTable(spark, root)
+    log = {r["version"]: (r["name"], r["rows"]) for r in t.audit_log().collect()}
+    assert sorted(got) == [1, 2, 3, 4] and {log[v] for v in got} == {(f"w{n}", n) for n in range(1, 5)}
+    assert all(t.read(v).count() == log[v][1] for v in got)
+
+
+def test_a_taken_number_is_not_overwritten(spark, sample):
+    t = VersionedTable(spark, new_folder(spark, "v"))
+    t.commit(sample, name="Raw")
+    assert not t._put(0, {"kind": "move", "version": 0}) and t._put(1, {"kind": "move", "version": 0})
+    assert t.events().count() == 2
+
+
 def test_diff(sample):
     after, _ = fe.log_transform(sample.drop("category").where("quantity > 1"), "sales")
     after = after.withColumn("quantity", F.when(F.col("quantity") > 2, F.col("quantity")))

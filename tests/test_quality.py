@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsense.functions.columns import to_moment
+from tabsense.operators import dates
 from tabsense.operators import quality
 from tabsense.operators.basics import (
     complete_rows, distinct_counts, drop_column, duplicate_count, first_rows, iqr_outliers, labels, null_counts, project,
@@ -151,3 +152,23 @@ def test_date_texts(spark):
     rows = spark.createDataFrame([(k,) for k in shapes] + [(None,)], "t string")
     got = {r["t"]: r["m"] for r in rows.select("t", to_moment(F.col("t")).cast("timestamp_ntz").cast("string").alias("m")).collect()}
     assert got == {**shapes, None: None}
+
+
+@pytest.mark.parametrize("text,want", [
+    ("01/15/24", "2024-01-15 00:00:00"), ("2024-01", "2024-01-01 00:00:00"), ("01/15/2024 3:05 PM", "2024-01-15 15:05:00"), ("Mon, 15 Jan 2024", "2024-01-15 00:00:00"),
+    ("1/5/70", "1970-01-05 00:00:00"), ("24-01-15", "2015-01-24 00:00:00"), ("2024-01-15 12:30:01 a.m.", "2024-01-15 00:30:01"), ("Jan 2024", "2024-01-01 00:00:00"),
+    ("Tuesday 16 January 2024 09:10", "2024-01-16 09:10:00"), ("2024-13", None), ("Monday", None), ("12:30 PM", None), ("1234-56", None), ("99/99/99", None),
+])
+def test_more_dates(spark, text, want):
+    got = spark.createDataFrame([(text,)], "d string").select(to_moment(F.col("d")).cast("string").alias("d")).first()["d"]
+    assert got == want
+
+
+def test_one_order_for_a_column(spark):
+    df = spark.createDataFrame([("13/01/2024", "01/13/2024", "13/01/24", "x"), ("02/01/2024", "02/01/2024", "2/1/24", None), ("05.03.2024", None, " 3/4/2024 ", "y")], "a string, b string, c string, d string")
+    assert dates.day_first_columns(df, df.columns) == {"a", "c"}
+    rows = dates.parse_dates(df, df.columns).select(*[F.date_format(c, "yyyy-MM-dd").alias(c) for c in "abcd"]).collect()
+    assert [r["a"] for r in rows] == ["2024-01-13", "2024-01-02", "2024-03-05"] and [r["b"] for r in rows] == ["2024-01-13", "2024-02-01", None]
+    assert [r["c"] for r in rows] == ["2024-01-13", "2024-01-02", "2024-04-03"] and {r["d"] for r in rows} == {None}
+    shapes = {(r["column"], r["shape"]): (r["n"], r["readable"], r["day_first"]) for r in dates.date_shapes(df).collect()}
+    assert shapes["a", "99/99/9999"] == (2, 2, 1) and shapes["d", "A"] == (2, 0, 0)
