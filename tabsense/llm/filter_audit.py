@@ -185,7 +185,7 @@ def patterns(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     fails = F.col("flags") + F.when(F.col("n_words") < MIN_WORDS, BIT["A"]).otherwise(0) + F.when(100 * F.col("n_distinct") < MIN_DISTINCT * F.col("n_words"), BIT["B"]).otherwise(0)
     rows = _counted(docs, id_col, text_col, part_col).select("doc_id", "part", "digest", fails.alias("pattern")).groupBy("doc_id", "part", "digest", "pattern").agg(F.count(F.lit(1)).alias("n"))
-    rows = store(_labelled(rows, labels), "filter-rows")
+    rows = store(_labelled(store(rows, "counted-rows"), labels), "filter-rows")
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     passing = rows.where("doc_id is not null").join(first, ["digest", "doc_id"], "left_semi").unionByName(rows.where("doc_id is null"))
     kinds = rows.withColumn("pattern", F.col("pattern") + BIT["E"]).unionByName(passing).unionByName(passing.withColumns({"pattern": F.col("pattern") + BIT["E"], "n": -F.col("n")}))
