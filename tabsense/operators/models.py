@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import (
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import is_numeric, is_text, named, number, present
+from ..functions.rounding import half_up
 from ..storage import new_folder, shared_dir
 from .basics import distinct_where_unclear
 from .neighbors import knn_regress, nearest_neighbors
@@ -274,6 +277,12 @@ class Tournament:
     winner: Candidate | None
     fitted: dict[str, Candidate]
     train: DataFrame
+    matrices: list[tuple] = field(default_factory=list)  # (model, label, prediction, count)
+
+    def confusion(self, model: str | None = None) -> DataFrame:
+        """``(model, label, prediction, count)`` on the holdout, of one candidate or all; no rows for a regression."""
+        rows = [r for r in self.matrices if model is None or r[0] == model]
+        return self.train.sparkSession.createDataFrame(rows, "model string, label string, prediction string, count bigint")
 
     def leaderboard(self) -> DataFrame:
         """Best first; a candidate that failed is listed last with its error."""
@@ -327,6 +336,36 @@ def _row_id(key: Sequence[str]) -> Column:
     return named(key[0]).cast("bigint") if len(key) == 1 else F.xxhash64(*[named(k) for k in key])
 
 
+def _evaluate(candidates: Sequence[Candidate], test: DataFrame, task: str) -> tuple[dict[str, dict], list[tuple]]:
+    """Metrics by model, and the confusion counts (model, label, prediction, count): one aggregate over the predictions of all."""
+    if not candidates:
+        return {}, []
+    parts = [c.apply(test).select(F.lit(c.name).alias("model"), "label", "prediction") for c in candidates]
+    stacked = reduce(DataFrame.unionByName, parts)
+    if task == REGRESSION:
+        e = F.col("label") - F.col("prediction")
+        found = stacked.groupBy("model").agg(F.sum(e * e).alias("ee"), (F.var_pop("label") * F.count("label")).alias("yy"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae")).collect()
+        return {
+            r["model"]: {"r2": half_up(1 - r["ee"] / r["yy"], 4) if r["yy"] else None, "rmse": half_up(math.sqrt(r["mse"]), 4), "mae": half_up(r["mae"], 4)}
+            for r in found if r["ee"] is not None
+        }, []
+    cells = [tuple(r) for r in stacked.groupBy("model", "label", "prediction").agg(F.count(F.lit(1)).alias("n")).orderBy("model", "label", "prediction").collect()]
+    out = {}
+    for name in {c[0] for c in cells}:
+        own = [c[1:] for c in cells if c[0] == name]
+        total = sum(n for *_, n in own)
+        sums = {"accuracy": sum(n for label, p, n in own if label == p) / total, "f1": 0.0, "precision": 0.0, "recall": 0.0}
+        for label in {c[0] for c in own}:
+            support, given = sum(n for a, _, n in own if a == label), sum(n for _, p, n in own if p == label)
+            hits = sum(n for a, p, n in own if a == p == label)
+            precision, recall = hits / given if given else 0.0, hits / support
+            f1 = 2 * precision * recall / (precision + recall) if hits else 0.0
+            for k, v in (("f1", f1), ("precision", precision), ("recall", recall)):
+                sums[k] += support * v / total
+        out[name] = {k: half_up(v, 4) for k, v in sums.items()}
+    return out, cells
+
+
 def run_tournament(
     df: DataFrame, target: str, key: Sequence[str], task: str | None = None, test_share: float = 0.2, seed: int = 42,
     models: Sequence[str] | None = None, max_classes: int = MAX_CLASSES,
@@ -370,17 +409,14 @@ def run_tournament(
     facts = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("label").alias("sd")).first()
     fitters = _fitters(task, len(classes or []), max(facts["n"], 1), facts["sd"] or 1.0, seed)
     chosen = {n: f for n, f in fitters.items() if models is None or n in models}
-    measure = classification_metrics if task == CLASSIFICATION else regression_metrics
     fitted: dict[str, Candidate] = {}
 
     def enter(item) -> dict:
         name, fit = item
         start = time.time()
         try:
-            candidate = fit(train)
-            scores = measure(candidate.apply(test).select("label", "prediction")).first().asDict()
-            fitted[name] = candidate
-            return {"model": name, "seconds": round(time.time() - start, 3), **scores}
+            fitted[name] = fit(train)
+            return {"model": name, "seconds": round(time.time() - start, 3)}
         except Exception as err:  # a failing candidate is recorded, not fatal
             return {"model": name, "seconds": round(time.time() - start, 3), "error": str(err)[:500]}
 
@@ -388,8 +424,25 @@ def run_tournament(
         results = list(pool.map(inheritable_thread_target(df.sparkSession)(enter), chosen.items()))
     # a candidate that failed beside the others gets one more try on its own
     results = [enter((r["model"], chosen[r["model"]])) if "error" in r else r for r in results]
+    measured: dict[str, dict] = {}
+    matrices: list[tuple] = []
+    try:
+        measured, matrices = _evaluate(list(fitted.values()), test, task)
+    except Exception:  # one of them can't score: each by itself, so that it alone is recorded
+        for name, candidate in list(fitted.items()):
+            try:
+                own, matrix = _evaluate([candidate], test, task)
+                measured.update(own)
+                matrices += matrix
+            except Exception as err:
+                del fitted[name]
+                next(r for r in results if r["model"] == name)["error"] = str(err)[:500]
+    results = [{**r, **measured.get(r["model"], {})} for r in results]
+    if classes:
+        named_class = lambda i: classes[int(i)]
+        matrices = [(m, named_class(label), named_class(prediction), n) for m, label, prediction, n in matrices]
     test.unpersist()
     main = "f1" if task == CLASSIFICATION else "r2"
     ok = [r for r in results if r.get(main) is not None]
     best = max(ok, key=lambda r: r[main])["model"] if ok else None
-    return Tournament(target, task, list(key), classes, prep, results, fitted.get(best), fitted, train)
+    return Tournament(target, task, list(key), classes, prep, results, fitted.get(best), fitted, train, matrices)

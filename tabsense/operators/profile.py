@@ -212,10 +212,13 @@ def eda_report(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
         )
     if cols := of("categorical", "boolean"):
         p = categorical_profile(df, cols)
-        parts.append(p.select(
-            F.lit("categorical").alias("kind"), "column", F.concat(F.lit("top_"), F.col("rank").cast("string")).alias("item"),
-            F.col("count").cast("double").alias("number"), F.col("value").alias("text"),
-        ))
+        top, no_text = F.concat(F.lit("top_"), F.col("rank").cast("string")), F.lit(None).cast("string")
+        # the cardinality goes along with the first value only
+        items = spread_rows(["item", "number", "text"], [
+            [top, F.col("count").cast("double"), F.col("value")], [F.concat(top, F.lit("_pct")), F.col("pct"), F.col("value")],
+            [F.when(F.col("rank") == 1, "cardinality"), F.col("cardinality").cast("double"), no_text],
+        ])
+        parts.append(p.select("column", items).where("item is not null").select(F.lit("categorical").alias("kind"), "column", "item", "number", "text"))
     if cols := of("datetime"):
         p = datetime_profile(df, cols)
         no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")

@@ -215,25 +215,28 @@ def clean_table(
     return out
 
 
-def clean_log(df: DataFrame) -> DataFrame:
-    """``(step, column, affected)`` for the steps of :func:`clean_table` that change something."""
-    dup = duplicate_count(df).where("duplicates > 0").select(
-        F.lit("remove_duplicates").alias("step"), F.lit(None).cast("string").alias("column"),
-        F.col("duplicates").alias("affected"),
-    )
+def clean_log(
+    df: DataFrame, remove_duplicates: bool = True, strip_whitespace: bool = True, normalize_nulls: bool = True,
+    coerce_numeric: bool = True,
+) -> DataFrame:
+    """``(step, column, affected)`` for the steps of :func:`clean_table` that change something, under the same switches.
+
+    Equal rows are grouped once; the number of rows removed and all counts of the columns are
+    one aggregate over the groups, whose single row reaches the driver.
+    """
     texts = _texts(df)
-    if not texts:
-        return dup
-    deduped = df.dropDuplicates()
-    v, s = F.col("value"), strip(F.col("value"))
-    filled = F.when(~is_null_token(v), s)
-    facts = long_form(deduped, {c: named(c) for c in texts}).groupBy("column").agg(
-        F.count_if(v != s).alias("trimmed"), F.count_if(is_null_token(v)).alias("tokens"),
-        F.count(filled).alias("held"), F.count(to_number(filled)).alias("numbers"),
-    )
-    coerced = F.when((F.col("held") > 0) & (F.col("numbers") / F.nullif("held", F.lit(0)) >= COERCE_SHARE), F.col("numbers"))
-    steps = facts.select("column", spread_rows(["step", "affected"], [
-        [F.lit("trim_whitespace"), F.col("trimmed")], [F.lit("null_tokens"), F.col("tokens")],
-        [F.lit("coerce_numeric"), F.coalesce(coerced, F.lit(0))],
-    ])).where("affected > 0").select("step", "column", "affected")
-    return dup.unionByName(steps)
+    rows = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies")) if remove_duplicates else df.withColumn("_copies", F.lit(1))
+    facts = [F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("copies")]
+    for i, c in enumerate(texts):
+        v, s, token = named(c), strip(named(c)), is_null_token(named(c))
+        kept = s if strip_whitespace else v
+        filled = F.when(~token, kept) if normalize_nulls else kept
+        facts += [F.count_if(v != s).alias(f"t{i}"), F.count_if(token).alias(f"n{i}"), F.count(filled).alias(f"h{i}"), F.count(to_number(filled)).alias(f"d{i}")]
+    row = rows.agg(*facts).first()
+    steps = [("remove_duplicates", None, row["copies"])] if remove_duplicates else []
+    for i, c in enumerate(texts):
+        held, numbers = row[f"h{i}"], row[f"d{i}"]
+        steps += [("trim_whitespace", c, row[f"t{i}"])] if strip_whitespace else []
+        steps += [("null_tokens", c, row[f"n{i}"])] if normalize_nulls else []
+        steps += [("coerce_numeric", c, numbers)] if coerce_numeric and held and numbers / held >= COERCE_SHARE else []
+    return df.sparkSession.createDataFrame([x for x in steps if x[2] > 0], "step string, column string, affected bigint")

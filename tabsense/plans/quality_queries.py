@@ -126,19 +126,39 @@ def clean_table(spark, folder):
     return quality.clean_table(messy_orders(spark, folder))
 
 
-@query("clean_log", sql=f"""
-WITH {MESSY_SQL}, u AS (SELECT DISTINCT * FROM messy)
-SELECT 'remove_duplicates' AS step, CAST(NULL AS VARCHAR) AS "column", duplicates AS affected FROM {DUPES}
-UNION ALL SELECT * FROM ({union_all(f'''
-SELECT 'trim_whitespace' AS step, '{c}' AS "column", count(*) FILTER ({c} <> {sql_strip(c)}) AS affected FROM u
-UNION ALL SELECT 'null_tokens', '{c}', count(*) FILTER ({sql_token(c)}) FROM u
-UNION ALL SELECT 'coerce_numeric', '{c}', CASE WHEN count({sql_number(f"({_clean(c)})")}) / count({_clean(c)}) >= 0.8
-  THEN count({sql_number(f"({_clean(c)})")}) ELSE 0 END FROM u'''
-    for c, k in MESSY_KINDS.items() if k == 'text')}) WHERE affected > 0""")
+SWITCHES = ("remove_duplicates", "strip_whitespace", "normalize_nulls", "coerce_numeric")
+
+
+def clean_log_sql(off: str | None) -> str:
+    """The log with one of the switches off."""
+    kept = lambda c: sql_strip(c) if off != "strip_whitespace" else c
+    filled = lambda c: f"CASE WHEN NOT {sql_token(c)} THEN {kept(c)} END" if off != "normalize_nulls" else kept(c)
+    steps = [f"SELECT 'remove_duplicates' AS step, CAST(NULL AS VARCHAR) AS \"column\", duplicates AS affected FROM {DUPES}"] if off != "remove_duplicates" else []
+    for c, k in MESSY_KINDS.items():
+        if k == "text":
+            numbers = f"count({sql_number(f'({filled(c)})')})"
+            steps += [f"SELECT 'trim_whitespace' AS step, '{c}' AS \"column\", count(*) FILTER ({c} <> {sql_strip(c)}) AS affected FROM u"] if off != "strip_whitespace" else []
+            steps += [f"SELECT 'null_tokens', '{c}', count(*) FILTER ({sql_token(c)}) FROM u"] if off != "normalize_nulls" else []
+            steps += [f"SELECT 'coerce_numeric', '{c}', CASE WHEN {numbers} / count({filled(c)}) >= 0.8 THEN {numbers} ELSE 0 END FROM u"] if off != "coerce_numeric" else []
+    distinct = "" if off == "remove_duplicates" else "DISTINCT "
+    return f"WITH {MESSY_SQL}, u AS (SELECT {distinct}* FROM messy) SELECT * FROM ({union_all(steps)}) WHERE affected > 0"
+
+
+@query("clean_log", sql=clean_log_sql(None))
 def clean_log(spark, folder):
     return quality.clean_log(messy_orders(spark, folder))
 
 
+def _log_without(switch: str):
+    @query(f"clean_log_no_{switch}", sql=clean_log_sql(switch))
+    def log(spark, folder):
+        return quality.clean_log(messy_orders(spark, folder), **{switch: False})
+
+
+for _switch in SWITCHES:
+    _log_without(_switch)
+
+
 # --- report -----------------------------------------------------------------------
 
 EDA_NUMERIC = ["count", "mean", "median", "std", "min", "max", "q1", "q3", "iqr", "outlier_count", "skewness"]
@@ -150,8 +170,10 @@ def eda_sql(table, numbers, categories, dates) -> str:
         parts += [f"""SELECT 'numeric' AS kind, "column", '{f}' AS item, CAST("{f}" AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS text
 FROM ({numeric_profile_sql(table, numbers)})""" for f in EDA_NUMERIC]
     if categories:
-        parts.append(f"""SELECT 'categorical', "column", 'top_' || CAST(rank AS VARCHAR), CAST("count" AS DOUBLE), value
+        parts.append(f"""SELECT 'categorical' AS kind, "column", 'top_' || CAST(rank AS VARCHAR) AS item, CAST("count" AS DOUBLE) AS number, value AS text
 FROM ({categorical_sql(table, categories)})""")
+        parts.append(f"SELECT 'categorical', \"column\", 'top_' || CAST(rank AS VARCHAR) || '_pct', pct, value FROM ({categorical_sql(table, categories)})")
+        parts.append(f"SELECT 'categorical', \"column\", 'cardinality', CAST(cardinality AS DOUBLE), NULL FROM ({categorical_sql(table, categories)}) WHERE rank = 1")
     for c in dates:
         d = datetime_sql(table, c)
         parts += [f"SELECT 'datetime', \"column\", '{i}', CAST(NULL AS DOUBLE), {i} FROM ({d})" for i in ("min_date", "max_date", "detected_frequency")]

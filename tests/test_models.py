@@ -148,6 +148,14 @@ def test_classification_tournament(churn):
     board = t.leaderboard().collect()
     assert [(r["rank"], r["error"]) for r in board] == [(1, None), (2, None), (3, None)]
     assert board[0]["f1"] >= board[-1]["f1"] and board[0]["f1"] > 0.8 and board[0]["classes"] == "0, 1"
+    cells = t.confusion().collect()
+    train = {r["id"]: r["is_train"] for r in models.holdout_split(churn, ["id"]).collect()}
+    for r in board:
+        own = [c for c in cells if c["model"] == r["model"]]
+        tested = sum(c["count"] for c in own)
+        assert tested == sum(not v for v in train.values()) and {c["label"] for c in own} <= {"0", "1"}
+        assert r["accuracy"] == round(sum(c["count"] for c in own if c["label"] == c["prediction"]) / tested, 4)
+    assert t.confusion("Decision Tree").count() == len([c for c in cells if c["model"] == "Decision Tree"])
     imp = t.feature_importance("Decision Tree").collect()
     assert imp[0]["feature"] == "num__age" and len(imp) <= 15
     assert t.feature_importance("K-Nearest Neighbors").count() == 0
