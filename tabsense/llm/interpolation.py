@@ -10,12 +10,18 @@ The corpus becomes a table of blocks of tokens. A block asks for the counts of i
 distinct n-grams, whose hashes are dealt to buckets; a bucket adds up what all blocks have
 counted and answers each block. So a frequent n-gram travels once per block, not once per
 place, whatever its share of the corpus. Hashes have 64 bits.
+
+Blocks and buckets grow with the square root of the corpus, so the messages between them
+grow with the corpus and not with its square, and each carries some MESSAGE n-grams. Where
+tasks can hold no larger ones, from some 40 GB of text on, messages get shorter instead, in
+the end down to one n-gram, which is what a plain count by n-gram ships.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +36,10 @@ from .common import slices, texts_of, words_of
 
 HELD_OUT = (7, 2)  # crc32 of the id as text, modulo the first, is the second: never learned from
 DELETED = 10  # of the training texts, one in so many is the deleted part that the weights are learned on
-BLOCK = 500_000  # tokens of a block, about; a longer text is a block of its own
-BUCKET = 400_000  # n-grams of a bucket, about
+MESSAGE = 2_000  # n-grams that a block asks of a bucket, about
+BLOCK = (200_000, 1_500_000)  # least and most tokens of a block; a longer text is a block of its own
+BUCKET = (200_000, 4_000_000)  # least and most n-grams of a bucket
+BYTES_PER_TOKEN = 6  # for the sizes only
 LEVELS = 48  # context frequencies, in powers of two
 STEPS = 96  # estimates in the summary of the deleted part, in half powers of two
 
@@ -84,20 +92,30 @@ class _Block:
 BLOCKS = "block long, part int, docs array<long>, n_tokens long, lengths binary, hashes binary, tokens binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    first, made = TaskContext.get().partitionId() << 32, 0
-    open_ = [_Block() for _ in range(3)]
-    for batch in slices(batches):
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            part = part_of(doc)
-            open_[part].add(doc, words_of(text))
-            if len(open_[part].tokens) >= BLOCK:
-                yield open_[part].row(first + made, part)
-                made, open_[part] = made + 1, _Block()
-    for part, block in enumerate(open_):
-        if block.docs:
-            yield block.row(first + made, part)
-            made += 1
+def sizes(tokens: int) -> tuple[int, int]:
+    """Tokens of a block and n-grams of a bucket for a corpus of so many tokens."""
+    clip = lambda x, ends: int(min(max(x, ends[0]), ends[1]))
+    block = clip((MESSAGE * tokens) ** 0.5, BLOCK)
+    return block, clip(MESSAGE * tokens / block, BUCKET)
+
+
+def _blocks(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made = TaskContext.get().partitionId() << 32, 0
+        open_ = [_Block() for _ in range(3)]
+        for batch in slices(batches):
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                part = part_of(doc)
+                open_[part].add(doc, words_of(text))
+                if len(open_[part].tokens) >= size:
+                    yield open_[part].row(first + made, part)
+                    made, open_[part] = made + 1, _Block()
+        for part, block in enumerate(open_):
+            if block.docs:
+                yield block.row(first + made, part)
+                made += 1
+
+    return run
 
 
 class _Grams:
@@ -138,6 +156,7 @@ def _from_steps(data: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(data).astype(np.uint64))
 
 
+@lru_cache(maxsize=4)
 def _bucket_edges(n: int) -> np.ndarray:
     """Upper ends of ``n`` equal ranges of the hashes."""
     return np.array([(i + 1) * 2**64 // n - 1 for i in range(n)], np.uint64)
@@ -287,9 +306,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Other columns are ignored; an empty table gives none. The summary that the weights are
     learned on has at most LEVELS * STEPS * STEPS cells.
     """
-    blocks = _written(texts_of(docs, id_col, text_col).mapInArrow(_blocks, BLOCKS), "lm-blocks")
+    texts = texts_of(docs, id_col, text_col)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    block, bucket = sizes(size // BYTES_PER_TOKEN)
+    blocks = _written(texts.mapInArrow(_blocks(block), BLOCKS), "lm-blocks")
     tokens, total = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("part") < 2, F.col("n_tokens"))), F.lit(0))).first()
-    n_pairs = max(1, -(-tokens // BUCKET))
+    n_pairs = max(1, -(-tokens // bucket))
     n_words = max(1, n_pairs // 4)
     asked = blocks.select("block", "part", "hashes", "tokens").mapInArrow(_requests(n_words, n_pairs), REQUESTS)
     answers = _written(asked.groupBy("bucket").applyInArrow(_answer(n_words), ANSWERS), "lm-answers")

@@ -52,7 +52,7 @@ def same(got, want):
     assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9) if want else not got
 
 
-@pytest.mark.parametrize("block,bucket", [(500_000, 400_000), (3_000, 5_000)])
+@pytest.mark.parametrize("block,bucket", [((200_000, 1_500_000), (200_000, 4_000_000)), ((3_000, 3_000), (5_000, 5_000)), ((100, 10_000_000), (100, 10_000_000))])
 def test_against_plain_counting(spark, monkeypatch, block, bucket):
     monkeypatch.setattr(lm, "BLOCK", block)
     monkeypatch.setattr(lm, "BUCKET", bucket)
@@ -77,3 +77,13 @@ def test_weights_are_learned():
     cells = np.array([(5 * lm.STEPS + 1) * lm.STEPS + 21, (2 * lm.STEPS + 0) * lm.STEPS + 9])
     weights = lm.learn_weights(cells, np.array([100.0, 100.0]), 1e-6)
     assert weights[5, 0] > 0.98 and weights[2, 1] > 0.98 and np.allclose(weights.sum(axis=1), 1)
+
+
+def test_messages_grow_with_the_corpus():
+    """Blocks times buckets, for corpora from 0.1 GB to 40 GB."""
+    messages = {}
+    for tokens in (20_000_000, 100_000_000, 1_000_000_000, 6_000_000_000):
+        block, bucket = lm.sizes(tokens)
+        messages[tokens] = (tokens / block) * (tokens / bucket) / tokens
+        assert lm.BLOCK[0] <= block <= lm.BLOCK[1] and lm.BUCKET[0] <= bucket <= lm.BUCKET[1]
+    assert max(messages.values()) <= 2.1 * min(messages.values())
