@@ -174,15 +174,17 @@ def isolation_forest(
     ready = df.select(*[named(k).alias(n) for k, n in zip(key, ks)], *[c.alias(n) for c, n in zip(cells, fs)])
     psi = min(ROWS_PER_TREE, counts["_n"])
     nodes = grow_forest(ready, fs, ks, counts["_n"], trees, ROWS_PER_TREE, seed)
-    # the scores alone are written, for the bounds below; the result scores its rows as they are read
+    # every row is scored once and written with its score, under plain names; the bounds below and the result read it back
     score = forest_score(df.sparkSession, nodes, psi, cells)
+    plain = {c: f"_c{i}" for i, (c, kind) in enumerate(df.dtypes) if kind != "void" and c != "score"}
     rows = spread_out(df, counts["_n"])
-    scored = store(rows.select(score.alias("score")), "scores")
+    scored = store(rows.select(*[named(c).alias(n) for c, n in plain.items()], score.alias("score")), "scores")
     s = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
     cut = quantiles(scored, {"score": F.col("score")}, [contamination], {"score": counts["_n"]}, one_task_rows)["score"][0]
     flat = s["hi"] <= s["lo"]
     severity = F.lit(0.0) if flat else F.round(1 - (F.col("score") - F.lit(s["lo"])) / F.lit(s["hi"] - s["lo"]), 4)
-    return rows.withColumn("score", score).withColumns({"severity": severity, "is_anomaly": F.col("score") < F.lit(cut)}).withColumn(
+    whole = scored.select(*[F.col("score") if c == "score" else F.col(plain[c]).alias(c) if c in plain else F.lit(None).alias(c) for c in df.columns], *([] if "score" in df.columns else ["score"]))
+    return whole.withColumns({"severity": severity, "is_anomaly": F.col("score") < F.lit(cut)}).withColumn(
         "status", F.when(F.col("is_anomaly"), "Anomaly").otherwise("Inlier")
     )
 
