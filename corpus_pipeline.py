@@ -12,17 +12,29 @@ from tabsense.storage import load, store
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that no rule of the policy rejects."""
+    """Rows that no rule of the policy rejects.
+
+    A null or empty text has too few words and goes; a null in any other column decides nothing. Repeated rows share
+    their fate, other columns pass through, an empty table gives an empty one.
+    """
     return quality_ledger.keep_good(docs, "v2")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each text, the one with the largest id."""
+    """One row for each text, the one with the largest id.
+
+    A null text is the empty one. A null id loses against any other; of rows with the same id and text exactly one
+    stays. Other columns pass through, an empty table gives an empty one.
+    """
     return content_sort.drop_copies(docs, keep="largest")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each group of near copies, the one with the smallest id."""
+    """One row for each group of near copies, the one with the smallest id.
+
+    Rows without words or without an id stay. An id with several texts links as each of them; rows that repeat id and
+    text stay or go together. Other columns pass through, an empty table gives an empty one.
+    """
     return bbit_minhash.drop_near_copies(docs, percent=80)
 
 
@@ -30,7 +42,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents up to four fifths of the words, shared by the production weights, each read at most once.
 
     Sources that run short are used up and the hub fills what is left; the document in which
-    a budget ends stays whole.
+    a budget ends stays whole. A null text has no words, a null source or language is a node of its own; rows
+    without words come along where their place falls inside the budget, ties of the order go by id and content. Other
+    columns pass through, an empty table gives an empty one.
     """
     tree = docs.withColumn("_domain", F.expr(DOMAIN))
     chosen = mixing.mix(tree, ["_domain", "lang", "source"], MIXTURE, word_count("text"), F.expr("total * 4 div 5"), epochs=1)
@@ -38,7 +52,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence."""
+    """Every piece of every document with its place in a sequence.
+
+    A null or empty text is its end alone. Repeated rows and null ids are packed each, other columns are left
+    out, an empty table gives none.
+    """
     return packing.pack(docs, added_tokens=True)
 
 
@@ -50,7 +68,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-# Near-duplicate groups and tokens have no SQL form; the stages are tested one by one.
+# Near-duplicate groups and tokens have no SQL form; a test runs all stages against plain Python.
 ORACLE_SQL = None
 
 
