@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import join_by_size
 
 
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,7 +30,7 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _to_smallest(edges: DataFrame, moved: str) -> DataFrame:
     """Links the ``moved`` neighbours of each node, and the node itself, to the smallest of them all."""
-    best = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
-    joined = join_by_size(edges, best, "u", "n")
+    best = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    joined = edges.join(best, "u")  # AQE splits the links of a hub
     links = joined.where(moved).select(F.col("v").alias("u"), F.col("m").alias("v")).union(best.select("u", F.col("m").alias("v")))
     return links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
