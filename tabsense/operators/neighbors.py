@@ -1,11 +1,13 @@
 """Exact k nearest neighbours, classification and regression by neighbours.
 
-Training rows lie in metric cells: each belongs to the nearest of a bounded number of
-centres, and a cell knows its radius. By the triangle inequality a cell whose rows are all
-farther than the k-th neighbour found so far is not looked at, nor are rows of a cell whose
-distance to the centre differs too much from the query's. So tables of few dimensions or of
-clusters are searched in a small part of their rows; vectors without structure in many
-dimensions keep most of them, and the answer is the same.
+Of training rows with the same vector only the few with the smallest keys can be among the
+nearest; the others are left out first. The rest lie in metric cells: each belongs to the
+nearest of a bounded number of centres, and a cell knows its radius. By the triangle
+inequality a cell whose rows are all farther than the k-th neighbour found so far is not
+looked at, nor are rows of a cell whose distance to the centre differs too much from the
+query's. So tables of few dimensions or of clusters are searched in a small part of their
+rows. Vectors without structure in many dimensions keep most of them; there a matrix product
+with a proven error bound tells which pairs can matter, and only these are measured exactly.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Accumulator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,13 +27,20 @@ from ..functions.columns import named
 from ..storage import materialize, spread_out
 
 # training vectors up to this size are broadcast; measured before
-BROADCAST_BYTES = 128 << 20
+BROADCAST_BYTES = 32 << 20
+# training vectors that one task holds beyond that, and queries that meet them there
+SHELF_BYTES = 32 << 20
+SLICE_ROWS = 65_536
 # distances held at once inside a task
-TILE = 4_000_000
+TILE = 1_000_000
 # centres, at most; about the square root of the training rows is best
 CENTRES = 512
 # queries that are searched together
 BATCH = 512
+# up to so many dimensions, differences are as fast as products
+FEW_DIMENSIONS = 8
+# pairs measured at once after a product has picked them
+PICKED = 20_000
 HITS = "_id bigint, neighbor bigint, d2 double"
 
 
@@ -42,47 +52,111 @@ def _squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return d
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), dtype="float64")
+def _squared_pairs(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """As ``_squared``, row against row, with the same rounding."""
+    d = np.zeros(len(q))
+    for j in range(q.shape[1]):
+        diff = q[:, j] - x[:, j]
+        d += diff * diff
+    return d
+
+
+def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return column.to_numpy()
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, 0))
+    sizes = pc.min_max(pc.list_value_length(column)).as_py()
+    if sizes["min"] != sizes["max"] or column.null_count:
+        raise ValueError("vectors must be present and of one length")
+    return pc.list_flatten(column).to_numpy().astype("float64", copy=False).reshape(len(column), sizes["max"])
+
+
+def _hits(ids: np.ndarray, neighbors: np.ndarray, d2: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(neighbors, pa.int64()), pa.array(d2, pa.float64())], ["_id", "neighbor", "d2"])
 
 
 @dataclass
 class _Best:
-    """The k smallest (squared distance, id) of each query so far."""
+    """The k smallest (squared distance, id) of each query so far, none beyond its limit."""
 
     d2: np.ndarray
     ids: np.ndarray
+    limit: np.ndarray
 
     @staticmethod
-    def none(n: int, k: int) -> _Best:
-        return _Best(np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max))
+    def none(limit: np.ndarray, k: int) -> _Best:
+        n = len(limit)
+        beyond = np.repeat(np.nextafter(limit, np.inf)[:, None], k, axis=1)
+        return _Best(beyond, np.full((n, k), np.iinfo(np.int64).max), limit)
 
     def reach(self) -> np.ndarray:
         """How far a better neighbour may lie; a little more, as distances are rounded."""
         return np.sqrt(self.d2[:, -1]) * (1 + 1e-9) + 1e-12
 
-    def look(self, rows: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray | None) -> None:
+    def look(self, rows: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
         """Takes in the training rows ``x`` for the queries at ``rows``."""
         k = self.d2.shape[1]
-        step = max(1, TILE // max(1, len(x)))
-        for start in range(0, len(rows), step):
-            at = rows[start : start + step]
-            d = _squared(q[at], x)
-            if own is not None:
-                d[own[at, None] == ids[None, :]] = np.inf
-            named_ids = np.broadcast_to(ids, d.shape)
-            if d.shape[1] > 4 * k:  # all that tie with the k-th stay
-                near = d <= np.partition(d, k - 1, axis=1)[:, [k - 1]]
-                width = int(near.sum(axis=1).max())
-                order = np.argsort(~near, axis=1, kind="stable")[:, :width]
-                d, named_ids = np.take_along_axis(d, order, axis=1), np.take_along_axis(named_ids, order, axis=1)
-            d, named_ids = np.concatenate([self.d2[at], d], axis=1), np.concatenate([self.ids[at], named_ids], axis=1)
-            order = np.lexsort((named_ids, d), axis=1)[:, :k]
-            self.d2[at], self.ids[at] = np.take_along_axis(d, order, axis=1), np.take_along_axis(named_ids, order, axis=1)
-
-    def hits(self, queries: np.ndarray) -> pd.DataFrame:
-        out = pd.DataFrame({"_id": np.repeat(queries, self.d2.shape[1]), "neighbor": self.ids.ravel(), "d2": self.d2.ravel()})
-        return out[np.isfinite(out["d2"])]
+        wide = max(1, TILE // max(1, len(rows)))
+        for at_x in range(0, len(x), wide):
+            some, some_ids = x[at_x : at_x + wide], ids[at_x : at_x + wide]
+            step = max(1, TILE // len(some))
+            for start in range(0, len(rows), step):
+                at = rows[start : start + step]
+                d = _squared(q[at], some)
+                if d.shape[1] > 4 * k:  # all that may be among the k nearest
+                    near = d <= np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1], self.d2[at, -1])[:, None]
+                    row, col = np.nonzero(near)
+                else:
+                    row, col = (a.ravel() for a in np.indices(d.shape))
+                self.take(at[row], d[row, col], some_ids[col])
+
+    def take(self, rows: np.ndarray, d2: np.ndarray, ids: np.ndarray) -> None:
+        """Merges measured pairs, given by the query's row."""
+        k = self.d2.shape[1]
+        better = (d2 < self.d2[rows, -1]) | ((d2 == self.d2[rows, -1]) & (ids < self.ids[rows, -1]))
+        rows, d2, ids = rows[better], d2[better], ids[better]
+        if not len(rows):
+            return
+        changed = np.unique(rows)
+        rows = np.r_[np.repeat(changed, k), rows]
+        d2, ids = np.r_[self.d2[changed].ravel(), d2], np.r_[self.ids[changed].ravel(), ids]
+        order = np.lexsort((ids, d2, rows))
+        rows, d2, ids = rows[order], d2[order], ids[order]
+        first = np.searchsorted(rows, changed)
+        kept = (first[:, None] + np.arange(k)).ravel()
+        self.d2[changed], self.ids[changed] = d2[kept].reshape(-1, k), ids[kept].reshape(-1, k)
+
+    def pick(self, q: np.ndarray, x: np.ndarray, ids: np.ndarray, skip: np.ndarray, cell: np.ndarray) -> None:
+        """Takes in ``x`` for all queries: a product finds the pairs within reach, up to its error, and these are measured.
+
+        ``skip`` marks the (query, cell) pairs that were looked at before, ``cell`` is the cell of each row.
+        """
+        dims = q.shape[1]
+        nq, nx = (q * q).sum(axis=1), (x * x).sum(axis=1)
+        top = float(nx.max())
+        within = self.reach() ** 2
+        size = 2 * np.sqrt(nq * top) + top
+        for kind in ("float32", "float64"):
+            eps = float(np.finfo(kind).eps)
+            error = 2 * (dims + 4) * eps * (size + nq) + 2 * eps * np.where(np.isfinite(within), within, 0)
+            if kind == "float64" or (error <= 0.01 * within).mean() > 0.9:
+                break
+        left = np.concatenate([-2 * q, np.ones((len(q), 1))], axis=1).astype(kind)
+        right = np.concatenate([x, nx[:, None]], axis=1).astype(kind)
+        bound = (within - nq + error).astype(kind)
+        row, col = np.divmod(np.flatnonzero(left @ right.T <= bound[:, None]), len(x))
+        fresh = ~skip[row, cell[col]]
+        row, col = row[fresh], col[fresh]
+        for at in range(0, len(row), PICKED):
+            r, c = row[at : at + PICKED], col[at : at + PICKED]
+            self.take(r, _squared_pairs(q[r], x[c]), ids[c])
+
+    def hits(self, queries: np.ndarray) -> pa.RecordBatch:
+        found = np.isfinite(self.d2) & (self.d2 <= self.limit[:, None])
+        return _hits(np.repeat(queries, self.d2.shape[1])[found.ravel()], self.ids[found], self.d2[found])
 
 
 @dataclass
@@ -111,21 +185,27 @@ class _Cells:
         return mark
 
 
-def _assign(train: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
-    """The centres, rows drawn by a hash, and (_tid, _x, _cell, _d) of all training rows."""
+def _drawn(train: DataFrame, n: int) -> np.ndarray:
+    """The centres: rows drawn by a hash."""
     wanted = min(CENTRES, max(1, int(np.sqrt(n))))
     drawn = train.orderBy(F.xxhash64("_tid", F.lit(5)), "_tid").limit(wanted).collect()
-    centres = np.unique(np.array([r["_x"] for r in drawn], dtype="float64"), axis=0) if drawn else np.zeros((0, 0))
+    return np.unique(np.array([r["_x"] for r in drawn], dtype="float64"), axis=0) if drawn else np.zeros((0, 0))
+
+
+def _assigned(train: DataFrame, centres: np.ndarray, kind: str) -> DataFrame:
+    """``(_tid, _x, _cell, _d)`` of all training rows."""
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 4096):
-                part = pdf.iloc[at : at + 4096]
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 d = _squared(_matrix(part["_x"]), centres)
                 cell = d.argmin(axis=1)
-                yield part.assign(_cell=cell.astype("int32"), _d=np.sqrt(d[np.arange(len(d)), cell]))
+                yield pa.RecordBatch.from_arrays(
+                    [part["_tid"], part["_x"], pa.array(cell, pa.int32()), pa.array(np.sqrt(d[np.arange(len(d)), cell]))], ["_tid", "_x", "_cell", "_d"]
+                )
 
-    return centres, train.mapInPandas(nearest, "_tid bigint, _x array<double>, _cell int, _d double")
+    return train.mapInArrow(nearest, f"_tid bigint, _x {kind}, _cell int, _d double")
 
 
 def _measured(assigned: DataFrame, centres: np.ndarray) -> _Cells:
@@ -136,33 +216,73 @@ def _measured(assigned: DataFrame, centres: np.ndarray) -> _Cells:
     return cells
 
 
-def _near_rows(dist: np.ndarray, d: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """Rows of a cell that at least one of the queries, ``d`` from the centre, may have in reach."""
-    return np.flatnonzero((dist >= (d - reach).min()) & (dist <= (d + reach).max()))
-
-
-def _held_search(cells: _Cells, groups: dict, k: int, itself: bool, pairs: Accumulator | None):
-    """Searches cells that are all at hand; ``groups`` has (vectors, ids, distances) by cell, in order of ids."""
-
-    def search(queries: np.ndarray, q: np.ndarray) -> pd.DataFrame:
-        own = queries if itself else None
-        best, compared = _Best.none(len(q), k), 0
-        d = cells.distances(q)
-        least, homes = cells.least(d), cells.homes(d, k + int(itself))
-        for first in (True, False):
-            for c in np.argsort(least.min(axis=0), kind="stable").tolist():
-                rows = np.flatnonzero(homes[:, c] if first else ~homes[:, c] & (least[:, c] <= best.reach()))
-                if not len(rows) or c not in groups:
-                    continue
-                x, ids, dist = groups[c]
-                near = slice(None) if first else _near_rows(dist, d[rows, c], best.reach()[rows])
-                compared += len(rows) * len(ids[near])
-                best.look(rows, q, x[near], ids[near], own)
-        if pairs is not None:
-            pairs.add(compared)
-        return best.hits(queries)
-
-    return search
+class _Held:
+    """Training rows at hand, in order of cell and id."""
+
+    def __init__(self, centres: np.ndarray, tid: np.ndarray, x: np.ndarray, cell: np.ndarray, d: np.ndarray):
+        order = np.lexsort((tid, cell))
+        self.ids, self.x, self.d = tid[order], x[order], d[order]
+        numbers, self.cell = np.unique(cell[order], return_inverse=True)
+        self.start = np.r_[np.searchsorted(self.cell, np.arange(len(numbers))), len(tid)]
+        first = self.start[:-1]
+        self.cells = _Cells(centres[numbers], np.diff(self.start), np.minimum.reduceat(self.d, first), np.maximum.reduceat(self.d, first))
+        # products of rows near the origin have smaller errors
+        self.middle = centres[numbers].mean(axis=0)
+
+    def rows(self, c: int) -> slice:
+        return slice(self.start[c], self.start[c + 1])
+
+    def near(self, c: int, d: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Rows of a cell that at least one of the queries, ``d`` from the centre, may have in reach."""
+        dist = self.d[self.rows(c)]
+        return self.start[c] + np.flatnonzero((dist >= (d - reach).min()) & (dist <= (d + reach).max()))
+
+    def search(self, ids: np.ndarray, q: np.ndarray, limit: np.ndarray, k: int, pairs: Accumulator | None) -> Iterator[pa.RecordBatch]:
+        """The k nearest of these rows for each query, none whose squared distance is above the query's limit."""
+        # queries of one region go together; about the nearest centre is enough for that
+        centres = self.cells.centres - self.middle
+        square = (centres * centres).sum(axis=1) / 2
+        regions = np.concatenate([(square - (q[at : at + BATCH] - self.middle) @ centres.T).argmin(axis=1) for at in range(0, len(q), BATCH)])
+        order = np.argsort(regions, kind="stable")
+        for at in range(0, len(q), BATCH):
+            some = order[at : at + BATCH]
+            best, compared = self._batch(q[some], limit[some], k)
+            if pairs is not None:
+                pairs.add(compared)
+            yield best.hits(ids[some])
+
+    def _batch(self, q: np.ndarray, limit: np.ndarray, k: int) -> tuple[_Best, int]:
+        best, compared = _Best.none(limit, k), 0
+        d = self.cells.distances(q)
+        least = self.cells.least(d)
+        homes = self.cells.homes(d, k) & np.isinf(limit)[:, None]
+        for c in np.flatnonzero(homes.any(axis=0)).tolist():
+            rows, here = np.flatnonzero(homes[:, c]), self.rows(c)
+            compared += len(rows) * len(self.ids[here])
+            best.look(rows, q, self.x[here], self.ids[here])
+        alive = ~homes & (least <= best.reach()[:, None])
+        common = np.flatnonzero(alive.mean(axis=0) >= 0.25) if q.shape[1] > FEW_DIMENSIONS else np.zeros(0, int)
+        if len(common):
+            at = np.concatenate([np.arange(self.start[c], self.start[c + 1]) for c in common[np.argsort(least[:, common].min(axis=0), kind="stable")]])
+            step = max(1, TILE // len(q))
+            for start in range(0, len(at), step):
+                tile = at[start : start + step]
+                compared += len(q) * len(tile)
+                best.pick(q - self.middle, self.x[tile] - self.middle, self.ids[tile], homes, self.cell[tile])
+        rest = np.setdiff1d(np.flatnonzero(alive.any(axis=0)), common)
+        for c in rest[np.argsort(least[:, rest].min(axis=0), kind="stable")].tolist():
+            rows = np.flatnonzero(~homes[:, c] & (least[:, c] <= best.reach()))
+            if len(rows):
+                near = self.near(c, d[rows, c], best.reach()[rows])
+                compared += len(rows) * len(near)
+                best.look(rows, q, self.x[near], self.ids[near])
+        return best, compared
+
+
+def _vector(df: DataFrame, name: str) -> tuple[Column, str]:
+    """Single precision stays as it is and takes half the room; a task computes in double precision."""
+    kind = "array<float>" if dict(df.dtypes)[name] == "array<float>" else "array<double>"
+    return named(name).cast(kind), kind
 
 
 def nearest_neighbors(
@@ -173,90 +293,143 @@ def nearest_neighbors(
 
     ``itself`` leaves out the row with the query's own key. ``key`` is a bigint.
     Ties go to the smaller key. A training set that is measured to fit is
-    broadcast. A larger one stays dealt by cells: a query first meets the nearest cells
-    that hold k rows, then those that can hold a nearer one, in tasks of bounded size
-    that pass on k rows per query. ``pairs`` adds up the distances that were computed.
+    broadcast. A larger one lies on shelves of neighbouring cells: a query first meets the
+    shelf of its nearest cell, then those that can hold a nearer row, in tasks of bounded
+    size that pass on at most k rows per query. ``pairs`` adds up the distances that were computed.
     """
-    q = queries.select(named(key).cast("bigint").alias("_id"), named(vector).cast("array<double>").alias("_q"))
-    t = train.select(named(key).cast("bigint").alias("_tid"), named(vector).cast("array<double>").alias("_x"))
+    (qv, qkind), (tv, tkind) = _vector(queries, vector), _vector(train, vector)
+    q = queries.select(named(key).cast("bigint").alias("_id"), qv.alias("_q"))
+    most = k + int(itself)
+    # of equal vectors only the smallest keys can be among the nearest
+    equal = Window.partitionBy(F.xxhash64("_x"), "_x").orderBy("_tid")
+    t = train.select(named(key).cast("bigint").alias("_tid"), tv.alias("_x"))
+    t = materialize(t.withColumn("_nth", F.row_number().over(equal)).where(F.col("_nth") <= most).drop("_nth"))
     size = t.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("_x")), F.lit(0)).alias("cells")).first()
+    asked = q.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("_q")).alias("vectors")).first()
     bytes_needed = size["cells"] * 8 + size["n"] * 8
-    centres, assigned = _assign(t, size["n"])
-    if bytes_needed <= broadcast_bytes:
-        pdf = assigned.toPandas().sort_values(["_cell", "_tid"])
-        cells = _Cells(centres, np.bincount(pdf["_cell"], minlength=len(centres)), np.zeros(len(centres)), np.zeros(len(centres)))
-        groups = {}
-        for c, g in pdf.groupby("_cell"):
-            groups[int(c)] = (_matrix(g["_x"]), g["_tid"].to_numpy(), g["_d"].to_numpy())
-            cells.inner[c], cells.outer[c] = g["_d"].min(), g["_d"].max()
-        shared = queries.sparkSession.sparkContext.broadcast((cells, groups))
-
-        def lookup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            search = _held_search(*shared.value, k, itself, pairs)
+    centres = _drawn(t, size["n"])
+    assigned = _assigned(t, centres, tkind)
+    # where most queries repeat a vector, each vector is searched once
+    repeated = asked["vectors"] * 2 < asked["n"]
+    found = q.groupBy("_q").agg(F.min("_id").alias("_id")).select("_id", "_q") if repeated else q
+    if repeated:
+        found = materialize(found)
+    number = asked["vectors"] if repeated else asked["n"]
+    if not size["n"]:
+        hits = queries.sparkSession.createDataFrame([], HITS)
+    elif bytes_needed <= broadcast_bytes:
+        table = assigned.toArrow()
+        held = _Held(centres, _numbers(table["_tid"]), _matrix(table["_x"]), _numbers(table["_cell"]), _numbers(table["_d"]))
+        shared = queries.sparkSession.sparkContext.broadcast(held)
+
+        def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in batches:
-                for at in range(0, len(part) if groups else 0, BATCH):
-                    some = part.iloc[at : at + BATCH]
-                    yield search(some["_id"].to_numpy(), _matrix(some["_q"]))
+                if part.num_rows:
+                    yield from shared.value.search(_numbers(part["_id"]), _matrix(part["_q"]), np.full(part.num_rows, np.inf), most, pairs)
 
         # use all cores, whatever the number of files
-        hits = spread_out(q, q.count()).mapInPandas(lookup, HITS)
+        hits = spread_out(found, number).mapInArrow(lookup, HITS)
     else:
-        per_row = max(1, bytes_needed // max(1, size["n"]))
-        hits = _dealt_search(q, assigned, centres, k, itself, max(1, broadcast_bytes // per_row), pairs)
-    # at most k rows per query and block
+        hits = _shelf_search(found, qkind, assigned, centres, most, max(1, bytes_needed // size["n"]), pairs)
+    if repeated:
+        nth = F.row_number().over(Window.partitionBy("_id").orderBy("d2", "neighbor"))
+        few = hits.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
+        names = q.join(found.select(F.col("_id").alias("_first"), "_q"), "_q").select("_id", "_first")
+        hits = names.join(few.withColumnRenamed("_id", "_first"), "_first").drop("_first")
+    if itself:
+        hits = hits.where("neighbor <> _id")
+    # at most a few rows per query and block
     w = Window.partitionBy("_id").orderBy("d2", "neighbor")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         F.col("_id").alias(key), "neighbor", F.sqrt("d2").alias("distance"), F.col("rank").cast("bigint").alias("rank")
     )
 
 
-VISITS = "_id bigint, _q array<double>, _cell int, _dq double, _least double, _home boolean"
-
-
-def _dealt_search(q: DataFrame, assigned: DataFrame, centres: np.ndarray, k: int, itself: bool, rows_per_block: int, pairs: Accumulator | None) -> DataFrame:
-    """Queries go to the cells they need, in two rounds; blocks of a cell and slices of its queries have bounded size."""
+def _shelves(cells: _Cells, rows_per_shelf: int) -> list[tuple[int, int, int]]:
+    """(cell, part of it, shelf): neighbouring cells share a shelf of bounded size, a cell too large for one is cut in parts."""
+    held = np.flatnonzero(cells.rows > 0)
+    middle = cells.centres[held] - cells.centres[held].mean(axis=0)
+    line = middle @ np.linalg.svd(middle, full_matrices=False)[2][0]  # order along the direction of the largest spread
+    out, shelf, filled = [], 0, 0
+    for c in held[np.argsort(line, kind="stable")].tolist():
+        parts = -(-int(cells.rows[c]) // rows_per_shelf)
+        for part in range(parts):
+            rows = cells.rows[c] / parts
+            if filled and filled + rows > rows_per_shelf:
+                shelf, filled = shelf + 1, 0
+            out.append((c, part, shelf))
+            filled += rows
+    return out
+
+
+def _shelf_search(q: DataFrame, qkind: str, assigned: DataFrame, centres: np.ndarray, k: int, row_bytes: int, pairs: Accumulator | None) -> DataFrame:
+    """Queries go to the shelves they need, in two rounds; shelves and slices of their queries have bounded size."""
+    spark = q.sparkSession
     assigned = materialize(assigned)
     cells = _measured(assigned, centres)
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), BATCH):
-                part = pdf.iloc[at : at + BATCH]
-                d = cells.distances(_matrix(part["_q"]))
-                least, homes = cells.least(d), cells.homes(d, k + int(itself))
-                # the k-th neighbour is no farther than the far side of the cells that hold k rows
-                bound = np.where(homes, d + cells.outer, -np.inf).max(axis=1) * (1 + 1e-9) + 1e-12
-                row, cell = np.nonzero(homes | (least <= bound[:, None]))
-                yield pd.DataFrame({"_id": part["_id"].to_numpy()[row], "_q": part["_q"].to_numpy()[row], "_cell": cell.astype("int32"), "_dq": d[row, cell], "_least": least[row, cell], "_home": homes[row, cell]})
-
-    visits = materialize(q.mapInPandas(choose, VISITS))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        best = _Best.none(len(a), k)
-        if len(a) and len(b):
-            b = b.sort_values("_tid")
-            near = _near_rows(b["_d"].to_numpy(), a["_dq"].to_numpy(), a["_reach"].to_numpy())
-            if pairs is not None:
-                pairs.add(len(a) * len(near))
-            ids = a["_id"].to_numpy()
-            best.look(np.arange(len(a)), _matrix(a["_q"]), _matrix(b["_x"])[near], b["_tid"].to_numpy()[near], ids if itself else None)
-        return best.hits(a["_id"].to_numpy())
-
-    def round_(asked: DataFrame) -> DataFrame:
-        blocks = {c: int(-(-n // rows_per_block)) for c, n in enumerate(cells.rows.tolist()) if n}
-        slices = {r["_cell"]: -(-r["count"] // rows_per_block) for r in asked.groupBy("_cell").count().collect()}
-        met = [(c, blocks[c], slices[c]) for c in slices if c in blocks]  # one entry per cell at most
-        plan = lambda: F.broadcast(asked.sparkSession.createDataFrame(met, "_cell int, _blocks bigint, _slices bigint"))
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-        left = asked.join(plan(), "_cell").withColumn("_slice", F.pmod(F.xxhash64("_id"), F.col("_slices"))).withColumn("_block", every("_blocks"))
-        right = assigned.join(plan(), "_cell").withColumn("_block", F.pmod(F.xxhash64("_tid"), F.col("_blocks"))).withColumn("_slice", every("_slices"))
-        keys = ["_cell", "_block", "_slice"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, HITS)
-
-    first = materialize(round_(visits.where("_home").withColumn("_reach", F.lit(float("inf")))))
-    kth = first.withColumn("r", F.row_number().over(Window.partitionBy("_id").orderBy("d2", "neighbor"))).where(F.col("r") == k).select("_id", (F.sqrt("d2") * (1 + 1e-9) + 1e-12).alias("_reach"))
-    rest = visits.where("not _home").join(kth, "_id", "left").withColumn("_reach", F.coalesce("_reach", F.lit(float("inf")))).where("_least <= _reach")
-    return first.unionByName(round_(materialize(rest)))
+    # a square of shelves and slices gives all cores work with the fewest copies
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    n = int(cells.rows.sum())
+    placed = _shelves(cells, max(1, min(SHELF_BYTES // row_bytes, -(-n // int(np.ceil(np.sqrt(tasks)))))))
+    shelves = placed[-1][2] + 1
+    holds = np.zeros((len(centres), shelves), bool)
+    first_shelf = np.zeros(len(centres), np.int64)
+    for c, part, shelf in reversed(placed):
+        holds[c, shelf], first_shelf[c] = True, shelf
+    parts = spark.createDataFrame([(c, part, shelf) for c, part, shelf in placed], "_cell int, _part bigint, _shelf int")
+    cut = F.broadcast(parts.groupBy("_cell").agg(F.count(F.lit(1)).alias("_parts")))
+    train = assigned.join(cut, "_cell").withColumn("_part", F.pmod(F.xxhash64("_tid"), F.col("_parts"))).join(F.broadcast(parts), ["_cell", "_part"])
+    train = train.select("_tid", "_x", "_cell", "_d", "_shelf")
+
+    def visits(first: bool):
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, BATCH):
+                    part = batch.slice(at, BATCH)
+                    d = cells.distances(_matrix(part["_q"]))
+                    home = first_shelf[np.where(cells.rows > 0, d, np.inf).argmin(axis=1)]
+                    if first:
+                        row, shelf = np.arange(len(d)), home
+                    else:
+                        reach = _numbers(part["_reach"])
+                        near = cells.least(d) <= reach[:, None]
+                        # a shelf is needed if one of its cells is
+                        needed = near.astype("float32") @ holds.astype("float32") > 0
+                        needed[np.arange(len(d)), home] = False
+                        row, shelf = np.nonzero(needed)
+                    limit = part["_reach"].take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([part["_id"].take(pa.array(row)), part["_q"].take(pa.array(row)), limit, pa.array(shelf, pa.int32())], ["_id", "_q", "_reach", "_shelf"])
+
+        return choose
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
+        if a.num_rows and b.num_rows:
+            held = _Held(centres, _numbers(b["_tid"]), _matrix(b["_x"]), _numbers(b["_cell"]), _numbers(b["_d"]))
+            found = list(held.search(_numbers(a["_id"]), _matrix(a["_q"]), _numbers(a["_reach"]) ** 2, k, pairs))
+        return pa.Table.from_batches(found, _hits([], [], []).schema)
+
+    def round_(asked: DataFrame, first: bool) -> DataFrame:
+        sent = asked.mapInArrow(visits(first), f"_id bigint, _q {qkind}, _reach double, _shelf int")
+        counts = {r["_shelf"]: r["count"] for r in asked.mapInArrow(visits(first), sent.schema).groupBy("_shelf").count().collect()}
+        if not counts:
+            return spark.createDataFrame([], HITS)
+        share = max(1, sum(counts.values()) // tasks)
+        slices = [(s, max(1, round(c / share)) if shelves < tasks else 1, -(-c // SLICE_ROWS)) for s, c in counts.items()]
+        plan = F.broadcast(spark.createDataFrame([(s, max(a, b)) for s, a, b in slices], "_shelf int, _slices bigint"))
+        left = sent.join(plan, "_shelf").withColumn("_slice", F.pmod(F.xxhash64("_id"), F.col("_slices"))).drop("_slices")
+        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_slices") - 1))
+        right = train.join(plan, "_shelf").withColumn("_slice", copies).drop("_slices")
+        keys = ["_shelf", "_slice"]
+        total = sum(max(a, b) for _, a, b in slices)
+        dealt = lambda df: df.repartition(min(total, 10 * tasks), *keys)
+        return dealt(left).groupBy(*keys).cogroup(dealt(right).groupBy(*keys)).applyInArrow(meet, HITS)
+
+    first = materialize(round_(q.withColumn("_reach", F.lit(float("inf"))), True))
+    w = Window.partitionBy("_id").orderBy("d2", "neighbor")
+    kth = first.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") == k).select("_id", (F.sqrt("d2") * (1 + 1e-9) + 1e-12).alias("_reach"))
+    rest = q.join(kth, "_id", "left").withColumn("_reach", F.coalesce("_reach", F.lit(float("inf"))))
+    return first.unionByName(round_(rest, False))
 
 
 def _labelled(hits: DataFrame, train: DataFrame, key: str, label: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Anomalies, neighbours, metrics and the tournament."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -92,6 +94,39 @@ def test_cells_leave_most_rows_unseen(spark, limit):
     assert len(x) < pairs.value < len(x) ** 2 / 10
 
 
+def _nearest(x, k):
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    return {(i, r + 1): j for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:k])}
+
+
+def test_large_plan_writes_little(spark):
+    """Queries used to be written once for every cell they may need."""
+    x = np.random.default_rng(6).integers(-50, 50, (1500, 32)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    before = size()
+    got = neighbors.nearest_neighbors(df, df, "id", "v", 3, itself=True, broadcast_bytes=100_000).collect()
+    assert {(r["id"], r["rank"]): r["neighbor"] for r in got} == _nearest(x, 3)
+    assert size() - before < 8 * x.nbytes
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 1000])
+def test_equal_vectors_are_searched_once(spark, limit):
+    """Rows far more than vectors, in more dimensions than a few."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 3, (20, 12)).astype(float)[rng.integers(0, 20, 1200)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>").repartition(5)
+    pairs = spark.sparkContext.accumulator(0)
+    got = neighbors.nearest_neighbors(df, df, "id", "v", 4, itself=True, broadcast_bytes=limit, pairs=pairs).collect()
+    assert {(r["id"], r["rank"]): r["neighbor"] for r in got} == _nearest(x, 4)
+    assert pairs.value <= 20 * 20 * 5
+    lone = df.where("id = 7")
+    other = neighbors.nearest_neighbors(lone, df.where("id <> 7"), "id", "v", 4, broadcast_bytes=limit).orderBy("rank").collect()
+    assert [r["neighbor"] for r in other] == [j for (i, _), j in sorted(_nearest(x, 4).items()) if i == 7]
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "label string, prediction string")
     m = models.classification_metrics(df).first()
