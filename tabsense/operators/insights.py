@@ -24,12 +24,19 @@ SKEW_LIMIT = 2.5
 INSIGHT = ["seq", "id", "headline", "category", "severity", "impact", "metrics"]
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum of a double, the same in any order of the rows, so that equal totals tie: as decimals where these hold every value, else plain."""
+    d = x.try_cast("decimal(28,10)")
+    held = F.bool_and(x.isNull() | F.coalesce(d.cast("double") == x, F.lit(False)))
+    return F.coalesce(F.when(held, F.try_sum(d).cast("double")), F.sum(x))
+
+
 def group_sums(df: DataFrame, category: str, metric: str) -> DataFrame:
     """``(group, total)`` over rows where both sides are present."""
     x = number(df, metric)
     return (
         df.where(present(df, category).isNotNull() & x.isNotNull())
-        .groupBy(named(category).alias("group")).agg(F.sum(x).alias("total"))
+        .groupBy(named(category).alias("group")).agg(exact_sum(x).alias("total"))
     )
 
 
@@ -50,7 +57,7 @@ def group_facts(df: DataFrame, categories: Sequence[str], metrics: Sequence[str]
     ])).where(F.col("group").isNotNull())
     sums = tall.groupBy("category", "group").agg(*[
         e for i in range(len(metrics)) for e in (
-            F.count(f"m{i}").alias(f"n{i}"), F.sum(f"m{i}").alias(f"s{i}"), F.count_if(F.col(f"p{i}")).alias(f"r{i}"),
+            F.count(f"m{i}").alias(f"n{i}"), exact_sum(F.col(f"m{i}")).alias(f"s{i}"), F.count_if(F.col(f"p{i}")).alias(f"r{i}"),
         )
     ])
     return sums.select("category", "group", spread_rows(["metric", "n", "total", "seen"], [
