@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_text, named, strip, to_moment
-from .ordering import long_form
+from ..storage import BROADCAST_ROWS, lookup_side, materialize
+from .ordering import long_form, value_counts
 
 # two numbers before a year of two or four digits
 NUMBERS = r"^([0-9]{1,2})([/.-])([0-9]{1,2})\2([0-9]{2}|[0-9]{4})(?![0-9])"
@@ -38,20 +39,40 @@ def date_shapes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     )
 
 
+def _vote(cell: Column) -> Column:
+    """1 where a cell shows the day before the month, -1 where after it."""
+    first, second = _part(strip(cell), 1), _part(strip(cell), 3)
+    return F.when((first > 12) & (second <= 12), 1).when((second > 12) & (first <= 12), -1)
+
+
 def day_first_columns(df: DataFrame, columns: Sequence[str]) -> set[str]:
     """Text columns in which more cells show the day before the month than after it; one scan."""
     names = [c for c in columns if is_text(df, c)]
     if not names:
         return set()
-    votes = []
-    for i, c in enumerate(names):
-        first, second = _part(strip(named(c)), 1), _part(strip(named(c)), 3)
-        votes.append(F.sum(F.when((first > 12) & (second <= 12), 1).when((second > 12) & (first <= 12), -1)).alias(f"v{i}"))
-    row = df.agg(*votes).first()
+    row = df.agg(*[F.sum(_vote(named(c))).alias(f"v{i}") for i, c in enumerate(names)]).first()
     return {c for i, c in enumerate(names) if (row[f"v{i}"] or 0) > 0}
 
 
-def parse_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The text columns as moments, the order of day and month settled for each column as a whole; unreadable cells are null."""
-    swapped = day_first_columns(df, columns)
-    return df.withColumns({c: to_moment(named(c), c in swapped) for c in columns if is_text(df, c)})
+def parse_dates(df: DataFrame, columns: Sequence[str], lookup_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The text columns as moments, the order of day and month settled for each column as a whole; unreadable cells are null.
+
+    Dates repeat: a column with at most ``lookup_rows`` distinct texts, as estimated, has each of them read
+    once and looked up for its cells. The cells of any other column are read one by one.
+    """
+    names = [c for c in columns if is_text(df, c)]
+    if not names:
+        return df
+    estimates = df.agg(*[F.approx_count_distinct(named(c)).alias(f"d{i}") for i, c in enumerate(names)]).first()
+    few = [c for i, c in enumerate(names) if estimates[f"d{i}"] <= lookup_rows]
+    many = [c for c in names if c not in few]
+    swapped = day_first_columns(df, many)
+    out = df.withColumns({c: to_moment(named(c), c in swapped) for c in many})
+    if not few:
+        return out
+    texts = materialize(value_counts(df, {c: named(c) for c in few}).select("column", "value", "n", _vote(F.col("value")).alias("vote")))
+    votes = {r["column"]: r["votes"] for r in texts.groupBy("column").agg(F.sum(F.col("n") * F.col("vote")).alias("votes")).collect()}
+    for i, c in enumerate(few):
+        mine = texts.where(F.col("column") == c).select(F.col("value").alias(f"_t{i}"), to_moment(F.col("value"), (votes.get(c) or 0) > 0).alias(f"_m{i}"))
+        out = out.join(lookup_side(mine), named(c) == F.col(f"_t{i}"), "left").drop(f"_t{i}")
+    return out.select(*[F.col(f"_m{few.index(c)}").alias(c) if c in few else named(c) for c in df.columns])

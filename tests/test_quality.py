@@ -172,3 +172,14 @@ def test_one_order_for_a_column(spark):
     assert [r["c"] for r in rows] == ["2024-01-13", "2024-01-02", "2024-04-03"] and {r["d"] for r in rows} == {None}
     shapes = {(r["column"], r["shape"]): (r["n"], r["readable"], r["day_first"]) for r in dates.date_shapes(df).collect()}
     assert shapes["a", "99/99/9999"] == (2, 2, 1) and shapes["d", "A"] == (2, 0, 0)
+
+
+@pytest.mark.parametrize("lookup_rows", [0, 3, 1000])
+def test_repeated_date_texts_are_read_once_or_cell_by_cell(spark, lookup_rows):
+    rows = [(i, ["03/04/24", " 25/12/24 ", None, "no date"][i % 4], f"2024-01-{i % 28 + 1:02d}", "2024-05") for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, c string")
+    got = dates.parse_dates(df, ["a", "b", "c", "id"], lookup_rows)
+    assert got.columns == df.columns and got.count() == 80
+    day = [F.date_format(c, "yyyy-MM-dd").alias(c) for c in "abc"]
+    want = [(i, ["2024-04-03", "2024-12-25", None, None][i % 4], b, "2024-05-01") for i, _, b, _ in rows]
+    assert [tuple(r) for r in got.select("id", *day).orderBy("id").collect()] == want
