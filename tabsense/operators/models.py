@@ -31,7 +31,9 @@ MAX_CATEGORIES = 25
 MIN_ROWS = 15
 # class labels are held on the driver; by default a target with more is not taken for a class label
 MAX_CLASSES = 1000
+# a fit has tasks of so many rows at least, and at most, even if that makes more than two tasks a core
 ROWS_PER_PARTITION = 20_000
+MOST_PER_PARTITION = 250_000
 
 
 # --- what to predict, and from what ------------------------------------------
@@ -366,6 +368,16 @@ def _evaluate(candidates: Sequence[Candidate], test: DataFrame, task: str) -> tu
     return out, cells
 
 
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Rows for iterative fits, dealt by key and put in order, so that a model does not depend on the files' splits.
+
+    A fit pays per partition and round, and every partition of a forest sends the statistics of all open nodes: a small
+    table gets few partitions, a large one twice the cores or as many as its rows need.
+    """
+    parts = max(1, min(n // ROWS_PER_PARTITION, 2 * rows.sparkSession.sparkContext.defaultParallelism), n // MOST_PER_PARTITION)
+    return rows.repartition(parts, "row_id").sortWithinPartitions("row_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def run_tournament(
     df: DataFrame, target: str, key: Sequence[str], task: str | None = None, test_share: float = 0.2, seed: int = 42,
     models: Sequence[str] | None = None, max_classes: int = MAX_CLASSES,
@@ -402,10 +414,7 @@ def run_tournament(
             "features", array_to_vector("cells")
         )
 
-    # iterative fits pay per partition and round: a small table gets few partitions
-    parts = max(1, rows // ROWS_PER_PARTITION)
-    train = ready(train_rows).coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
-    test = ready(test_rows).coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = _dealt(ready(train_rows), rows), _dealt(ready(test_rows), rows)
     facts = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("label").alias("sd")).first()
     fitters = _fitters(task, len(classes or []), max(facts["n"], 1), facts["sd"] or 1.0, seed)
     chosen = {n: f for n, f in fitters.items() if models is None or n in models}

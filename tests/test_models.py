@@ -212,6 +212,19 @@ def test_regression_tournament(spark):
     assert t.score(df).where("prediction IS NULL").count() == 0
 
 
+def test_a_table_in_one_split_is_dealt_to_all_cores(spark):
+    one = spark.range(0, 90_000, 1, 1).select("id", (F.col("id") % 97).alias("a"), (F.sin("id") + F.col("id") % 7).alias("y"))
+    boards, importances = [], []
+    for df in (one, one.repartition(5)):
+        t = models.run_tournament(df, "y", ["id"], models=["Decision Tree"])
+        sizes = [r["count"] for r in t.train.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 1.1 * min(sizes)
+        boards.append([r["r2"] for r in t.leaderboard().collect()])
+        importances.append(t.fitted["Decision Tree"].importances)
+        t.close()
+    assert boards[0] == boards[1] and importances[0] == importances[1]
+
+
 def test_multiclass_boosting_runs_one_model_per_class(churn):
     t = models.run_tournament(churn.select("id", "age", "plan"), "plan", ["id"], models=["Gradient Boosting"])
     r = t.leaderboard().first()
