@@ -319,13 +319,16 @@ def nearest_neighbors(
         hits = queries.sparkSession.createDataFrame([], HITS)
     elif bytes_needed <= broadcast_bytes:
         table = assigned.toArrow()
-        held = _Held(centres, _numbers(table["_tid"]), _matrix(table["_x"]), _numbers(table["_cell"]), _numbers(table["_d"]))
-        shared = queries.sparkSession.sparkContext.broadcast(held)
+        # plain arrays: a broadcast value travels without the classes of this package
+        arrays = (centres, _numbers(table["_tid"]), _matrix(table["_x"]), _numbers(table["_cell"]), _numbers(table["_d"]))
+        shared = queries.sparkSession.sparkContext.broadcast(arrays)
 
         def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
             for part in batches:
                 if part.num_rows:
-                    yield from shared.value.search(_numbers(part["_id"]), _matrix(part["_q"]), np.full(part.num_rows, np.inf), most, pairs)
+                    held = held or _Held(*shared.value)
+                    yield from held.search(_numbers(part["_id"]), _matrix(part["_q"]), np.full(part.num_rows, np.inf), most, pairs)
 
         # use all cores, whatever the number of files
         hits = spread_out(found, number).mapInArrow(lookup, HITS)

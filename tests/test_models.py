@@ -1,6 +1,8 @@
 """Anomalies, neighbours, metrics and the tournament."""
 
 import os
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
@@ -127,6 +129,24 @@ def test_equal_vectors_are_searched_once(spark, limit):
     assert [r["neighbor"] for r in other] == [j for (i, _), j in sorted(_nearest(x, 4).items()) if i == 7]
 
 
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Broadcast rows used to name a class that workers outside the repository can't import."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+from tabsense.operators import neighbors
+df = spark.range(50).select("id", F.array(F.col("id").cast("double")).alias("v"))
+got = neighbors.nearest_neighbors(df.where("id = 7"), df, "id", "v", 3, itself=True).orderBy("rank").collect()
+assert [r["neighbor"] for r in got] == [6, 8, 5], got
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr[-2000:]
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "label string, prediction string")
     m = models.classification_metrics(df).first()
