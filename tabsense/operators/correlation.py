@@ -163,9 +163,9 @@ def spearman(
     """Pearson r of the average ranks.
 
     Columns without missing cells are ranked once and share one ranked table;
-    a pair with missing cells is ranked on its own complete rows. Where every column has at
-    most ``lookup_rows`` distinct values, as estimated, their ranks are looked up; else the
-    cells are sorted over ranges and brought back by row, whatever their number.
+    a pair with missing cells is ranked on its own complete rows. The ranks of a column of at
+    most ``lookup_rows`` distinct values, as estimated, are looked up; the cells of the
+    others are sorted over ranges and brought back by row, whatever their number.
     """
     table, cols, complete, plain = _usable(df, columns)
     if len(cols) < 2:
@@ -178,14 +178,17 @@ def spearman(
     def ranked(rows: DataFrame, names: Sequence[str]) -> DataFrame:
         cells = {c: number(rows, c) for c in names}
         kinds = rows.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cells.values())]).first()
-        if max(kinds) > lookup_rows:
-            return rank_table(rows, cells)
-        ranks = materialize(ranks_by_key(value_counts(rows, cells), ["column"]).select("column", "value", "avg_rank"))
+        few = {n: c for (n, c), kind in zip(cells.items(), kinds) if kind <= lookup_rows}
+        many = {n: c for n, c in cells.items() if n not in few}
         out = rows.select(*[c.alias(n) for n, c in cells.items()])
-        for i, c in enumerate(names):
+        if many:
+            out = rank_table(out, {n: named(n) for n in many}, list(few))
+        if few:
+            ranks = materialize(ranks_by_key(value_counts(rows, few), ["column"]).select("column", "value", "avg_rank"))
+        for i, c in enumerate(few):
             mine = ranks.where(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.col("avg_rank").alias(f"_r{i}"))
-            out = out.join(F.broadcast(mine), named(c) == F.col(f"_v{i}")).drop(f"_v{i}", c)
-        return out.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(names)])
+            out = out.join(F.broadcast(mine), named(c) == F.col(f"_v{i}")).drop(f"_v{i}", c).withColumnRenamed(f"_r{i}", c)
+        return out.select(*[named(c) for c in names])
 
     if shared:
         results.update(zip(shared, _pearson(ranked(table, full), shared, plain)))

@@ -10,7 +10,8 @@ is joined on a value.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,54 +22,50 @@ from ..functions.columns import named
 from ..storage import materialize
 from .ordering import long_form
 
-EDGES = "part long, column string, n long, low double, n_low long, high double, n_high long"
-RANKS = "_row long, column string, avg_rank double"
+EDGES = "part int, column int, n long, low double, n_low long, high double, n_high long"
+RANKS = "_row long, column int, avg_rank double"
 
 
 def _same(a: float, b: float) -> bool:
     return a == b or (a != a and b != b)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, float, np.ndarray]]:
-    """(column, value, rows) of neighbouring equal cells, cut where a batch ends."""
+def _equal(values: np.ndarray, x: float) -> np.ndarray:
+    return np.isnan(values) if x != x else values == x
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(partition, column, values, rows) of the neighbouring cells of a column, cut where a batch ends."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        code = batch["column"].dictionary_encode()
-        columns, value, row = code.indices.to_numpy(), batch["value"].to_numpy(), batch["_row"].to_numpy()
-        differs = (value[1:] != value[:-1]) & ~(np.isnan(value[1:]) & np.isnan(value[:-1]))
-        starts = np.flatnonzero(np.r_[True, (columns[1:] != columns[:-1]) | differs])
+        part = batch["_part"][0].as_py()
+        columns, value, row = batch["column"].to_numpy(), batch["value"].to_numpy(), batch["_row"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, columns[1:] != columns[:-1]])
         for s, e in zip(starts, np.r_[starts[1:], len(row)]):
-            yield code.dictionary[int(columns[s])].as_py(), float(value[s]), row[s:e]
+            yield part, int(columns[s]), value[s:e], row[s:e]
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per column of the partition."""
     part, found = None, {}
-
-    def watched() -> Iterator[pa.RecordBatch]:
-        nonlocal part
-        for batch in batches:
-            if batch.num_rows:
-                part = batch["_part"][0].as_py()
-                yield batch
-
-    for column, value, rows in _runs(watched()):
-        n, low, n_low, high, n_high = found.get(column, (0, value, 0, value, 0))
-        n_low += len(rows) if _same(value, low) else 0
-        n_high = (n_high if _same(value, high) else 0) + len(rows)
-        found[column] = (n + len(rows), low, n_low, value, n_high)
+    for part, column, values, _ in _segments(batches):
+        first, last = float(values[0]), float(values[-1])
+        n, low, n_low, high, n_high = found.get(column, (0, first, 0, first, 0))
+        n_low += int(_equal(values, low).sum())
+        n_high = (n_high if _same(last, high) else 0) + int(_equal(values, last).sum())
+        found[column] = (n + len(values), low, n_low, last, n_high)
     if found:
         rows = [(part, column, *facts) for column, facts in found.items()]
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64())
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split(" ")[0] for f in EDGES.split(", ")])
 
 
-def _carried(edges: list) -> dict[tuple[int, str], tuple[int, dict[float, tuple[int, int]]]]:
+def _carried(edges: list) -> dict[tuple[int, int], tuple[int, dict[float, tuple[int, int]]]]:
     """For each partition and column: cells before it, and for its first and last value how often it occurs before and in all."""
-    total: dict[tuple[str, float], int] = {}
-    seen: dict[tuple[str, float], int] = {}
-    before: dict[str, int] = {}
+    total: dict[tuple[int, float], int] = {}
+    seen: dict[tuple[int, float], int] = {}
+    before: dict[int, int] = {}
     key = lambda e, v: (e["column"], "nan" if v != v else v)
 
     def values(e) -> list[tuple[float, int]]:
@@ -86,45 +83,74 @@ def _carried(edges: list) -> dict[tuple[int, str], tuple[int, dict[float, tuple[
     return out
 
 
-def _ranked(carried: dict):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = None, {}
+@dataclass
+class _Run:
+    """Equal cells that the next batch may go on with: where they start and, unless their rank is known, their rows."""
 
-        def watched() -> Iterator[pa.RecordBatch]:
-            nonlocal part
-            for batch in batches:
-                if batch.num_rows:
-                    part = batch["_part"][0].as_py()
-                    yield batch
+    column: int
+    value: float
+    start: int
+    rank: float | None
+    rows: list[np.ndarray]
 
-        def given(column: str, value: float, held: list[np.ndarray]) -> tuple[np.ndarray, str, float]:
+
+def _ranked(carried: dict):
+    def table(column: int, rows: np.ndarray, ranks: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.full(len(rows), column, np.int32)), pa.array(ranks)], ["_row", "column", "avg_rank"])
+
+    def closed(run: _Run) -> Iterator[pa.RecordBatch]:
+        """The cells of a run that lies within its partition."""
+        if run.rank is None:
+            rows = np.concatenate(run.rows)
+            yield table(run.column, rows, np.full(len(rows), run.start + (len(rows) + 1) / 2))
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, before = None, {}
+        for part, column, values, rows in _segments(batches):
             start, edges = carried[part, column]
-            rows = np.concatenate(held)
             at = before.get(column, start)
             before[column] = at + len(rows)
-            earlier, ties = edges.get("nan" if value != value else value, (0, len(rows)))
-            return rows, column, at - earlier + (ties + 1) / 2
-
-        def table(done: list[tuple[np.ndarray, str, float]]) -> pa.RecordBatch:
-            sizes = [len(rows) for rows, _, _ in done]
-            names = pa.array([column for _, column, _ in done]).take(pa.array(np.repeat(np.arange(len(done)), sizes)))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([rows for rows, _, _ in done])), names, pa.array(np.repeat([rank for _, _, rank in done], sizes))], ["_row", "column", "avg_rank"])
-
-        now, held, done, size = None, [], [], 0
-        for column, value, rows in _runs(watched()):
-            if now is not None and not (now[0] == column and _same(now[1], value)):
-                done.append(given(*now, held))
-                size += len(done[-1][0])
-                held = []
-            now = (column, value)
-            held.append(rows)
-            if size >= 50_000:
-                yield table(done)
-                done, size = [], 0
-        if now is not None:
-            yield table([*done, given(*now, held)])
-
-    return run
+            firsts = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]) & ~(np.isnan(values[1:]) & np.isnan(values[:-1]))])
+            sizes = np.diff(np.r_[firsts, len(rows)])
+            ranks = at + firsts + (sizes + 1) / 2
+            given = np.ones(len(firsts), bool)
+
+            def opened(i: int) -> _Run:
+                value, begin = float(values[firsts[i]]), at + int(firsts[i])
+                edge = edges.get("nan" if value != value else value)
+                return _Run(column, value, begin, None if edge is None else begin - edge[0] + (edge[1] + 1) / 2, [])
+
+            # only the first and the last run of a batch can go on in another one, or in another partition
+            for i in dict.fromkeys((0, len(firsts) - 1)):
+                if i or run is None or run.column != column or not _same(run.value, float(values[0])):
+                    if run is not None:
+                        yield from closed(run)
+                    run = opened(i)
+                if run.rank is None:
+                    run.rows.append(rows[firsts[i] : firsts[i] + sizes[i]])
+                    given[i] = False
+                else:
+                    ranks[i] = run.rank
+            shown = np.repeat(given, sizes)
+            if shown.any():
+                yield table(column, rows[shown], np.repeat(ranks, sizes)[shown])
+        if run is not None:
+            yield from closed(run)
+
+    return ranked
+
+
+def _cell_ranks(df: DataFrame, cells: Sequence[Column], row: str) -> DataFrame:
+    """``(_row, column, avg_rank)``; a column goes by its number, which is shorter to sort, keep and send than its name."""
+    named_rows = df.select(named(row).alias("_row"), *[c.cast("double").alias(str(i)) for i, c in enumerate(cells)])
+    long = long_form(named_rows, {str(i): named(str(i)) for i in range(len(cells))}, ["_row"]).where("value is not null")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = long.select("_row", F.col("column").cast("int").alias("column"), "value")
+    ranged = materialize(long.repartitionByRange(parts, "column", "value", "_row").sortWithinPartitions("column", "value"))
+    ranged = ranged.withColumn("_part", F.spark_partition_id())
+    # one entry per partition and column in it: at most partitions plus columns
+    edges = sorted(ranged.mapInArrow(_edges, EDGES).collect(), key=lambda e: e["part"])
+    return ranged.mapInArrow(_ranked(_carried(edges)), RANKS)
 
 
 def stitched_ranks(df: DataFrame, cells: dict[str, Column], row: str) -> DataFrame:
@@ -132,18 +158,16 @@ def stitched_ranks(df: DataFrame, cells: dict[str, Column], row: str) -> DataFra
 
     ``row`` is a bigint column that names the rows. One shuffle, for all columns.
     """
-    named_rows = df.select(named(row).alias("_row"), *[c.cast("double").alias(n) for n, c in cells.items()])
-    long = long_form(named_rows, {n: named(n) for n in cells}, ["_row"]).where("value is not null")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = long.repartitionByRange(parts, "column", "value", "_row").sortWithinPartitions("column", "value")
-    ranged = materialize(ranged.withColumn("_part", F.spark_partition_id().cast("long")))
-    # one entry per partition and column in it: at most partitions plus columns
-    edges = sorted(ranged.mapInArrow(_edges, EDGES).collect(), key=lambda e: e["part"])
-    return ranged.mapInArrow(_ranked(_carried(edges)), RANKS)
-
-
-def rank_table(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
-    """The table with every cell replaced by its average rank; two shuffles for all columns."""
-    numbered = materialize(df.select(*[c.cast("double").alias(n) for n, c in cells.items()]).withColumn("_row", F.monotonically_increasing_id()))
-    ranks = stitched_ranks(numbered, {n: named(n) for n in cells}, "_row")
-    return ranks.groupBy("_row").agg(*[F.max(F.when(F.col("column") == n, F.col("avg_rank"))).alias(n) for n in cells]).drop("_row")
+    name = F.element_at(F.array(*[F.lit(n) for n in cells]), F.col("column") + 1)
+    return _cell_ranks(df, list(cells.values()), row).select("_row", name.alias("column"), "avg_rank")
+
+
+def rank_table(df: DataFrame, cells: dict[str, Column], keep: Sequence[str] = ()) -> DataFrame:
+    """The table with every cell replaced by its average rank; two shuffles for all columns. Columns named in ``keep`` stay as they are."""
+    values = [c.cast("double").alias(n) for n, c in cells.items()]
+    numbered = materialize(df.select(*values, *[named(k) for k in keep]).withColumn("_row", F.monotonically_increasing_id()))
+    ranks = _cell_ranks(numbered, [named(n) for n in cells], "_row")
+    wide = ranks.groupBy("_row").agg(*[F.max(F.when(F.col("column") == i, F.col("avg_rank"))).alias(n) for i, n in enumerate(cells)])
+    if keep:
+        wide = numbered.select("_row", *[named(k) for k in keep]).join(wide, "_row", "left")
+    return wide.drop("_row")

@@ -116,3 +116,20 @@ def test_ranks_of_nothing_and_of_nan(spark):
     got = {(r["_row"], r["column"]): r["avg_rank"] for r in ranks.stitched_ranks(df, {"a": F.col("a"), "b": F.col("b")}, "id").collect()}
     assert got == {(2, "b"): 1.0, (1, "b"): 2.5, (3, "b"): 2.5}
     assert ranks.rank_table(df.where("false"), {"a": F.col("a")}).count() == 0
+
+
+def test_runs_of_ties_cross_batches(spark, skewed):
+    """Batches of three cells: most runs go on in the next batch, some in the next partition."""
+    _, df = skewed
+    df = df.where("id < 400").select("id", (F.col("id") % 4).cast("double").alias("k"), F.floor(F.col("id") / 5).cast("double").alias("f"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        rows = ranks.stitched_ranks(df, {"k": F.col("k"), "f": F.col("f")}, "id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    table = df.toPandas().set_index("id")[["k", "f"]].rank()
+    assert len(rows) == 2 * len(table)
+    assert all(table[r["column"]][r["_row"]] == r["avg_rank"] for r in rows)

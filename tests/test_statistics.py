@@ -161,6 +161,19 @@ def test_spearman(spark, lookup):
         assert got[a, b]["n"] == len(both)
 
 
+def test_spearman_sorts_only_columns_of_many_values(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"few": rng.integers(0, 9, 400).astype(float), "many": rng.normal(size=400), "two": rng.integers(0, 2, 400).astype(float)})
+    pdf["many"] += pdf["few"]
+    sorted_ = []
+    real = correlation.rank_table
+    monkeypatch.setattr(correlation, "rank_table", lambda df, cells, *rest: sorted_.append(list(cells)) or real(df, cells, *rest))
+    got = {(r["var1"], r["var2"]): r for r in correlation.spearman(spark.createDataFrame(pdf), lookup_rows=50).collect()}
+    assert sorted_ == [["many"]]
+    for a, b in itertools.combinations(pdf, 2):
+        assert got[a, b]["coefficient"] == pytest.approx(pdf[[a, b]].rank().corr().iloc[0, 1], abs=1e-4) and got[a, b]["n"] == 400
+
+
 def test_few_rows_have_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0)], "a double, b double")
     r = correlation.correlation_pairs(df).first()
