@@ -1,7 +1,8 @@
 """Average ranks of many columns at once, whatever their distinct values and ties.
 
 All cells are sorted by (column, value, row) over ranges, so a value that holds a third of
-the rows is spread over tasks as well. Each partition reports how many cells of a column it
+the rows is spread over tasks as well. They are kept as arrays, of their rows and of the
+starts of runs of equal cells. Each partition reports how many cells of a column it
 has and how often its first and last value occur in it; from these few numbers follow the
 ranks before each partition and the whole length of a run of ties that crosses its edges.
 A second pass streams through the sorted partitions and gives every cell its rank. Nothing
@@ -23,6 +24,7 @@ from ..storage import materialize
 from .ordering import long_form
 
 EDGES = "part int, column int, n long, low double, n_low long, high double, n_high long"
+PACKED = f"{EDGES}, runs array<int>, rows array<long>"
 RANKS = "_row long, column int, avg_rank double"
 
 
@@ -30,33 +32,47 @@ def _same(a: float, b: float) -> bool:
     return a == b or (a != a and b != b)
 
 
-def _equal(values: np.ndarray, x: float) -> np.ndarray:
-    return np.isnan(values) if x != x else values == x
-
-
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(partition, column, values, rows) of the neighbouring cells of a column, cut where a batch ends."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted cells as one row per batch and column: their rows, where runs of equal cells start, and the first and the last value with their numbers."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        part = batch["_part"][0].as_py()
-        columns, value, row = batch["column"].to_numpy(), batch["value"].to_numpy(), batch["_row"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, columns[1:] != columns[:-1]])
-        for s, e in zip(starts, np.r_[starts[1:], len(row)]):
-            yield part, int(columns[s]), value[s:e], row[s:e]
+        columns, value = batch["column"].to_numpy(), batch["value"].to_numpy()
+        other = columns[1:] != columns[:-1]
+        differs = (value[1:] != value[:-1]) & ~(np.isnan(value[1:]) & np.isnan(value[:-1]))
+        starts = np.flatnonzero(np.r_[True, other])
+        ends = np.r_[starts[1:], len(columns)]
+        runs = np.flatnonzero(np.r_[True, other | differs])
+        at = np.r_[np.searchsorted(runs, starts), len(runs)]
+        sizes = np.diff(np.r_[runs, len(columns)])
+        inside = runs - np.repeat(starts, np.diff(at))
+        yield pa.RecordBatch.from_arrays(
+            [batch["_part"].take(pa.array(starts)), pa.array(columns[starts]), pa.array(ends - starts), pa.array(value[starts]), pa.array(sizes[at[:-1]]), pa.array(value[ends - 1]),
+             pa.array(sizes[at[1:] - 1]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(inside, pa.int32())),
+             pa.ListArray.from_arrays(pa.array(np.r_[starts, len(columns)], pa.int32()), batch["_row"])],
+            [f.split(" ")[0] for f in PACKED.split(", ")],
+        )
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, float, float, np.ndarray, np.ndarray]]:
+    """(partition, column, first value, last value, starts of runs, rows) of the packed cells, in order."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield *(batch[k][i].as_py() for k in ("part", "column", "low", "high")), *(batch[k][i].values.to_numpy() for k in ("runs", "rows"))
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per column of the partition."""
-    part, found = None, {}
-    for part, column, values, _ in _segments(batches):
-        first, last = float(values[0]), float(values[-1])
-        n, low, n_low, high, n_high = found.get(column, (0, first, 0, first, 0))
-        n_low += int(_equal(values, low).sum())
-        n_high = (n_high if _same(last, high) else 0) + int(_equal(values, last).sum())
-        found[column] = (n + len(values), low, n_low, last, n_high)
+    found: dict[tuple[int, int], tuple] = {}
+    for batch in batches:
+        for e in batch.to_pylist():
+            key, first, last = (e["part"], e["column"]), e["low"], e["high"]
+            n, low, n_low, high, n_high = found.get(key, (0, first, 0, first, 0))
+            n_low += e["n_low"] if _same(first, low) else 0
+            n_high = (n_high if _same(last, high) else 0) + e["n_high"]
+            found[key] = (n + e["n"], low, n_low, last, n_high)
     if found:
-        rows = [(part, column, *facts) for column, facts in found.items()]
+        rows = [(*key, *facts) for key, facts in found.items()]
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split(" ")[0] for f in EDGES.split(", ")])
 
@@ -106,23 +122,22 @@ def _ranked(carried: dict):
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, before = None, {}
-        for part, column, values, rows in _segments(batches):
+        for part, column, low, high, firsts, rows in _segments(batches):
             start, edges = carried[part, column]
             at = before.get(column, start)
             before[column] = at + len(rows)
-            firsts = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]) & ~(np.isnan(values[1:]) & np.isnan(values[:-1]))])
             sizes = np.diff(np.r_[firsts, len(rows)])
             ranks = at + firsts + (sizes + 1) / 2
             given = np.ones(len(firsts), bool)
 
             def opened(i: int) -> _Run:
-                value, begin = float(values[firsts[i]]), at + int(firsts[i])
+                value, begin = high if i else low, at + int(firsts[i])
                 edge = edges.get("nan" if value != value else value)
                 return _Run(column, value, begin, None if edge is None else begin - edge[0] + (edge[1] + 1) / 2, [])
 
             # only the first and the last run of a batch can go on in another one, or in another partition
             for i in dict.fromkeys((0, len(firsts) - 1)):
-                if i or run is None or run.column != column or not _same(run.value, float(values[0])):
+                if i or run is None or run.column != column or not _same(run.value, low):
                     if run is not None:
                         yield from closed(run)
                     run = opened(i)
@@ -146,11 +161,12 @@ def _cell_ranks(df: DataFrame, cells: Sequence[Column], row: str) -> DataFrame:
     long = long_form(named_rows, {str(i): named(str(i)) for i in range(len(cells))}, ["_row"]).where("value is not null")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = long.select("_row", F.col("column").cast("int").alias("column"), "value")
-    ranged = materialize(long.repartitionByRange(parts, "column", "value", "_row").sortWithinPartitions("column", "value"))
-    ranged = ranged.withColumn("_part", F.spark_partition_id())
+    ranged = long.repartitionByRange(parts, "column", "value", "_row").sortWithinPartitions("column", "value")
+    # kept by batches: cell by cell they would take longer to write and read than to sort
+    packed = materialize(ranged.withColumn("_part", F.spark_partition_id()).mapInArrow(_packed, PACKED))
     # one entry per partition and column in it: at most partitions plus columns
-    edges = sorted(ranged.mapInArrow(_edges, EDGES).collect(), key=lambda e: e["part"])
-    return ranged.mapInArrow(_ranked(_carried(edges)), RANKS)
+    edges = packed.drop("runs", "rows").mapInArrow(_edges, EDGES).collect()
+    return packed.select("part", "column", "low", "high", "runs", "rows").mapInArrow(_ranked(_carried(sorted(edges, key=lambda e: e["part"]))), RANKS)
 
 
 def stitched_ranks(df: DataFrame, cells: dict[str, Column], row: str) -> DataFrame:

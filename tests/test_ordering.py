@@ -133,3 +133,14 @@ def test_runs_of_ties_cross_batches(spark, skewed):
     table = df.toPandas().set_index("id")[["k", "f"]].rank()
     assert len(rows) == 2 * len(table)
     assert all(table[r["column"]][r["_row"]] == r["avg_rank"] for r in rows)
+
+
+def test_sorted_cells_are_kept_by_batches(spark, monkeypatch):
+    """One row per cell took longer to write and read again than to sort."""
+    kept = []
+    real = ranks.materialize
+    monkeypatch.setattr(ranks, "materialize", lambda df: kept.append(real(df)) or kept[-1])
+    df = spark.range(20_000).select("id", (F.col("id") * 7919 % 20_011).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"))
+    out = ranks.stitched_ranks(df, {"x": F.col("x"), "y": F.col("y")}, "id")
+    assert out.agg(F.count("*"), F.sum("avg_rank")).first() == (40_000, 20_000 * 20_001.0)
+    assert sum(k.count() for k in kept) < 100
