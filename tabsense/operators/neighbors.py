@@ -12,6 +12,8 @@ with a proven error bound tells which pairs can matter, and only these are measu
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Accumulator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,6 +43,8 @@ BATCH = 512
 FEW_DIMENSIONS = 8
 # pairs measured at once after a product has picked them
 PICKED = 20_000
+# squares between which products may be taken in single precision
+SINGLE = (1e-20, 1e30)
 HITS = "_id bigint, neighbor bigint, d2 double"
 
 
@@ -129,30 +133,42 @@ class _Best:
         kept = (first[:, None] + np.arange(k)).ravel()
         self.d2[changed], self.ids[changed] = d2[kept].reshape(-1, k), ids[kept].reshape(-1, k)
 
-    def pick(self, q: np.ndarray, x: np.ndarray, ids: np.ndarray, skip: np.ndarray, cell: np.ndarray) -> None:
-        """Takes in ``x`` for all queries: a product finds the pairs within reach, up to its error, and these are measured.
+    def pick(self, rows: np.ndarray, q: np.ndarray, held: _Held, at: np.ndarray, skip: np.ndarray | None = None) -> None:
+        """Takes in the training rows ``at`` for the queries at ``rows``: a product finds the pairs within reach, up to its error, and these are measured.
 
-        ``skip`` marks the (query, cell) pairs that were looked at before, ``cell`` is the cell of each row.
+        ``skip`` marks the (query, cell) pairs that were looked at before. Without a reach so far,
+        the k nearest by the product, and what its error leaves beside them, bound the others.
         """
-        dims = q.shape[1]
-        nq, nx = (q * q).sum(axis=1), (x * x).sum(axis=1)
-        top = float(nx.max())
-        within = self.reach() ** 2
-        size = 2 * np.sqrt(nq * top) + top
-        for kind in ("float32", "float64"):
-            eps = float(np.finfo(kind).eps)
-            error = 2 * (dims + 4) * eps * (size + nq) + 2 * eps * np.where(np.isfinite(within), within, 0)
-            if kind == "float64" or (error <= 0.01 * within).mean() > 0.9:
-                break
-        left = np.concatenate([-2 * q, np.ones((len(q), 1))], axis=1).astype(kind)
-        right = np.concatenate([x, nx[:, None]], axis=1).astype(kind)
-        bound = (within - nq + error).astype(kind)
-        row, col = np.divmod(np.flatnonzero(left @ right.T <= bound[:, None]), len(x))
-        fresh = ~skip[row, cell[col]]
-        row, col = row[fresh], col[fresh]
-        for at in range(0, len(row), PICKED):
-            r, c = row[at : at + PICKED], col[at : at + PICKED]
-            self.take(r, _squared_pairs(q[r], x[c]), ids[c])
+        k, dims, mid = self.d2.shape[1], q.shape[1], q[rows] - held.middle
+        nq = (mid * mid).sum(axis=1)
+        step = max(1, TILE // max(1, len(rows)))
+        for tile in (at[start : start + step] for start in range(0, len(at), step)):
+            nx = held.norms[tile]
+            top = float(nx.max())
+            within = self.reach()[rows] ** 2
+            blind = not np.isfinite(within).all() and len(tile) > k
+            size = 2 * np.sqrt(nq * top) + top
+            # squares must be normal numbers in single precision
+            single = not blind and top > SINGLE[0] and float((size + nq).max()) < SINGLE[1]
+            for kind in ("float32", "float64") if single else ("float64",):
+                eps = float(np.finfo(kind).eps)
+                error = 2 * (dims + 4) * eps * (size + nq) + 2 * eps * np.where(np.isfinite(within), within, 0)
+                if kind == "float64" or (error <= 0.01 * within).mean() > 0.9:
+                    break
+            left = np.concatenate([-2 * mid, np.ones((len(mid), 1))], axis=1).astype(kind)
+            right = held.single[tile] if kind == "float32" else np.concatenate([held.x[tile] - held.middle, nx[:, None]], axis=1)
+            product = left @ right.T
+            bound = within - nq + error
+            if blind:
+                bound = np.minimum(bound, np.partition(product, k - 1, axis=1)[:, k - 1] + 2 * error)
+            row, col = np.divmod(np.flatnonzero(product <= bound.astype(kind)[:, None]), len(tile))
+            row, col = rows[row], tile[col]
+            if skip is not None:
+                fresh = ~skip[row, held.cell[col]]
+                row, col = row[fresh], col[fresh]
+            for start in range(0, len(row), PICKED):
+                r, c = row[start : start + PICKED], col[start : start + PICKED]
+                self.take(r, _squared_pairs(q[r], held.x[c]), held.ids[c])
 
     def hits(self, queries: np.ndarray) -> pa.RecordBatch:
         found = np.isfinite(self.d2) & (self.d2 <= self.limit[:, None])
@@ -228,6 +244,13 @@ class _Held:
         self.cells = _Cells(centres[numbers], np.diff(self.start), np.minimum.reduceat(self.d, first), np.maximum.reduceat(self.d, first))
         # products of rows near the origin have smaller errors
         self.middle = centres[numbers].mean(axis=0)
+        if self.x.shape[1] > FEW_DIMENSIONS:  # made once for all products
+            self.norms, self.single = np.zeros(len(tid)), np.zeros((len(tid), self.x.shape[1] + 1), "float32")
+            for at in range(0, len(tid), 4096):
+                some = self.x[at : at + 4096] - self.middle
+                self.norms[at : at + 4096] = square = (some * some).sum(axis=1)
+                with np.errstate(over="ignore"):
+                    self.single[at : at + 4096, :-1], self.single[at : at + 4096, -1] = some, square
 
     def rows(self, c: int) -> slice:
         return slice(self.start[c], self.start[c + 1])
@@ -259,16 +282,16 @@ class _Held:
         for c in np.flatnonzero(homes.any(axis=0)).tolist():
             rows, here = np.flatnonzero(homes[:, c]), self.rows(c)
             compared += len(rows) * len(self.ids[here])
-            best.look(rows, q, self.x[here], self.ids[here])
+            if q.shape[1] > FEW_DIMENSIONS:
+                best.pick(rows, q, self, np.arange(here.start, here.stop))
+            else:
+                best.look(rows, q, self.x[here], self.ids[here])
         alive = ~homes & (least <= best.reach()[:, None])
         common = np.flatnonzero(alive.mean(axis=0) >= 0.25) if q.shape[1] > FEW_DIMENSIONS else np.zeros(0, int)
         if len(common):
             at = np.concatenate([np.arange(self.start[c], self.start[c + 1]) for c in common[np.argsort(least[:, common].min(axis=0), kind="stable")]])
-            step = max(1, TILE // len(q))
-            for start in range(0, len(at), step):
-                tile = at[start : start + step]
-                compared += len(q) * len(tile)
-                best.pick(q - self.middle, self.x[tile] - self.middle, self.ids[tile], homes, self.cell[tile])
+            compared += len(q) * len(at)
+            best.pick(np.arange(len(q)), q, self, at, homes)
         rest = np.setdiff1d(np.flatnonzero(alive.any(axis=0)), common)
         for c in rest[np.argsort(least[:, rest].min(axis=0), kind="stable")].tolist():
             rows = np.flatnonzero(~homes[:, c] & (least[:, c] <= best.reach()))
@@ -333,7 +356,7 @@ def nearest_neighbors(
         # use all cores, whatever the number of files
         hits = spread_out(found, number).mapInArrow(lookup, HITS)
     else:
-        hits = _shelf_search(found, qkind, assigned, centres, most, max(1, bytes_needed // size["n"]), pairs)
+        hits = _shelf_search(spread_out(found, number), qkind, assigned, centres, most, max(1, bytes_needed // size["n"]), pairs)
     if repeated:
         nth = F.row_number().over(Window.partitionBy("_id").orderBy("d2", "neighbor"))
         few = hits.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
@@ -365,6 +388,23 @@ def _shelves(cells: _Cells, rows_per_shelf: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _dealing(spark: SparkSession, weights: list[float], parts: int) -> list[int]:
+    """A key for each group, so that ``repartition(parts, key)`` loads its partitions alike: the heaviest first, each to the least loaded.
+
+    Keys that are only numbered would meet in a few partitions and leave others empty.
+    """
+    free: dict[int, list[int]] = {p: [] for p in range(parts)}
+    for r in spark.range(20 * len(weights) + 1000).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p")).collect():
+        free[r["p"]].append(r["id"])
+    loads = [(0.0, p) for p in range(parts)]
+    keys = [0] * len(weights)
+    for i in sorted(range(len(weights)), key=lambda i: -weights[i]):
+        load, p = heapq.heappop(loads)
+        keys[i] = free[p].pop() if free[p] else -1 - i  # any other key is right, too
+        heapq.heappush(loads, (load + weights[i], p))
+    return keys
+
+
 def _shelf_search(q: DataFrame, qkind: str, assigned: DataFrame, centres: np.ndarray, k: int, row_bytes: int, pairs: Accumulator | None) -> DataFrame:
     """Queries go to the shelves they need, in two rounds; shelves and slices of their queries have bounded size."""
     spark = q.sparkSession
@@ -379,6 +419,10 @@ def _shelf_search(q: DataFrame, qkind: str, assigned: DataFrame, centres: np.nda
     first_shelf = np.zeros(len(centres), np.int64)
     for c, part, shelf in reversed(placed):
         holds[c, shelf], first_shelf[c] = True, shelf
+    cuts = Counter(c for c, _, _ in placed)
+    filled = Counter()
+    for c, _, shelf in placed:
+        filled[shelf] += cells.rows[c] / cuts[c]
     parts = spark.createDataFrame([(c, part, shelf) for c, part, shelf in placed], "_cell int, _part bigint, _shelf int")
     cut = F.broadcast(parts.groupBy("_cell").agg(F.count(F.lit(1)).alias("_parts")))
     train = assigned.join(cut, "_cell").withColumn("_part", F.pmod(F.xxhash64("_tid"), F.col("_parts"))).join(F.broadcast(parts), ["_cell", "_part"])
@@ -392,16 +436,16 @@ def _shelf_search(q: DataFrame, qkind: str, assigned: DataFrame, centres: np.nda
                     d = cells.distances(_matrix(part["_q"]))
                     home = first_shelf[np.where(cells.rows > 0, d, np.inf).argmin(axis=1)]
                     if first:
-                        row, shelf = np.arange(len(d)), home
+                        needed = np.zeros((len(d), shelves), bool)
+                        needed[np.arange(len(d)), home] = True
                     else:
-                        reach = _numbers(part["_reach"])
-                        near = cells.least(d) <= reach[:, None]
+                        near = cells.least(d) <= _numbers(part["_reach"])[:, None]
                         # a shelf is needed if one of its cells is
                         needed = near.astype("float32") @ holds.astype("float32") > 0
                         needed[np.arange(len(d)), home] = False
-                        row, shelf = np.nonzero(needed)
-                    limit = part["_reach"].take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([part["_id"].take(pa.array(row)), part["_q"].take(pa.array(row)), limit, pa.array(shelf, pa.int32())], ["_id", "_q", "_reach", "_shelf"])
+                    ends = np.r_[0, np.cumsum(needed.sum(axis=1))]
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(needed)[1], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([part["_id"], part["_q"], part["_reach"], lists], ["_id", "_q", "_reach", "_shelves"])
 
         return choose
 
@@ -413,20 +457,23 @@ def _shelf_search(q: DataFrame, qkind: str, assigned: DataFrame, centres: np.nda
         return pa.Table.from_batches(found, _hits([], [], []).schema)
 
     def round_(asked: DataFrame, first: bool) -> DataFrame:
-        sent = asked.mapInArrow(visits(first), f"_id bigint, _q {qkind}, _reach double, _shelf int")
-        counts = {r["_shelf"]: r["count"] for r in asked.mapInArrow(visits(first), sent.schema).groupBy("_shelf").count().collect()}
+        wanted = materialize(asked.mapInArrow(visits(first), f"_id bigint, _q {qkind}, _reach double, _shelves array<int>"))
+        sent = wanted.withColumn("_shelf", F.explode("_shelves")).drop("_shelves")
+        counts = {r["_shelf"]: r["count"] for r in sent.groupBy("_shelf").count().collect()}
         if not counts:
             return spark.createDataFrame([], HITS)
         share = max(1, sum(counts.values()) // tasks)
-        slices = [(s, max(1, round(c / share)) if shelves < tasks else 1, -(-c // SLICE_ROWS)) for s, c in counts.items()]
-        plan = F.broadcast(spark.createDataFrame([(s, max(a, b)) for s, a, b in slices], "_shelf int, _slices bigint"))
-        left = sent.join(plan, "_shelf").withColumn("_slice", F.pmod(F.xxhash64("_id"), F.col("_slices"))).drop("_slices")
-        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_slices") - 1))
-        right = train.join(plan, "_shelf").withColumn("_slice", copies).drop("_slices")
-        keys = ["_shelf", "_slice"]
-        total = sum(max(a, b) for _, a, b in slices)
-        dealt = lambda df: df.repartition(min(total, 10 * tasks), *keys)
-        return dealt(left).groupBy(*keys).cogroup(dealt(right).groupBy(*keys)).applyInArrow(meet, HITS)
+        slices = {s: max(round(c / share) if shelves < tasks else 1, -(-c // SLICE_ROWS), 1) for s, c in counts.items()}
+        groups = [(s, i) for s, n in slices.items() for i in range(n)]
+        parts = min(len(groups), 10 * tasks)
+        dealt = _dealing(spark, [counts[s] / slices[s] * filled[s] for s, _ in groups], parts)
+        plan = [(s, i, key) for (s, i), key in zip(groups, dealt)]
+        to_left, to_right = (F.broadcast(spark.createDataFrame(plan, "_shelf int, _slice bigint, _task bigint")) for _ in range(2))
+        number = F.broadcast(spark.createDataFrame(list(slices.items()), "_shelf int, _slices bigint"))
+        left = sent.join(number, "_shelf").withColumn("_slice", F.pmod(F.xxhash64("_id"), F.col("_slices"))).join(to_left, ["_shelf", "_slice"])
+        left = left.select("_id", "_q", "_reach", "_task").repartition(parts, "_task")
+        right = train.join(to_right, "_shelf").select("_tid", "_x", "_cell", "_d", "_task").repartition(parts, "_task")
+        return left.groupBy("_task").cogroup(right.groupBy("_task")).applyInArrow(meet, HITS)
 
     first = materialize(round_(q.withColumn("_reach", F.lit(float("inf"))), True))
     w = Window.partitionBy("_id").orderBy("d2", "neighbor")

@@ -114,6 +114,28 @@ def test_large_plan_writes_little(spark):
     assert size() - before < 8 * x.nbytes
 
 
+def test_shelves_are_dealt_alike(spark):
+    """Groups of shelf and slice used to meet in a few tasks by the hash of their numbers."""
+    keys = neighbors._dealing(spark, [1.0] * 100, 100)
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    assert df.repartition(100, "k").select(F.spark_partition_id().alias("p")).distinct().count() == 100
+    weights = [float(1 + i % 7) for i in range(90)]
+    keys = neighbors._dealing(spark, weights, 8)
+    df = spark.createDataFrame(list(zip(keys, weights)), "k bigint, w double")
+    loads = [r["w"] for r in df.repartition(8, "k").groupBy(F.spark_partition_id()).agg(F.sum("w").alias("w")).collect()]
+    assert len(set(keys)) == 90 and len(loads) == 8 and max(loads) - min(loads) <= 7
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 40_000])
+@pytest.mark.parametrize("scale", [1e20, 1.0])
+def test_products_of_large_numbers(spark, limit, scale):
+    """Squares beyond single precision used to lose neighbours."""
+    x = np.random.default_rng(9).normal(0, scale, (900, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    got = neighbors.nearest_neighbors(df, df, "id", "v", 3, itself=True, broadcast_bytes=limit).collect()
+    assert {(r["id"], r["rank"]): r["neighbor"] for r in got} == _nearest(x, 3)
+
+
 @pytest.mark.parametrize("limit", [1 << 30, 1000])
 def test_equal_vectors_are_searched_once(spark, limit):
     """Rows far more than vectors, in more dimensions than a few."""
