@@ -35,6 +35,8 @@ SHELF_BYTES = 32 << 20
 SLICE_ROWS = 65_536
 # distances held at once inside a task
 TILE = 1_000_000
+# products held at once; larger ones leave the cache, smaller ones call too often
+PRODUCTS = 2_000_000
 # centres, at most; about the square root of the training rows is best
 CENTRES = 512
 # queries that are searched together
@@ -65,6 +67,20 @@ def _squared_pairs(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return d
 
 
+def _distances(q: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest distance of each row to each centre: the same in few dimensions, else a product and its error."""
+    dims = q.shape[1]
+    if dims <= FEW_DIMENSIONS:
+        d = np.sqrt(_squared(q, centres))
+        return d, d
+    middle = centres.mean(axis=0)
+    a, c = q - middle, centres - middle
+    size = (a * a).sum(axis=1)[:, None] + (c * c).sum(axis=1)
+    d2 = size - 2 * (a @ c.T)
+    error = 4 * (dims + 4) * np.finfo("float64").eps * size
+    return np.sqrt(np.fmax(d2 - error, 0)), np.sqrt(np.fmax(d2 + error, 0))
+
+
 def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.to_numpy()
 
@@ -141,7 +157,10 @@ class _Best:
         """
         k, dims, mid = self.d2.shape[1], q.shape[1], q[rows] - held.middle
         nq = (mid * mid).sum(axis=1)
-        step = max(1, TILE // max(1, len(rows)))
+        step = max(1, PRODUCTS // max(1, len(rows)))
+        lefts: dict[str, np.ndarray] = {}
+        # products use the same memory again
+        space: dict[str, np.ndarray] = {}
         for tile in (at[start : start + step] for start in range(0, len(at), step)):
             nx = held.norms[tile]
             top = float(nx.max())
@@ -155,14 +174,18 @@ class _Best:
                 error = 2 * (dims + 4) * eps * (size + nq) + 2 * eps * np.where(np.isfinite(within), within, 0)
                 if kind == "float64" or (error <= 0.01 * within).mean() > 0.9:
                     break
-            left = np.concatenate([-2 * mid, np.ones((len(mid), 1))], axis=1).astype(kind)
+            if kind not in lefts:
+                lefts[kind] = np.concatenate([-2 * mid, np.ones((len(mid), 1))], axis=1).astype(kind)
+                space[kind] = np.empty(len(mid) * min(step, len(at)), kind)
             right = held.single[tile] if kind == "float32" else np.concatenate([held.x[tile] - held.middle, nx[:, None]], axis=1)
-            product = left @ right.T
+            product = np.matmul(lefts[kind], right.T, out=space[kind][: len(mid) * len(tile)].reshape(len(mid), len(tile)))
             bound = within - nq + error
             if blind:
                 bound = np.minimum(bound, np.partition(product, k - 1, axis=1)[:, k - 1] + 2 * error)
-            row, col = np.divmod(np.flatnonzero(product <= bound.astype(kind)[:, None]), len(tile))
-            row, col = rows[row], tile[col]
+            near = product <= bound.astype(kind)[:, None]
+            some = np.flatnonzero(near.any(axis=1))  # most queries have none
+            row, col = np.divmod(np.flatnonzero(near[some]), len(tile))
+            row, col = rows[some[row]], tile[col]
             if skip is not None:
                 fresh = ~skip[row, held.cell[col]]
                 row, col = row[fresh], col[fresh]
@@ -184,12 +207,9 @@ class _Cells:
     inner: np.ndarray
     outer: np.ndarray
 
-    def distances(self, q: np.ndarray) -> np.ndarray:
-        return np.sqrt(_squared(q, self.centres))
-
-    def least(self, d: np.ndarray) -> np.ndarray:
-        """Least distance that a row of each cell can have, given the distances to the centres."""
-        out = np.maximum(np.maximum(d - self.outer, self.inner - d), 0)
+    def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Least distance that a row of each cell can have, given the bounds of the distances to the centres."""
+        out = np.fmax(np.fmax(lo - self.outer, self.inner - hi), 0)
         return np.where(self.rows > 0, out, np.inf)
 
     def homes(self, d: np.ndarray, k: int) -> np.ndarray:
@@ -215,11 +235,10 @@ def _assigned(train: DataFrame, centres: np.ndarray, kind: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                d = _squared(_matrix(part["_x"]), centres)
-                cell = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [part["_tid"], part["_x"], pa.array(cell, pa.int32()), pa.array(np.sqrt(d[np.arange(len(d)), cell]))], ["_tid", "_x", "_cell", "_d"]
-                )
+                x = _matrix(part["_x"])
+                cell = _distances(x, centres)[0].argmin(axis=1)  # about the nearest is enough, its distance must be right
+                d = np.sqrt(_squared_pairs(x, centres[cell]))
+                yield pa.RecordBatch.from_arrays([part["_tid"], part["_x"], pa.array(cell, pa.int32()), pa.array(d)], ["_tid", "_x", "_cell", "_d"])
 
     return train.mapInArrow(nearest, f"_tid bigint, _x {kind}, _cell int, _d double")
 
@@ -255,10 +274,10 @@ class _Held:
     def rows(self, c: int) -> slice:
         return slice(self.start[c], self.start[c + 1])
 
-    def near(self, c: int, d: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        """Rows of a cell that at least one of the queries, ``d`` from the centre, may have in reach."""
+    def near(self, c: int, lo: np.ndarray, hi: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Rows of a cell that at least one of the queries, from ``lo`` to ``hi`` from the centre, may have in reach."""
         dist = self.d[self.rows(c)]
-        return self.start[c] + np.flatnonzero((dist >= (d - reach).min()) & (dist <= (d + reach).max()))
+        return self.start[c] + np.flatnonzero((dist >= (lo - reach).min()) & (dist <= (hi + reach).max()))
 
     def search(self, ids: np.ndarray, q: np.ndarray, limit: np.ndarray, k: int, pairs: Accumulator | None) -> Iterator[pa.RecordBatch]:
         """The k nearest of these rows for each query, none whose squared distance is above the query's limit."""
@@ -276,9 +295,9 @@ class _Held:
 
     def _batch(self, q: np.ndarray, limit: np.ndarray, k: int) -> tuple[_Best, int]:
         best, compared = _Best.none(limit, k), 0
-        d = self.cells.distances(q)
-        least = self.cells.least(d)
-        homes = self.cells.homes(d, k) & np.isinf(limit)[:, None]
+        lo, hi = _distances(q, self.cells.centres)
+        least = self.cells.least(lo, hi)
+        homes = self.cells.homes(lo, k) & np.isinf(limit)[:, None]
         for c in np.flatnonzero(homes.any(axis=0)).tolist():
             rows, here = np.flatnonzero(homes[:, c]), self.rows(c)
             compared += len(rows) * len(self.ids[here])
@@ -296,7 +315,7 @@ class _Held:
         for c in rest[np.argsort(least[:, rest].min(axis=0), kind="stable")].tolist():
             rows = np.flatnonzero(~homes[:, c] & (least[:, c] <= best.reach()))
             if len(rows):
-                near = self.near(c, d[rows, c], best.reach()[rows])
+                near = self.near(c, lo[rows, c], hi[rows, c], best.reach()[rows])
                 compared += len(rows) * len(near)
                 best.look(rows, q, self.x[near], self.ids[near])
         return best, compared
@@ -433,16 +452,16 @@ def _shelf_search(q: DataFrame, qkind: str, assigned: DataFrame, centres: np.nda
             for batch in batches:
                 for at in range(0, batch.num_rows, BATCH):
                     part = batch.slice(at, BATCH)
-                    d = cells.distances(_matrix(part["_q"]))
-                    home = first_shelf[np.where(cells.rows > 0, d, np.inf).argmin(axis=1)]
+                    lo, hi = _distances(_matrix(part["_q"]), cells.centres)
+                    home = first_shelf[np.where(cells.rows > 0, lo, np.inf).argmin(axis=1)]
                     if first:
-                        needed = np.zeros((len(d), shelves), bool)
-                        needed[np.arange(len(d)), home] = True
+                        needed = np.zeros((len(lo), shelves), bool)
+                        needed[np.arange(len(lo)), home] = True
                     else:
-                        near = cells.least(d) <= _numbers(part["_reach"])[:, None]
+                        near = cells.least(lo, hi) <= _numbers(part["_reach"])[:, None]
                         # a shelf is needed if one of its cells is
                         needed = near.astype("float32") @ holds.astype("float32") > 0
-                        needed[np.arange(len(d)), home] = False
+                        needed[np.arange(len(lo)), home] = False
                     ends = np.r_[0, np.cumsum(needed.sum(axis=1))]
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(needed)[1], pa.int32()))
                     yield pa.RecordBatch.from_arrays([part["_id"], part["_q"], part["_reach"], lists], ["_id", "_q", "_reach", "_shelves"])

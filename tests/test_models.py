@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import time
 
 import numpy as np
 import pandas as pd
@@ -136,6 +137,41 @@ def test_products_of_large_numbers(spark, limit, scale):
     assert {(r["id"], r["rank"]): r["neighbor"] for r in got} == _nearest(x, 3)
 
 
+@pytest.mark.parametrize("scale, away", [(1.0, 0.0), (1.0, 1e6), (1e-8, 1.0), (1e20, 0.0)])
+def test_distances_to_centres_are_bounded_by_products(scale, away):
+    """All centres used to be measured one dimension at a time, the longest task of 100,000 rows."""
+    rng = np.random.default_rng(3)
+    x, centres = rng.normal(away, scale, (2000, 64)), rng.normal(away, scale, (400, 64))
+    x[:400] = centres
+    began = time.perf_counter()
+    lo, hi = neighbors._distances(x, centres)
+    fast, began = time.perf_counter() - began, time.perf_counter()
+    exact = np.sqrt(neighbors._squared(x, centres))
+    assert fast < (time.perf_counter() - began) / 2
+    assert (lo <= exact).all() and (exact <= hi).all()
+    far = exact > exact.max() / 10
+    assert (hi - lo)[far].max() < 1e-9 * exact.max()
+
+
+def test_few_dimensions_are_measured():
+    x = np.random.default_rng(3).normal(0, 1, (50, 3))
+    lo, hi = neighbors._distances(x, x[:7])
+    assert (lo == hi).all() and (lo == np.sqrt(neighbors._squared(x, x[:7]))).all()
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 40_000])
+def test_clusters_of_many_dimensions(spark, limit):
+    """Cells are left out by bounds of their distances."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(c, 0.01, (60, 16)) for c in rng.uniform(-50, 50, (20, 16))])
+    x[::97] = x[0]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    pairs = spark.sparkContext.accumulator(0)
+    got = neighbors.nearest_neighbors(df, df, "id", "v", 4, itself=True, broadcast_bytes=limit, pairs=pairs).collect()
+    assert {(r["id"], r["rank"]): r["neighbor"] for r in got} == _nearest(x, 4)
+    assert len(x) < pairs.value < len(x) ** 2 / 4
+
+
 @pytest.mark.parametrize("limit", [1 << 30, 1000])
 def test_equal_vectors_are_searched_once(spark, limit):
     """Rows far more than vectors, in more dimensions than a few."""
