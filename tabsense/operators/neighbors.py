@@ -78,7 +78,8 @@ def _distances(q: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarr
     size = (a * a).sum(axis=1)[:, None] + (c * c).sum(axis=1)
     d2 = size - 2 * (a @ c.T)
     error = 4 * (dims + 4) * np.finfo("float64").eps * size
-    return np.sqrt(np.fmax(d2 - error, 0)), np.sqrt(np.fmax(d2 + error, 0))
+    top = d2 + error
+    return np.sqrt(np.fmax(d2 - error, 0)), np.sqrt(np.where(np.isnan(top), np.inf, np.maximum(top, 0)))
 
 
 def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -127,7 +128,7 @@ class _Best:
                 at = rows[start : start + step]
                 d = _squared(q[at], some)
                 if d.shape[1] > 4 * k:  # all that may be among the k nearest
-                    near = d <= np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1], self.d2[at, -1])[:, None]
+                    near = d <= np.fmin(np.partition(d, k - 1, axis=1)[:, k - 1], self.d2[at, -1])[:, None]
                     row, col = np.nonzero(near)
                 else:
                     row, col = (a.ravel() for a in np.indices(d.shape))
@@ -163,12 +164,12 @@ class _Best:
         space: dict[str, np.ndarray] = {}
         for tile in (at[start : start + step] for start in range(0, len(at), step)):
             nx = held.norms[tile]
-            top = float(nx.max())
+            top = float(np.fmax.reduce(nx))  # a row with a NaN is nobody's neighbour
             within = self.reach()[rows] ** 2
             blind = not np.isfinite(within).all() and len(tile) > k
             size = 2 * np.sqrt(nq * top) + top
             # squares must be normal numbers in single precision
-            single = not blind and top > SINGLE[0] and float((size + nq).max()) < SINGLE[1]
+            single = not blind and top > SINGLE[0] and float(np.fmax.reduce(size + nq)) < SINGLE[1]
             for kind in ("float32", "float64") if single else ("float64",):
                 eps = float(np.finfo(kind).eps)
                 error = 2 * (dims + 4) * eps * (size + nq) + 2 * eps * np.where(np.isfinite(within), within, 0)
@@ -181,7 +182,7 @@ class _Best:
             product = np.matmul(lefts[kind], right.T, out=space[kind][: len(mid) * len(tile)].reshape(len(mid), len(tile)))
             bound = within - nq + error
             if blind:
-                bound = np.minimum(bound, np.partition(product, k - 1, axis=1)[:, k - 1] + 2 * error)
+                bound = np.fmin(bound, np.partition(product, k - 1, axis=1)[:, k - 1] + 2 * error)
             near = product <= bound.astype(kind)[:, None]
             some = np.flatnonzero(near.any(axis=1))  # most queries have none
             row, col = np.divmod(np.flatnonzero(near[some]), len(tile))
@@ -225,7 +226,11 @@ def _drawn(train: DataFrame, n: int) -> np.ndarray:
     """The centres: rows drawn by a hash."""
     wanted = min(CENTRES, max(1, int(np.sqrt(n))))
     drawn = train.orderBy(F.xxhash64("_tid", F.lit(5)), "_tid").limit(wanted).collect()
-    return np.unique(np.array([r["_x"] for r in drawn], dtype="float64"), axis=0) if drawn else np.zeros((0, 0))
+    if not drawn:
+        return np.zeros((0, 0))
+    rows = np.unique(np.array([r["_x"] for r in drawn], dtype="float64"), axis=0)
+    finite = rows[np.isfinite(rows).all(axis=1)]
+    return finite if len(finite) else np.zeros((1, rows.shape[1]))
 
 
 def _assigned(train: DataFrame, centres: np.ndarray, kind: str) -> DataFrame:
@@ -277,7 +282,7 @@ class _Held:
     def near(self, c: int, lo: np.ndarray, hi: np.ndarray, reach: np.ndarray) -> np.ndarray:
         """Rows of a cell that at least one of the queries, from ``lo`` to ``hi`` from the centre, may have in reach."""
         dist = self.d[self.rows(c)]
-        return self.start[c] + np.flatnonzero((dist >= (lo - reach).min()) & (dist <= (hi + reach).max()))
+        return self.start[c] + np.flatnonzero((dist >= np.fmin.reduce(lo - reach)) & (dist <= np.fmax.reduce(hi + reach)))
 
     def search(self, ids: np.ndarray, q: np.ndarray, limit: np.ndarray, k: int, pairs: Accumulator | None) -> Iterator[pa.RecordBatch]:
         """The k nearest of these rows for each query, none whose squared distance is above the query's limit."""

@@ -172,6 +172,18 @@ def test_clusters_of_many_dimensions(spark, limit):
     assert len(x) < pairs.value < len(x) ** 2 / 4
 
 
+@pytest.mark.parametrize("limit", [1 << 30, 40_000])
+@pytest.mark.parametrize("dims", [3, 16])
+def test_a_nan_costs_the_others_nothing(spark, limit, dims):
+    """One in twenty vectors has a NaN; as a centre, or beside other rows in a product, it used to hide their neighbours."""
+    x = np.random.default_rng(14).normal(0, 1, (1800, dims))
+    x[::20, 1] = np.nan
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    got = neighbors.nearest_neighbors(df, df, "id", "v", 3, itself=True, broadcast_bytes=limit).collect()
+    want = {at: j for at, j in _nearest(np.nan_to_num(x, nan=1e6), 3).items() if at[0] % 20}
+    assert {(r["id"], r["rank"]): r["neighbor"] for r in got} == want
+
+
 @pytest.mark.parametrize("limit", [1 << 30, 1000])
 def test_equal_vectors_are_searched_once(spark, limit):
     """Rows far more than vectors, in more dimensions than a few."""
