@@ -29,9 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import store
+from ..storage import arrow_batches, store
 
 SHARD_BYTES = 4_000_000  # text of a shard, about; a longer text is a shard of its own
+BATCH_BYTES = 4_000_000  # of a batch on its way to or from Python; by default Spark gathers 64 MiB, in the JVM and in Python
+SHARD_FILES = {"parquet.block.size": "8000000", "parquet.page.size.row.check.min": "1"}  # a row is megabytes: by default 100 are written before their size is looked at
 FILTERS = "ABCDE"
 BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
 MIN_WORDS, MIN_DISTINCT, MAX_UPPER = 50, 65, 5
@@ -127,7 +129,8 @@ def _rewrite(shared: dict[bytes, int]):
 
 def _stored_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str, shard_bytes: int) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return store(rows.mapInArrow(_shards(shard_bytes), SHARD), "shards")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return store(rows.mapInArrow(_shards(shard_bytes), SHARD), "shards", **SHARD_FILES)
 
 
 def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -185,7 +188,9 @@ def patterns(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     fails = F.col("flags") + F.when(F.col("n_words") < MIN_WORDS, BIT["A"]).otherwise(0) + F.when(100 * F.col("n_distinct") < MIN_DISTINCT * F.col("n_words"), BIT["B"]).otherwise(0)
     rows = _counted(docs, id_col, text_col, part_col).select("doc_id", "part", "digest", fails.alias("pattern")).groupBy("doc_id", "part", "digest", "pattern").agg(F.count(F.lit(1)).alias("n"))
-    rows = store(_labelled(store(rows, "counted-rows"), labels), "filter-rows")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        rows = store(rows, "counted-rows")
+    rows = store(_labelled(rows, labels), "filter-rows")
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     passing = rows.where("doc_id is not null").join(first, ["digest", "doc_id"], "left_semi").unionByName(rows.where("doc_id is null"))
     kinds = rows.withColumn("pattern", F.col("pattern") + BIT["E"]).unionByName(passing).unionByName(passing.withColumns({"pattern": F.col("pattern") + BIT["E"], "n": -F.col("n")}))
@@ -206,7 +211,9 @@ def _layout(spark) -> DataFrame:
                 share = factorial(len(FILTERS)) // len(failed) if fails else 0  # orders in which f comes first of the failed ones
                 rows.append((pattern, "".join(order), step, int(not (before or fails)), int(removed), int(fails and before), int(failed == [f]), share))
                 before = before or fails
-    return spark.createDataFrame(rows, "pattern int, filter_order string, step int, _kept int, _removed int, _redundant int, _only int, _share int")
+    names = ["pattern", "filter_order", "step", "_kept", "_removed", "_redundant", "_only", "_share"]
+    # as an Arrow table it is part of the plan; as a list it would start Python workers beside the ones that wait
+    return spark.createDataFrame(pa.table([pa.array(c, pa.string() if n == "filter_order" else pa.int32()) for n, c in zip(names, zip(*rows))], names))
 
 
 def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:

@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark import TaskContext
 
 from tabsense.llm import filter_audit, latent_neighbours, turn_repair
 from tabsense.llm.queries import QUERIES
-from tabsense.storage import load
+from tabsense.storage import load, store
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, good int, part string, n string, _p string"
@@ -204,6 +206,41 @@ def test_matrix_holds_every_word(spark, monkeypatch, shared):
     assert rows == {r["doc_id"]: Counter((r["text"] or "").encode().split()) for r in docs.collect()}
 
 
+def test_audit_passes_shards_on_singly(spark, monkeypatch, tmp_path):
+    """What is in memory at once follows a shard, not the rows of a partition."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{w:x}" for w in rng.integers(0, 1 << 24, 110_000).tolist()) for _ in range(24)]  # some 750 kB each
+    docs = spark.createDataFrame([(i, t, f"s{i % 2}", 0, "x", "y", "z") for i, t in enumerate(texts)], DOCS).coalesce(1)
+
+    def noted(make, name):
+        def wrapped(*args):
+            run = make(*args)
+
+            def seen(batches):
+                for i, batch in enumerate(batches):
+                    (tmp_path / f"{name}-{TaskContext.get().taskAttemptId()}-{i}").write_text(f"{batch.num_rows} {batch.nbytes}")
+                    yield batch
+
+            return lambda batches: run(seen(batches))
+
+        return wrapped
+
+    stored = []
+    for name in ("_shards", "_rewrite"):
+        monkeypatch.setattr(filter_audit, name, noted(getattr(filter_audit, name), name))
+    monkeypatch.setattr(filter_audit, "store", lambda df, name, **options: stored.append((name, store(df, name, **options))) or stored[-1][1])
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    got = filter_audit.audit(docs, spark.createDataFrame([], LABELS)).where("filter_order = 'ABCDE' and step = 5").collect()
+    assert {r["part"]: (r["kept"], r["unique_fails"]) for r in got} == {"s0": (12, 0), "s1": (12, 0)}
+    assert spark.conf.get(key) == before
+    for name, most in (("_shards", 6e6), ("_rewrite", 12e6)):
+        sizes = [tuple(map(int, p.read_text().split())) for p in tmp_path.glob(f"{name}-*")]
+        assert len(sizes) > 2 and all(n == 1 or size <= most for n, size in sizes)
+    groups = [m.row_group(i) for f in dict(stored)["shards"].inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 3 and all(g.num_rows == 1 or g.total_byte_size < 20e6 for g in groups)
+
+
 def test_votes_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in QUERIES["op11_quality_votes"](spark, folder).collect()}
